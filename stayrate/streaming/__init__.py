@@ -1,0 +1 @@
+"""Nothing here: none of the metrics is defined over a stream."""
