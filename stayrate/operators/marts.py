@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayrate.functions.columns import (
     banded,
@@ -65,20 +66,18 @@ MART_SCHEMAS = {
 
 def _shape(name: str, df: DataFrame, columns: list[Column]) -> DataFrame:
     """Give the columns, in order, the names and types of the extract."""
-    schema = df.sparkSession.createDataFrame([], MART_SCHEMAS[name]).schema
+    schema = T.StructType.fromDDL(MART_SCHEMAS[name])
     return df.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema.fields)])
 
 
-def _usage_per_account(roles: Roles, params: Params, accounts: DataFrame) -> DataFrame:
+def _usage_per_account(roles: Roles, params: Params) -> DataFrame:
     """Lifetime totals and early feature breadth in one pass over usage.
 
     Rows are first summed per account and feature, so both distinct counts become plain counts.
     The early window has no churn bound.
     """
     measures = [m for m in MEASURES if m != "is_beta_feature"]
-    usage = owned_usage(
-        roles, feature_column(roles), *measures, churn=True, accounts=accounts
-    ).select(
+    usage = owned_usage(roles, feature_column(roles), *measures, churn=True).select(
         "*",
         in_lifetime(params.window_end).alias("lived"),
         between_days(F.col("days"), params.early_window).alias("early"),
@@ -118,9 +117,9 @@ def _tickets_per_account(roles: Roles) -> DataFrame:
 
 def mart_account_metrics(roles: Roles, params: Params) -> DataFrame:
     """One row per account; every input is reduced to one row per account before the joins."""
-    span = account_span(roles)
     facts = (
-        span.join(_usage_per_account(roles, params, span), "account_id", "left")
+        account_span(roles)
+        .join(_usage_per_account(roles, params), "account_id", "left")
         .join(_tickets_per_account(roles), "account_id", "left")
         .join(_subscriptions_per_account(roles), "account_id", "left")
     )
@@ -283,7 +282,8 @@ def mart_churn_reasons(roles: Roles, params: Params) -> DataFrame:
 
 def mart_feature_metrics(roles: Roles, params: Params) -> DataFrame:
     """Adoption against churn per adopted feature, with errors and rows over all its usage."""
-    per_key = roles.feature_usage.groupBy(feature_column(roles)).agg(
+    key = "feature_name" if roles.features is None else "feature_key"
+    per_key = roles.feature_usage.groupBy(key).agg(
         F.sum("error_count").alias("errors"), F.count("*").alias("events")
     )
     if roles.features is not None:  # reduced to one row per key, so a plain join is enough

@@ -11,7 +11,13 @@ from stayrate.functions.columns import month_index, pct, ratio, rnd
 from stayrate.params import Params
 from stayrate.plans.aggregates import exact_median
 from stayrate.plans.joins import side_by_side
-from stayrate.plans.lifecycle import account_span, in_lifetime, owned_usage, segment
+from stayrate.plans.lifecycle import (
+    SEGMENT_SOURCES,
+    account_span,
+    in_lifetime,
+    owned_usage,
+    segment,
+)
 from stayrate.roles import Roles
 
 ALL_MONTHS = tuple(range(12))
@@ -29,16 +35,14 @@ def retention_counts(
     Activity is reduced to one row per account and month. Size rows and activity rows are stacked
     and aggregated together, so a segment nobody was active in keeps its row and its zeros.
     """
-    span = account_span(roles) if bounded else roles.accounts
-    cohort = span.filter(F.col("signup_date") < F.lit(params.cohort_cut)).withColumn(
-        by, segment(by, params)
-    )
-    usage = owned_usage(roles, attrs=[by], churn=bounded, accounts=cohort)
+    cut = F.col("signup_date") < F.lit(params.cohort_cut)
+    cohort = roles.accounts.filter(cut).select(segment(by, params).alias(by))
+    usage = owned_usage(roles, attrs=[SEGMENT_SOURCES.get(by, by)], churn=bounded).filter(cut)
     if bounded:
         usage = usage.filter(in_lifetime(params.window_end))
     index = month_index(F.col("signup_date"), F.col("usage_date"))
     active = (
-        usage.select("account_id", by, index.alias("mi"))
+        usage.select("account_id", segment(by, params).alias(by), index.alias("mi"))
         .filter(F.col("mi").isin(*months))
         .distinct()
         .select(by, "mi")

@@ -14,6 +14,10 @@ from stayrate.plans.joins import lookup
 from stayrate.roles import Roles
 
 
+# The account column a derived segment is made from.
+SEGMENT_SOURCES = {"seat_bucket": "seats", "cohort_month": "signup_date"}
+
+
 def segment(name: str, params: Params) -> Column:
     """A column accounts can be cut by, given or derived."""
     if name == "seat_bucket":
@@ -37,31 +41,30 @@ def account_span(roles: Roles) -> DataFrame:
 
 
 def owned_usage(
-    roles: Roles,
-    *measures: str,
-    attrs: Sequence[str] = (),
-    churn: bool = False,
-    accounts: DataFrame | None = None,
+    roles: Roles, *measures: str, attrs: Sequence[str] = (), churn: bool = False
 ) -> DataFrame:
     """Usage rows with their account, its signup date and ``days`` since signup.
 
     Subscriptions meet accounts first, so the usage table, by far the largest, is shuffled once, by
-    subscription_id. ``churn`` adds churn_date, ``attrs`` more account columns, ``accounts``
-    replaces the accounts (one row per account_id, signup_date included).
+    subscription_id; filters on account columns put on the result move down to the accounts.
+    ``churn`` adds churn_date, ``attrs`` more account columns. With a prepared usage table nothing
+    is joined at all.
     """
-    if accounts is None:
-        accounts = account_span(roles) if churn else roles.accounts
     wanted = ["account_id", "signup_date", *(["churn_date"] if churn else []), *attrs]
-    owner = lookup(
-        roles.subscriptions.select("subscription_id", "account_id"),
-        accounts.select(*dict.fromkeys(wanted)),
-        "account_id",
-        roles.hot("subscriptions", "account_id"),
-    )
-    usage = roles.feature_usage.select("subscription_id", "usage_date", *measures)
-    return lookup(
-        usage, owner, "subscription_id", roles.hot("feature_usage", "subscription_id")
-    ).withColumn("days", F.datediff("usage_date", "signup_date"))
+    wanted = list(dict.fromkeys(wanted))
+    if roles.owned is not None:
+        owned = roles.owned.select("usage_date", *measures, *wanted)
+    else:
+        owner = lookup(
+            roles.subscriptions.select("subscription_id", "account_id"),
+            (account_span(roles) if churn else roles.accounts).select(wanted),
+            "account_id",
+            roles.hot("subscriptions", "account_id"),
+        )
+        usage = roles.feature_usage.select("subscription_id", "usage_date", *measures)
+        hot = roles.hot("feature_usage", "subscription_id")
+        owned = lookup(usage, owner, "subscription_id", hot)
+    return owned.withColumn("days", F.datediff("usage_date", "signup_date"))
 
 
 def in_lifetime(window_end: date | None) -> Column:
@@ -76,12 +79,14 @@ def in_lifetime(window_end: date | None) -> Column:
 
 
 def feature_column(roles: Roles) -> str:
-    return "feature_name" if roles.features is None else "feature_key"
+    """The column of owned usage that leads to the feature name."""
+    resolved = roles.features is None or roles.owned is not None
+    return "feature_name" if resolved else "feature_key"
 
 
 def with_feature(usage: DataFrame, roles: Roles) -> DataFrame:
     """Resolve ``feature_key`` to ``feature_name`` where usage does not carry the name itself."""
-    if roles.features is None:
+    if "feature_name" in usage.columns:
         return usage
     hot = roles.hot("feature_usage", "feature_key")
     return lookup(usage, roles.features, "feature_key", hot).drop("feature_key")

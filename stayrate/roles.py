@@ -19,7 +19,8 @@ class Roles:
     ``feature_usage`` holds either ``feature_name`` itself or a ``feature_key`` that ``features``
     (feature_key, feature_name) resolves; the second form lets an operator filter its usage rows
     before paying for the name, or never ask for it. ``support_tickets`` may be a function of the
-    roles, called when tickets are first needed.
+    roles, called when tickets are first needed. ``owned`` is a prepared table of usage rows with
+    their account's columns; operators read it instead of joining usage to its accounts.
     """
 
     accounts: DataFrame
@@ -28,6 +29,7 @@ class Roles:
     support_tickets: DataFrame | Callable[[Roles], DataFrame]
     churn_events: DataFrame
     features: DataFrame | None = None
+    owned: DataFrame | None = None
     hot_share: float = 0.001
     hot_min_rows: int = 1_000_000
     _hot: dict[tuple[str, str], HotKeys] = field(default_factory=dict, repr=False)

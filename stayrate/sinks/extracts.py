@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayrate.operators.dashboard import dashboard_from
 from stayrate.operators.marts import MART_SCHEMAS, MARTS
@@ -40,7 +41,7 @@ def write_extracts(
 
 def read_extract(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
     """An extract with the types its reports declare."""
-    schema = spark.createDataFrame([], MART_SCHEMAS[name]).schema
+    schema = T.StructType.fromDDL(MART_SCHEMAS[name])
     if fmt == "csv":
         return read_csv_table(spark, f"{folder}/{name}", schema)
     return spark.read.schema(schema).format(fmt).load(f"{folder}/{name}")
