@@ -30,4 +30,4 @@ def chi_square_tail(x: float | None, dof: int | None) -> float | None:
     return min(tail, 1.0)
 
 
-chi_square_p = F.udf(chi_square_tail, T.DoubleType())
+chi_square_p = F.udf(chi_square_tail, T.DoubleType(), useArrow=False)

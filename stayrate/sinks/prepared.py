@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -17,15 +18,17 @@ ATTRIBUTES = ("industry", "country", "referral_source", "plan_tier", "seats", "c
 def prepare_usage(roles: Roles, folder: str | None = None) -> Roles:
     """Join usage to its accounts once and return roles that read the result.
 
-    The table goes to ``folder``, by default below the checkpoint folder of the cluster, as Parquet
-    by usage month. Rows are rebalanced by month, which splits months that hold many rows; buckets
-    by account would spare a shuffle but leave a heavy account in one task.
+    The table goes to ``folder`` as Parquet by usage month; without one, to a new folder below the
+    cluster's checkpoint folder. Rows are rebalanced by month, which splits months that hold many
+    rows; buckets by account would spare a shuffle but leave a heavy account in one task.
     """
     spark = roles.accounts.sparkSession
-    root = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        raise ValueError("pass a folder every executor can reach, or set spark.checkpoint.dir")
-    path = f"{root}/owned_usage"
+    if folder is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            raise ValueError("pass a folder every executor can reach, or set spark.checkpoint.dir")
+        folder = f"{shared}/stayrate-{uuid4().hex}"
+    path = f"{folder}/owned_usage"
     owned = owned_usage(roles, feature_column(roles), *MEASURES, attrs=ATTRIBUTES, churn=True)
     (
         with_feature(owned, roles)

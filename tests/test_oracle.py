@@ -1,0 +1,61 @@
+"""Every operator against plain SQL on the smallest tables, and the shape of its plan."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import __spark_entry__ as driver
+
+FOLDER = "/root/testdata/sf0.001"
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+QUERIES = driver.queries()
+SQL = driver.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    yield con
+    con.close()
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_matches_sql(spark, duck, name):
+    df = QUERIES[name](spark, FOLDER)
+    expected = duck.execute(SQL[name])
+    columns = {d[0]: str(d[1]) for d in expected.description}
+    assert {c: TYPES[t] for c, t in df.dtypes} == columns
+    order = sorted(columns)
+    got = sorted((tuple(row[c] for c in order) for row in df.collect()), key=repr)
+    index = [list(columns).index(c) for c in order]
+    want = sorted((tuple(row[i] for i in index) for row in expected.fetchall()), key=repr)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_product(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "NestedLoopJoin" not in plan
+
+
+def test_entry(spark):
+    assert driver.entry(spark).columns[:2] == ["cohort_month", "cohort_size"]
