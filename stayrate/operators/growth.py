@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import bucketize, pct, rnd
 from stayrate.params import Params
 from stayrate.plans.aggregates import between_days, exact_median, rate_by
+from stayrate.plans.joins import side_by_side
 from stayrate.plans.lifecycle import (
     feature_column,
     first_subscription,
@@ -16,7 +19,6 @@ from stayrate.plans.lifecycle import (
     owned_usage,
     with_feature,
 )
-from stayrate.plans.joins import side_by_side
 from stayrate.roles import Roles
 
 
@@ -77,10 +79,17 @@ def growth_upgrades_by_plan(roles: Roles, params: Params) -> DataFrame:
 
 
 def early_usage(roles: Roles, params: Params, *measures: str, bounded: bool = False) -> DataFrame:
-    """Usage inside the early window; ``bounded`` also drops usage after churn."""
-    usage = owned_usage(roles, *measures, churn=bounded)
-    inside = between_days(F.col("days"), params.early_window)
-    return usage.filter(inside & in_lifetime(None) if bounded else inside)
+    """Usage of mature accounts inside the early window; ``bounded`` drops usage after churn.
+
+    The latest day the window can reach is a filter of its own, applied where usage is scanned.
+    """
+    end = params.maturity_cut + timedelta(days=params.early_window[1])
+    usage = owned_usage(roles, *measures, churn=bounded).filter(
+        mature(params)
+        & (F.col("usage_date") <= F.lit(end))
+        & between_days(F.col("days"), params.early_window)
+    )
+    return usage.filter(in_lifetime(None)) if bounded else usage
 
 
 def early_breadth(roles: Roles, params: Params, bounded: bool = False) -> DataFrame:

@@ -187,21 +187,20 @@ def _monthly_summary(roles: Roles, params: Params, bounded: bool, by: str) -> Da
         new_mrr=exact_sum(mrr),
         churned_mrr=exact_sum(F.when(F.col("churn_flag"), mrr).otherwise(0.0)),
     )
-    parts = [
-        month_spine(roles, params).withColumn("in_window", F.lit(True)),
+    facts = [
         monthly_active_accounts(roles, params, bounded),
         subs,
         monthly_account_churn(roles, params, by).withColumnRenamed("accounts_churned", "churns"),
     ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    first, last = (F.lit(d.replace(day=1)) for d in (params.window_start, params.window_end))
+    stacked = month_spine(roles, params)
+    for fact in facts:
+        inside = fact.filter(F.col("month").between(first, last))
+        stacked = stacked.unionByName(inside, allowMissingColumns=True)
     measures = ("active_accounts", "new_subs", "new_mrr", "churned_mrr", "churns")
     return (
         stacked.groupBy("month")
-        .agg(
-            F.max("in_window").alias("in_window"),
-            *[F.coalesce(F.max(m), F.lit(0)).alias(m) for m in measures],
-        )
-        .filter("in_window")
+        .agg(*[F.coalesce(F.max(m), F.lit(0)).alias(m) for m in measures])
         .select(F.date_format("month", "yyyy-MM").alias("label"), *measures)
     )
 

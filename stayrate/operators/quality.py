@@ -33,14 +33,12 @@ NULLABLE = {
     "support_tickets": ("satisfaction_score", "closed_at", "resolution_time_hours"),
     "churn_events": ("feedback_text", "reason_code", "churn_date"),
 }
-DOMAINS = (
-    ("accounts", "industry"),
-    ("accounts", "referral_source"),
-    ("accounts", "plan_tier"),
-    ("churn_events", "reason_code"),
-    ("subscriptions", "billing_frequency"),
-    ("support_tickets", "priority"),
-)
+DOMAINS = {
+    "accounts": ("industry", "referral_source", "plan_tier"),
+    "churn_events": ("reason_code",),
+    "subscriptions": ("billing_frequency",),
+    "support_tickets": ("priority",),
+}
 
 
 def _stack(frames) -> DataFrame:
@@ -150,12 +148,17 @@ def dq_null_profile(roles: Roles, params: Params) -> DataFrame:
 
 
 def dq_domains(roles: Roles, params: Params) -> DataFrame:
-    return _stack(
-        roles.table(t)
-        .select(F.lit(t).alias("tbl"), F.lit(c).alias("column"), F.col(c).alias("value"))
-        .distinct()
-        for t, c in DOMAINS
-    ).orderBy("tbl", "column", F.asc_nulls_last("value"))
+    """Distinct values of the categorical columns, in one pass per table."""
+
+    def values(table: str, columns: tuple[str, ...]) -> DataFrame:
+        cells = F.array(
+            *[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
+        )
+        return roles.table(table).select(F.lit(table).alias("tbl"), F.inline(cells)).distinct()
+
+    return _stack(values(t, c) for t, c in DOMAINS.items()).orderBy(
+        "tbl", "column", F.asc_nulls_last("value")
+    )
 
 
 def dq_churn_definitions(roles: Roles, params: Params) -> DataFrame:

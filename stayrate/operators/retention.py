@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,13 @@ from stayrate.roles import Roles
 ALL_MONTHS = tuple(range(12))
 
 
+def activity_end(cohort_cut: date, months: Sequence[int]) -> date:
+    """First day that lies past the last wanted month of every cohort before ``cohort_cut``."""
+    last_signup = cohort_cut - timedelta(days=1)
+    month = last_signup.year * 12 + last_signup.month + max(months)
+    return date(month // 12, month % 12 + 1, 1)
+
+
 def retention_counts(
     roles: Roles,
     params: Params,
@@ -33,11 +41,14 @@ def retention_counts(
     """Cohort size ``n`` and active accounts ``a<k>`` for each month index, one row per segment.
 
     Activity is reduced to one row per account and month. Size rows and activity rows are stacked
-    and aggregated together, so a segment nobody was active in keeps its row and its zeros.
+    and aggregated together, so a segment nobody was active in keeps its row and its zeros. Usage
+    past the last month of the last cohort is left out where it is scanned.
     """
     cut = F.col("signup_date") < F.lit(params.cohort_cut)
     cohort = roles.accounts.filter(cut).select(segment(by, params).alias(by))
-    usage = owned_usage(roles, attrs=[SEGMENT_SOURCES.get(by, by)], churn=bounded).filter(cut)
+    end = F.lit(activity_end(params.cohort_cut, months))
+    usage = owned_usage(roles, attrs=[SEGMENT_SOURCES.get(by, by)], churn=bounded)
+    usage = usage.filter(cut & (F.col("usage_date") < end))
     if bounded:
         usage = usage.filter(in_lifetime(params.window_end))
     index = month_index(F.col("signup_date"), F.col("usage_date"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import rnd
+from stayrate.functions.columns import ratio, rnd
 from stayrate.functions.distributions import chi_square_p
 from stayrate.params import Params
 from stayrate.plans.aggregates import rate_by
@@ -18,31 +17,44 @@ from stayrate.roles import Roles
 SEGMENTS = ("industry", "referral_source", "seat_bucket", "plan_tier")
 
 
-def contingency(accounts: DataFrame, by: str) -> DataFrame:
-    """Observed and expected accounts per (segment value, churn_flag), empty cells included.
+def segment_rates(accounts: DataFrame, params: Params, segments: Sequence[str]) -> DataFrame:
+    """Accounts and churned accounts per (segment, segment_value); NULL values stay out.
 
-    Columns are segment_value, churn_flag, observed, expected, rows, cols; the last two count the
-    segment values and the outcomes that occur at all.
+    Every account goes through one aggregation as one row per segment.
     """
-    counts = rate_by(
-        accounts.filter(F.col(by).isNotNull() & F.col("churn_flag").isNotNull()),
-        [by],
-        "churn_flag",
+    cuts = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("segment"),
+                segment(name, params).cast("string").alias("segment_value"),
+            )
+            for name in segments
+        ]
     )
-    totals = counts.agg(
-        F.struct(
-            F.sum("n").alias("n"), F.sum("churned").alias("lost"), F.count("*").alias("rows")
-        )
-    ).scalar()
-    lost, kept = F.col("t.lost"), F.col("t.n") - F.col("t.lost")
+    rows = accounts.filter("churn_flag IS NOT NULL").select("churn_flag", F.inline(cuts))
+    return rate_by(
+        rows.filter("segment_value IS NOT NULL"), ["segment", "segment_value"], "churn_flag"
+    )
+
 
-    def cell(flag: bool, observed, column_total):
-        expected = F.col("n").cast("double") * column_total / F.col("t.n")
+def contingency(accounts: DataFrame, params: Params, segments: Sequence[str]) -> DataFrame:
+    """Observed and expected accounts per segment value and churn_flag, empty cells included.
+
+    ``rows`` and ``cols`` count the values of the segment and the outcomes that occur at all.
+    """
+    counts = segment_rates(accounts, params, segments)
+    totals = counts.groupBy("segment").agg(
+        F.sum("n").alias("all"), F.sum("churned").alias("lost"), F.count("*").alias("rows")
+    )
+    lost, kept = F.col("lost"), F.col("all") - F.col("lost")
+
+    def cell(flag: bool, observed: Column, outcome: Column) -> Column:
+        expected = F.col("n").cast("double") * outcome / F.col("all")
         return F.struct(
             F.lit(flag).alias("churn_flag"),
             observed.alias("observed"),
             expected.alias("expected"),
-            column_total.alias("column_total"),
+            outcome.alias("outcome"),
         )
 
     cells = F.array(
@@ -50,94 +62,61 @@ def contingency(accounts: DataFrame, by: str) -> DataFrame:
     )
     cols = (lost > 0).cast("int") + (kept > 0).cast("int")
     return (
-        counts.withColumn("t", totals)
-        .select(
-            F.col(by).alias("segment_value"),
-            F.col("t.rows").alias("rows"),
-            cols.alias("cols"),
-            F.inline(cells),
-        )
-        .filter("column_total > 0")
-        .drop("column_total")
+        counts.join(totals, "segment")
+        .select("segment", "segment_value", "rows", cols.alias("cols"), F.inline(cells))
+        .filter("outcome > 0")
+        .drop("outcome")
     )
 
 
-def chi_square(accounts: DataFrame, by: str) -> DataFrame:
-    """Pearson's test of independence as one row; Yates' correction applies at one degree."""
-    gap = F.abs(F.col("observed") - F.col("expected"))
+def chi_square(accounts: DataFrame, params: Params, segments: Sequence[str]) -> DataFrame:
+    """Pearson's test of independence per segment; Yates' correction applies at one degree."""
     dof = (F.col("rows") - 1) * (F.col("cols") - 1)
+    gap = F.abs(F.col("observed") - F.col("expected"))
     corrected = F.when(dof == 1, F.greatest(gap - 0.5, F.lit(0.0))).otherwise(gap)
-    cells = contingency(accounts, by).select(
-        dof.cast("int").alias("dof"), (corrected * corrected / F.col("expected")).alias("term")
+    tests = (
+        contingency(accounts, params, segments)
+        .groupBy("segment", dof.cast("int").alias("dof"))
+        .agg(F.sum(corrected * corrected / F.col("expected")).alias("chi2"))
     )
-    return cells.agg(F.sum("term").alias("chi2"), F.max("dof").alias("dof")).select(
-        "chi2", "dof", chi_square_p("chi2", "dof").alias("p_value")
+    return tests.select(
+        F.col("segment").alias("test"),
+        rnd(F.col("chi2"), 4).alias("chi2"),
+        "dof",
+        rnd(chi_square_p("chi2", "dof"), 6).alias("p_value"),
     )
 
 
 def stats_contingency(roles: Roles, params: Params, by: str = "referral_source") -> DataFrame:
     return (
-        contingency(roles.accounts.withColumn(by, segment(by, params)), by)
-        .select("segment_value", "churn_flag", "observed", rnd(F.col("expected"), 4).alias("expected"))
+        contingency(roles.accounts, params, [by])
+        .select(
+            "segment_value", "churn_flag", "observed", rnd(F.col("expected"), 4).alias("expected")
+        )
         .orderBy("segment_value", "churn_flag")
     )
 
 
-def _tested(name: str, test: DataFrame) -> DataFrame:
-    return test.select(
-        F.lit(name).alias("test"),
-        rnd(F.col("chi2"), 4).alias("chi2"),
-        "dof",
-        rnd(F.col("p_value"), 6).alias("p_value"),
-    )
-
-
 def stats_chi_square(
     roles: Roles, params: Params, segments: Sequence[str] = ("referral_source", "industry")
 ) -> DataFrame:
-    accounts = roles.accounts
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _tested(by, chi_square(accounts.withColumn(by, segment(by, params)), by))
-            for by in segments
-        ],
-    )
+    return chi_square(roles.accounts, params, segments)
 
 
 def stats_chi_square_pairwise(
     roles: Roles, params: Params, a: str, b: str, by: str = "referral_source"
 ) -> DataFrame:
     """Two values of a segment against each other."""
-    pair = roles.accounts.withColumn(by, segment(by, params)).filter(F.col(by).isin(a, b))
-    return _tested(f"{a} vs {b}", chi_square(pair, by))
+    pair = roles.accounts.filter(segment(by, params).isin(a, b))
+    return chi_square(pair, params, [by]).withColumn("test", F.lit(f"{a} vs {b}"))
 
 
 def stats_segment_delta(roles: Roles, params: Params) -> DataFrame:
-    """Churn per value of each segment, and its distance to overall churn in points.
-
-    Each account goes through one aggregation as one row per segment.
-    """
-    cuts = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("segment"),
-                segment(name, params).cast("string").alias("segment_value"),
-            )
-            for name in SEGMENTS
-        ]
-    )
-    rates = rate_by(
-        roles.accounts.select("churn_flag", F.inline(cuts)),
-        ["segment", "segment_value"],
-        "churn_flag",
-    )
-    overall = roles.accounts.agg(
-        F.lit(100.0) * F.count_if("churn_flag") / F.count("*")
-    ).scalar()
-    share = F.lit(100.0) * F.col("churned") / F.col("n")
+    """Churn per value of each segment, and its distance to overall churn in points."""
+    overall = roles.accounts.agg(ratio(F.count_if("churn_flag"), F.count("*"))).scalar()
+    gap = ratio(F.col("churned"), F.col("n")) - overall
     return (
-        rates.filter("segment_value IS NOT NULL")
-        .withColumn("delta_pct", rnd(share - overall, 1))
+        segment_rates(roles.accounts, params, SEGMENTS)
+        .withColumn("delta_pct", rnd(F.lit(100.0) * gap, 1))
         .orderBy("segment", F.desc("churn_pct"), "segment_value")
     )

@@ -119,7 +119,10 @@ def test_empty_tables(make_roles, params):
     assert one(growth.growth_usage_persistence(empty, params))["pct_continued"] is None
     assert one(retention.retention_tenure_at_churn(empty, params))["median_tenure_days"] is None
     assert rows_of(retention.retention_cohort_matrix(empty, params)) == []
-    assert rows_of(stats.stats_chi_square(empty, params))[0][1:] == (None, None, None)
+    assert rows_of(stats.stats_chi_square(empty, params)) == []
+    assert rows_of(stats.stats_segment_delta(empty, params)) == []
+    assert rows_of(behaviour.behaviour_feature_adoption(empty, params)) == []
+    assert rows_of(marts.mart_account_metrics(empty, params)) == []
     assert len(rows_of(marts.mart_monthly_summary(empty, params))) == 24
 
 
@@ -211,6 +214,22 @@ def test_retention_zero_cells_and_month_ends(make_roles, params):
     assert ("2023-01", 1, 2, 1, 0.5) in cells
 
 
+def test_retention_reads_usage_up_to_its_last_month(make_roles, params):
+    assert retention.activity_end(date(2024, 1, 1), range(12)) == date(2024, 12, 1)
+    assert retention.activity_end(date(2024, 1, 15), (0, 11)) == date(2025, 1, 1)
+    assert retention.activity_end(date(2023, 3, 1), (0,)) == date(2023, 3, 1)
+    roles = make_roles(
+        accounts=[dict(account_id="a", signup_date=date(2023, 12, 31))],
+        subscriptions=[dict(subscription_id="s", account_id="a")],
+        feature_usage=[
+            dict(subscription_id="s", usage_date=date(2024, 11, 30)),
+            dict(subscription_id="s", usage_date=date(2024, 12, 1)),
+        ],
+    )
+    (row,) = rows_of(retention.retention_cohort_matrix(roles, params))
+    assert row[2:] == (0.0,) * 11 + (100.0,)
+
+
 def test_retention_keeps_accounts_without_a_segment(lifecycle, params):
     got = rows_of(retention.retention_by_seat_bucket(lifecycle, params))
     assert [(b, n) for b, n, *_ in got] == [("1-5", 1), ("50+", 1), ("6-20", 1), (None, 1)]
