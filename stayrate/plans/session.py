@@ -13,6 +13,8 @@ def build_session(app: str = "stayrate", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # hash instead of sort where every partition of a join is known to be small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
