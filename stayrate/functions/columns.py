@@ -1,62 +1,92 @@
-"""Column expressions shared by the operators; all of them stay inside codegen."""
+"""SQL texts of the expressions shared by the operators; all of them stay inside codegen.
+
+Inputs are SQL texts too, so they nest; ``cols`` turns finished texts into columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rnd(x: Column, digits: int = 0) -> Column:
+def cols(*texts: str) -> list[Column]:
+    return [F.expr(text) for text in texts]
+
+
+def rnd(x: str, digits: int = 0) -> str:
     """Round half away from zero in double arithmetic.
 
     Spark's own ``round(x, n)`` rounds the printed decimal, which disagrees with engines that
     scale, round and unscale (0.285 at two digits).
     """
-    scale = float(10**digits)
-    return F.round(x.cast("double") * F.lit(scale), 0) / F.lit(scale)
+    if digits == 0:
+        return f"round(CAST({x} AS DOUBLE), 0)"
+    scale = f"{10**digits}D"
+    return f"(round(CAST({x} AS DOUBLE) * {scale}, 0) / {scale})"
 
 
-def ratio(a: Column, b: Column) -> Column:
+def ratio(a: str, b: str) -> str:
     """``a / b`` as double; NULL where ``b`` is 0."""
-    return F.try_divide(a.cast("double"), b.cast("double"))
+    return f"try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
 
 
-def pct(a: Column, b: Column, digits: int = 1) -> Column:
-    return rnd(F.try_divide(F.lit(100.0) * a.cast("double"), b.cast("double")), digits)
+def pct(a: str, b: str, digits: int = 1) -> str:
+    return rnd(f"try_divide(100D * ({a}), CAST({b} AS DOUBLE))", digits)
 
 
-def exact_sum(x: Column) -> Column:
-    """Sum of a money or measure column, exact to four decimals.
+def exact(x: str) -> str:
+    """A money or measure value as decimal.
 
-    Sums of doubles depend on the order in which partitions arrive; a decimal sum does not, so a
+    Sums of doubles depend on the order in which partitions arrive; decimal sums do not, so a
     re-run after a lost executor gives the same digits.
     """
-    return F.sum(x.cast("decimal(18,4)")).cast("double")
+    return f"CAST({x} AS DECIMAL(18, 4))"
+
+
+def exact_sum(x: str) -> str:
+    return f"CAST(sum({exact(x)}) AS DOUBLE)"
+
 
+def exact_avg(x: str) -> str:
+    return ratio(exact_sum(x), f"count({x})")
 
-def exact_avg(x: Column) -> Column:
-    return ratio(exact_sum(x), F.count(x))
 
+def day(d: date) -> str:
+    return f"DATE'{d.isoformat()}'"
 
-def month_of(d: Column) -> Column:
-    return F.trunc(d, "month")
 
+def month_of(d: str) -> str:
+    return f"trunc({d}, 'month')"
 
-def month_index(signup: Column, day: Column) -> Column:
-    """Calendar months from ``signup`` to ``day``: 31 January to 1 February is 1."""
-    return (F.year(day) - F.year(signup)) * 12 + F.month(day) - F.month(signup)
 
+def month_index(signup: str, used: str) -> str:
+    """Calendar months between two days: 31 January to 1 February is 1."""
+    return f"((year({used}) - year({signup})) * 12 + month({used}) - month({signup}))"
 
-def bucketize(x: Column, edges: Sequence[int], labels: Sequence[str]) -> Column:
+
+def text(value: str) -> str:
+    """A string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def bucketize(x: str, edges: Sequence[int], labels: Sequence[str]) -> str:
     """Label right-closed bins; the last one is open and NULL stays NULL."""
-    label = F.when(x <= edges[0], labels[0])
-    for edge, name in zip(edges[1:], labels[1:-1]):
-        label = label.when(x <= edge, name)
-    return label.when(x.isNotNull(), labels[-1])
+    bins = " ".join(
+        f"WHEN {x} <= {edge} THEN {text(label)}" for edge, label in zip(edges, labels)
+    )
+    return f"CASE {bins} WHEN {x} > {edges[-1]} THEN {text(labels[-1])} END"
 
 
 def banded(labels: Sequence[str]) -> list[str]:
     """Prefix labels with A, B, C ... so that they sort in bin order."""
     return [f"{chr(ord('A') + i)} {label}" for i, label in enumerate(labels)]
+
+
+def within(value: str, window: tuple[int | None, int]) -> str:
+    """Inside a window of days, both ends included; no first day means no lower bound."""
+    lo, hi = window
+    return f"({value} <= {hi})" if lo is None else f"({value} BETWEEN {lo} AND {hi})"

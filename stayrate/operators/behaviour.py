@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import exact_avg, pct, rnd
+from stayrate.functions.columns import cols, exact_avg, pct, rnd, text, within
 from stayrate.params import Params
-from stayrate.plans.aggregates import between_days, rate_by
+from stayrate.plans.aggregates import rate_by
 from stayrate.plans.lifecycle import (
     account_span,
     feature_column,
@@ -38,26 +38,30 @@ def behaviour_usage_by_outcome(roles: Roles, params: Params, open_end: bool = Fa
         lifetime_usage(roles, params, feature_column(roles), *MEASURES, open_end=open_end), roles
     )
     per_feature = usage.groupBy("account_id", "churn_flag", "feature_name").agg(
-        F.count("*").alias("events"),
-        F.sum("usage_count").alias("uses"),
-        F.sum("usage_duration_secs").alias("secs"),
-        F.sum("error_count").alias("errors"),
-        F.count_if("is_beta_feature").alias("beta"),
+        *cols(
+            "count(*) AS events",
+            "sum(usage_count) AS uses",
+            "sum(usage_duration_secs) AS secs",
+            "sum(error_count) AS errors",
+            "count_if(is_beta_feature) AS beta",
+        )
     )
+    sums = [f"sum({c}) AS {c}" for c in ("events", "uses", "secs", "errors", "beta")]
     per_account = per_feature.groupBy("account_id", "churn_flag").agg(
-        F.count("feature_name").alias("features"),
-        *[F.sum(c).alias(c) for c in ("events", "uses", "secs", "errors", "beta")],
+        *cols("count(feature_name) AS features", *sums)
     )
     return (
         per_account.groupBy("churn_flag")
         .agg(
-            F.count("*").alias("accounts"),
-            rnd(F.avg("events"), 1).alias("avg_events"),
-            rnd(F.avg("features"), 1).alias("avg_feats"),
-            rnd(F.avg("uses")).alias("avg_usage_count"),
-            rnd(F.avg("secs") / F.lit(3600.0), 1).alias("avg_hours_used"),
-            rnd(F.avg("errors"), 1).alias("avg_errors"),
-            rnd(F.avg("beta"), 1).alias("avg_beta"),
+            *cols(
+                "count(*) AS accounts",
+                f"{rnd('avg(events)', 1)} AS avg_events",
+                f"{rnd('avg(features)', 1)} AS avg_feats",
+                f"{rnd('avg(uses)')} AS avg_usage_count",
+                f"{rnd('avg(secs) / 3600D', 1)} AS avg_hours_used",
+                f"{rnd('avg(errors)', 1)} AS avg_errors",
+                f"{rnd('avg(beta)', 1)} AS avg_beta",
+            )
         )
         .orderBy("churn_flag")
     )
@@ -70,20 +74,17 @@ def _window_name(window: tuple[int, int]) -> str:
 
 def behaviour_prechurn_windows(roles: Roles, params: Params) -> DataFrame:
     """Mean usage_count per usage row in day windows before the last churn date."""
-    before = F.datediff("churn_date", "usage_date")
     usage = (
         owned_usage(roles, "usage_count", churn=True)
-        .filter((F.col("days") >= 0) & (F.col("usage_date") <= F.col("churn_date")))
-        .select("usage_count", before.alias("before"))
-    )
-    return usage.agg(
-        *[
-            rnd(F.avg(F.when(between_days(F.col("before"), w), F.col("usage_count"))), 1).alias(
-                f"avg_count_{_window_name(w)}"
-            )
-            for w in params.prechurn_windows
-        ]
+        .filter("days >= 0 AND usage_date <= churn_date")
+        .selectExpr("usage_count", "datediff(churn_date, usage_date) AS before")
     )
+    means = [
+        f"{rnd(f'avg(usage_count) FILTER (WHERE {within('before', w)})', 1)}"
+        f" AS avg_count_{_window_name(w)}"
+        for w in params.prechurn_windows
+    ]
+    return usage.agg(*cols(*means))
 
 
 def feature_adoption(roles: Roles, params: Params) -> DataFrame:
@@ -93,62 +94,63 @@ def feature_adoption(roles: Roles, params: Params) -> DataFrame:
     feature used in the window only by accounts that are not mature stays, with 0 adopters.
     """
     usage = owned_usage(roles, feature_column(roles), attrs=["churn_flag"])
-    adopted = with_feature(
-        usage.filter(between_days(F.col("days"), params.adoption_window)), roles
-    )
-    pairs = adopted.select(
-        "feature_name", "account_id", "churn_flag", mature(params).alias("mature")
+    adopted = with_feature(usage.filter(within("days", params.adoption_window)), roles)
+    pairs = adopted.selectExpr(
+        "feature_name", "account_id", "churn_flag", f"{mature(params)} AS mature"
     ).distinct()
-    total = (
+    base = (
         roles.accounts.filter(mature(params))
-        .agg(F.struct(F.count("*").alias("n"), F.count_if("churn_flag").alias("lost")))
+        .agg(F.expr("struct(count(*) AS n, count_if(churn_flag) AS lost)"))
         .scalar()
     )
-    churned = F.col("mature") & F.col("churn_flag")
     return (
         pairs.groupBy("feature_name")
-        .agg(F.count_if("mature").alias("adopters"), F.count_if(churned).alias("adopters_lost"))
-        .withColumn("base", total)
-        .select(
+        .agg(
+            *cols(
+                "count_if(mature) AS adopters",
+                "count_if(mature AND churn_flag) AS adopters_lost",
+            )
+        )
+        .withColumn("base", base)
+        .selectExpr(
             "feature_name",
             "adopters",
             "adopters_lost",
-            (F.col("base.n") - F.col("adopters")).alias("others"),
-            (F.col("base.lost") - F.col("adopters_lost")).alias("others_lost"),
+            "base.n - adopters AS others",
+            "base.lost - adopters_lost AS others_lost",
         )
     )
 
 
 def adoption_rates(roles: Roles, params: Params) -> DataFrame:
-    return feature_adoption(roles, params).select(
+    return feature_adoption(roles, params).selectExpr(
         "feature_name",
         "adopters",
-        pct(F.col("adopters_lost"), F.col("adopters")).alias("adopter_churn_pct"),
-        pct(F.col("others_lost"), F.col("others")).alias("nonadopter_churn_pct"),
+        f"{pct('adopters_lost', 'adopters')} AS adopter_churn_pct",
+        f"{pct('others_lost', 'others')} AS nonadopter_churn_pct",
     )
 
 
-def _gap() -> Column:
-    return F.col("adopter_churn_pct") - F.col("nonadopter_churn_pct")
+GAP = rnd("adopter_churn_pct - nonadopter_churn_pct", 1)
 
 
 def behaviour_feature_adoption(roles: Roles, params: Params) -> DataFrame:
     """The features whose adopters churn least against the others."""
     return (
         adoption_rates(roles, params)
-        .orderBy(F.asc_nulls_last(rnd(_gap(), 1)), "feature_name")
+        .orderBy(F.expr(GAP).asc_nulls_last(), "feature_name")
         .limit(params.feature_limit)
     )
 
 
 def behaviour_feature_adoption_extremes(roles: Roles, params: Params, k: int = 3) -> DataFrame:
     """The ``k`` features with the lowest and with the highest gap."""
-    rates = adoption_rates(roles, params).withColumn("delta", rnd(_gap(), 1))
+    rates = adoption_rates(roles, params).withColumn("delta", F.expr(GAP))
     rates = rates.filter("delta IS NOT NULL")
     lowest = rates.orderBy("delta", "feature_name").limit(k)
     highest = rates.orderBy(F.desc("delta"), "feature_name").limit(k)
-    return lowest.select(F.lit("lowest").alias("side"), "*").unionByName(
-        highest.select(F.lit("highest").alias("side"), "*")
+    return lowest.selectExpr(f"{text('lowest')} AS side", "*").unionByName(
+        highest.selectExpr(f"{text('highest')} AS side", "*")
     )
 
 
@@ -156,13 +158,15 @@ def behaviour_error_rate(roles: Roles, params: Params) -> DataFrame:
     per_account = (
         lifetime_usage(roles, params, "error_count", "usage_count")
         .groupBy("account_id", "churn_flag")
-        .agg(F.sum("error_count").alias("errors"), F.sum("usage_count").alias("uses"))
+        .agg(*cols("sum(error_count) AS errors", "sum(usage_count) AS uses"))
     )
     return (
         per_account.groupBy("churn_flag")
         .agg(
-            rnd(F.avg("errors"), 1).alias("avg_errors"),
-            pct(F.sum("errors"), F.sum("uses"), 2).alias("errs_per_100_usage"),
+            *cols(
+                f"{rnd('avg(errors)', 1)} AS avg_errors",
+                f"{pct('sum(errors)', 'sum(uses)', 2)} AS errs_per_100_usage",
+            )
         )
         .orderBy("churn_flag")
     )
@@ -170,11 +174,13 @@ def behaviour_error_rate(roles: Roles, params: Params) -> DataFrame:
 
 def ticket_stats(roles: Roles) -> DataFrame:
     return roles.tickets.groupBy("account_id").agg(
-        F.count("*").alias("tickets"),
-        exact_avg(F.col("resolution_time_hours")).alias("res_h"),
-        exact_avg(F.col("first_response_time_minutes")).alias("frt_min"),
-        exact_avg(F.col("satisfaction_score")).alias("csat"),
-        F.count_if("escalation_flag").alias("escs"),
+        *cols(
+            "count(*) AS tickets",
+            f"{exact_avg('resolution_time_hours')} AS res_h",
+            f"{exact_avg('first_response_time_minutes')} AS frt_min",
+            f"{exact_avg('satisfaction_score')} AS csat",
+            "count_if(escalation_flag) AS escs",
+        )
     )
 
 
@@ -190,17 +196,18 @@ def behaviour_support_by_outcome(
     joined = roles.accounts.select("account_id", "churn_flag").join(
         ticket_stats(roles), "account_id", how
     )
-    n = F.count("*")
     return (
         joined.groupBy("churn_flag")
         .agg(
-            n.alias("accts"),
-            rnd(F.avg("tickets"), 2).alias("avg_tickets"),
-            rnd(F.avg("res_h"), 1).alias("avg_resolution_h"),
-            rnd(F.avg("frt_min"), 1).alias("avg_first_response_min"),
-            rnd(F.avg("csat"), 2).alias("avg_csat"),
-            rnd(F.avg("escs"), 2).alias("avg_escalations"),
-            pct(F.count_if(F.col("escs") > 0), n).alias("pct_accts_escalated"),
+            *cols(
+                "count(*) AS accts",
+                f"{rnd('avg(tickets)', 2)} AS avg_tickets",
+                f"{rnd('avg(res_h)', 1)} AS avg_resolution_h",
+                f"{rnd('avg(frt_min)', 1)} AS avg_first_response_min",
+                f"{rnd('avg(csat)', 2)} AS avg_csat",
+                f"{rnd('avg(escs)', 2)} AS avg_escalations",
+                f"{pct('count_if(escs > 0)', 'count(*)')} AS pct_accts_escalated",
+            )
         )
         .orderBy("churn_flag")
     )
@@ -210,27 +217,21 @@ def behaviour_escalations_before_churn(roles: Roles, params: Params) -> DataFram
     """Escalated tickets by distance to the last churn date, counted per account and day first."""
     per_day = (
         roles.tickets.filter("escalation_flag")
-        .groupBy("account_id", F.col("submitted_at").cast("date").alias("day"))
-        .agg(F.count("*").alias("n"))
+        .groupBy("account_id", F.expr("CAST(submitted_at AS DATE) AS day"))
+        .agg(F.expr("count(*) AS n"))
     )
     churned = (
         account_span(roles).filter("churn_date IS NOT NULL").select("account_id", "churn_date")
     )
-    before = F.datediff("churn_date", "day")
-    rows = per_day.join(churned, "account_id").select("n", before.alias("before"))
-
-    def total(n: Column) -> Column:
-        return F.coalesce(F.sum(n), F.lit(0))
-
-    recent = params.prechurn_windows[:2]
+    rows = per_day.join(churned, "account_id").selectExpr(
+        "n", "datediff(churn_date, day) AS before"
+    )
+    windows = [
+        f"coalesce(sum(n) FILTER (WHERE {within('before', w)}), 0) AS esc_{_window_name(w)}"
+        for w in params.prechurn_windows[:2]
+    ]
     return rows.filter("before >= 0").agg(
-        *[
-            total(F.when(between_days(F.col("before"), w), F.col("n"))).alias(
-                f"esc_{_window_name(w)}"
-            )
-            for w in recent
-        ],
-        total(F.col("n")).alias("esc_total_pre_churn"),
+        *cols(*windows, "coalesce(sum(n), 0) AS esc_total_pre_churn")
     )
 
 
@@ -238,7 +239,7 @@ def behaviour_beta_usage(roles: Roles, params: Params) -> DataFrame:
     used = (
         lifetime_usage(roles, params, "is_beta_feature")
         .groupBy("account_id", "churn_flag")
-        .agg(F.max("is_beta_feature").alias("beta"))
+        .agg(F.expr("max(is_beta_feature) AS beta"))
     )
     return (
         rate_by(used, ["churn_flag"], "beta", rate="pct_used_beta")

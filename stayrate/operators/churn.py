@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import exact_avg, exact_sum, pct, rnd
+from stayrate.functions.columns import cols, exact, exact_avg, exact_sum, pct, rnd, text
 from stayrate.params import Params
 from stayrate.plans.aggregates import rate_by
 from stayrate.plans.lifecycle import segment
@@ -15,7 +15,7 @@ from stayrate.roles import Roles
 
 
 def churn_by(roles: Roles, params: Params, by: str, digits: int = 1) -> DataFrame:
-    accounts = roles.accounts.withColumn(by, segment(by, params))
+    accounts = roles.accounts.selectExpr("churn_flag", f"{segment(by, params)} AS {by}")
     return rate_by(accounts, [by], "churn_flag", n="accounts", digits=digits).orderBy(
         F.desc("churn_pct"), F.asc_nulls_last(by)
     )
@@ -41,7 +41,7 @@ def churn_industry_x_source(roles: Roles, params: Params) -> DataFrame:
     """Crosses with at least ``min_n`` accounts, highest churn first; ties break by name."""
     cells = rate_by(roles.accounts, ["industry", "referral_source"], "churn_flag")
     return (
-        cells.filter(F.col("n") >= params.min_n)
+        cells.filter(f"n >= {params.min_n}")
         .drop("churned")
         .orderBy(
             F.desc("churn_pct"),
@@ -58,9 +58,11 @@ def lost_revenue(roles: Roles) -> DataFrame:
         roles.subscriptions.filter("churn_flag")
         .groupBy("plan_tier")
         .agg(
-            F.count("*").alias("churned_subs"),
-            exact_sum(F.col("mrr_amount")).alias("mrr"),
-            exact_sum(F.col("arr_amount")).alias("arr"),
+            *cols(
+                "count(*) AS churned_subs",
+                f"{exact_sum('mrr_amount')} AS mrr",
+                f"{exact_sum('arr_amount')} AS arr",
+            )
         )
     )
 
@@ -68,13 +70,17 @@ def lost_revenue(roles: Roles) -> DataFrame:
 def churn_revenue_by_plan(roles: Roles, params: Params) -> DataFrame:
     lost = lost_revenue(roles)
     total = lost.agg(F.sum("arr")).scalar()
-    return lost.select(
-        "plan_tier",
-        "churned_subs",
-        rnd(F.col("mrr")).alias("mrr_lost"),
-        rnd(F.col("arr")).alias("arr_lost"),
-        pct(F.col("arr"), total).alias("share_of_arr_lost_pct"),
-    ).orderBy(F.desc("arr_lost"), "plan_tier")
+    return (
+        lost.withColumn("total", total)
+        .selectExpr(
+            "plan_tier",
+            "churned_subs",
+            f"{rnd('mrr')} AS mrr_lost",
+            f"{rnd('arr')} AS arr_lost",
+            f"{pct('arr', 'total')} AS share_of_arr_lost_pct",
+        )
+        .orderBy(F.desc("arr_lost"), "plan_tier")
+    )
 
 
 def churn_arr_by_industry(roles: Roles, params: Params) -> DataFrame:
@@ -82,33 +88,35 @@ def churn_arr_by_industry(roles: Roles, params: Params) -> DataFrame:
     per_account = (
         roles.subscriptions.filter("churn_flag")
         .groupBy("account_id")
-        .agg(F.sum(F.col("arr_amount").cast("decimal(18,4)")).alias("arr"))
+        .agg(F.expr(f"sum({exact('arr_amount')}) AS arr"))
     )
     return (
         per_account.join(roles.accounts.select("account_id", "industry"), "account_id")
         .groupBy("industry")
-        .agg(rnd(F.sum("arr")).alias("arr_lost"), F.count("*").alias("accts_losing"))
+        .agg(*cols(f"{rnd('sum(arr)')} AS arr_lost", "count(*) AS accts_losing"))
         .orderBy(F.desc("arr_lost"), "industry")
     )
 
 
 def churn_reasons(roles: Roles, params: Params) -> DataFrame:
-    counts = roles.churn_events.groupBy("reason_code").agg(F.count("*").alias("events"))
+    counts = roles.churn_events.groupBy("reason_code").agg(F.expr("count(*) AS events"))
     total = counts.agg(F.sum("events")).scalar()
-    return counts.withColumn("pct", pct(F.col("events"), total)).orderBy(
-        F.desc("events"), "reason_code"
+    return (
+        counts.withColumn("total", total)
+        .selectExpr("reason_code", "events", f"{pct('events', 'total')} AS pct")
+        .orderBy(F.desc("events"), "reason_code")
     )
 
 
 def reason_counts(roles: Roles) -> DataFrame:
     """Events per (account plan, reason), counted per account before meeting accounts."""
     per_account = roles.churn_events.groupBy("account_id", "reason_code").agg(
-        F.count("*").alias("n")
+        F.expr("count(*) AS n")
     )
     return (
         per_account.join(roles.accounts.select("account_id", "plan_tier"), "account_id")
         .groupBy("plan_tier", "reason_code")
-        .agg(F.sum("n").alias("events"))
+        .agg(F.expr("sum(n) AS events"))
     )
 
 
@@ -126,28 +134,33 @@ def churn_reason_mix_by_plan(
 
     The denominator counts every reason that is not NULL, listed or not.
     """
-    counts = reason_counts(roles).filter(F.col("plan_tier").isin(*plans))
-    known = F.col("reason_code").isNotNull()
-    matrix = counts.groupBy("plan_tier").agg(
-        F.sum(F.when(known, F.col("events"))).alias("_all"),
-        *[
-            F.sum(F.when(F.col("reason_code") == r, F.col("events")).otherwise(0)).alias(r)
-            for r in reasons
-        ],
-    )
-    order = F.array_position(F.array(*[F.lit(p) for p in plans]), F.col("plan_tier"))
-    return matrix.orderBy(order).select(
-        "plan_tier", *[pct(F.col(f"`{r}`"), F.col("_all")).alias(r) for r in reasons]
+    matrix = (
+        reason_counts(roles)
+        .filter(F.col("plan_tier").isin(*plans))
+        .groupBy("plan_tier")
+        .agg(
+            *cols(
+                "sum(events) FILTER (WHERE reason_code IS NOT NULL) AS total",
+                *[
+                    f"coalesce(sum(events) FILTER (WHERE reason_code = {text(reason)}), 0) AS r{i}"
+                    for i, reason in enumerate(reasons)
+                ],
+            )
+        )
     )
+    order = F.array_position(F.array(*[F.lit(plan) for plan in plans]), F.col("plan_tier"))
+    shares = [f"{pct(f'r{i}', 'total')} AS `{reason}`" for i, reason in enumerate(reasons)]
+    return matrix.orderBy(order).selectExpr("plan_tier", *shares)
 
 
 def churn_refunds(roles: Roles, params: Params) -> DataFrame:
-    refund = F.col("refund_amount_usd")
     return roles.churn_events.agg(
-        F.count("*").alias("events"),
-        F.count_if(refund > 0).alias("with_refund"),
-        rnd(exact_avg(refund), 2).alias("avg_refund"),
-        rnd(F.max(refund), 2).alias("max_refund"),
+        *cols(
+            "count(*) AS events",
+            "count_if(refund_amount_usd > 0) AS with_refund",
+            f"{rnd(exact_avg('refund_amount_usd'), 2)} AS avg_refund",
+            f"{rnd('max(refund_amount_usd)', 2)} AS max_refund",
+        )
     )
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import rnd
+from stayrate.functions.columns import ratio, rnd, text
 from stayrate.operators.marts import MARTS
 from stayrate.params import Params
 from stayrate.roles import Roles
@@ -84,32 +84,20 @@ def mart_view(df: DataFrame, sheets: Sequence[tuple]) -> DataFrame:
     is computed once, however many worksheets read it.
     """
 
-    def dim(dims: tuple[str, ...], i: int):
-        return F.col(f"`{dims[i]}`").cast("string") if i < len(dims) else F.lit(None).cast("string")
+    def dim(dims: tuple[str, ...], i: int) -> str:
+        return f"CAST({f'`{dims[i]}`' if i < len(dims) else 'NULL'} AS STRING) AS dim{i + 1}"
 
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(dashboard).alias("dashboard"),
-                F.lit(sheet).alias("worksheet"),
-                F.lit(f"{agg} {measure}").alias("measure"),
-                dim(dims, 0).alias("dim1"),
-                dim(dims, 1).alias("dim2"),
-                F.lit(agg == "avg").alias("averaged"),
-                F.col(f"`{measure}`").cast("decimal(24,6)").alias("v"),
-            )
-            for dashboard, sheet, dims, agg, measure in sheets
-        ]
+    rows = ", ".join(
+        f"struct({text(dashboard)} AS dashboard, {text(sheet)} AS worksheet, "
+        f"{text(f'{agg} {measure}')} AS measure, {dim(dims, 0)}, {dim(dims, 1)}, "
+        f"{text(agg)} AS agg, CAST(`{measure}` AS DECIMAL(24, 6)) AS v)"
+        for dashboard, sheet, dims, agg, measure in sheets
     )
-    total = F.sum("v").cast("double")
+    value = rnd(f"CASE max(agg) WHEN 'avg' THEN {ratio('sum(v)', 'count(v)')} ELSE sum(v) END", 4)
     return (
-        df.select(F.inline(rows))
+        df.selectExpr(f"inline(array({rows}))")
         .groupBy("dashboard", "worksheet", "measure", "dim1", "dim2")
-        .agg(
-            F.when(F.max("averaged"), F.try_divide(total, F.count("v").cast("double")))
-            .otherwise(total)
-            .alias("value")
-        )
+        .agg(F.expr(f"{value} AS value"))
     )
 
 
@@ -117,13 +105,6 @@ def dashboard_from(mart: Callable[[str], DataFrame]) -> DataFrame:
     """Long table over extracts given by name, computed or read back."""
     return reduce(
         DataFrame.unionByName, [mart_view(mart(name), rows) for name, rows in WORKSHEETS.items()]
-    ).select(
-        "dashboard",
-        "worksheet",
-        "measure",
-        "dim1",
-        "dim2",
-        rnd(F.col("value"), 4).alias("value"),
     )
 
 

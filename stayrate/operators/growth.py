@@ -7,13 +7,13 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import bucketize, pct, rnd
+from stayrate.functions.columns import bucketize, cols, day, pct, rnd, within
 from stayrate.params import Params
-from stayrate.plans.aggregates import between_days, exact_median, rate_by
+from stayrate.plans.aggregates import exact_median, rate_by
 from stayrate.plans.joins import side_by_side
 from stayrate.plans.lifecycle import (
+    FIRST_IS_TRIAL,
     feature_column,
-    first_subscription,
     in_lifetime,
     mature,
     owned_usage,
@@ -24,22 +24,24 @@ from stayrate.roles import Roles
 
 def growth_signups_by_source(roles: Roles, params: Params) -> DataFrame:
     return (
-        roles.accounts.groupBy(F.trunc("signup_date", "year").alias("yr"), "referral_source")
-        .agg(F.count("*").alias("signups"))
+        roles.accounts.groupBy(F.expr("trunc(signup_date, 'year') AS yr"), "referral_source")
+        .agg(F.expr("count(*) AS signups"))
         .orderBy("yr", F.desc("signups"), "referral_source")
     )
 
 
 def growth_trial_structure(roles: Roles, params: Params) -> DataFrame:
     """Accounts by the kind of their first subscription; without one they count in total only."""
-    first = first_subscription(roles)
+    first = roles.subscriptions.groupBy("account_id").agg(F.expr(FIRST_IS_TRIAL))
     return (
         roles.accounts.select("account_id")
         .join(first, "account_id", "left")
         .agg(
-            F.count_if("first_is_trial").alias("trial_first_accounts"),
-            F.count_if(~F.col("first_is_trial")).alias("paid_first_accounts"),
-            F.count("*").alias("total"),
+            *cols(
+                "count_if(first_is_trial) AS trial_first_accounts",
+                "count_if(NOT first_is_trial) AS paid_first_accounts",
+                "count(*) AS total",
+            )
         )
     )
 
@@ -47,35 +49,33 @@ def growth_trial_structure(roles: Roles, params: Params) -> DataFrame:
 def growth_trial_conversion(roles: Roles, params: Params) -> DataFrame:
     """Trial to paid, strictly: the first day holds trials only and a paid start comes later."""
     starts = roles.subscriptions.groupBy("account_id").agg(
-        F.min("start_date").alias("first_start"),
-        F.min(F.when(~F.col("is_trial"), F.col("start_date"))).alias("first_paid"),
+        *cols(
+            "min(start_date) AS first_start",
+            "min(start_date) FILTER (WHERE NOT is_trial) AS first_paid",
+        )
     )
-    paid_later = F.col("first_paid") > F.col("first_start")
-    days = F.when(paid_later, F.datediff("first_paid", "first_start"))
     return (
-        starts.filter(F.col("first_paid").isNull() | paid_later)
+        starts.filter("first_paid IS NULL OR first_paid > first_start")
         .join(roles.accounts.select("account_id"), "account_id", "left_semi")
         .agg(
-            F.count("*").alias("trial_first_accts"),
-            F.count("first_paid").alias("converted"),
-            pct(F.count("first_paid"), F.count("*")).alias("conversion_pct"),
-            rnd(F.avg(days), 1).alias("avg_days_to_convert"),
+            *cols(
+                "count(*) AS trial_first_accts",
+                "count(first_paid) AS converted",
+                f"{pct('count(first_paid)', 'count(*)')} AS conversion_pct",
+                f"{rnd('avg(datediff(first_paid, first_start))', 1)} AS avg_days_to_convert",
+            )
         )
     )
 
 
 def growth_upgrades_by_plan(roles: Roles, params: Params) -> DataFrame:
-    return (
-        roles.subscriptions.groupBy("plan_tier", "account_id")
-        .agg(F.max("upgrade_flag").alias("up"))
-        .groupBy("plan_tier")
-        .agg(
-            F.count("account_id").alias("accts"),
-            F.count(F.when(F.col("up"), F.col("account_id"))).alias("upgraded"),
-        )
-        .withColumn("upgrade_pct", pct(F.col("upgraded"), F.col("accts")))
-        .orderBy("plan_tier")
+    per_account = roles.subscriptions.groupBy("plan_tier", "account_id").agg(
+        F.expr("max(upgrade_flag) AS up")
+    )
+    counts = per_account.groupBy("plan_tier").agg(
+        *cols("count(account_id) AS accts", "count(account_id) FILTER (WHERE up) AS upgraded")
     )
+    return counts.withColumn("upgrade_pct", F.expr(pct("upgraded", "accts"))).orderBy("plan_tier")
 
 
 def early_usage(roles: Roles, params: Params, *measures: str, bounded: bool = False) -> DataFrame:
@@ -84,14 +84,19 @@ def early_usage(roles: Roles, params: Params, *measures: str, bounded: bool = Fa
     The latest day the window can reach is a filter of its own, applied where usage is scanned.
     """
     end = params.maturity_cut + timedelta(days=params.early_window[1])
-    usage = owned_usage(roles, *measures, churn=bounded).filter(
-        mature(params)
-        & (F.col("usage_date") <= F.lit(end))
-        & between_days(F.col("days"), params.early_window)
-    )
+    early = f"{mature(params)} AND usage_date <= {day(end)} AND {within('days', params.early_window)}"
+    usage = owned_usage(roles, *measures, churn=bounded).filter(early)
     return usage.filter(in_lifetime(None)) if bounded else usage
 
 
+def _mature_accounts(roles: Roles, params: Params, counts: DataFrame, name: str) -> DataFrame:
+    """Mature accounts with a count of theirs, 0 where they have none."""
+    base = roles.accounts.filter(mature(params)).select("account_id", "churn_flag")
+    return base.join(counts, "account_id", "left").selectExpr(
+        "churn_flag", f"coalesce({name}, 0) AS {name}"
+    )
+
+
 def early_breadth(roles: Roles, params: Params, bounded: bool = False) -> DataFrame:
     """Mature accounts with the number of distinct features they used early on."""
     seen = with_feature(early_usage(roles, params, feature_column(roles), bounded=bounded), roles)
@@ -99,31 +104,22 @@ def early_breadth(roles: Roles, params: Params, bounded: bool = False) -> DataFr
         seen.select("account_id", "feature_name")
         .distinct()
         .groupBy("account_id")
-        .agg(F.count("feature_name").alias("feats"))
-    )
-    return (
-        roles.accounts.filter(mature(params))
-        .select("account_id", "churn_flag")
-        .join(breadth, "account_id", "left")
-        .select("account_id", "churn_flag", F.coalesce("feats", F.lit(0)).alias("feats"))
+        .agg(F.expr("count(feature_name) AS feats_30d"))
     )
+    return _mature_accounts(roles, params, breadth, "feats_30d")
 
 
 def growth_activation_sweep(roles: Roles, params: Params, bounded: bool = False) -> DataFrame:
-    base = early_breadth(roles, params, bounded).withColumnRenamed("feats", "feats_30d")
+    base = early_breadth(roles, params, bounded)
     return rate_by(base, ["feats_30d"], "churn_flag").orderBy("feats_30d")
 
 
 def growth_activation_buckets(roles: Roles, params: Params, bounded: bool = False) -> DataFrame:
-    base = early_breadth(roles, params, bounded)
-    bucket = bucketize(F.col("feats"), params.breadth_edges, params.breadth_labels)
+    bucket = bucketize("feats_30d", params.breadth_edges, params.breadth_labels)
+    base = early_breadth(roles, params, bounded).withColumn("breadth_bucket", F.expr(bucket))
+    smallest = "min(feats_30d) AS smallest"
     return (
-        rate_by(
-            base.withColumn("breadth_bucket", bucket),
-            ["breadth_bucket"],
-            "churn_flag",
-            extra=[F.min("feats").alias("smallest")],
-        )
+        rate_by(base, ["breadth_bucket"], "churn_flag", extra=[smallest])
         .orderBy("smallest")
         .select("breadth_bucket", "n", "churn_pct")
     )
@@ -131,41 +127,37 @@ def growth_activation_buckets(roles: Roles, params: Params, bounded: bool = Fals
 
 def growth_activation_intensity(roles: Roles, params: Params) -> DataFrame:
     """Early usage rows per mature account, churned against kept."""
-    events = early_usage(roles, params).groupBy("account_id").agg(F.count("*").alias("ev"))
-    base = (
-        roles.accounts.filter(mature(params))
-        .select("account_id", "churn_flag")
-        .join(events, "account_id", "left")
-        .select("churn_flag", F.coalesce("ev", F.lit(0)).alias("ev"))
-    )
-    churned, ev = F.col("churn_flag"), F.col("ev")
-    median = exact_median(base, "ev", "churn_flag")
+    events = early_usage(roles, params).groupBy("account_id").agg(F.expr("count(*) AS ev"))
+    base = _mature_accounts(roles, params, events, "ev")
     return side_by_side(
         base.agg(
-            rnd(F.avg(F.when(churned, ev)), 1).alias("avg_ev_churned"),
-            rnd(F.avg(F.when(~churned, ev)), 1).alias("avg_ev_kept"),
+            *cols(
+                f"{rnd('avg(ev) FILTER (WHERE churn_flag)', 1)} AS avg_ev_churned",
+                f"{rnd('avg(ev) FILTER (WHERE NOT churn_flag)', 1)} AS avg_ev_kept",
+            )
         ),
-        median.agg(
-            rnd(F.max(F.when(churned, F.col("median"))), 1).alias("med_ev_churned"),
-            rnd(F.max(F.when(~churned, F.col("median"))), 1).alias("med_ev_kept"),
+        exact_median(base, "ev", "churn_flag").agg(
+            *cols(
+                f"{rnd('max(median) FILTER (WHERE churn_flag)', 1)} AS med_ev_churned",
+                f"{rnd('max(median) FILTER (WHERE NOT churn_flag)', 1)} AS med_ev_kept",
+            )
         ),
     )
 
 
 def growth_usage_persistence(roles: Roles, params: Params) -> DataFrame:
     """Accounts that used the product in the first window and again in the next."""
-    first, later = (between_days(F.col("days"), w) for w in params.persistence_windows)
+    first, later = (within("days", w) for w in params.persistence_windows)
     used = (
         owned_usage(roles)
-        .filter(first | later)
+        .filter(f"{first} OR {later}")
         .groupBy("account_id")
-        .agg(F.max(first).alias("first"), F.max(later).alias("later"))
+        .agg(*cols(f"max({first}) AS early", f"max({later}) AS later"))
     )
-    n, again = F.count_if("first"), F.count_if(F.col("first") & F.col("later"))
     return used.agg(
-        n.alias("used_first_30d"),
-        again.alias("also_used_next_30d"),
-        pct(again, n).alias("pct_continued"),
+        *cols(
+            "count_if(early) AS used_first_30d",
+            "count_if(early AND later) AS also_used_next_30d",
+            f"{pct('count_if(early AND later)', 'count_if(early)')} AS pct_continued",
+        )
     )
-
-

@@ -5,43 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import exact_avg, exact_sum, month_of, pct, ratio, rnd
+from stayrate.functions.columns import (
+    cols,
+    exact,
+    exact_avg,
+    exact_sum,
+    month_of,
+    pct,
+    ratio,
+    rnd,
+)
 from stayrate.params import Params
 from stayrate.plans.aggregates import monthly
 from stayrate.plans.joins import side_by_side
 from stayrate.plans.lifecycle import account_span, in_lifetime, owned_usage
 from stayrate.roles import Roles
 
+CHURNED_MRR = "CASE WHEN churn_flag THEN mrr_amount ELSE 0D END"
+ACTIVE_MRR = "CASE WHEN churn_flag THEN 0D ELSE mrr_amount END"
+
 
 def kpi_topline(roles: Roles, params: Params) -> DataFrame:
-    active = ~F.col("churn_flag")
     per_account = roles.subscriptions.groupBy("account_id").agg(
-        F.sum(F.when(active, F.col("mrr_amount").cast("decimal(18,4)"))).alias("mrr"),
-        F.sum(F.when(active, F.col("arr_amount").cast("decimal(18,4)"))).alias("arr"),
-        F.max("upgrade_flag").alias("upgraded"),
+        *cols(
+            f"sum({exact('mrr_amount')}) FILTER (WHERE NOT churn_flag) AS mrr",
+            f"sum({exact('arr_amount')}) FILTER (WHERE NOT churn_flag) AS arr",
+            "max(upgrade_flag) AS upgraded",
+        )
     )
     row = side_by_side(
         roles.accounts.agg(
-            F.count("*").alias("accounts_total"),
-            F.count_if("churn_flag").alias("churned_accounts"),
-            F.count_if("is_trial").alias("currently_trialing"),
+            *cols(
+                "count(*) AS accounts_total",
+                "count_if(churn_flag) AS churned_accounts",
+                "count_if(is_trial) AS currently_trialing",
+            )
         ),
         per_account.agg(
-            rnd(F.sum("mrr")).alias("mrr_active"),
-            rnd(F.sum("arr")).alias("arr_active"),
-            F.count(F.when(F.col("upgraded"), F.col("account_id"))).alias("acct_ever_upgraded"),
+            *cols(
+                f"{rnd('sum(mrr)')} AS mrr_active",
+                f"{rnd('sum(arr)')} AS arr_active",
+                "count(account_id) FILTER (WHERE upgraded) AS acct_ever_upgraded",
+            )
         ),
     )
-    total = F.col("accounts_total")
-    return row.select(
+    return row.selectExpr(
         "accounts_total",
         "churned_accounts",
-        pct(F.col("churned_accounts"), total).alias("account_churn_pct"),
+        f"{pct('churned_accounts', 'accounts_total')} AS account_churn_pct",
         "currently_trialing",
         "mrr_active",
         "arr_active",
         "acct_ever_upgraded",
-        pct(F.col("acct_ever_upgraded"), total).alias("upgrade_rate_pct"),
+        f"{pct('acct_ever_upgraded', 'accounts_total')} AS upgrade_rate_pct",
     )
 
 
@@ -50,26 +66,24 @@ def kpi_monthly_subscriptions(roles: Roles, params: Params) -> DataFrame:
 
     Churned MRR is booked in the month the subscription started, not the month it ended.
     """
-    mrr = F.col("mrr_amount")
     return monthly(
         roles.subscriptions,
         "start_date",
-        new_subs=F.count("*"),
-        new_mrr=rnd(exact_sum(mrr)),
-        churned_mrr_same_cohort=rnd(exact_sum(F.when(F.col("churn_flag"), mrr).otherwise(0.0))),
+        "count(*) AS new_subs",
+        f"{rnd(exact_sum('mrr_amount'))} AS new_mrr",
+        f"{rnd(exact_sum(CHURNED_MRR))} AS churned_mrr_same_cohort",
     ).orderBy("month")
 
 
 def monthly_active_accounts(roles: Roles, params: Params, bounded: bool = True) -> DataFrame:
     """Accounts with usage per month; ``bounded=False`` keeps usage after churn."""
     usage = owned_usage(roles, churn=bounded)
-    inside = in_lifetime(params.window_end) if bounded else F.col("days") >= 0
     return (
-        usage.filter(inside)
-        .select(month_of(F.col("usage_date")).alias("month"), "account_id")
+        usage.filter(in_lifetime(params.window_end) if bounded else "days >= 0")
+        .selectExpr(f"{month_of('usage_date')} AS month", "account_id")
         .distinct()
         .groupBy("month")
-        .agg(F.count("*").alias("active_accounts"))
+        .agg(F.expr("count(*) AS active_accounts"))
     )
 
 
@@ -85,13 +99,14 @@ def monthly_account_churn(roles: Roles, params: Params, by: str = "event") -> Da
     """
     if by == "last":
         span = account_span(roles).filter("churn_date IS NOT NULL")
-        return monthly(span, "churn_date", accounts_churned=F.count("*"))
-    cells = roles.churn_events.select(
-        month_of(F.col("churn_date")).alias("month"), "account_id"
-    ).distinct()
+        return monthly(span, "churn_date", "count(*) AS accounts_churned")
+    cells = roles.churn_events.selectExpr(f"{month_of('churn_date')} AS month", "account_id")
     churned = roles.accounts.filter("churn_flag").select("account_id")
     return (
-        cells.join(churned, "account_id").groupBy("month").agg(F.count("*").alias("accounts_churned"))
+        cells.distinct()
+        .join(churned, "account_id")
+        .groupBy("month")
+        .agg(F.expr("count(*) AS accounts_churned"))
     )
 
 
@@ -101,23 +116,26 @@ def kpi_monthly_account_churn(roles: Roles, params: Params, by: str = "event") -
 
 def kpi_expansion_contraction(roles: Roles, params: Params) -> DataFrame:
     changes = roles.subscriptions.groupBy("account_id").agg(
-        F.max("upgrade_flag").alias("up"), F.max("downgrade_flag").alias("down")
+        *cols("max(upgrade_flag) AS up", "max(downgrade_flag) AS down")
     )
     return changes.agg(
-        F.count("*").alias("accounts"),
-        F.count_if("up").alias("any_upgrade"),
-        F.count_if("down").alias("any_downgrade"),
-        F.count_if(F.col("up") & F.col("down")).alias("both"),
+        *cols(
+            "count(*) AS accounts",
+            "count_if(up) AS any_upgrade",
+            "count_if(down) AS any_downgrade",
+            "count_if(up AND down) AS both",
+        )
     )
 
 
 def kpi_mrr_by_plan(roles: Roles, params: Params) -> DataFrame:
-    mrr, churned = F.col("mrr_amount"), F.col("churn_flag")
     return (
         roles.subscriptions.groupBy("plan_tier")
         .agg(
-            rnd(exact_sum(F.when(churned, 0.0).otherwise(mrr))).alias("active_mrr"),
-            rnd(exact_sum(F.when(churned, mrr).otherwise(0.0))).alias("churned_mrr"),
+            *cols(
+                f"{rnd(exact_sum(ACTIVE_MRR))} AS active_mrr",
+                f"{rnd(exact_sum(CHURNED_MRR))} AS churned_mrr",
+            )
         )
         .orderBy(F.desc("active_mrr"), "plan_tier")
     )
@@ -126,17 +144,19 @@ def kpi_mrr_by_plan(roles: Roles, params: Params) -> DataFrame:
 def kpi_support_load(roles: Roles, params: Params) -> DataFrame:
     row = side_by_side(
         roles.tickets.agg(
-            F.count("*").alias("tickets"),
-            rnd(exact_avg(F.col("resolution_time_hours")), 1).alias("avg_res_h"),
-            rnd(exact_avg(F.col("first_response_time_minutes"))).alias("avg_frt_min"),
-            rnd(exact_avg(F.col("satisfaction_score")), 2).alias("avg_csat"),
-            pct(F.count_if("escalation_flag"), F.count("*")).alias("esc_pct"),
+            *cols(
+                "count(*) AS tickets",
+                f"{rnd(exact_avg('resolution_time_hours'), 1)} AS avg_res_h",
+                f"{rnd(exact_avg('first_response_time_minutes'))} AS avg_frt_min",
+                f"{rnd(exact_avg('satisfaction_score'), 2)} AS avg_csat",
+                f"{pct('count_if(escalation_flag)', 'count(*)')} AS esc_pct",
+            )
         ),
-        roles.accounts.agg(F.count("*").alias("accounts")),
+        roles.accounts.agg(F.expr("count(*) AS accounts")),
     )
-    return row.select(
+    return row.selectExpr(
         "tickets",
-        rnd(ratio(F.col("tickets"), F.col("accounts")), 2).alias("tickets_per_acct"),
+        f"{rnd(ratio('tickets', 'accounts'), 2)} AS tickets_per_acct",
         "avg_res_h",
         "avg_frt_min",
         "avg_csat",

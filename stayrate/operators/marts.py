@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayrate.functions.columns import (
     banded,
     bucketize,
+    cols,
+    day,
     exact_avg,
     exact_sum,
     ratio,
     rnd,
+    within,
 )
 from stayrate.operators.behaviour import MEASURES, feature_adoption
 from stayrate.operators.churn import lost_revenue, reason_counts
-from stayrate.operators.kpis import monthly_account_churn, monthly_active_accounts
+from stayrate.operators.kpis import (
+    ACTIVE_MRR,
+    CHURNED_MRR,
+    monthly_account_churn,
+    monthly_active_accounts,
+)
 from stayrate.operators.retention import retention_long
 from stayrate.params import Params
-from stayrate.plans.aggregates import between_days, monthly
+from stayrate.plans.aggregates import monthly
 from stayrate.plans.lifecycle import (
+    FIRST_IS_TRIAL,
     account_span,
     feature_column,
     in_lifetime,
@@ -64,10 +73,15 @@ MART_SCHEMAS = {
 }
 
 
-def _shape(name: str, df: DataFrame, columns: list[Column]) -> DataFrame:
-    """Give the columns, in order, the names and types of the extract."""
+def _shape(name: str, df: DataFrame, *texts: str) -> DataFrame:
+    """Give the expressions, in order, the names and types of the extract."""
     schema = T.StructType.fromDDL(MART_SCHEMAS[name])
-    return df.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema.fields)])
+    return df.selectExpr(
+        *[
+            f"CAST({text} AS {field.dataType.simpleString()}) AS `{field.name}`"
+            for text, field in zip(texts, schema.fields, strict=True)
+        ]
+    )
 
 
 def _usage_per_account(roles: Roles, params: Params) -> DataFrame:
@@ -77,41 +91,45 @@ def _usage_per_account(roles: Roles, params: Params) -> DataFrame:
     The early window has no churn bound.
     """
     measures = [m for m in MEASURES if m != "is_beta_feature"]
-    usage = owned_usage(roles, feature_column(roles), *measures, churn=True).select(
+    usage = owned_usage(roles, feature_column(roles), *measures, churn=True).selectExpr(
         "*",
-        in_lifetime(params.window_end).alias("lived"),
-        between_days(F.col("days"), params.early_window).alias("early"),
+        f"{in_lifetime(params.window_end)} AS lived",
+        f"{within('days', params.early_window)} AS early",
     )
     usage = with_feature(usage.filter("lived OR early"), roles)
-    lived = F.col("lived")
     per_feature = usage.groupBy("account_id", "feature_name").agg(
-        F.count_if("lived").alias("events"),
-        F.max("early").alias("early"),
-        *[F.sum(F.when(lived, F.col(m)).otherwise(0)).alias(m) for m in measures],
+        *cols(
+            "count_if(lived) AS events",
+            "max(early) AS early",
+            *[f"sum(CASE WHEN lived THEN {m} ELSE 0 END) AS {m}" for m in measures],
+        )
     )
-    named = F.col("feature_name").isNotNull()
     return per_feature.groupBy("account_id").agg(
-        F.count_if((F.col("events") > 0) & named).alias("distinct_features"),
-        F.count_if(F.col("early") & named).alias("early_features"),
-        *[F.sum(m).alias(m) for m in ("events", *measures)],
+        *cols(
+            "count(feature_name) FILTER (WHERE events > 0) AS distinct_features",
+            "count(feature_name) FILTER (WHERE early) AS early_features",
+            *[f"sum({m}) AS {m}" for m in ("events", *measures)],
+        )
     )
 
 
 def _subscriptions_per_account(roles: Roles) -> DataFrame:
-    order = F.struct("start_date", "subscription_id")
-    active = F.when(F.col("churn_flag"), 0.0).otherwise(F.col("mrr_amount"))
     return roles.subscriptions.groupBy("account_id").agg(
-        F.min_by("is_trial", order).alias("first_is_trial"),
-        exact_sum(active).alias("mrr_active"),
-        F.max("upgrade_flag").alias("upgraded"),
+        *cols(
+            FIRST_IS_TRIAL,
+            f"{exact_sum(ACTIVE_MRR)} AS mrr_active",
+            "max(upgrade_flag) AS upgraded",
+        )
     )
 
 
 def _tickets_per_account(roles: Roles) -> DataFrame:
     return roles.tickets.groupBy("account_id").agg(
-        F.count("*").alias("tickets"),
-        F.max("escalation_flag").alias("escalated"),
-        exact_avg(F.col("satisfaction_score")).alias("csat"),
+        *cols(
+            "count(*) AS tickets",
+            "max(escalation_flag) AS escalated",
+            f"{exact_avg('satisfaction_score')} AS csat",
+        )
     )
 
 
@@ -123,122 +141,101 @@ def mart_account_metrics(roles: Roles, params: Params) -> DataFrame:
         .join(_tickets_per_account(roles), "account_id", "left")
         .join(_subscriptions_per_account(roles), "account_id", "left")
     )
-    col = F.col
-    end = F.coalesce(col("churn_date"), F.lit(params.window_end))
-    upgraded = F.coalesce(col("upgraded").cast("int"), F.lit(0))
-    early = F.coalesce(col("early_features"), F.lit(0))
-
-    def day(d: Column) -> Column:
-        return F.date_format(d, "yyyy-MM-dd")
-
-    def or_zero(name: str) -> Column:
-        return F.coalesce(col(name), F.lit(0))
-
+    upgraded = "coalesce(CAST(upgraded AS INT), 0)"
+    early = "coalesce(early_features, 0)"
     return _shape(
         "account_metrics",
         facts,
-        [
-            col("account_id"),
-            col("industry"),
-            col("country"),
-            day(col("signup_date")),
-            F.date_format("signup_date", "yyyy-MM"),
-            col("referral_source"),
-            col("plan_tier"),
-            col("seats"),
-            bucketize(col("seats"), params.seat_edges, banded(params.seat_labels)),
-            F.when(col("first_is_trial"), "trial").otherwise("paid"),
-            F.when(col("churn_flag"), "Yes").otherwise("No"),
-            col("churn_flag").cast("int"),
-            F.coalesce(day(col("churn_date")), F.lit("")),
-            F.datediff(end, "signup_date"),
-            upgraded,
-            upgraded,
-            or_zero("events"),
-            or_zero("distinct_features"),
-            or_zero("usage_count"),
-            rnd(or_zero("usage_duration_secs") / F.lit(3600.0), 1),
-            or_zero("error_count"),
-            early,
-            bucketize(early, params.breadth_edges, banded(params.breadth_labels)),
-            or_zero("tickets"),
-            F.coalesce(col("escalated").cast("int"), F.lit(0)),
-            rnd(col("csat"), 2),
-            F.coalesce(col("mrr_active"), F.lit(0.0)),
-            F.lit(1),
-            F.lit("All accounts"),
-        ],
+        "account_id",
+        "industry",
+        "country",
+        "date_format(signup_date, 'yyyy-MM-dd')",
+        "date_format(signup_date, 'yyyy-MM')",
+        "referral_source",
+        "plan_tier",
+        "seats",
+        bucketize("seats", params.seat_edges, banded(params.seat_labels)),
+        "CASE WHEN first_is_trial THEN 'trial' ELSE 'paid' END",
+        "CASE WHEN churn_flag THEN 'Yes' ELSE 'No' END",
+        "churn_flag",
+        "coalesce(date_format(churn_date, 'yyyy-MM-dd'), '')",
+        f"datediff(coalesce(churn_date, {day(params.window_end)}), signup_date)",
+        upgraded,
+        upgraded,
+        "coalesce(events, 0)",
+        "coalesce(distinct_features, 0)",
+        "coalesce(usage_count, 0)",
+        rnd("coalesce(usage_duration_secs, 0) / 3600D", 1),
+        "coalesce(error_count, 0)",
+        early,
+        bucketize(early, params.breadth_edges, banded(params.breadth_labels)),
+        "coalesce(tickets, 0)",
+        "coalesce(CAST(escalated AS INT), 0)",
+        rnd("csat", 2),
+        "coalesce(mrr_active, 0)",
+        "1",
+        "'All accounts'",
     )
 
 
 def month_spine(roles: Roles, params: Params) -> DataFrame:
     """The first day of each month of the window."""
-    start = F.lit(params.window_start.replace(day=1))
+    first = day(params.window_start.replace(day=1))
     months = roles.accounts.sparkSession.range(params.months)
-    return months.select(F.add_months(start, F.col("id").cast("int")).alias("month"))
+    return months.selectExpr(f"add_months({first}, CAST(id AS INT)) AS month")
 
 
-def _monthly_summary(roles: Roles, params: Params, bounded: bool, by: str) -> DataFrame:
-    mrr = F.col("mrr_amount")
-    subs = monthly(
+def _monthly_mrr(roles: Roles) -> DataFrame:
+    return monthly(
         roles.subscriptions,
         "start_date",
-        new_subs=F.count("*"),
-        new_mrr=exact_sum(mrr),
-        churned_mrr=exact_sum(F.when(F.col("churn_flag"), mrr).otherwise(0.0)),
-    )
-    facts = [
-        monthly_active_accounts(roles, params, bounded),
-        subs,
-        monthly_account_churn(roles, params, by).withColumnRenamed("accounts_churned", "churns"),
-    ]
-    first, last = (F.lit(d.replace(day=1)) for d in (params.window_start, params.window_end))
-    stacked = month_spine(roles, params)
-    for fact in facts:
-        inside = fact.filter(F.col("month").between(first, last))
-        stacked = stacked.unionByName(inside, allowMissingColumns=True)
-    measures = ("active_accounts", "new_subs", "new_mrr", "churned_mrr", "churns")
-    return (
-        stacked.groupBy("month")
-        .agg(*[F.coalesce(F.max(m), F.lit(0)).alias(m) for m in measures])
-        .select(F.date_format("month", "yyyy-MM").alias("label"), *measures)
+        "count(*) AS new_subs",
+        f"{exact_sum('mrr_amount')} AS new_mrr",
+        f"{exact_sum(CHURNED_MRR)} AS churned_mrr",
     )
 
 
 def mart_monthly_summary(
     roles: Roles, params: Params, bounded: bool = True, by: str = "event"
 ) -> DataFrame:
-    months = _monthly_summary(roles, params, bounded, by)
-    col = F.col
+    """Monthly facts stacked on the spine and reduced to one row per month of the window."""
+    first, last = (day(d.replace(day=1)) for d in (params.window_start, params.window_end))
+    facts = (
+        monthly_active_accounts(roles, params, bounded),
+        _monthly_mrr(roles),
+        monthly_account_churn(roles, params, by),
+    )
+    stacked = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [fact.filter(f"month BETWEEN {first} AND {last}") for fact in facts],
+        month_spine(roles, params),
+    )
+    measures = ("active_accounts", "new_subs", "new_mrr", "churned_mrr", "accounts_churned")
+    months = stacked.groupBy("month").agg(
+        *cols(*[f"coalesce(max({m}), 0) AS {m}" for m in measures])
+    )
     return _shape(
         "monthly_summary",
         months,
-        [
-            col("label"),
-            col("active_accounts"),
-            col("new_subs"),
-            rnd(col("new_mrr"), 2),
-            rnd(col("churned_mrr"), 2),
-            col("churns"),
-        ],
+        "date_format(month, 'yyyy-MM')",
+        "active_accounts",
+        "new_subs",
+        rnd("new_mrr", 2),
+        rnd("churned_mrr", 2),
+        "accounts_churned",
     ).orderBy("Month")
 
 
 def mart_monthly_mrr_long(roles: Roles, params: Params) -> DataFrame:
     """New and churned MRR as two series; only subscriptions are read."""
-    mrr = F.col("mrr_amount")
-    subs = monthly(
-        roles.subscriptions,
-        "start_date",
-        new_mrr=exact_sum(mrr),
-        churned_mrr=exact_sum(F.when(F.col("churn_flag"), mrr).otherwise(0.0)),
-    )
-    wide = month_spine(roles, params).join(subs, "month", "left").select(
-        F.date_format("month", "yyyy-MM").alias("Month"),
-        *[
-            rnd(F.coalesce(F.col(source), F.lit(0.0)), 2).alias(name)
-            for source, name in (("new_mrr", "New MRR"), ("churned_mrr", "Churned MRR"))
-        ],
+    wide = (
+        month_spine(roles, params)
+        .join(_monthly_mrr(roles), "month", "left")
+        .selectExpr(
+            "date_format(month, 'yyyy-MM') AS Month",
+            f"{rnd('coalesce(new_mrr, 0)', 2)} AS `New MRR`",
+            f"{rnd('coalesce(churned_mrr, 0)', 2)} AS `Churned MRR`",
+        )
     )
     return wide.unpivot(["Month"], ["New MRR", "Churned MRR"], "Kind", "Mrr").orderBy(
         F.desc("Kind"), "Month"
@@ -246,36 +243,31 @@ def mart_monthly_mrr_long(roles: Roles, params: Params) -> DataFrame:
 
 
 def mart_cohort_retention(roles: Roles, params: Params, bounded: bool = True) -> DataFrame:
-    cells = retention_long(roles, params, "cohort_month", bounded=bounded)
-    col = F.col
     return _shape(
         "cohort_retention",
-        cells,
-        [
-            F.date_format("cohort_month", "yyyy-MM"),
-            col("month_index"),
-            col("n"),
-            col("active"),
-            rnd(col("pct_active"), 6),
-        ],
+        retention_long(roles, params, "cohort_month", bounded=bounded),
+        "date_format(cohort_month, 'yyyy-MM')",
+        "month_index",
+        "n",
+        "active",
+        rnd("pct_active", 6),
     ).orderBy("Cohort", "Months Since Signup")
 
 
 def mart_referral_curves(roles: Roles, params: Params, bounded: bool = True) -> DataFrame:
-    cells = retention_long(roles, params, "referral_source", bounded=bounded)
-    col = F.col
     return _shape(
         "referral_curves",
-        cells,
-        [col("referral_source"), col("month_index"), col("n"), rnd(col("pct_active"), 6)],
+        retention_long(roles, params, "referral_source", bounded=bounded),
+        "referral_source",
+        "month_index",
+        "n",
+        rnd("pct_active", 6),
     ).orderBy("Referral Source", "Months Since Signup")
 
 
 def mart_churn_reasons(roles: Roles, params: Params) -> DataFrame:
     return _shape(
-        "churn_reasons",
-        reason_counts(roles),
-        [F.col("reason_code"), F.col("plan_tier"), F.col("events")],
+        "churn_reasons", reason_counts(roles), "reason_code", "plan_tier", "events"
     ).orderBy("Plan", "Reason")
 
 
@@ -283,38 +275,35 @@ def mart_feature_metrics(roles: Roles, params: Params) -> DataFrame:
     """Adoption against churn per adopted feature, with errors and rows over all its usage."""
     key = "feature_name" if roles.features is None else "feature_key"
     per_key = roles.feature_usage.groupBy(key).agg(
-        F.sum("error_count").alias("errors"), F.count("*").alias("events")
+        *cols("sum(error_count) AS errors", "count(*) AS events")
     )
     if roles.features is not None:  # reduced to one row per key, so a plain join is enough
         per_key = per_key.join(roles.features, "feature_key")
     volume = per_key.groupBy("feature_name").agg(
-        F.sum("errors").alias("errors"), F.sum("events").alias("events")
-    )
-    col = F.col
-    lost, kept = ratio(col("adopters_lost"), col("adopters")), ratio(
-        col("others_lost"), col("others")
+        *cols("sum(errors) AS errors", "sum(events) AS events")
     )
+    lost, kept = ratio("adopters_lost", "adopters"), ratio("others_lost", "others")
     return _shape(
         "feature_metrics",
         feature_adoption(roles, params).join(volume, "feature_name", "left"),
-        [
-            col("feature_name"),
-            col("adopters"),
-            rnd(lost, 6),
-            rnd(kept, 6),
-            F.coalesce(col("errors"), F.lit(0)),
-            F.coalesce(col("events"), F.lit(0)),
-            rnd((lost - kept) * 100.0, 4),
-        ],
+        "feature_name",
+        "adopters",
+        rnd(lost, 6),
+        rnd(kept, 6),
+        "coalesce(errors, 0)",
+        "coalesce(events, 0)",
+        rnd(f"({lost} - {kept}) * 100D", 4),
     ).orderBy("Feature")
 
 
 def mart_plan_impact(roles: Roles, params: Params) -> DataFrame:
-    col = F.col
     return _shape(
         "plan_impact",
         lost_revenue(roles),
-        [col("plan_tier"), col("churned_subs"), rnd(col("mrr"), 2), rnd(col("arr"), 2)],
+        "plan_tier",
+        "churned_subs",
+        rnd("mrr", 2),
+        rnd("arr", 2),
     ).orderBy(F.desc("Arr Lost"), "Plan")
 
 
@@ -335,9 +324,7 @@ def mart_row_counts(roles: Roles, params: Params) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            build(roles, params)
-            .agg(F.count("*").alias("rows"))
-            .select(F.lit(name).alias("extract"), "rows")
+            build(roles, params).agg(*cols(f"'{name}' AS extract", "count(*) AS rows"))
             for name, build in MARTS.items()
         ],
     )

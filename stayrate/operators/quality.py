@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import pct, rnd
+from stayrate.functions.columns import cols, pct, rnd, text
 from stayrate.params import Params
 from stayrate.plans.aggregates import exact_median
 from stayrate.plans.joins import side_by_side
@@ -47,16 +47,19 @@ def _stack(frames) -> DataFrame:
 
 def dq_row_counts(roles: Roles, params: Params) -> DataFrame:
     return _stack(
-        roles.table(t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("tbl"), "rows")
-        for t in TABLES
+        roles.table(t).agg(*cols(f"{text(t)} AS tbl", "count(*) AS rows")) for t in TABLES
     ).orderBy("tbl")
 
 
 def dq_key_uniqueness(roles: Roles, params: Params) -> DataFrame:
     return _stack(
-        roles.table(t)
-        .agg(F.count("*").alias("n"), F.count_distinct(k).alias("distinct_n"))
-        .select(F.lit(f"{t}.{k}").alias("key"), "n", "distinct_n")
+        roles.table(t).agg(
+            *cols(
+                f"{text(f'{t}.{k}')} AS key",
+                "count(*) AS n",
+                f"count(DISTINCT {k}) AS distinct_n",
+            )
+        )
         for t, k in KEYS.items()
     ).orderBy("key")
 
@@ -69,10 +72,9 @@ def dq_fk_orphans(roles: Roles, params: Params) -> DataFrame:
     return _stack(
         roles.table(child)
         .groupBy(key)
-        .agg(F.count("*").alias("n"))
+        .agg(F.expr("count(*) AS n"))
         .join(roles.table(parent).select(key), key, "left_anti")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
-        .select(F.lit(name).alias("fk"), "orphans")
+        .agg(*cols(f"{text(name)} AS fk", "coalesce(sum(n), 0) AS orphans"))
         for name, child, parent, key in REFERENCES
     )
 
@@ -80,14 +82,14 @@ def dq_fk_orphans(roles: Roles, params: Params) -> DataFrame:
 def dq_duplicate_keys(roles: Roles, params: Params) -> DataFrame:
     return (
         roles.feature_usage.groupBy("usage_id")
-        .agg(F.count("*").alias("n"))
+        .agg(F.expr("count(*) AS n"))
         .filter("n > 1")
         .orderBy(F.desc("n"), "usage_id")
     )
 
 
-def _extent(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.agg(F.min(column).alias(f"min_{name}"), F.max(column).alias(f"max_{name}"))
+def _extent(df: DataFrame, column: str, name: str, *more: str) -> DataFrame:
+    return df.agg(*cols(f"min({column}) AS min_{name}", f"max({column}) AS max_{name}", *more))
 
 
 def dq_date_extents(roles: Roles, params: Params) -> DataFrame:
@@ -104,57 +106,44 @@ def dq_date_extents_cross(roles: Roles, params: Params) -> DataFrame:
     As there, all four are NULL when either table is empty.
     """
     both = side_by_side(
-        roles.accounts.agg(
-            F.min("signup_date").alias("min_signup"),
-            F.max("signup_date").alias("max_signup"),
-            F.count("*").alias("accounts"),
-        ),
-        roles.churn_events.agg(
-            F.min("churn_date").alias("min_churn"),
-            F.max("churn_date").alias("max_churn"),
-            F.count("*").alias("events"),
-        ),
+        _extent(roles.accounts, "signup_date", "signup", "count(*) AS accounts"),
+        _extent(roles.churn_events, "churn_date", "churn", "count(*) AS events"),
     )
-    filled = (F.col("accounts") > 0) & (F.col("events") > 0)
     names = ("min_signup", "max_signup", "min_churn", "max_churn")
-    return both.select(*[F.when(filled, F.col(c)).alias(c) for c in names])
+    return both.selectExpr(
+        *[f"CASE WHEN accounts > 0 AND events > 0 THEN {c} END AS {c}" for c in names]
+    )
 
 
 def dq_bad_ranges(roles: Roles, params: Params) -> DataFrame:
-    return roles.subscriptions.agg(
-        F.count_if(F.col("end_date") < F.col("start_date")).alias("bad_ranges")
-    )
+    return roles.subscriptions.agg(F.expr("count_if(end_date < start_date) AS bad_ranges"))
 
 
 def dq_churn_before_signup(roles: Roles, params: Params) -> DataFrame:
-    per_day = roles.churn_events.groupBy("account_id", "churn_date").agg(F.count("*").alias("n"))
+    per_day = roles.churn_events.groupBy("account_id", "churn_date").agg(F.expr("count(*) AS n"))
     return (
         per_day.join(roles.accounts.select("account_id", "signup_date"), "account_id")
         .filter("churn_date < signup_date")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("churn_before_signup"))
+        .agg(F.expr("coalesce(sum(n), 0) AS churn_before_signup"))
     )
 
 
 def dq_null_profile(roles: Roles, params: Params) -> DataFrame:
-    def profile(table: str) -> DataFrame:
-        counts = roles.table(table).agg(
-            *[F.count_if(F.col(c).isNull()).alias(c) for c in NULLABLE[table]]
-        )
-        return counts.unpivot([], list(NULLABLE[table]), "column", "nulls").select(
-            F.lit(table).alias("tbl"), "column", "nulls"
-        )
+    def profile(table: str, columns: tuple[str, ...]) -> DataFrame:
+        counts = roles.table(table).agg(*cols(*[f"count_if({c} IS NULL) AS {c}" for c in columns]))
+        cells = ", ".join(f"struct({text(c)} AS column, {c} AS nulls)" for c in columns)
+        return counts.selectExpr(f"{text(table)} AS tbl", f"inline(array({cells}))")
 
-    return _stack(profile(t) for t in NULLABLE)
+    return _stack(profile(t, columns) for t, columns in NULLABLE.items())
 
 
 def dq_domains(roles: Roles, params: Params) -> DataFrame:
     """Distinct values of the categorical columns, in one pass per table."""
 
     def values(table: str, columns: tuple[str, ...]) -> DataFrame:
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
-        )
-        return roles.table(table).select(F.lit(table).alias("tbl"), F.inline(cells)).distinct()
+        cells = ", ".join(f"struct({text(c)} AS column, {c} AS value)" for c in columns)
+        rows = roles.table(table).selectExpr(f"{text(table)} AS tbl", f"inline(array({cells}))")
+        return rows.distinct()
 
     return _stack(values(t, c) for t, c in DOMAINS.items()).orderBy(
         "tbl", "column", F.asc_nulls_last("value")
@@ -164,11 +153,10 @@ def dq_domains(roles: Roles, params: Params) -> DataFrame:
 def dq_churn_definitions(roles: Roles, params: Params) -> DataFrame:
     """The three counts called churn, and the reactivations among the events."""
     return side_by_side(
-        roles.accounts.agg(F.count_if("churn_flag").alias("account_churn")),
-        roles.subscriptions.agg(F.count_if("churn_flag").alias("subscription_churn")),
+        roles.accounts.agg(F.expr("count_if(churn_flag) AS account_churn")),
+        roles.subscriptions.agg(F.expr("count_if(churn_flag) AS subscription_churn")),
         roles.churn_events.agg(
-            F.count("*").alias("churn_event_rows"),
-            F.count_if("is_reactivation").alias("reactivations"),
+            *cols("count(*) AS churn_event_rows", "count_if(is_reactivation) AS reactivations")
         ),
     )
 
@@ -176,58 +164,45 @@ def dq_churn_definitions(roles: Roles, params: Params) -> DataFrame:
 def dq_churn_definition_rates(roles: Roles, params: Params) -> DataFrame:
     """The same three definitions as percentages of accounts or subscriptions."""
     counts = side_by_side(
-        roles.accounts.agg(
-            F.count("churn_flag").alias("accounts"), F.count_if("churn_flag").alias("lost")
-        ),
+        roles.accounts.agg(*cols("count(churn_flag) AS accounts", "count_if(churn_flag) AS lost")),
         roles.subscriptions.agg(
-            F.count("churn_flag").alias("subs"), F.count_if("churn_flag").alias("subs_lost")
+            *cols("count(churn_flag) AS subs", "count_if(churn_flag) AS subs_lost")
         ),
-        roles.churn_events.agg(F.count_distinct("account_id").alias("with_event")),
+        roles.churn_events.agg(F.expr("count(DISTINCT account_id) AS with_event")),
+    )
+    return counts.selectExpr(
+        f"{pct('lost', 'accounts')} AS account_churn_pct",
+        f"{pct('subs_lost', 'subs')} AS subscription_churn_pct",
+        f"{pct('with_event', 'accounts')} AS accounts_with_event_pct",
     )
 
-    def rate(a: str, b: str, name: str) -> Column:
-        return pct(F.col(a), F.col(b)).alias(name)
 
-    return counts.select(
-        rate("lost", "accounts", "account_churn_pct"),
-        rate("subs_lost", "subs", "subscription_churn_pct"),
-        rate("with_event", "accounts", "accounts_with_event_pct"),
-    )
+def _rows_and_accounts(usage: DataFrame, rows: str, accounts: str) -> DataFrame:
+    per_account = usage.groupBy("account_id").agg(F.expr("count(*) AS n"))
+    return per_account.agg(*cols(f"coalesce(sum(n), 0) AS {rows}", f"count(*) AS {accounts}"))
 
 
 def dq_usage_after_churn(roles: Roles, params: Params) -> DataFrame:
-    return (
-        owned_usage(roles, churn=True)
-        .filter("usage_date > churn_date")
-        .groupBy("account_id")
-        .agg(F.count("*").alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("events_after_churn"),
-            F.count("*").alias("accounts_affected"),
-        )
-    )
+    late = owned_usage(roles, churn=True).filter("usage_date > churn_date")
+    return _rows_and_accounts(late, "events_after_churn", "accounts_affected")
 
 
 def dq_usage_before_signup(roles: Roles, params: Params) -> DataFrame:
-    return (
-        owned_usage(roles)
-        .filter("days < 0")
-        .groupBy("account_id")
-        .agg(F.count("*").alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("events_before_signup"),
-            F.count("*").alias("accounts"),
-        )
-    )
+    early = owned_usage(roles).filter("days < 0")
+    return _rows_and_accounts(early, "events_before_signup", "accounts")
 
 
 def dq_numeric_distribution(roles: Roles, params: Params) -> DataFrame:
-    seats = roles.accounts.select("seats", F.lit(True).alias("all"))
+    seats = roles.accounts.selectExpr("seats", "true AS every")
     return side_by_side(
         seats.agg(
-            F.min("seats").alias("min_seats"),
-            F.max("seats").alias("max_seats"),
-            rnd(F.avg("seats"), 1).alias("avg_seats"),
+            *cols(
+                "min(seats) AS min_seats",
+                "max(seats) AS max_seats",
+                f"{rnd('avg(seats)', 1)} AS avg_seats",
+            )
+        ),
+        exact_median(seats, "seats", "every").agg(
+            F.expr(f"{rnd('max(median)', 1)} AS median_seats")
         ),
-        exact_median(seats, "seats", "all").agg(rnd(F.max("median"), 1).alias("median_seats")),
     )

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import month_index, pct, ratio, rnd
+from stayrate.functions.columns import cols, day, month_index, month_of, pct, ratio, rnd
 from stayrate.params import Params
 from stayrate.plans.aggregates import exact_median
 from stayrate.plans.joins import side_by_side
@@ -44,29 +44,23 @@ def retention_counts(
     and aggregated together, so a segment nobody was active in keeps its row and its zeros. Usage
     past the last month of the last cohort is left out where it is scanned.
     """
-    cut = F.col("signup_date") < F.lit(params.cohort_cut)
-    cohort = roles.accounts.filter(cut).select(segment(by, params).alias(by))
-    end = F.lit(activity_end(params.cohort_cut, months))
+    cut = f"signup_date < {day(params.cohort_cut)}"
+    end = f"usage_date < {day(activity_end(params.cohort_cut, months))}"
+    label = f"{segment(by, params)} AS {by}"
     usage = owned_usage(roles, attrs=[SEGMENT_SOURCES.get(by, by)], churn=bounded)
-    usage = usage.filter(cut & (F.col("usage_date") < end))
+    usage = usage.filter(f"{cut} AND {end}")
     if bounded:
         usage = usage.filter(in_lifetime(params.window_end))
-    index = month_index(F.col("signup_date"), F.col("usage_date"))
     active = (
-        usage.select("account_id", segment(by, params).alias(by), index.alias("mi"))
-        .filter(F.col("mi").isin(*months))
+        usage.selectExpr("account_id", label, f"{month_index('signup_date', 'usage_date')} AS mi")
+        .filter(f"mi IN ({', '.join(map(str, months))})")
         .distinct()
-        .select(by, "mi")
     )
-    sizes = cohort.select(by, F.lit(None).cast("int").alias("mi"))
-    mi = F.col("mi")
+    sizes = roles.accounts.filter(cut).selectExpr(label, "CAST(NULL AS INT) AS mi")
     return (
-        sizes.unionByName(active)
+        sizes.unionByName(active.select(by, "mi"))
         .groupBy(by)
-        .agg(
-            F.count_if(mi.isNull()).alias("n"),
-            *[F.count_if(mi == k).alias(f"a{k}") for k in months],
-        )
+        .agg(*cols("count_if(mi IS NULL) AS n", *[f"count_if(mi = {k}) AS a{k}" for k in months]))
     )
 
 
@@ -79,10 +73,8 @@ def retention_wide(
     size: str = "n",
 ) -> DataFrame:
     counts = retention_counts(roles, params, by, months, bounded)
-    n = F.col("n")
-    return counts.select(
-        by, n.alias(size), *[pct(F.col(f"a{k}"), n, 0).alias(f"m{k}") for k in months]
-    ).orderBy(F.asc_nulls_last(by))
+    shares = [f"{pct(f'a{k}', 'n', 0)} AS m{k}" for k in months]
+    return counts.selectExpr(by, f"n AS {size}", *shares).orderBy(F.asc_nulls_last(by))
 
 
 def retention_long(
@@ -94,11 +86,9 @@ def retention_long(
 ) -> DataFrame:
     """One row per segment and month index, empty cells included as zero."""
     counts = retention_counts(roles, params, by, months, bounded)
-    cells = F.array(
-        *[F.struct(F.lit(k).alias("month_index"), F.col(f"a{k}").alias("active")) for k in months]
-    )
-    return counts.select(by, "n", F.inline(cells)).withColumn(
-        "pct_active", ratio(F.col("active"), F.col("n"))
+    cells = ", ".join(f"struct({k} AS month_index, a{k} AS active)" for k in months)
+    return counts.selectExpr(by, "n", f"inline(array({cells}))").selectExpr(
+        "*", f"{ratio('active', 'n')} AS pct_active"
     )
 
 
@@ -121,54 +111,59 @@ def retention_by_seat_bucket(roles: Roles, params: Params, bounded: bool = True)
 def retention_curve_long(
     roles: Roles, params: Params, by: str = "referral_source", bounded: bool = True
 ) -> DataFrame:
-    curve = retention_long(roles, params, by, bounded=bounded)
-    share = rnd(F.lit(100.0) * F.col("pct_active"), 1)
-    return curve.select(
-        by, "month_index", "n", "active", share.alias("pct_active")
-    ).orderBy(by, "month_index")
+    share = f"{rnd('100D * pct_active', 1)} AS pct_active"
+    return (
+        retention_long(roles, params, by, bounded=bounded)
+        .selectExpr(by, "month_index", "n", "active", share)
+        .orderBy(by, "month_index")
+    )
 
 
 def retention_tenure_at_churn(roles: Roles, params: Params) -> DataFrame:
     tenure = (
         account_span(roles)
         .filter("churn_date IS NOT NULL")
-        .select(F.datediff("churn_date", "signup_date").alias("days"), F.lit(True).alias("all"))
+        .selectExpr("datediff(churn_date, signup_date) AS days", "true AS every")
     )
-    n, days = F.count("*"), F.col("days")
-    short, long = params.tenure_marks
+    within = [
+        (f"{pct(f'count_if(days <= {mark})', 'count(*)')}", f"pct_within_{mark}d")
+        for mark in params.tenure_marks
+    ]
     row = side_by_side(
         tenure.agg(
-            n.alias("n"),
-            rnd(F.avg(days)).alias("avg_tenure_days"),
-            pct(F.count_if(days <= short), n).alias(f"pct_within_{short}d"),
-            pct(F.count_if(days <= long), n).alias(f"pct_within_{long}d"),
+            *cols(
+                "count(*) AS n",
+                f"{rnd('avg(days)')} AS avg_tenure_days",
+                *[f"{share} AS {name}" for share, name in within],
+            )
+        ),
+        exact_median(tenure, "days", "every").agg(
+            F.expr(f"{rnd('max(median)')} AS median_tenure_days")
         ),
-        exact_median(tenure, "days", "all").agg(rnd(F.max("median")).alias("median_tenure_days")),
     )
     return row.select(
-        "n",
-        "avg_tenure_days",
-        "median_tenure_days",
-        f"pct_within_{short}d",
-        f"pct_within_{long}d",
+        "n", "avg_tenure_days", "median_tenure_days", *[name for _, name in within]
     )
 
 
 def retention_churn_month_distribution(roles: Roles, params: Params) -> DataFrame:
     """Churn event rows of churned accounts per month."""
-    events = roles.churn_events.groupBy("account_id", F.trunc("churn_date", "month").alias("month"))
+    events = roles.churn_events.groupBy("account_id", F.expr(f"{month_of('churn_date')} AS month"))
     churned = roles.accounts.filter("churn_flag").select("account_id")
     return (
-        events.agg(F.count("*").alias("n"))
+        events.agg(F.expr("count(*) AS n"))
         .join(churned, "account_id")
         .groupBy("month")
-        .agg(F.sum("n").alias("acct_churns"))
+        .agg(F.expr("sum(n) AS acct_churns"))
         .orderBy("month")
     )
 
 
 def retention_reactivations(roles: Roles, params: Params) -> DataFrame:
-    n, back = F.count("*"), F.count_if("is_reactivation")
     return roles.churn_events.agg(
-        n.alias("churn_events"), back.alias("reactivations"), pct(back, n).alias("reactivation_pct")
+        *cols(
+            "count(*) AS churn_events",
+            "count_if(is_reactivation) AS reactivations",
+            f"{pct('count_if(is_reactivation)', 'count(*)')} AS reactivation_pct",
+        )
     )

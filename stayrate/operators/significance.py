@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import ratio, rnd
+from stayrate.functions.columns import cols, ratio, rnd, text
 from stayrate.functions.distributions import chi_square_p
 from stayrate.params import Params
 from stayrate.plans.aggregates import rate_by
@@ -22,16 +22,13 @@ def segment_rates(accounts: DataFrame, params: Params, segments: Sequence[str])
 
     Every account goes through one aggregation as one row per segment.
     """
-    cuts = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("segment"),
-                segment(name, params).cast("string").alias("segment_value"),
-            )
-            for name in segments
-        ]
+    cuts = ", ".join(
+        f"struct({text(name)} AS segment, CAST({segment(name, params)} AS STRING) AS segment_value)"
+        for name in segments
+    )
+    rows = accounts.filter("churn_flag IS NOT NULL").selectExpr(
+        "churn_flag", f"inline(array({cuts}))"
     )
-    rows = accounts.filter("churn_flag IS NOT NULL").select("churn_flag", F.inline(cuts))
     return rate_by(
         rows.filter("segment_value IS NOT NULL"), ["segment", "segment_value"], "churn_flag"
     )
@@ -40,58 +37,51 @@ def segment_rates(accounts: DataFrame, params: Params, segments: Sequence[str])
 def contingency(accounts: DataFrame, params: Params, segments: Sequence[str]) -> DataFrame:
     """Observed and expected accounts per segment value and churn_flag, empty cells included.
 
-    ``rows`` and ``cols`` count the values of the segment and the outcomes that occur at all.
+    ``dof`` is the freedom of the table of values and outcomes that occur at all.
     """
     counts = segment_rates(accounts, params, segments)
     totals = counts.groupBy("segment").agg(
-        F.sum("n").alias("all"), F.sum("churned").alias("lost"), F.count("*").alias("rows")
+        *cols("sum(n) AS total", "sum(churned) AS lost", "count(*) AS n_values")
     )
-    lost, kept = F.col("lost"), F.col("all") - F.col("lost")
-
-    def cell(flag: bool, observed: Column, outcome: Column) -> Column:
-        expected = F.col("n").cast("double") * outcome / F.col("all")
-        return F.struct(
-            F.lit(flag).alias("churn_flag"),
-            observed.alias("observed"),
-            expected.alias("expected"),
-            outcome.alias("outcome"),
-        )
-
-    cells = F.array(
-        cell(False, F.col("n") - F.col("churned"), kept), cell(True, F.col("churned"), lost)
+    outcomes = "CAST(lost > 0 AS INT) + CAST(lost < total AS INT)"
+    cells = (
+        "struct(false AS churn_flag, n - churned AS observed, total - lost AS outcome), "
+        "struct(true AS churn_flag, churned AS observed, lost AS outcome)"
     )
-    cols = (lost > 0).cast("int") + (kept > 0).cast("int")
     return (
         counts.join(totals, "segment")
-        .select("segment", "segment_value", "rows", cols.alias("cols"), F.inline(cells))
+        .selectExpr("*", f"inline(array({cells}))")
         .filter("outcome > 0")
-        .drop("outcome")
+        .selectExpr(
+            "segment",
+            "segment_value",
+            "churn_flag",
+            "observed",
+            "CAST(n AS DOUBLE) * outcome / total AS expected",
+            f"CAST((n_values - 1) * ({outcomes} - 1) AS INT) AS dof",
+        )
     )
 
 
 def chi_square(accounts: DataFrame, params: Params, segments: Sequence[str]) -> DataFrame:
     """Pearson's test of independence per segment; Yates' correction applies at one degree."""
-    dof = (F.col("rows") - 1) * (F.col("cols") - 1)
-    gap = F.abs(F.col("observed") - F.col("expected"))
-    corrected = F.when(dof == 1, F.greatest(gap - 0.5, F.lit(0.0))).otherwise(gap)
+    gap = "abs(observed - expected) - CASE WHEN dof = 1 THEN 0.5D ELSE 0D END"
     tests = (
         contingency(accounts, params, segments)
-        .groupBy("segment", dof.cast("int").alias("dof"))
-        .agg(F.sum(corrected * corrected / F.col("expected")).alias("chi2"))
+        .groupBy("segment", "dof")
+        .agg(F.expr(f"sum(power(greatest({gap}, 0D), 2) / expected) AS chi2"))
+        .withColumn("p", chi_square_p("chi2", "dof"))
     )
-    return tests.select(
-        F.col("segment").alias("test"),
-        rnd(F.col("chi2"), 4).alias("chi2"),
-        "dof",
-        rnd(chi_square_p("chi2", "dof"), 6).alias("p_value"),
+    return tests.selectExpr(
+        "segment AS test", f"{rnd('chi2', 4)} AS chi2", "dof", f"{rnd('p', 6)} AS p_value"
     )
 
 
 def stats_contingency(roles: Roles, params: Params, by: str = "referral_source") -> DataFrame:
     return (
         contingency(roles.accounts, params, [by])
-        .select(
-            "segment_value", "churn_flag", "observed", rnd(F.col("expected"), 4).alias("expected")
+        .selectExpr(
+            "segment_value", "churn_flag", "observed", f"{rnd('expected', 4)} AS expected"
         )
         .orderBy("segment_value", "churn_flag")
     )
@@ -107,16 +97,17 @@ def stats_chi_square_pairwise(
     roles: Roles, params: Params, a: str, b: str, by: str = "referral_source"
 ) -> DataFrame:
     """Two values of a segment against each other."""
-    pair = roles.accounts.filter(segment(by, params).isin(a, b))
+    pair = roles.accounts.filter(F.expr(segment(by, params)).isin(a, b))
     return chi_square(pair, params, [by]).withColumn("test", F.lit(f"{a} vs {b}"))
 
 
 def stats_segment_delta(roles: Roles, params: Params) -> DataFrame:
     """Churn per value of each segment, and its distance to overall churn in points."""
-    overall = roles.accounts.agg(ratio(F.count_if("churn_flag"), F.count("*"))).scalar()
-    gap = ratio(F.col("churned"), F.col("n")) - overall
+    overall = roles.accounts.agg(F.expr(ratio("count_if(churn_flag)", "count(*)"))).scalar()
+    rates = segment_rates(roles.accounts, params, SEGMENTS).withColumn("overall", overall)
+    gap = f"100D * ({ratio('churned', 'n')} - overall)"
     return (
-        segment_rates(roles.accounts, params, SEGMENTS)
-        .withColumn("delta_pct", rnd(F.lit(100.0) * gap, 1))
+        rates.withColumn("delta_pct", F.expr(rnd(gap, 1)))
+        .drop("overall")
         .orderBy("segment", F.desc("churn_pct"), "segment_value")
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import month_of, pct
+from stayrate.functions.columns import cols, month_of, pct
 
 
 def rate_by(
@@ -19,25 +19,17 @@ def rate_by(
     flagged: str = "churned",
     rate: str = "churn_pct",
     digits: int = 1,
-    extra: Sequence[Column] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Rows, flagged rows and the flagged percentage per combination of ``keys``."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias(n), F.count_if(F.col(flag)).alias(flagged), *extra)
-        .withColumn(rate, pct(F.col(flagged), F.col(n), digits))
-    )
-
-
-def monthly(df: DataFrame, day: str, **aggs: Column) -> DataFrame:
-    return df.groupBy(month_of(F.col(day)).alias("month")).agg(
-        *[agg.alias(name) for name, agg in aggs.items()]
+    counts = df.groupBy(*keys).agg(
+        *cols(f"count(*) AS {n}", f"count_if({flag}) AS {flagged}", *extra)
     )
+    return counts.withColumn(rate, F.expr(pct(flagged, n, digits)))
 
 
-def between_days(days: Column, window: tuple[int | None, int]) -> Column:
-    lo, hi = window
-    return days <= hi if lo is None else days.between(lo, hi)
+def monthly(df: DataFrame, column: str, *aggs: str) -> DataFrame:
+    return df.groupBy(F.expr(f"{month_of(column)} AS month")).agg(*cols(*aggs))
 
 
 def exact_median(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import bucketize, month_of
+from stayrate.functions.columns import bucketize, day, month_of
 from stayrate.params import Params
 from stayrate.plans.joins import lookup
 from stayrate.roles import Roles
@@ -18,13 +18,11 @@ from stayrate.roles import Roles
 SEGMENT_SOURCES = {"seat_bucket": "seats", "cohort_month": "signup_date"}
 
 
-def segment(name: str, params: Params) -> Column:
-    """A column accounts can be cut by, given or derived."""
+def segment(name: str, params: Params) -> str:
+    """SQL text of a column accounts can be cut by, given or derived."""
     if name == "seat_bucket":
-        return bucketize(F.col("seats"), params.seat_edges, params.seat_labels)
-    if name == "cohort_month":
-        return month_of(F.col("signup_date"))
-    return F.col(name)
+        return bucketize("seats", params.seat_edges, params.seat_labels)
+    return month_of("signup_date") if name == "cohort_month" else name
 
 
 def account_span(roles: Roles) -> DataFrame:
@@ -33,10 +31,8 @@ def account_span(roles: Roles) -> DataFrame:
     Events are reduced to one row per account before they meet the accounts.
     """
     latest = roles.churn_events.groupBy("account_id").agg(F.max("churn_date").alias("last_event"))
-    return (
-        roles.accounts.join(latest, "account_id", "left")
-        .withColumn("churn_date", F.when(F.col("churn_flag"), F.col("last_event")))
-        .drop("last_event")
+    return roles.accounts.join(latest, "account_id", "left").selectExpr(
+        *roles.accounts.columns, "CASE WHEN churn_flag THEN last_event END AS churn_date"
     )
 
 
@@ -67,15 +63,14 @@ def owned_usage(
     return owned.withColumn("days", F.datediff("usage_date", "signup_date"))
 
 
-def in_lifetime(window_end: date | None) -> Column:
+def in_lifetime(window_end: date | None) -> str:
     """From signup to the last churn date, or to the window end for accounts that stayed.
 
     Without a window end, accounts that stayed have no upper bound.
     """
-    used, churned = F.col("usage_date"), F.col("churn_date")
     if window_end is None:
-        return (F.col("days") >= 0) & (churned.isNull() | (used <= churned))
-    return (F.col("days") >= 0) & (used <= F.coalesce(churned, F.lit(window_end)))
+        return "(days >= 0 AND (churn_date IS NULL OR usage_date <= churn_date))"
+    return f"(days >= 0 AND usage_date <= coalesce(churn_date, {day(window_end)}))"
 
 
 def feature_column(roles: Roles) -> str:
@@ -92,14 +87,9 @@ def with_feature(usage: DataFrame, roles: Roles) -> DataFrame:
     return lookup(usage, roles.features, "feature_key", hot).drop("feature_key")
 
 
-def first_subscription(roles: Roles) -> DataFrame:
-    """Earliest subscription per account by (start_date, subscription_id)."""
-    order = F.struct("start_date", "subscription_id")
-    return roles.subscriptions.groupBy("account_id").agg(
-        F.min("start_date").alias("first_start"),
-        F.min_by("is_trial", order).alias("first_is_trial"),
-    )
+# Whether the earliest subscription by (start_date, subscription_id) is a trial.
+FIRST_IS_TRIAL = "min_by(is_trial, struct(start_date, subscription_id)) AS first_is_trial"
 
 
-def mature(params: Params) -> Column:
-    return F.col("signup_date") <= F.lit(params.maturity_cut)
+def mature(params: Params) -> str:
+    return f"(signup_date <= {day(params.maturity_cut)})"

@@ -33,7 +33,7 @@ def prepare_usage(roles: Roles, folder: str | None = None) -> Roles:
     (
         with_feature(owned, roles)
         .drop("subscription_id", "days")
-        .withColumn("usage_month", month_of(F.col("usage_date")))
+        .withColumn("usage_month", F.expr(month_of("usage_date")))
         .hint("rebalance", F.col("usage_month"))
         .write.mode("overwrite")
         .partitionBy("usage_month")
