@@ -47,8 +47,8 @@ def retention_counts(
     cut = f"signup_date < {day(params.cohort_cut)}"
     end = f"usage_date < {day(activity_end(params.cohort_cut, months))}"
     label = f"{segment(by, params)} AS {by}"
-    usage = owned_usage(roles, attrs=[SEGMENT_SOURCES.get(by, by)], churn=bounded)
-    usage = usage.filter(f"{cut} AND {end}")
+    source = SEGMENT_SOURCES.get(by, by)
+    usage = owned_usage(roles, attrs=[source], churn=bounded, where=end).filter(cut)
     if bounded:
         usage = usage.filter(in_lifetime(params.window_end))
     active = (

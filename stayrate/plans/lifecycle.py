@@ -37,19 +37,26 @@ def account_span(roles: Roles) -> DataFrame:
 
 
 def owned_usage(
-    roles: Roles, *measures: str, attrs: Sequence[str] = (), churn: bool = False
+    roles: Roles,
+    *measures: str,
+    attrs: Sequence[str] = (),
+    churn: bool = False,
+    where: str | None = None,
 ) -> DataFrame:
     """Usage rows with their account, its signup date and ``days`` since signup.
 
     Subscriptions meet accounts first, so the usage table, by far the largest, is shuffled once, by
     subscription_id; filters on account columns put on the result move down to the accounts.
-    ``churn`` adds churn_date, ``attrs`` more account columns. With a prepared usage table nothing
-    is joined at all.
+    ``churn`` adds churn_date, ``attrs`` more account columns. ``where`` filters the usage rows
+    themselves, at the scan. With a prepared usage table nothing is joined at all.
     """
     wanted = ["account_id", "signup_date", *(["churn_date"] if churn else []), *attrs]
     wanted = list(dict.fromkeys(wanted))
+    source = roles.feature_usage if roles.owned is None else roles.owned
+    if where is not None:
+        source = source.filter(where)
     if roles.owned is not None:
-        owned = roles.owned.select("usage_date", *measures, *wanted)
+        owned = source.select("usage_date", *measures, *wanted)
     else:
         owner = lookup(
             roles.subscriptions.select("subscription_id", "account_id"),
@@ -57,7 +64,7 @@ def owned_usage(
             "account_id",
             roles.hot("subscriptions", "account_id"),
         )
-        usage = roles.feature_usage.select("subscription_id", "usage_date", *measures)
+        usage = source.select("subscription_id", "usage_date", *measures)
         hot = roles.hot("feature_usage", "subscription_id")
         owned = lookup(usage, owner, "subscription_id", hot)
     return owned.withColumn("days", F.datediff("usage_date", "signup_date"))

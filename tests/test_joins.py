@@ -104,3 +104,11 @@ def test_exact_median_many_slices(spark):
     df = spark.createDataFrame([*rows, (True, None)], "g boolean, v int")
     expected = rows_of(df.groupBy("g").agg(F.median("v")))
     assert sorted(rows_of(exact_median(df, "v", "g"))) == sorted(expected)
+
+
+def test_date_bounds_reach_the_scan_with_and_without_hot_keys(spark):
+    for options in ({}, {"hot_share": 0.0005, "hot_min_rows": 2}):
+        roles = retail_roles(spark, FOLDER, **options)
+        df = retention.retention_by_source(roles, PARAMS)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "LessThan(l_shipdate,1996-12-01T00:00)" in plan
