@@ -51,18 +51,9 @@ def _with(operator: Operator, **changes) -> Operator:
     return lambda roles, params: operator(roles, replace(params, **changes))
 
 
-def operators(reasons: tuple[str, ...], pair: tuple[str, str]) -> dict[str, Operator]:
-    """``reasons`` are the columns of the reason matrix, ``pair`` the two sources to compare."""
-    found: dict[str, Operator] = {}
-    for module, prefix in _PREFIXES.items():
-        for name, value in vars(module).items():
-            if name.startswith(prefix) and callable(value) and name not in _NOT_OPERATORS:
-                found[name] = value
-    found |= {
-        "churn_reason_mix_by_plan": partial(churn.churn_reason_mix_by_plan, reasons=reasons),
-        "stats_chi_square_pairwise": partial(
-            significance.stats_chi_square_pairwise, a=pair[0], b=pair[1]
-        ),
+def variants() -> dict[str, Operator]:
+    """Operators with another definition or window than their default."""
+    return {
         # usage after churn or before signup counted as the reference's SQL does
         "kpi_monthly_active_accounts_unbounded": partial(
             kpis.kpi_monthly_active_accounts, bounded=False
@@ -103,4 +94,17 @@ def operators(reasons: tuple[str, ...], pair: tuple[str, str]) -> dict[str, Oper
             growth.growth_activation_buckets, early_window=(0, 365)
         ),
     }
-    return found
+
+
+def operators(reasons: tuple[str, ...], pair: tuple[str, str]) -> dict[str, Operator]:
+    """``reasons`` are the columns of the reason matrix, ``pair`` the two sources to compare."""
+    found: dict[str, Operator] = {}
+    for module, prefix in _PREFIXES.items():
+        for name, value in vars(module).items():
+            if name.startswith(prefix) and callable(value) and name not in _NOT_OPERATORS:
+                found[name] = value
+    found["churn_reason_mix_by_plan"] = partial(churn.churn_reason_mix_by_plan, reasons=reasons)
+    found["stats_chi_square_pairwise"] = partial(
+        significance.stats_chi_square_pairwise, a=pair[0], b=pair[1]
+    )
+    return found | variants()
