@@ -5,16 +5,24 @@ least ``percent`` / 100. The method, for sets of at least one shingle:
 
 1. Sizes are cut into bands. A pair whose larger set lies in the band up to ``r`` differs in at most
    ``k = 2r (100 - percent) / (100 + percent)`` shingles. The shingle domain is hashed into
-   ``k + 1 + SPARE`` partitions per band, so such a pair agrees on at least ``SPARE + 1`` of them.
+   ``k + 1 + spare`` partitions per band, so such a pair agrees on at least ``spare + 1`` of them.
    A set's projection on one partition is a signature; a set signs for its own band and for those
-   of its possible larger partners. Empty projections are signed only by sets that have more than
-   ``SPARE`` of them: every linked pair shares a signature, none is lost.
+   of its possible larger partners. It leaves out its smallest projections, ``spare`` at most, as
+   they say little: of the ``spare + 1`` agreed ones the largest is signed by both sets, so every
+   linked pair shares a signature.
 2. Signatures are dealt by hash, each partition of about ``ROWS_PER_TASK`` rows. In each bucket all
-   members are paired with the member of smallest id (a star, not all pairs).
+   members are paired with the first ``CENTRES`` members in the order of a hash, not all pairs.
 3. Pairs are confirmed on the whole shingle sets, and components are formed from confirmed links.
-4. Only members that did not reach the component of their bucket's centre are compared further,
-   with those members of the bucket that the triangle inequality of the Jaccard distance allows.
-   After this every pair of a bucket is confirmed, excluded by a bound, or already connected.
+4. The member nearest to the centres, the medoid, is compared with all members that share the first
+   centre. Members outside its component are strays. With ``A`` and ``B`` the differences of two
+   members from the medoid (shingles in one set only), the members differ in
+   ``len(A) + len(B) - 2 len(A & B)`` shingles, so a linked pair shares at least
+   ``t = (len(A) + len(B) - k) / 2`` of them, and, in any common order, one among the first
+   ``len(A) - t + 1`` of ``A`` and the first ``len(B) - t + 1`` of ``B``. Shingles that the medoid
+   lacks come first, they are rare; what most members of a group differ in is the medoid's own
+   oddity and is taken out of it before. Only pairs of a stray that share so are confirmed; strays so
+   near that ``t`` is 0 meet the members as near. After this every pair of a bucket is confirmed,
+   excluded by a bound, or already connected, without comparing all pairs of a family.
 
 Equal sets are represented by their smallest document from the start.
 
@@ -25,18 +33,19 @@ document id are one node of the graph, and each gets a result row. A row without
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.shared import components, delete_path, packed, unpacked, written
+from stayrate.llm.shared import components, packed, small_batches, unpacked, written
 from stayrate.llm.text import mix, mix_int, shingle_sets, text_slices
 
-SPARE = 2
+CENTRES = 8
 BAND_GROWTH = 1.4
+SETS_KEPT = 4000
 ROWS_PER_TASK = 2_000_000
 
 
@@ -53,6 +62,10 @@ def most_different(size: int, percent: int) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
+def spare_parts(different: int) -> int:
+    return max(2, different * 3 // 10)
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The PartEnum signatures of a sorted set of fingerprints."""
     size = len(shingles)
@@ -62,7 +75,9 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     edges = band_edges(largest)
     out = []
     for band in range(*np.searchsorted(edges, [size, largest]) + np.array([0, 1])):
-        parts = most_different(int(edges[band]), percent) + 1 + SPARE
+        different = most_different(int(edges[band]), percent)
+        spare = spare_parts(different)
+        parts = different + 1 + spare
         seed = mix_int(band + 1)
         mixed = mix(shingles ^ np.uint64(seed))
         part = ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -75,8 +90,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
             + high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             + mix(np.arange(parts, dtype=np.uint64) + np.uint64(seed))
         )
-        filled = count > 0
-        out.append(keys if parts - filled.sum() > SPARE else keys[filled])
+        out.append(keys[count >= np.partition(count, spare)[spare]])
     return np.concatenate(out)
 
 
@@ -145,9 +159,9 @@ def signature_rows(
 
 
 def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, size, centre, member) of the buckets of a partition that have several members.
+    """(size, first, centre, member) of the buckets of a partition with several members.
 
-    Buckets with the same members count once; ``bucket`` is a fingerprint of the members.
+    Buckets with the same members count once; ``first`` is the first of the centres.
     """
     columns = [
         (b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches
@@ -156,77 +170,107 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, member = (np.concatenate(c) for c in zip(*columns))
     del columns
-    order = np.lexsort((member, sig))
+    order = np.argsort(sig)
+    same = sig[order][1:] == sig[order][:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    if not len(order):
+        return
     sig, member = sig[order], member[order]
-    del order
+    marks = mix(member.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    order = np.lexsort((marks, sig))
+    sig, member, marks = sig[order], member[order], marks[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
-    sig, member = sig[keep], member[keep]
+    sig, member, marks = sig[keep], member[keep], marks[keep]
     begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(begin, len(sig)))
-    marks = mix(member.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
     bucket = mix(np.add.reduceat(marks, begin) + size.astype(np.uint64))
-    several = np.flatnonzero(size > 1)
-    _, one = np.unique(bucket[several], return_index=True)
-    chosen = several[one]
-    counts = size[chosen] - 1
-    row = np.repeat(np.arange(len(chosen)), counts)
-    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = begin[chosen][row]
-    for i in range(0, len(row), 1 << 17):
-        part = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[chosen][row[part]].view(np.int64)),
-                pa.array(size[chosen][row[part]].astype(np.int64)),
-                pa.array(member[at[part]]),
-                pa.array(member[at[part] + 1 + within[part]]),
-            ],
-            names=["bucket", "size", "centre", "member"],
-        )
+    _, one = np.unique(bucket, return_index=True)
+    begin, size = begin[one], size[one]
+    for place in range(CENTRES):
+        chosen = np.flatnonzero(size > place + 1)
+        for part in np.array_split(chosen, int(size[chosen].sum()) // (1 << 17) + 1):
+            counts = size[part] - place - 1
+            row = np.repeat(part, counts)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(size[row].astype(np.int64)),
+                    pa.array(member[begin[row]]),
+                    pa.array(member[begin[row] + place]),
+                    pa.array(member[begin[row] + place + 1 + other]),
+                ],
+                names=["size", "first", "centre", "member"],
+            )
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, common, total): sizes of intersection and union of the two shingle sets."""
+def pairwise(
+    pairs: DataFrame,
+    texts: DataFrame,
+    n: int,
+    names: dict[str, pa.DataType],
+    measure: Callable[[np.ndarray, np.ndarray], tuple],
+) -> DataFrame:
+    """(a, b, *names): ``measure`` of the two shingle sets of each pair (a, b)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
-            common, total = [], []
-            known: dict[bytes, np.ndarray] = {}
-            left = [s for s in _sets(batch.column(2), n, known)]
-            right = [s for s in _sets(batch.column(3), n, known)]
-            for a, b in zip(left, right):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                common.append(both)
-                total.append(len(a) + len(b) - both)
+            a, b = (batch.column(i).to_pylist() for i in range(2))
+            wanted = {}
+            for i, column in ((0, 2), (1, 3)):
+                for row, key in enumerate((a, b)[i]):
+                    if key not in sets and key not in wanted:
+                        wanted[key] = batch.column(column)[row].as_py()
+            if len(sets) + len(wanted) > SETS_KEPT:
+                needed = {*a, *b}
+                sets = {key: value for key, value in sets.items() if key in needed}
+            keys = list(wanted)
+            for first, column in unpacked(pa.array(wanted.values(), pa.binary())):
+                for part in text_slices(column):
+                    for i, shingles in enumerate(shingle_sets(part, n), first + part.first):
+                        sets[keys[i]] = shingles
+            values = list(zip(*(measure(sets[x], sets[y]) for x, y in zip(a, b))))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(common, pa.int64()),
-                    pa.array(total, pa.int64()),
-                ],
-                names=["a", "b", "common", "total"],
+                [batch.column(0), batch.column(1)]
+                + [pa.array(v, t) for v, t in zip(values or [[]] * len(names), names.values())],
+                names=["a", "b", *names],
             )
 
+    sql = {pa.int64(): "bigint", pa.list_(pa.int64()): "array<bigint>"}
+    schema = ", ".join(["a bigint, b bigint", *(f"{k} {sql[t]}" for k, t in names.items())])
     with_b = pairs.join(texts.selectExpr("id AS b", "packed AS text_b"), "b")
     both = with_b.join(texts.selectExpr("id AS a", "packed AS text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(
-        compare, "a bigint, b bigint, common bigint, total bigint"
-    )
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, schema)
+
 
+def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, common, total): sizes of intersection and union of the two shingle sets."""
+
+    def measure(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common, len(x) + len(y) - common
+
+    return pairwise(pairs, texts, n, {"common": pa.int64(), "total": pa.int64()}, measure)
+
+
+def differences(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, common, total, size, most, apart): how the set of ``b`` differs from that of ``a``.
+
+    ``size`` belongs to ``b``, ``most`` is the largest difference between ``b`` and any linked
+    partner, ``apart`` holds the shingles of one set only, those that ``a`` lacks first.
+    """
+
+    def measure(medoid: np.ndarray, member: np.ndarray) -> tuple:
+        more = np.setdiff1d(member, medoid, assume_unique=True)
+        less = np.setdiff1d(medoid, member, assume_unique=True)
+        size = len(member)
+        most = (size + size * 100 // percent) * (100 - percent) // (100 + percent)
+        apart = np.concatenate((more, less)).view(np.int64)
+        return size - len(more), size + len(less), size, most, apart
 
-def _sets(column: pa.Array, n: int, known: dict[bytes, np.ndarray]) -> Iterator[np.ndarray]:
-    """Shingle sets of packed texts; a text equal to the one before is not read again."""
-    last, shingles = None, None
-    for value in column:
-        raw = value.as_buffer()
-        if last is None or not raw.equals(last):
-            for _, texts in unpacked(pa.array([raw.to_pybytes()], pa.binary())):
-                for part in text_slices(texts):
-                    (shingles,) = shingle_sets(part, n)
-            last = raw
-        yield shingles
+    names = dict.fromkeys(("common", "total", "size", "most"), pa.int64())
+    return pairwise(pairs, texts, n, names | {"apart": pa.list_(pa.int64())}, measure)
 
 
 def linked(percent: int) -> str:
@@ -246,6 +290,7 @@ def jaccard_components(
     the documents with the very same set. Ids are whole numbers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sets = written(shingle_counts(docs, n, id_col, text_col), "ngram-sets")
     first = (
         sets.filter(f"n_shingles > 0 AND `{id_col}` IS NOT NULL")
@@ -270,13 +315,16 @@ def jaccard_components(
     star = (
         signature_rows(docs, n, percent, id_col, text_col)
         .repartition(tasks, "sig")
-        .mapInArrow(stars, "bucket bigint, size bigint, centre bigint, member bigint")
+        .mapInArrow(stars, "size bigint, first bigint, centre bigint, member bigint")
     )
     star = written(
         star.join(copies.selectExpr("id AS centre", "rep AS rep_c"), "centre", "left")
         .join(copies.selectExpr("id AS member", "rep AS rep_m"), "member", "left")
         .selectExpr(
-            "bucket", "size", "coalesce(rep_c, centre) AS centre", "coalesce(rep_m, member) AS member"
+            "size",
+            "first",
+            "coalesce(rep_c, centre) AS centre",
+            "coalesce(rep_m, member) AS member",
         )
         .filter("centre <> member"),
         "ngram-star",
@@ -286,8 +334,7 @@ def jaccard_components(
     pairs = written(pairs, "ngram-pairs")
     wanted = star.selectExpr("centre AS id").union(star.selectExpr("member AS id")).distinct()
     texts = written(
-        packed(docs, id_col, text_col)
-        .withColumnRenamed(id_col, "id")
+        packed(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), "text")
         .filter("id IS NOT NULL AND packed IS NOT NULL")
         .join(wanted, "id", "left_semi"),
         "ngram-texts",
@@ -298,9 +345,13 @@ def jaccard_components(
     tied = named.filter("representative IS NOT NULL").selectExpr(
         f"CAST(`{id_col}` AS BIGINT) AS a", "representative AS b"
     ).filter("a <> b")
-    rest = _rest(star, known, components(links, "ngram-part"), percent)
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
-    if not rest.isEmpty():
+    groups = star.filter(f"size > {CENTRES + 1}").select("first", "centre", "member")
+    if not groups.isEmpty():
+        apart = written(_apart(groups, known, texts, n, percent), "ngram-apart")
+        links = links.union(apart.filter(linked(percent)).selectExpr("medoid AS a", "member AS b"))
+        links = links.filter("a <> b")
+        rest = _rest(apart, components(links, "ngram-part"), percent)
+        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
         more = written(confirmed(rest, texts, n), "ngram-more")
         links = links.union(more.filter(linked(percent)).select("a", "b"))
     graph = components(links.union(tied), "ngram-all")
@@ -313,32 +364,83 @@ def jaccard_components(
     )
 
 
-def _rest(star: DataFrame, known: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that its star left open: different components, near enough."""
-    limit = 1 - percent / 100 + 1e-9
-    member = (
-        star.filter("size > 2")
-        .dropDuplicates(["bucket", "member", "centre"])
-        .selectExpr(
-            "bucket", "centre", "member",
-            "least(centre, member) AS a", "greatest(centre, member) AS b",
-        )
+def _apart(
+    groups: DataFrame, known: DataFrame, texts: DataFrame, n: int, percent: int
+) -> DataFrame:
+    """(first, medoid, member, ...): differences of all members that share a first centre."""
+    compared = (
+        groups.distinct()
+        .selectExpr("first", "member", "least(centre, member) AS a", "greatest(centre, member) AS b")
         .join(known.selectExpr("a", "b", "1 - common / total AS far"), ["a", "b"])
-        .select("bucket", "centre", "member", "far")
-        .join(parts.selectExpr("node AS centre", "component AS at_centre"), "centre", "left")
+        .groupBy("first", "member")
+        .agg(F.avg("far").alias("far"), F.count("far").alias("n"))
+    )
+    medoid = compared.groupBy("first").agg(
+        F.expr(f"min_by(member, struct(-least(n, {CENTRES}), far, member))").alias("medoid")
+    )
+    member = groups.select("first", "member").union(groups.select("first", "centre")).distinct()
+    member = member.join(medoid, "first").filter("member <> medoid")
+    member = written(member, "ngram-member")
+    measured = differences(
+        member.selectExpr("medoid AS a", "member AS b").distinct(), texts, n, percent
+    ).withColumnsRenamed({"a": "medoid", "b": "member"})
+    return member.join(measured, ["medoid", "member"])
+
+
+def _rest(apart: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a stray and another member that may link; see step 4 above."""
+    # Shingles in the heads of most members of a group; at most twice as many as a head has.
+    sizes = apart.groupBy("first").agg(F.count("*").alias("n"))
+    odd = (
+        apart.selectExpr("first", "explode(slice(apart, 1, CAST(most + 1 AS INT))) AS shingle")
+        .groupBy("first", "shingle")
+        .agg(F.count("*").alias("times"))
+        .join(sizes, "first")
+        .filter("2 * times > n")
+        .groupBy("first")
+        .agg(F.sort_array(F.collect_list("shingle")).alias("odd"))
+    )
+    member = (
+        apart.join(odd, "first", "left")
+        .withColumn("odd", F.coalesce("odd", F.array().cast("array<bigint>")))
+        .withColumn("apart", F.expr("concat(array_except(apart, odd), array_except(odd, apart))"))
+        .join(parts.selectExpr("node AS medoid", "component AS centre_at"), "medoid", "left")
         .join(parts.selectExpr("node AS member", "component AS at"), "member", "left")
         .selectExpr(
-            "bucket", "member", "far", "coalesce(at, member) AS at",
-            "coalesce(at_centre, centre) AS at_centre",
+            "first",
+            "member",
+            "coalesce(at, member) AS at",
+            "coalesce(at, member) <> coalesce(centre_at, medoid) AS stray",
+            "size",
+            "most",
+            "CAST(size(apart) AS BIGINT) AS far",
+            "slice(apart, 1, CAST(most + 1 AS INT)) AS head",
         )
     )
-    stray = member.filter("at <> at_centre").selectExpr(
-        "bucket", "member AS a", "far AS far_a", "at AS at_a"
+    member = written(member, "ngram-placed")
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        columns = {"member": name} | {c: f"{c}_{name}" for c in ("at", "size", "far", "most")}
+        return df.selectExpr("first", *columns, *more).withColumnsRenamed(columns)
+
+    stray = member.filter("stray")
+    explode = "posexplode(head) AS (pos, shingle)"
+    different = f"(size_a + size_b) * {100 - percent} div {100 + percent}"
+    share = f"greatest(1, ceil((far_a + far_b - {different}) / 2))"
+    sharing = (
+        side(stray, "a", explode)
+        .withColumnRenamed("pos", "pos_a")
+        .join(side(member, "b", explode).withColumnRenamed("pos", "pos_b"), ["first", "shingle"])
+        .filter(f"at_a <> at_b AND pos_a <= far_a - {share} AND pos_b <= far_b - {share}")
+    )
+    near = (
+        side(stray.filter("far <= most"), "a")
+        .join(side(member, "b"), "first")
+        .filter(f"at_a <> at_b AND far_a + far_b <= {different}")
     )
-    other = member.selectExpr("bucket", "member AS b", "far AS far_b", "at AS at_b")
     return (
-        stray.join(other, "bucket")
-        .filter(f"a <> b AND at_a <> at_b AND abs(far_a - far_b) <= {limit}")
+        sharing.select("a", "b")
+        .union(near.select("a", "b"))
         .selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
         .distinct()
     )

@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in batches of at most ``rows``, unless the session has a smaller limit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -49,22 +57,26 @@ def drop_written(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, packed): texts compressed before a shuffle; null texts stay null."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, packed binary"
+def packed(docs: DataFrame, text_col: str, to: str = "packed") -> DataFrame:
+    """``docs`` with the text column replaced by the compressed text ``to``, for a shuffle.
+
+    Null texts stay null.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             values = [
-                None if not text.is_valid else tool.compress(text.as_buffer())
-                for text in batch.column(1)
+                tool.compress(text.as_buffer()) if text.is_valid else None
+                for text in batch.column(0)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.binary())], names=[id_col, "packed"]
+                [*batch.columns[1:], pa.array(values, pa.binary())], names=[*others, to]
             )
 
-    return docs.select(id_col, text_col).mapInArrow(pack, schema)
+    return docs.select(text_col, *others).mapInArrow(pack, ", ".join([*fields, f"`{to}` binary"]))
 
 
 def unpacked(column: pa.Array, max_bytes: int = 1 << 23) -> Iterator[tuple[int, pa.Array]]:

@@ -12,8 +12,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
-_HASH_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+_HASH_BYTES = (1 << 20) + 4096
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -128,6 +128,16 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def sliding_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of all runs of ``n`` consecutive bytes."""
+    if len(data) < n:
+        return np.zeros(0, np.uint64)
+    up, down = byte_powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up, out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: len(data) - n + 1])
+
+
 _ORDER = np.array([mix_int(1000 + i) | 1 for i in range(64)], np.uint64)
 
 
