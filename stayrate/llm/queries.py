@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stayrate.llm.line_dedup import dedup_units
 from stayrate.llm.ngram_join import jaccard_components
+from stayrate.llm.quality import repetition_quality
+from stayrate.llm.suffix_dedup import remove_repeats
+from stayrate.llm.url_filter import judge_urls
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+# The rules (host, path, verdict) of the URL query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +32,34 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_quality(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_units(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+
+
+def queries() -> dict[str, Query]:
+    return {
+        f.__name__: f
+        for f in (
+            op3_ngram_jaccard_join,
+            op4_url_filters,
+            op5_quality_rules,
+            op9_suffix_dedup,
+            op10_substring_dedup,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
