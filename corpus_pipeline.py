@@ -1,18 +1,88 @@
-"""The corpus pipeline: stages applied one after another to the documents."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes the documents that the stage before kept, written as Parquet and read again, and
+returns them with their own columns; the last returns the batches.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stayrate.llm.shared import written
+from stayrate.llm.decontaminate import find_leaks
+from stayrate.llm.line_dedup import dedup_units
+from stayrate.llm.ngram_join import jaccard_components
+from stayrate.llm.packing import pack_batches
+from stayrate.llm.quality import with_quality
+from stayrate.llm.shared import fresh, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-# Suffix arrays, edit distances and the length optimisation have no SQL form.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    mark = fresh("quality", docs.columns)
+    return with_quality(docs, mark).filter(f"`{mark}`.kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; rows without id stay.
+
+    Of rows that repeat an id the one with the smallest SHA-256 of its text stays.
+    """
+    groups = jaccard_components(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1")
+    repeated = written(repeated.select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64("*"))
+    one = (
+        kept.join(repeated, "doc_id", "left_semi")
+        .select("doc_id", row, order.alias("place"))
+        .groupBy("doc_id")
+        .agg(F.min_by("row", "place").alias("row"))
+        .select("row.*")
+    )
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds; those left without words go."""
+    mark = fresh("removal", docs.columns)
+    cleaned = dedup_units(docs, to=mark).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        size = F.when(F.col(f"`{mark}`.n_removed") > 0, F.length("text").cast(kind))
+        cleaned = cleaned.withColumn("n_chars", F.coalesce(size, "n_chars"))
+    return cleaned.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    mark = fresh("hits", docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_leaks(docs, benchmark, to=mark).filter(F.size(f"`{mark}`") == 0).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of each document."""
+    return pack_batches(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+# Exact edit distances and the length optimisation have no SQL form.
 ORACLE_SQL = None
 
 

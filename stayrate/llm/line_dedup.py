@@ -12,8 +12,8 @@ digest and marks its own repetitions, so a line found in a third of all texts fi
 
 A null text stays null and an empty one empty, both with no units. Rows without id, and rows whose
 id occurs more than once, have no place in the order: they are returned as they are, with no removed
-range, and cause no removal. All columns of the input are kept; n_units, n_removed, starts and ends
-are added and replace columns of these names. Ids are whole numbers.
+range, and cause no removal. All columns of the input are kept; a column named like the one added is
+replaced. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from stayrate.llm.text import LOWER, Texts, mix, powers, span_hashes, text_slice
 
 MIN_WORDS = 8
 ROWS_PER_TASK = 1_500_000
-ADDED = ("n_units", "n_removed", "starts", "ends")
+REMOVAL = "n_units: bigint, n_removed: bigint, starts: array<bigint>, ends: array<bigint>"
 
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
@@ -126,12 +126,19 @@ def removed_ranges(
 
 
 def dedup_units(
-    docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    to: str = "removal",
 ) -> DataFrame:
-    """``docs`` without repeated passages, and n_units, n_removed (bytes), starts, ends."""
+    """``docs`` without repeated passages, and a struct ``to``: n_units, n_removed, starts, ends.
+
+    ``n_removed`` counts bytes; ``starts`` and ``ends`` are byte offsets in the input text.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    named = docs.drop(*ADDED)
+    named = docs.drop(to)
     others = [c for c in named.columns if c != text_col]
 
     slim = named.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text")
@@ -149,13 +156,14 @@ def dedup_units(
         .mapInArrow(marked_units, "id bigint, unit bigint")
         .groupBy("id")
         .agg(F.collect_list("unit").alias("marks"))
-        .withColumnRenamed("id", "marked_id")
     )
-    joined = packed(named, text_col).join(
-        marks, F.expr(f"CAST(`{id_col}` AS BIGINT) = marked_id"), "left"
+    # The other columns travel as one struct, so their names cannot clash.
+    row = named.select(
+        F.col(text_col).alias("text"),
+        F.col(id_col).cast("bigint").alias("id"),
+        F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"),
     )
-    fields = [f"`{c}` {named.schema[c].dataType.simpleString()}" for c in others]
-
+    joined = packed(row, "text").join(marks, "id", "left")
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_text, out = [], []
@@ -184,28 +192,21 @@ def dedup_units(
                         out_text.append(text if valid else None)
                         out.append((hi - lo, int((b - a).sum()), a.tolist(), b.tolist()))
             counts = list(zip(*out)) if out else [[], [], [], []]
+            lists = pa.list_(pa.int64())
+            kinds = {"n_units": pa.int64(), "n_removed": pa.int64(), "starts": lists, "ends": lists}
+            removal = pa.StructArray.from_arrays(
+                [pa.array(c, t) for c, t in zip(counts, kinds.values())], list(kinds)
+            )
+            new_text = pa.array(out_text, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[2:],
-                    pa.array(out_text, pa.binary()).cast(pa.string()),
-                    pa.array(counts[0], pa.int64()),
-                    pa.array(counts[1], pa.int64()),
-                    pa.array(counts[2], pa.list_(pa.int64())),
-                    pa.array(counts[3], pa.list_(pa.int64())),
-                ],
-                names=[*others, text_col, *ADDED],
+                [new_text, batch.column(2), removal], names=["text", "row", "removal"]
             )
 
-    schema = [
-        *fields,
-        f"`{text_col}` string",
-        "n_units bigint",
-        "n_removed bigint",
-        "starts array<bigint>",
-        "ends array<bigint>",
-    ]
-    return (
-        joined.select("packed", "marks", *others)
-        .mapInArrow(rebuild, ", ".join(schema))
-        .select(*named.columns, *ADDED)
+    row_type = joined.schema["row"].dataType.simpleString()
+    done = joined.select("packed", "marks", "row").mapInArrow(
+        rebuild, f"text string, row {row_type}, removal struct<{REMOVAL}>"
+    )
+    return done.select(
+        *(F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in named.columns),
+        F.col("removal").alias(to),
     )

@@ -9,8 +9,8 @@ is longer than ``max_repeat`` words.
 
 Words are runs of characters other than ASCII white space, lines are split at line feeds. A null or
 empty text has no words, so it fails the base rules. Rows are judged one by one: ties, repeated rows
-and null ids change nothing; all columns of the input are ignored but id and text. Memory follows
-the longest text, about 60 bytes a byte.
+and null ids change nothing. Columns besides id and text are ignored, or kept by
+:func:`with_quality`. Memory follows the longest text, about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from stayrate.llm.shared import small_batches
+from stayrate.llm.shared import fresh, small_batches
 from stayrate.llm.text import (
     SPACE,
     Texts,
@@ -177,38 +176,56 @@ def measures(texts: Texts, min_repeat: int) -> Measures:
     )
 
 
-def repetition_quality(
+def with_quality(
     docs: DataFrame,
+    to: str,
     min_repeat: int = MIN_REPEAT,
     max_covered: int = MAX_COVERED,
     max_repeat: int = MAX_REPEAT,
-    id_col: str = "doc_id",
     text_col: str = "text",
+    keep_text: bool = True,
 ) -> DataFrame:
-    """(id, the seven measures, base_failed, kept) for each row."""
+    """``docs`` with a struct ``to``: the seven measures, base_failed and kept."""
     small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != text_col]
+    kept = [text_col, *others] if keep_text else others
+    measure = fresh("measures", docs.columns)
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    struct = ", ".join(f"{name}: bigint" for name in Measures._fields)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measures(part, min_repeat) for part in text_slices(batch.column(1))]
-            if parts:
-                arrays = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *arrays], names=[id_col, *Measures._fields]
-                )
-
-    schema = ", ".join(
-        [f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}"]
-        + [f"{name} bigint" for name in Measures._fields]
+            parts = [measures(part, min_repeat) for part in text_slices(batch.column(0))]
+            counts = [np.concatenate(c).astype(np.int64) for c in zip(*parts)]
+            counts = counts or [np.zeros(0, np.int64)] * len(Measures._fields)
+            found = pa.StructArray.from_arrays([pa.array(c) for c in counts], Measures._fields)
+            columns = batch.columns if keep_text else batch.columns[1:]
+            yield pa.RecordBatch.from_arrays([*columns, found], names=[*kept, measure])
+
+    measured = docs.select(text_col, *others).mapInArrow(
+        judge, ", ".join([*fields, f"`{measure}` struct<{struct}>"])
+    )
+    m = f"`{measure}`"
+    failed = (
+        f"({m}.n_words < {MIN_WORDS} OR 100 * {m}.n_repeat_words > {MAX_REPEATED} * {m}.n_words)"
+    )
+    passed = (
+        f"(NOT {failed} AND 100 * {m}.covered_words <= {max_covered} * {m}.n_words"
+        f" AND {m}.longest_repeat <= {max_repeat})"
+    )
+    order = [c for c in docs.columns if c in kept]
+    return measured.selectExpr(
+        *(f"`{c}`" for c in order),
+        f"named_struct({', '.join(f"'{n}', {m}.{n}" for n in Measures._fields)},"
+        f" 'base_failed', {failed}, 'kept', {passed}) AS `{to}`",
     )
-    measured = docs.select(id_col, text_col).mapInArrow(judge, schema)
-    return measured.withColumn(
-        "base_failed",
-        F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words"),
-    ).withColumn(
-        "kept",
-        F.expr(
-            f"NOT base_failed AND 100 * covered_words <= {max_covered} * n_words "
-            f"AND longest_repeat <= {max_repeat}"
-        ),
+
+
+def repetition_quality(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int
+) -> DataFrame:
+    """(id, the seven measures, base_failed, kept) for each row."""
+    judged = with_quality(
+        docs.select(id_col, text_col), "quality", text_col=text_col, keep_text=False, **limits
     )
+    return judged.select(id_col, "quality.*")

@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stayrate.llm.decontaminate import find_leaks
+from stayrate.llm.licenses import scan_licenses
 from stayrate.llm.line_dedup import dedup_units
 from stayrate.llm.ngram_join import jaccard_components
+from stayrate.llm.packing import pack_batches
 from stayrate.llm.quality import repetition_quality
+from stayrate.llm.shared import new_path, written
 from stayrate.llm.suffix_dedup import remove_repeats
+from stayrate.llm.token_rollup import Rollup, deleted, inserted, revised, with_bpe, with_words
 from stayrate.llm.url_filter import judge_urls
+from stayrate.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +31,24 @@ URL_RULES = [
 ]
 
 
+BPE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item found in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("doc_id", "inline(hits)")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_batches(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -41,21 +62,59 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_quality(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents.
+
+    All texts are inserted by words, and by BPE with an estimate of a token for four bytes; the
+    estimates are revised to the counts, and exact copies but the smallest id are deleted. One
+    batch is committed twice.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs = docs.withColumn("estimate", F.expr("coalesce(octet_length(text), 0) div 4"))
+    counted = written(with_bpe(with_words(docs, "words"), "bpe", BPE_RANKS), "rollup-counted")
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "digest").filter("doc_id > first")
+    rollup = Rollup(spark, new_path(spark, "rollup"))
+    rollup.commit("load-words", inserted(counted, "words/1", "words"))
+    rollup.commit("load-bpe", inserted(counted, "byte_bpe_50k/1", "estimate"))
+    exact = revised(counted, "byte_bpe_50k/1", "estimate", "bpe")
+    rollup.commit("count-bpe", exact)
+    gone = deleted(copies, "words/1", "words").union(deleted(copies, "byte_bpe_50k/1", "bpe"))
+    rollup.commit("drop-copies", gone)
+    rollup.commit("count-bpe", exact)
+    return rollup.totals()
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_units(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_units(docs).select("doc_id", "text", "removal.*")
 
 
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_benchmark_decontamination,
+            op2_packing,
             op3_ngram_jaccard_join,
             op4_url_filters,
             op5_quality_rules,
+            op6_license_scans,
+            op7_warc,
+            op8_token_counts,
             op9_suffix_dedup,
             op10_substring_dedup,
         )

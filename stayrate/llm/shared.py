@@ -35,6 +35,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -77,10 +77,10 @@ def judge_urls(
     ``rules`` has the columns host, path and verdict ('allow' or 'block').
     """
     host, path = url_parts(f"`{url_col}`")
-    kept = [f"`{c}`" for c in pages.columns if c not in RESULT]
-    if url_col in RESULT:
-        raise ValueError(f"the url column must not be named {url_col}")
-    split = pages.selectExpr(*kept, f"{host} AS host", f"{path} AS path")
+    kept = [c for c in pages.columns if c not in RESULT]
+    # The kept columns travel as one struct, so their names cannot clash.
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    split = pages.select(row, F.expr(host).alias("host"), F.expr(path).alias("path"))
     places = split.select("host", "path").distinct()
     expanded = expressions(places).withColumn(
         "digest", F.expr("sha2(concat(suffix, directory), 256)")
@@ -101,5 +101,9 @@ def judge_urls(
         .selectExpr("host", "path", "best.rule AS rule", "best.action AS action")
     )
     return split.join(best, ["host", "path"], "left").selectExpr(
-        *kept, "host", "path", "rule", f"coalesce(action, '{default}') AS verdict"
+        *(f"row.`{c}` AS `{c}`" for c in kept),
+        "host",
+        "path",
+        "rule",
+        f"coalesce(action, '{default}') AS verdict",
     )
