@@ -36,16 +36,30 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-_table: dict[str, np.ndarray] = {}
+class _Powers:
+    """Powers of the base and of its inverse, made when first asked for and never pickled."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            most = max(n, _HASH_BYTES + 1)
+            up, down = powers(_BASE, most), powers(_INVERSE, most)
+            if n > _HASH_BYTES + 1:
+                return up, down
+            self.up, self.down = up, down
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
 
 
 def byte_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept up to the usual slice size."""
-    if n > _HASH_BYTES + 1:
-        return powers(_BASE, n), powers(_INVERSE, n)
-    if not _table:
-        _table["up"], _table["down"] = (powers(b, _HASH_BYTES + 1) for b in (_BASE, _INVERSE))
-    return _table["up"][:n], _table["down"][:n]
+    return _powers.get(n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
