@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from stayrate.llm.shared import components, packed, small_batches, unpacked, written
 from stayrate.llm.text import mix, mix_int, shingle_sets, text_slices
 
-CENTRES = 8
+CENTRES = 4
 BAND_GROWTH = 1.4
 SETS_KEPT = 4000
 ROWS_PER_TASK = 2_000_000
@@ -297,6 +297,8 @@ def jaccard_components(
         .groupBy("low", "high")
         .agg(F.min(id_col).cast("bigint").alias("representative"))
     )
+    # Written, so that the join below deals both sides anew and Spark can split a hot digest.
+    first = written(first, "ngram-first")
     named = written(
         sets.join(first, ["low", "high"], "left").select(id_col, "n_shingles", "representative"),
         "ngram-named",
