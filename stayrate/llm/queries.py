@@ -11,6 +11,7 @@ from stayrate.llm.decontaminate import find_leaks
 from stayrate.llm.licenses import scan_licenses
 from stayrate.llm.line_dedup import dedup_units
 from stayrate.llm.ngram_join import jaccard_components
+from stayrate.llm.oracle import oracle_sql as oracle_sql
 from stayrate.llm.packing import pack_batches
 from stayrate.llm.quality import repetition_quality
 from stayrate.llm.shared import new_path, written
@@ -50,7 +51,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("representative")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_quality(table(spark, sf_dir, "documents"))
+    return repetition_quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,3 @@ def queries() -> dict[str, Query]:
         )
     }
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -1,0 +1,144 @@
+"""Plain Python versions of the operators, for small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def lowered(text: bytes) -> bytes:
+    return bytes(b + 32 if 65 <= b <= 90 else b for b in text)
+
+
+def words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode())
+
+
+def shingles(text: str | None, n: int) -> frozenset:
+    found = WORD.findall(lowered((text or "").encode()))
+    if len(found) < n:
+        return frozenset([tuple(found)] if found else [])
+    return frozenset(tuple(found[i : i + n]) for i in range(len(found) - n + 1))
+
+
+def components(texts: dict[int, str | None], n: int = 4, percent: int = 85) -> dict:
+    """doc -> (size of its set, smallest doc reachable by links)."""
+    sets = {i: shingles(t, n) for i, t in sorted(texts.items())}
+    parent = {i: i for i in sets}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    holders: dict = {}
+    for i, s in sets.items():
+        common = Counter(j for shingle in s for j in holders.get(shingle, ()))
+        for j, c in common.items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+        for shingle in s:
+            holders.setdefault(shingle, []).append(i)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def suffix_dedup(texts: dict[int, str | None], length: int) -> dict:
+    """doc -> (n_bytes, n_removed, n_spans, kept_sha256)."""
+    seen, out = set(), {}
+    for i, text in sorted(texts.items()):
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        for p in range(len(data) - length + 1):
+            piece = data[p : p + length]
+            if piece in seen:
+                gone[p : p + length] = [True] * length
+            seen.add(piece)
+        spans = sum(g and not (p and gone[p - 1]) for p, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        out[i] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def units(text: bytes) -> list[list[tuple[int, int]]]:
+    """Byte ranges of the words of each line or sentence."""
+    places = [m.span() for m in WORD.finditer(text)]
+    found, current = [], []
+    for k, (a, b) in enumerate(places):
+        current.append((a, b))
+        last = k + 1 == len(places)
+        if last or text[b - 1 : b] in (b".", b"!", b"?") or b"\n" in text[b : places[k + 1][0]]:
+            found.append(current)
+            current = []
+    return found
+
+
+def line_dedup(texts: dict[int, str | None], min_words: int) -> dict:
+    """doc -> (text left, number of units, starts, ends)."""
+    seen, out = set(), {}
+    for i, text in sorted(texts.items()):
+        data = (text or "").encode()
+        cut = units(data)
+        marks = []
+        for unit in cut:
+            key = tuple(lowered(data[a:b]) for a, b in unit)
+            marks.append(key in seen)
+            seen.add(key)
+        starts, ends, k = [], [], 0
+        while k < len(cut):
+            stop = k
+            while stop < len(cut) and marks[stop]:
+                stop += 1
+            if stop > k and sum(map(len, cut[k:stop])) >= min_words:
+                starts.append(cut[k][0][0])
+                ends.append(cut[stop][0][0] if stop < len(cut) else len(data))
+            k = max(stop, k + 1)
+        left = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
+        out[i] = (None if text is None else left.decode(), len(cut), starts, ends)
+    return out
+
+
+def repeats(tokens: list, size: int) -> set[int]:
+    """Positions inside a run of ``size`` tokens that occurs twice."""
+    grams = [tuple(tokens[i : i + size]) for i in range(len(tokens) - size + 1)]
+    times = Counter(grams)
+    return {i + o for i, g in enumerate(grams) if times[g] > 1 for o in range(size)}
+
+
+def quality(text: str | None, min_repeat: int, max_covered: int, max_repeat: int) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
+    text = text or ""
+    tokens = words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    five = len(repeats(tokens, 5))
+    failed = len(tokens) < 10 or 100 * five > 20 * len(tokens)
+    covered = len(repeats(tokens, min_repeat))
+    kept = (
+        not failed
+        and 100 * covered <= max_covered * len(tokens)
+        and not repeats(tokens, max_repeat + 1)
+    )
+    return (
+        len(tokens),
+        sum(len(w.decode()) for w in tokens),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        five,
+        failed,
+        kept,
+    )
+
+
+def edit_distance(a: list, b: list) -> int:
+    """Least number of edits that turn ``a`` into some stretch of ``b``."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
