@@ -83,6 +83,9 @@ def variants() -> dict[str, Operator]:
         "behaviour_usage_by_outcome_open_end": partial(
             behaviour.behaviour_usage_by_outcome, open_end=True
         ),
+        "behaviour_feature_adoption_bounded": partial(
+            behaviour.behaviour_feature_adoption, bounded=True
+        ),
         "behaviour_support_by_outcome_ticketed": partial(
             behaviour.behaviour_support_by_outcome, only_ticketed=True
         ),

@@ -37,17 +37,17 @@ def pct(a: str, b: str, digits: int = 1) -> str:
     return rnd(f"try_divide(100D * ({a}), CAST({b} AS DOUBLE))", digits)
 
 
-def exact(x: str) -> str:
-    """A money or measure value as decimal.
+def exact_sum(x: str) -> str:
+    """The sum of a decimal or double column as double, whatever order the rows come in.
 
-    Sums of doubles depend on the order in which partitions arrive; decimal sums do not, so a
-    re-run after a lost executor gives the same digits.
+    Sums of doubles depend on the order in which partitions arrive; sums of decimals do not, so a
+    re-run after a lost executor gives the same digits. A value is split without loss into its whole
+    part and its fraction, both exact as decimals: whole parts up to 38 digits, fractions to the
+    28th place. One rounding joins the two sums.
     """
-    return f"CAST({x} AS DECIMAL(18, 4))"
-
-
-def exact_sum(x: str) -> str:
-    return f"CAST(sum({exact(x)}) AS DOUBLE)"
+    whole = f"sum(CAST({x} - {x} % 1 AS DECIMAL(38, 0)))"
+    fraction = f"sum(CAST({x} % 1 AS DECIMAL(28, 28)))"
+    return f"(CAST({whole} AS DOUBLE) + CAST({fraction} AS DOUBLE))"
 
 
 def exact_avg(x: str) -> str:

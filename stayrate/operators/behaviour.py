@@ -87,14 +87,19 @@ def behaviour_prechurn_windows(roles: Roles, params: Params) -> DataFrame:
     return usage.agg(*cols(*means))
 
 
-def feature_adoption(roles: Roles, params: Params) -> DataFrame:
+def feature_adoption(roles: Roles, params: Params, bounded: bool = False) -> DataFrame:
     """Per feature: mature adopters, churned ones, and the same for all mature accounts.
 
+    ``bounded`` leaves usage after churn out.
+
     Non-adopters are the totals minus the adopters, so features never meet accounts pairwise. A
     feature used in the window only by accounts that are not mature stays, with 0 adopters.
     """
-    usage = owned_usage(roles, feature_column(roles), attrs=["churn_flag"])
+    usage = owned_usage(roles, feature_column(roles), attrs=["churn_flag"], churn=bounded)
+    if bounded:
+        usage = usage.filter(in_lifetime(params.window_end))
     adopted = with_feature(usage.filter(within("days", params.adoption_window)), roles)
+    adopted = adopted.filter("feature_name IS NOT NULL")
     pairs = adopted.selectExpr(
         "feature_name", "account_id", "churn_flag", f"{mature(params)} AS mature"
     ).distinct()
@@ -122,8 +127,8 @@ def feature_adoption(roles: Roles, params: Params) -> DataFrame:
     )
 
 
-def adoption_rates(roles: Roles, params: Params) -> DataFrame:
-    return feature_adoption(roles, params).selectExpr(
+def adoption_rates(roles: Roles, params: Params, bounded: bool = False) -> DataFrame:
+    return feature_adoption(roles, params, bounded).selectExpr(
         "feature_name",
         "adopters",
         f"{pct('adopters_lost', 'adopters')} AS adopter_churn_pct",
@@ -134,10 +139,12 @@ def adoption_rates(roles: Roles, params: Params) -> DataFrame:
 GAP = rnd("adopter_churn_pct - nonadopter_churn_pct", 1)
 
 
-def behaviour_feature_adoption(roles: Roles, params: Params) -> DataFrame:
+def behaviour_feature_adoption(
+    roles: Roles, params: Params, bounded: bool = False
+) -> DataFrame:
     """The features whose adopters churn least against the others."""
     return (
-        adoption_rates(roles, params)
+        adoption_rates(roles, params, bounded)
         .orderBy(F.expr(GAP).asc_nulls_last(), "feature_name")
         .limit(params.feature_limit)
     )
@@ -202,9 +209,9 @@ def behaviour_support_by_outcome(
             *cols(
                 "count(*) AS accts",
                 f"{rnd('avg(tickets)', 2)} AS avg_tickets",
-                f"{rnd('avg(res_h)', 1)} AS avg_resolution_h",
-                f"{rnd('avg(frt_min)', 1)} AS avg_first_response_min",
-                f"{rnd('avg(csat)', 2)} AS avg_csat",
+                f"{rnd(exact_avg('res_h'), 1)} AS avg_resolution_h",
+                f"{rnd(exact_avg('frt_min'), 1)} AS avg_first_response_min",
+                f"{rnd(exact_avg('csat'), 2)} AS avg_csat",
                 f"{rnd('avg(escs)', 2)} AS avg_escalations",
                 f"{pct('count_if(escs > 0)', 'count(*)')} AS pct_accts_escalated",
             )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import cols, exact, exact_avg, exact_sum, pct, rnd, text
+from stayrate.functions.columns import cols, exact_avg, exact_sum, pct, rnd, text
 from stayrate.params import Params
 from stayrate.plans.aggregates import rate_by
 from stayrate.plans.lifecycle import segment
@@ -69,7 +69,7 @@ def lost_revenue(roles: Roles) -> DataFrame:
 
 def churn_revenue_by_plan(roles: Roles, params: Params) -> DataFrame:
     lost = lost_revenue(roles)
-    total = lost.agg(F.sum("arr")).scalar()
+    total = lost.agg(F.expr(exact_sum("arr"))).scalar()
     return (
         lost.withColumn("total", total)
         .selectExpr(
@@ -88,12 +88,12 @@ def churn_arr_by_industry(roles: Roles, params: Params) -> DataFrame:
     per_account = (
         roles.subscriptions.filter("churn_flag")
         .groupBy("account_id")
-        .agg(F.expr(f"sum({exact('arr_amount')}) AS arr"))
+        .agg(F.expr(f"{exact_sum('arr_amount')} AS arr"))
     )
     return (
         per_account.join(roles.accounts.select("account_id", "industry"), "account_id")
         .groupBy("industry")
-        .agg(*cols(f"{rnd('sum(arr)')} AS arr_lost", "count(*) AS accts_losing"))
+        .agg(*cols(f"{rnd(exact_sum('arr'))} AS arr_lost", "count(*) AS accts_losing"))
         .orderBy(F.desc("arr_lost"), "industry")
     )
 
@@ -132,7 +132,8 @@ def churn_reason_mix_by_plan(
 ) -> DataFrame:
     """Plan by reason matrix, each row in percent; one column per entry of ``reasons``.
 
-    The denominator counts every reason that is not NULL, listed or not.
+    ``unlisted`` holds the reasons that are not listed, so a row reaches 100 but for rounding. Events
+    without a reason are left out.
     """
     matrix = (
         reason_counts(roles)
@@ -147,10 +148,12 @@ def churn_reason_mix_by_plan(
                 ],
             )
         )
+        .withColumn("rest", F.expr(" - ".join(["total", *(f"r{i}" for i in range(len(reasons)))])))
     )
     order = F.array_position(F.array(*[F.lit(plan) for plan in plans]), F.col("plan_tier"))
     shares = [f"{pct(f'r{i}', 'total')} AS `{reason}`" for i, reason in enumerate(reasons)]
-    return matrix.orderBy(order).selectExpr("plan_tier", *shares)
+    rest = f"{pct('rest', 'total')} AS unlisted"
+    return matrix.orderBy(order).selectExpr("plan_tier", *shares, rest)
 
 
 def churn_refunds(roles: Roles, params: Params) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import ratio, rnd, text
+from stayrate.functions.columns import exact_avg, exact_sum, rnd, text
 from stayrate.operators.marts import MARTS
 from stayrate.params import Params
 from stayrate.roles import Roles
@@ -90,10 +90,10 @@ def mart_view(df: DataFrame, sheets: Sequence[tuple]) -> DataFrame:
     rows = ", ".join(
         f"struct({text(dashboard)} AS dashboard, {text(sheet)} AS worksheet, "
         f"{text(f'{agg} {measure}')} AS measure, {dim(dims, 0)}, {dim(dims, 1)}, "
-        f"{text(agg)} AS agg, CAST(`{measure}` AS DECIMAL(24, 6)) AS v)"
+        f"{text(agg)} AS agg, CAST(`{measure}` AS DOUBLE) AS v)"
         for dashboard, sheet, dims, agg, measure in sheets
     )
-    value = rnd(f"CASE max(agg) WHEN 'avg' THEN {ratio('sum(v)', 'count(v)')} ELSE sum(v) END", 4)
+    value = rnd(f"CASE max(agg) WHEN 'avg' THEN {exact_avg('v')} ELSE {exact_sum('v')} END", 4)
     return (
         df.selectExpr(f"inline(array({rows}))")
         .groupBy("dashboard", "worksheet", "measure", "dim1", "dim2")

@@ -84,7 +84,7 @@ def early_usage(roles: Roles, params: Params, *measures: str, bounded: bool = Fa
     The latest day the window can reach is a filter of its own, applied where usage is scanned.
     """
     end = params.maturity_cut + timedelta(days=params.early_window[1])
-    usage = owned_usage(roles, *measures, churn=bounded, where=f"usage_date <= {day(end)}")
+    usage = owned_usage(roles, *measures, churn=bounded, until=end)
     usage = usage.filter(f"{mature(params)} AND {within('days', params.early_window)}")
     return usage.filter(in_lifetime(None)) if bounded else usage
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import (
     cols,
-    exact,
     exact_avg,
     exact_sum,
     month_of,
@@ -21,15 +22,15 @@ from stayrate.plans.joins import side_by_side
 from stayrate.plans.lifecycle import account_span, in_lifetime, owned_usage
 from stayrate.roles import Roles
 
-CHURNED_MRR = "CASE WHEN churn_flag THEN mrr_amount ELSE 0D END"
-ACTIVE_MRR = "CASE WHEN churn_flag THEN 0D ELSE mrr_amount END"
+CHURNED_MRR = "CASE WHEN churn_flag THEN mrr_amount ELSE 0 END"
+ACTIVE_MRR = "CASE WHEN churn_flag THEN 0 ELSE mrr_amount END"
 
 
 def kpi_topline(roles: Roles, params: Params) -> DataFrame:
     per_account = roles.subscriptions.groupBy("account_id").agg(
         *cols(
-            f"sum({exact('mrr_amount')}) FILTER (WHERE NOT churn_flag) AS mrr",
-            f"sum({exact('arr_amount')}) FILTER (WHERE NOT churn_flag) AS arr",
+            f"{exact_sum('CASE WHEN NOT churn_flag THEN mrr_amount END')} AS mrr",
+            f"{exact_sum('CASE WHEN NOT churn_flag THEN arr_amount END')} AS arr",
             "max(upgrade_flag) AS upgraded",
         )
     )
@@ -43,8 +44,8 @@ def kpi_topline(roles: Roles, params: Params) -> DataFrame:
         ),
         per_account.agg(
             *cols(
-                f"{rnd('sum(mrr)')} AS mrr_active",
-                f"{rnd('sum(arr)')} AS arr_active",
+                f"{rnd(exact_sum('mrr'))} AS mrr_active",
+                f"{rnd(exact_sum('arr'))} AS arr_active",
                 "count(account_id) FILTER (WHERE upgraded) AS acct_ever_upgraded",
             )
         ),
@@ -75,9 +76,15 @@ def kpi_monthly_subscriptions(roles: Roles, params: Params) -> DataFrame:
     ).orderBy("month")
 
 
-def monthly_active_accounts(roles: Roles, params: Params, bounded: bool = True) -> DataFrame:
+def monthly_active_accounts(
+    roles: Roles,
+    params: Params,
+    bounded: bool = True,
+    since: date | None = None,
+    until: date | None = None,
+) -> DataFrame:
     """Accounts with usage per month; ``bounded=False`` keeps usage after churn."""
-    usage = owned_usage(roles, churn=bounded)
+    usage = owned_usage(roles, churn=bounded, since=since, until=until)
     return (
         usage.filter(in_lifetime(params.window_end) if bounded else "days >= 0")
         .selectExpr(f"{month_of('usage_date')} AS month", "account_id")

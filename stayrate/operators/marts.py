@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from stayrate.functions.columns import (
     day,
     exact_avg,
     exact_sum,
+    month_of,
     ratio,
     rnd,
     within,
@@ -27,7 +29,7 @@ from stayrate.operators.kpis import (
     monthly_account_churn,
     monthly_active_accounts,
 )
-from stayrate.operators.retention import retention_long
+from stayrate.operators.retention import ALL_MONTHS, retention_long
 from stayrate.params import Params
 from stayrate.plans.aggregates import monthly
 from stayrate.plans.lifecycle import (
@@ -185,9 +187,16 @@ def month_spine(roles: Roles, params: Params) -> DataFrame:
     return months.selectExpr(f"add_months({first}, CAST(id AS INT)) AS month")
 
 
-def _monthly_mrr(roles: Roles) -> DataFrame:
+def _whole_months(params: Params) -> tuple[date, date]:
+    """First and last day of the months of the window."""
+    last = params.window_end.replace(day=1) + timedelta(days=31)
+    return params.window_start.replace(day=1), last.replace(day=1) - timedelta(days=1)
+
+
+def _monthly_mrr(roles: Roles, params: Params) -> DataFrame:
+    since, until = (day(d) for d in _whole_months(params))
     return monthly(
-        roles.subscriptions,
+        roles.subscriptions.filter(f"start_date BETWEEN {since} AND {until}"),
         "start_date",
         "count(*) AS new_subs",
         f"{exact_sum('mrr_amount')} AS new_mrr",
@@ -201,8 +210,8 @@ def mart_monthly_summary(
     """Monthly facts stacked on the spine and reduced to one row per month of the window."""
     first, last = (day(d.replace(day=1)) for d in (params.window_start, params.window_end))
     facts = (
-        monthly_active_accounts(roles, params, bounded),
-        _monthly_mrr(roles),
+        monthly_active_accounts(roles, params, bounded, *_whole_months(params)),
+        _monthly_mrr(roles, params),
         monthly_account_churn(roles, params, by),
     )
     stacked = reduce(
@@ -230,7 +239,7 @@ def mart_monthly_mrr_long(roles: Roles, params: Params) -> DataFrame:
     """New and churned MRR as two series; only subscriptions are read."""
     wide = (
         month_spine(roles, params)
-        .join(_monthly_mrr(roles), "month", "left")
+        .join(_monthly_mrr(roles, params), "month", "left")
         .selectExpr(
             "date_format(month, 'yyyy-MM') AS Month",
             f"{rnd('coalesce(new_mrr, 0)', 2)} AS `New MRR`",
@@ -272,7 +281,10 @@ def mart_churn_reasons(roles: Roles, params: Params) -> DataFrame:
 
 
 def mart_feature_metrics(roles: Roles, params: Params) -> DataFrame:
-    """Adoption against churn per adopted feature, with errors and rows over all its usage."""
+    """Adoption against churn per adopted feature, with errors and rows over all its usage.
+
+    A feature is the key here, so usage whose key ``features`` does not hold has no row.
+    """
     key = "feature_name" if roles.features is None else "feature_key"
     per_key = roles.feature_usage.groupBy(key).agg(
         *cols("sum(error_count) AS errors", "count(*) AS events")
@@ -320,11 +332,26 @@ MARTS = {
 
 
 def mart_row_counts(roles: Roles, params: Params) -> DataFrame:
-    """Rows each extract would have."""
+    """Rows each extract would have, from the keys of the extracts alone."""
+    spark = roles.accounts.sparkSession
+    cohort = roles.accounts.filter(f"signup_date < {day(params.cohort_cut)}")
+
+    def keys(df: DataFrame, *columns: str, times: int = 1) -> DataFrame:
+        return df.selectExpr(*columns).distinct().agg(F.expr(f"count(*) * {times} AS rows"))
+
+    months = len(ALL_MONTHS)
+    reasons = reason_counts(roles)
+    counts = {
+        "account_metrics": roles.accounts.agg(F.expr("count(*) AS rows")),
+        "monthly_summary": spark.range(1).selectExpr(f"{params.months}L AS rows"),
+        "monthly_mrr_long": spark.range(1).selectExpr(f"{2 * params.months}L AS rows"),
+        "cohort_retention": keys(cohort, f"{month_of('signup_date')} AS month", times=months),
+        "referral_curves": keys(cohort, "referral_source", times=months),
+        "churn_reasons": reasons.agg(F.expr("count(*) AS rows")),
+        "feature_metrics": feature_adoption(roles, params).agg(F.expr("count(*) AS rows")),
+        "plan_impact": keys(roles.subscriptions.filter("churn_flag"), "plan_tier"),
+    }
     return reduce(
         DataFrame.unionByName,
-        [
-            build(roles, params).agg(*cols(f"'{name}' AS extract", "count(*) AS rows"))
-            for name, build in MARTS.items()
-        ],
+        [df.selectExpr(f"'{name}' AS extract", "rows") for name, df in counts.items()],
     )

@@ -45,10 +45,10 @@ def retention_counts(
     past the last month of the last cohort is left out where it is scanned.
     """
     cut = f"signup_date < {day(params.cohort_cut)}"
-    end = f"usage_date < {day(activity_end(params.cohort_cut, months))}"
+    end = activity_end(params.cohort_cut, months) - timedelta(days=1)
     label = f"{segment(by, params)} AS {by}"
     source = SEGMENT_SOURCES.get(by, by)
-    usage = owned_usage(roles, attrs=[source], churn=bounded, where=end).filter(cut)
+    usage = owned_usage(roles, attrs=[source], churn=bounded, until=end).filter(cut)
     if bounded:
         usage = usage.filter(in_lifetime(params.window_end))
     active = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import cols, ratio, rnd, text
+from stayrate.functions.columns import cols, exact_sum, ratio, rnd, text
 from stayrate.functions.distributions import chi_square_p
 from stayrate.params import Params
 from stayrate.plans.aggregates import rate_by
@@ -69,8 +69,8 @@ def chi_square(accounts: DataFrame, params: Params, segments: Sequence[str]) ->
     tests = (
         contingency(accounts, params, segments)
         .groupBy("segment", "dof")
-        .agg(F.expr(f"sum(power(greatest({gap}, 0D), 2) / expected) AS chi2"))
-        .withColumn("p", chi_square_p("chi2", "dof"))
+        .agg(F.expr(f"{exact_sum(f'(power(greatest({gap}, 0D), 2) / expected)')} AS chi2"))
+        .withColumn("p", F.expr(chi_square_p("chi2", "dof")))
     )
     return tests.selectExpr(
         "segment AS test", f"{rnd('chi2', 4)} AS chi2", "dof", f"{rnd('p', 6)} AS p_value"

@@ -41,20 +41,25 @@ def owned_usage(
     *measures: str,
     attrs: Sequence[str] = (),
     churn: bool = False,
-    where: str | None = None,
+    since: date | None = None,
+    until: date | None = None,
 ) -> DataFrame:
     """Usage rows with their account, its signup date and ``days`` since signup.
 
     Subscriptions meet accounts first, so the usage table, by far the largest, is shuffled once, by
     subscription_id; filters on account columns put on the result move down to the accounts.
-    ``churn`` adds churn_date, ``attrs`` more account columns. ``where`` filters the usage rows
-    themselves, at the scan. With a prepared usage table nothing is joined at all.
+    ``churn`` adds churn_date, ``attrs`` more account columns. ``since`` and ``until`` bound the
+    usage dates at the scan. With a prepared usage table nothing is joined at all, and the bounds
+    choose its month folders.
     """
     wanted = ["account_id", "signup_date", *(["churn_date"] if churn else []), *attrs]
     wanted = list(dict.fromkeys(wanted))
     source = roles.feature_usage if roles.owned is None else roles.owned
-    if where is not None:
-        source = source.filter(where)
+    for bound, sign in ((since, ">="), (until, "<=")):
+        if bound is not None:
+            source = source.filter(f"usage_date {sign} {day(bound)}")
+            if roles.owned is not None:
+                source = source.filter(f"usage_month {sign} {day(bound.replace(day=1))}")
     if roles.owned is not None:
         owned = source.select("usage_date", *measures, *wanted)
     else:
@@ -87,11 +92,14 @@ def feature_column(roles: Roles) -> str:
 
 
 def with_feature(usage: DataFrame, roles: Roles) -> DataFrame:
-    """Resolve ``feature_key`` to ``feature_name`` where usage does not carry the name itself."""
+    """Resolve ``feature_key`` to ``feature_name`` where usage does not carry the name itself.
+
+    Usage of a key that ``features`` does not hold stays, with a NULL name.
+    """
     if "feature_name" in usage.columns:
         return usage
     hot = roles.hot("feature_usage", "feature_key")
-    return lookup(usage, roles.features, "feature_key", hot).drop("feature_key")
+    return lookup(usage, roles.features, "feature_key", hot, "left").drop("feature_key")
 
 
 # Whether the earliest subscription by (start_date, subscription_id) is a trial.

@@ -18,4 +18,10 @@ def build_session(app: str = "stayrate", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if session.conf.get(first, None) is None:
+        # Start with more partitions than cores; AQE merges those that turn out small.
+        usual = int(session.conf.get("spark.sql.shuffle.partitions"))
+        session.conf.set(first, max(usual, 2 * session.sparkContext.defaultParallelism))
+    return session

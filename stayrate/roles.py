@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 from stayrate.plans.joins import HotKeys, hot_keys
 
+# The names of the role tables.
 TABLES = ("accounts", "subscriptions", "feature_usage", "support_tickets", "churn_events")
 
+JOIN_KEYS = {"feature_usage": ("subscription_id", "feature_key"), "subscriptions": ("account_id",)}
+
 
 @dataclass
 class Roles:
@@ -32,7 +35,7 @@ class Roles:
     owned: DataFrame | None = None
     hot_share: float = 0.001
     hot_min_rows: int = 1_000_000
-    _hot: dict[tuple[str, str], HotKeys] = field(default_factory=dict, repr=False)
+    _hot: dict[str, dict[str, HotKeys]] = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
         return self.tickets if name == "support_tickets" else getattr(self, name)
@@ -44,15 +47,15 @@ class Roles:
         return self.support_tickets
 
     def hot(self, table: str, key: str) -> HotKeys:
-        """Heavy values of ``key``, looked for once per Roles object.
+        """Heavy values of ``key``, looked for once per table, in one pass for all its keys.
 
         They only steer how a join spreads its rows, so a stale list costs time, never rows.
         """
-        if (table, key) not in self._hot:
-            self._hot[table, key] = hot_keys(
-                self.table(table), key, self.hot_share, self.hot_min_rows
-            )
-        return self._hot[table, key]
+        if table not in self._hot:
+            frame = self.table(table)
+            keys = [k for k in JOIN_KEYS[table] if k in frame.columns]
+            self._hot[table] = hot_keys(frame, keys, self.hot_share, self.hot_min_rows)
+        return self._hot[table][key]
 
     def register_views(self) -> None:
         """Make the role tables available to ``spark.sql``."""

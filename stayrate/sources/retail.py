@@ -22,6 +22,8 @@ PARAMS = Params(
     maturity_cut=date(2001, 2, 1),
 )
 CHURNED_BEFORE = date(2000, 8, 1)
+# All prices of these tables have two decimal places, so this is the same number.
+PRICE = "CAST(o_totalprice AS DECIMAL(18, 2))"
 
 
 def _accounts(
@@ -70,8 +72,8 @@ def _subscriptions(orders: DataFrame) -> DataFrame:
         .otherwise("Pro")
         .alias("plan_tier"),
         F.when(key % 3 == 0, "annual").otherwise("monthly").alias("billing_frequency"),
-        F.col("o_totalprice").alias("mrr_amount"),
-        (12 * F.col("o_totalprice")).alias("arr_amount"),
+        F.expr(PRICE).alias("mrr_amount"),
+        F.expr(f"12 * {PRICE}").alias("arr_amount"),
         closed.alias("churn_flag"),
         (F.col("o_orderstatus") == "P").alias("is_trial"),
         (key % 7 == 0).alias("upgrade_flag"),
@@ -118,7 +120,9 @@ def _churn_events(orders: DataFrame) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("churn_date"),
         F.col("o_orderpriority").alias("reason_code"),
         F.when(key % 4 != 0, "text").alias("feedback_text"),
-        F.when(key % 6 == 0, F.col("o_totalprice") * 0.1).otherwise(0.0).alias("refund_amount_usd"),
+        F.expr(f"CASE WHEN o_orderkey % 6 = 0 THEN {PRICE} * 0.1BD ELSE 0.0BD END").alias(
+            "refund_amount_usd"
+        ),
         (key % 10 == 0).alias("is_reactivation"),
     )
 

@@ -81,10 +81,12 @@ def role_schema(table: str, id_type: T.DataType = _STRING) -> T.StructType:
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A headered CSV file or folder, matched to ``schema`` by column name.
 
-    Columns are read as text in file order and cast by name, so the column order of the file and
-    additional columns do not matter. The header comes from the first line only.
+    Columns are read as text in file order and cast by name, so the column order of the files and
+    additional columns do not matter. The header of the first file names the columns; reading fails
+    if another file has another header.
     """
-    raw = spark.read.option("header", True).csv(path)
+    named = spark.read.option("header", True).csv(path).schema
+    raw = spark.read.option("header", True).option("enforceSchema", False).schema(named).csv(path)
     return raw.select(*[raw[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 from datetime import date
 
 import pytest
@@ -17,7 +18,7 @@ from stayrate.functions.columns import (
     text,
     within,
 )
-from stayrate.functions.distributions import chi_square_tail
+from stayrate.functions.distributions import chi_square_p, erfc_of_root
 
 
 def test_rounding_scales_first(spark):
@@ -92,12 +93,36 @@ def test_texts_and_windows(spark):
         (0.0, 4, 1.0),
     ],
 )
-def test_chi_square_tail(x, dof, p):
-    assert chi_square_tail(x, dof) == pytest.approx(p, rel=1e-9)
+def test_chi_square_p(spark, x, dof, p):
+    assert tail(spark, x, dof) == pytest.approx(p, rel=1e-9)
 
 
-def test_chi_square_tail_edges():
-    assert chi_square_tail(None, 1) is None
-    assert chi_square_tail(1.0, 0) is None
-    assert 0 < chi_square_tail(1000.0, 5) < 1e-200
-    assert chi_square_tail(1e6, 7) == 0.0
+def test_chi_square_p_edges(spark):
+    assert tail(spark, None, 1) is None
+    assert tail(spark, 1.0, None) is None
+    assert tail(spark, 1.0, 0) == 1.0
+    assert 0 < tail(spark, 1000.0, 5) < 1e-200
+    assert tail(spark, 1e6, 7) == 0.0
+
+
+@pytest.mark.parametrize("half", [1e-6, 0.3, 1.9, 2.0, 2.1, 9.0, 200.0])
+def test_erfc(spark, half):
+    got = spark.range(1).selectExpr(erfc_of_root(f"{half}D")).first()[0]
+    assert got == pytest.approx(math.erfc(math.sqrt(half)), rel=1e-12)
+
+
+def test_chi_square_needs_nothing_on_the_workers(spark):
+    df = spark.range(1).selectExpr(chi_square_p("3D", "2"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def tail(spark, x, dof):
+    df = spark.createDataFrame([(x, dof)], "x double, dof int")
+    return df.selectExpr(chi_square_p("x", "dof")).first()[0]
+
+
+def test_sums_keep_small_and_large_values(spark):
+    df = spark.createDataFrame([(0.00004,), (0.00004,), (None,)], "x double")
+    assert rows_of(df.agg(F.expr(exact_sum("x")))) == [(0.00008,)]
+    df = spark.createDataFrame([(2e14,), (1e15,), (0.25,)], "x double")
+    assert rows_of(df.agg(F.expr(exact_sum("x")))) == [(1.20000000000000025e15,)]

@@ -27,18 +27,18 @@ def skewed(spark):
 
 
 def test_hot_keys_finds_the_heavy_key_only(skewed):
-    found = dict(hot_keys(skewed, "k", share=0.01, min_rows=100))
+    found = dict(hot_keys(skewed, ["k"], share=0.01, min_rows=100)["k"])
     assert set(found) == {7}
     assert found[7] == 34  # a third of the rows in pieces of one percent
 
 
 def test_hot_keys_of_even_data_is_empty(spark):
-    assert hot_keys(spark.range(10_000), "id", share=0.001, min_rows=1) == []
-    assert hot_keys(spark.range(0), "id", share=0.001, min_rows=1) == []
+    assert hot_keys(spark.range(10_000), ["id"], share=0.001, min_rows=1) == {"id": []}
+    assert hot_keys(spark.range(0), ["id"], share=0.001, min_rows=1) == {"id": []}
 
 
 def test_hot_keys_respects_the_row_floor(skewed):
-    assert hot_keys(skewed, "k", share=0.01, min_rows=1_000_000) == []
+    assert hot_keys(skewed, ["k"], share=0.01, min_rows=1_000_000) == {"k": []}
 
 
 def test_lookup_with_hot_keys_equals_plain_join(spark, skewed):
@@ -63,6 +63,25 @@ def test_hot_rows_are_spread_over_pieces(spark, skewed):
     assert "_piece" in plan
 
 
+def test_hot_rows_of_one_partition_fill_every_piece(spark):
+    fact = spark.range(20_000).select(F.lit(7).cast("long").alias("k"), "id").coalesce(1)
+    dim = spark.createDataFrame([(7, "d")], "k long, v string")
+    pieces = 11
+    joined = lookup(fact, dim, "k", [(7, pieces)])
+    assert joined.count() == 20_000
+    piece = F.pmod(F.xxhash64("k", "id"), F.lit(pieces))
+    counts = [row["count"] for row in fact.groupBy(piece.alias("p")).count().collect()]
+    assert len(counts) == pieces and min(counts) > 20_000 / pieces / 2
+
+
+def test_left_lookup_keeps_rows_without_dimension(spark):
+    fact = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, x string")
+    dim = spark.createDataFrame([(1, "d")], "k long, v string")
+    for hot in ([], [(1, 4), (2, 2)]):
+        got = lookup(fact, dim, "k", hot, "left").select("x", "v")
+        assert sorted(rows_of(got)) == [("a", "d"), ("b", None), ("c", None)]
+
+
 def test_results_do_not_depend_on_hot_keys(spark):
     plain = retail_roles(spark, FOLDER)
     split = retail_roles(spark, FOLDER, hot_share=0.0005, hot_min_rows=2)

@@ -349,7 +349,7 @@ def test_single_outcome_cannot_be_tested(make_roles, params):
         accounts=[dict(account_id=str(i), referral_source=str(i % 2)) for i in range(6)]
     )
     assert rows_of(stats.stats_chi_square(roles, params, ["referral_source"])) == [
-        ("referral_source", 0.0, 0, None)
+        ("referral_source", 0.0, 0, 1.0)
     ]
 
 
@@ -366,7 +366,9 @@ def test_reason_mix_rows_sum_to_100(make_roles, params):
         churn_events=[dict(account_id=a, reason_code=r) for a in "ab" for r in reasons],
     )
     mix = churn.churn_reason_mix_by_plan(roles, params, reasons=("price", "bugs", "other"))
-    assert rows_of(mix) == [("Basic", 75.0, 25.0, 0.0)]
+    assert rows_of(mix) == [("Basic", 75.0, 25.0, 0.0, 0.0)]
+    mix = churn.churn_reason_mix_by_plan(roles, params, reasons=("price",))
+    assert rows_of(mix) == [("Basic", 75.0, 25.0)]
     shares = rows_of(churn.churn_reasons(roles, params))
     assert shares[0] == ("price", 6, 60.0)
 
@@ -424,3 +426,60 @@ def test_views(lifecycle, spark):
     lifecycle.register_views()
     assert spark.sql("SELECT count(*) FROM accounts a JOIN churn_events USING (account_id)").first()[0] == 4
     assert spark.table("support_tickets").agg(F.count("*")).first()[0] == 4
+
+
+def test_usage_of_unknown_features_counts(make_roles, params):
+    usage = [dict(subscription_id="s", feature_key=k) for k in (1, 1, 2, 3)]
+    roles = make_roles(
+        accounts=[dict(account_id="a")], subscriptions=[dict(subscription_id="s", account_id="a")]
+    )
+    spark = roles.accounts.sparkSession
+    full = [(u["subscription_id"], u["feature_key"], date(2023, 1, 15), 1, 3600, 1, False) for u in usage]
+    schema = (
+        "subscription_id string, feature_key long, usage_date date, usage_count long,"
+        " usage_duration_secs long, error_count long, is_beta_feature boolean"
+    )
+    features = spark.createDataFrame([(1, "one"), (2, "two")], "feature_key long, feature_name string")
+    roles = replace(roles, feature_usage=spark.createDataFrame(full, schema), features=features)
+    row = behaviour.behaviour_usage_by_outcome(roles, params).first()
+    assert (row["avg_events"], row["avg_feats"], row["avg_errors"]) == (4.0, 2.0, 4.0)
+    (account,) = marts.mart_account_metrics(roles, params).collect()
+    assert (account["Events"], account["Distinct Features"]) == (4, 2)
+    assert behaviour.behaviour_error_rate(roles, params).first()["avg_errors"] == 4.0
+    names = {r["feature_name"] for r in behaviour.feature_adoption(roles, params).collect()}
+    assert names == {"one", "two"}
+
+
+def test_small_and_large_money(make_roles, params):
+    money = [0.00004, 0.00004, 2e14]
+    roles = make_roles(
+        accounts=[dict(account_id="a", churn_flag=True)],
+        subscriptions=[
+            dict(subscription_id=str(i), account_id="a", mrr_amount=m, arr_amount=m, churn_flag=True)
+            for i, m in enumerate(money)
+        ],
+        churn_events=[dict(account_id="a", refund_amount_usd=m) for m in money],
+    )
+    total = 2e14 + 0.00008
+    assert kpis.kpi_mrr_by_plan(roles, params).first()["churned_mrr"] == 2e14
+    assert churn.lost_revenue(roles).first()["arr"] == total
+    assert churn.churn_arr_by_industry(roles, params).first()["arr_lost"] == 2e14
+    assert churn.churn_refunds(roles, params).first()["max_refund"] == 2e14
+    assert marts.mart_plan_impact(roles, params).first()["Arr Lost"] == 2e14
+
+
+def test_row_counts_match_the_extracts(make_roles, params):
+    roles = make_roles(
+        accounts=[
+            dict(account_id="a"),
+            dict(account_id="b", signup_date=date(2023, 4, 1), referral_source=None),
+        ],
+        subscriptions=[
+            dict(subscription_id="s", account_id="a", churn_flag=True),
+            dict(subscription_id="t", account_id="b", plan_tier="Basic", churn_flag=True),
+        ],
+        feature_usage=[dict(subscription_id="s"), dict(subscription_id="t", feature_name="f2")],
+        churn_events=[dict(account_id="a"), dict(account_id="b", reason_code=None)],
+    )
+    counts = {r["extract"]: r["rows"] for r in marts.mart_row_counts(roles, params).collect()}
+    assert counts == {name: build(roles, params).count() for name, build in marts.MARTS.items()}

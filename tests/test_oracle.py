@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from stayrate import oracle
+from stayrate.catalog import operators
+from stayrate.sources.retail import PARAMS, retail_roles
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -20,8 +23,9 @@ TYPES = {
     "date": "DATE",
     "boolean": "BOOLEAN",
 }
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+SQL = oracle.oracle_sql()
+OPERATORS = operators(driver.REASONS, driver.PAIR)
+QUERIES = {name: driver.queries()[name] for name in OPERATORS}
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +41,16 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+@pytest.fixture(scope="module")
+def split_roles(spark):
+    """Roles in which every key with a few rows counts as hot, so that lookups split their rows."""
+    return retail_roles(spark, FOLDER, hot_min_rows=2)
+
+
+@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_sql(spark, duck, name):
-    df = QUERIES[name](spark, FOLDER)
+def test_matches_sql(spark, duck, split_roles, name, split):
+    df = OPERATORS[name](split_roles, PARAMS) if split else QUERIES[name](spark, FOLDER)
     expected = duck.execute(SQL[name])
     columns = {d[0]: str(d[1]) for d in expected.description}
     assert {c: TYPES[t] for c, t in df.dtypes} == columns

@@ -9,6 +9,7 @@ from conftest import rows_of
 from pyspark.sql import types as T
 
 from stayrate.catalog import operators
+from stayrate.operators import growth
 from stayrate.operators.dashboard import WORKSHEETS, mart_dashboard_long
 from stayrate.operators.marts import MART_SCHEMAS, MARTS, mart_row_counts
 from stayrate.sinks.extracts import (
@@ -19,7 +20,7 @@ from stayrate.sinks.extracts import (
 )
 from stayrate.sinks.prepared import prepare_usage
 from stayrate.sources.retail import PARAMS, retail_roles
-from stayrate.sources.tables import read_roles, role_schema
+from stayrate.sources.tables import read_csv_table, read_roles, role_schema
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -130,3 +131,26 @@ def test_prepared_usage_goes_below_the_checkpoint_folder(spark, roles):
         paths = {prepare_usage(roles).owned.inputFiles()[0].split("/owned_usage")[0] for _ in "ab"}
         assert len(paths) == 2
         assert all(f"{shared}/stayrate-" in path for path in paths)
+
+
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n2,1\n")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    with pytest.raises(Exception, match="CSV header"):
+        read_csv_table(spark, str(tmp_path), schema).collect()
+
+
+def test_prepared_usage_reads_only_the_months_it_needs(spark, make_roles, params, tmp_path):
+    roles = make_roles(
+        accounts=[dict(account_id="a")],
+        subscriptions=[dict(subscription_id="s", account_id="a")],
+        feature_usage=[
+            dict(subscription_id="s", usage_date=date(2023, m, 15)) for m in range(1, 12)
+        ],
+    )
+    prepared = prepare_usage(roles, str(tmp_path / "usage"))
+    df = growth.early_usage(prepared, params)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_month" in plan
+    assert df.count() == growth.early_usage(roles, params).count()
