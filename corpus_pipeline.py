@@ -30,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; rows without id stay.
 
+    Documents link as in the n-gram join's own query.
     Of rows that repeat an id the one with the smallest SHA-256 of its text stays.
     """
     groups = jaccard_components(docs)

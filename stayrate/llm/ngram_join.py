@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from stayrate.llm.shared import components, packed, small_batches, unpacked, written
 from stayrate.llm.text import mix, mix_int, shingle_sets, text_slices
 
-CENTRES = 4
+CENTRES = 2
 BAND_GROWTH = 1.4
 SETS_KEPT = 4000
 ROWS_PER_TASK = 2_000_000
