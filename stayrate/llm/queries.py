@@ -82,7 +82,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     docs = docs.withColumn("estimate", F.expr("coalesce(octet_length(text), 0) div 4"))
     counted = written(with_bpe(with_words(docs, "words"), "bpe", BPE_RANKS), "rollup-counted")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    # Written, so that the join deals both sides anew and Spark can split a hot digest.
+    first = written(first.filter("n > 1"), "rollup-first")
     copies = counted.join(first, "digest").filter("doc_id > first")
     rollup = Rollup(spark, new_path(spark, "rollup"))
     rollup.commit("load-words", inserted(counted, "words/1", "words"))
