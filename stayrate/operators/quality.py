@@ -14,6 +14,7 @@ from stayrate.plans.joins import side_by_side
 from stayrate.plans.lifecycle import owned_usage
 from stayrate.roles import TABLES, Roles
 
+# Keys, references with their labels, columns that may be NULL, listed domains.
 KEYS = {
     "accounts": "account_id",
     "subscriptions": "subscription_id",
