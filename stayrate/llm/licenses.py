@@ -2,10 +2,11 @@
 
 Texts with a word that notices use are searched. Around each such word, and for each template, the
 block of words that the template could cover is compressed alone and with the template as raw
-dictionary. Templates are ranked by the share of bytes this saves, and the best ``RANKED`` are
-confirmed by their exact wording: the edit distance in words between the template and the nearest
-stretch of the block, case and outer punctuation aside, must be at most ``max_difference`` of the
-template's words; the words missing and added are reported.
+dictionary, both in lower case, without outer punctuation and with single spaces. Templates are
+ranked by the share of bytes this saves and confirmed in that order, until one fits, by their exact
+wording in the same form: the edit distance in words between the template and the nearest stretch of
+the block must be at most ``max_difference`` of the template's words; the words missing and added
+are reported. A template that fits gives way to one that fits as many words with fewer edits.
 
 Words inside a confirmed notice are not looked at again, so a notice is reported once. A null or
 empty text has no notice. Rows are judged one by one: repeated rows and null ids change nothing.
@@ -54,7 +55,6 @@ TEMPLATES = {
 }
 
 TRIGGER = r"(?i)licen[cs]e|rights reserved|hereby granted|redistribution and use"
-RANKED = 3
 
 
 def plain(word: str) -> str:
@@ -72,7 +72,7 @@ class Scanner:
         for name, wording in sorted(templates.items()):
             words = [plain(w) for w in wording.split()]
             kind = zstandard.DICT_TYPE_RAWCONTENT
-            given = zstandard.ZstdCompressionDict(wording.encode(), dict_type=kind)
+            given = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=kind)
             tool = zstandard.ZstdCompressor(**options, dict_data=given, write_content_size=False)
             self.templates.append((name, words, tool))
 
@@ -89,17 +89,22 @@ class Scanner:
             ranked = []
             for name, wording, tool in self.templates:
                 low, high = max(past + 1, at - len(wording)), min(len(words), at + len(wording))
-                block = text[places[low][0] : places[high - 1][1]].encode()
+                block = " ".join(words[low:high]).encode()
                 saved = 1 - len(tool.compress(block)) / len(self.alone.compress(block))
                 ranked.append((-saved, name, low, high, wording))
-            for saved, name, low, high, wording in sorted(ranked)[:RANKED]:
+            best = None
+            for saved, name, low, high, wording in sorted(ranked):
                 fits = self.confirm(wording, words[low:high])
-                if fits is not None:
-                    a, b, edits, missing, added = fits
-                    past = low + b - 1
-                    span = places[low + a][0], places[past][1]
-                    found.append((name, *span, -saved, edits, missing, added))
-                    break
+                if fits is None:
+                    continue
+                a, b, edits, missing, added = fits
+                if best is None or (edits < best[4] and b - a >= best[2] - best[1]):
+                    best = name, low + a, low + b, saved, edits, missing, added
+            if best:
+                name, a, b, saved, edits, missing, added = best
+                past = b - 1
+                span = places[a][0], places[past][1]
+                found.append((name, *span, -saved, edits, missing, added))
         return found
 
     def confirm(self, wording: list[str], block: list[str]) -> tuple | None:

@@ -17,6 +17,21 @@ def test_each_template_is_found_as_itself():
         assert text[found[0][1] : found[0][2]] == wording
 
 
+def test_case_does_not_matter():
+    scanner = Scanner(TEMPLATES, 0.15)
+    for name, wording in TEMPLATES.items():
+        for form in (wording.upper(), wording.lower(), wording.title(), wording.swapcase()):
+            found = scanner.scan(f"{PROSE * 3}\n{form}\n{PROSE}")
+            assert [(f[0], f[4], f[5], f[6]) for f in found] == [(name, 0, [], [])], form
+
+
+def test_a_template_fits_at_any_rank():
+    versions = {f"CC {v}.0": f"Licensed under CC BY {v}.0." for v in range(1, 10)}
+    scanner = Scanner(versions, 0.15)
+    for name, wording in versions.items():
+        assert [f[0] for f in scanner.scan(f"{PROSE}{wording.title()} {PROSE}")] == [name]
+
+
 def test_wording_differences():
     scanner = Scanner(TEMPLATES, 0.15)
     text = PROSE + "this work is licensed under the GNU General public license version 4 okay"
