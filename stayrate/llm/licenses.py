@@ -1,23 +1,29 @@
-"""License scans by conditional compression: how much a template shrinks the text around a notice.
-
-Texts with a word that notices use are searched. Around each such word, and for each template, the
-block of words that the template could cover is compressed alone and with the template as raw
-dictionary, both in lower case, without outer punctuation and with single spaces. Templates are
-ranked by the share of bytes this saves and confirmed in that order, until one fits, by their exact
-wording in the same form: the edit distance in words between the template and the nearest stretch of
-the block must be at most ``max_difference`` of the template's words; the words missing and added
-are reported. A template that fits gives way to one that fits as many words with fewer edits.
-
-Words inside a confirmed notice are not looked at again, so a notice is reported once. A null or
-empty text has no notice. Rows are judged one by one: repeated rows and null ids change nothing.
-Other columns are ignored. Memory follows the longest text.
+"""License scans by conditional compression: how much a template shrinks the text of a notice.
+
+Texts and templates are compared word by word, in lower case and without outer punctuation; words
+are parted by any white space. A template is cut into one run of words more than the edits that
+``max_difference`` of its words allows, so a notice within the limit holds at least one run
+unchanged. Where a run stands, the text around it is compared with the template: the edit distance
+in words to the nearest stretch must be at most ``max_difference`` of the template's words; the words
+missing and added are reported.
+
+Where the stretches of several templates overlap, the words they cover are compressed alone and with
+each template as raw dictionary. The template that saves the largest share of bytes is reported,
+unless one that covers as many words has fewer edits; what is left of the others is compared again.
+
+Words inside a reported notice are not looked at again, so a notice is reported once. A null or
+empty text has no notice, a template without words is never found. Rows are judged one by one:
+repeated rows and null ids change nothing. Other columns are ignored. Memory follows the longest
+text.
 """
 
 from __future__ import annotations
 
 import difflib
+import heapq
 import re
 from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,58 +60,131 @@ TEMPLATES = {
     "all rights reserved": "All rights reserved.",
 }
 
-TRIGGER = r"(?i)licen[cs]e|rights reserved|hereby granted|redistribution and use"
-
 
 def plain(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]")
 
 
+def runs_of(wording: list[str], edits: int) -> list[tuple[int, list[str]]]:
+    """(offset, words) of runs of which ``edits`` edits leave at least one as it is."""
+    n = min(edits + 1, len(wording))
+    cuts = [i * len(wording) // n for i in range(n + 1)] if n else []
+    return [(a, wording[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+class Template(NamedTuple):
+    name: str
+    words: list[str]
+    most: int  # edits allowed
+    tool: zstandard.ZstdCompressor
+
+
+class Fit(NamedTuple):
+    """A stretch of words that a template fits, and the window it was looked for in."""
+
+    start: int
+    end: int
+    template: int
+    edits: int
+    missing: list[str]
+    added: list[str]
+    low: int
+    high: int
+
+
 class Scanner:
-    """Templates with their compressors."""
+    """Templates with their compressors and their runs of words."""
 
     def __init__(self, templates: Mapping[str, str], max_difference: float) -> None:
         self.max_difference = max_difference
         options = {"level": 9}
         self.alone = zstandard.ZstdCompressor(**options, write_content_size=False)
-        self.templates = []
+        self.templates: list[Template] = []
+        # By its longest word, each run as (template, offset in it, place of that word, words).
+        self.runs: dict[str, list[tuple[int, int, int, list[str]]]] = {}
         for name, wording in sorted(templates.items()):
             words = [plain(w) for w in wording.split()]
             kind = zstandard.DICT_TYPE_RAWCONTENT
             given = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=kind)
             tool = zstandard.ZstdCompressor(**options, dict_data=given, write_content_size=False)
-            self.templates.append((name, words, tool))
+            most = int(max_difference * len(words))
+            for offset, run in runs_of(words, most):
+                longest = max(run, key=len)
+                self.runs.setdefault(longest, []).append(
+                    (len(self.templates), offset, run.index(longest), run)
+                )
+            self.templates.append(Template(name, words, most, tool))
+        # Words that a text must hold somewhere for a run, the longest first.
+        self.needed = sorted(
+            {tuple(sorted(set(run), key=len, reverse=True)) for rs in self.runs.values() for *_, run in rs}
+        )
 
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, saved, edits, missing, added): offsets in characters."""
+        lowered = text.lower()
+        if not any(all(w in lowered for w in needed) for needed in self.needed):
+            return []
         places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-        starts = np.array([a for a, _ in places])
         words = [plain(text[a:b]) for a, b in places]
-        found, past = [], -1
-        for trigger in re.finditer(TRIGGER, text):
-            at = int(np.searchsorted(starts, trigger.start(), "right")) - 1
-            if at <= past:
-                continue
-            ranked = []
-            for name, wording, tool in self.templates:
-                low, high = max(past + 1, at - len(wording)), min(len(words), at + len(wording))
-                block = " ".join(words[low:high]).encode()
-                saved = 1 - len(tool.compress(block)) / len(self.alone.compress(block))
-                ranked.append((-saved, name, low, high, wording))
-            best = None
-            for saved, name, low, high, wording in sorted(ranked):
-                fits = self.confirm(wording, words[low:high])
-                if fits is None:
+        found = [
+            (self.templates[fit.template].name, places[fit.start][0], places[fit.end - 1][1], saved)
+            + (fit.edits, fit.missing, fit.added)
+            for fit, saved in self.settled(words)
+        ]
+        return sorted(found, key=lambda f: f[1])
+
+    def windows(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(template, low, high): stretches of words in which the template may lie."""
+        begins = set()
+        for at, word in enumerate(words):
+            for t, offset, place, run in self.runs.get(word, ()):
+                first = at - place
+                if first >= 0 and words[first : first + len(run)] == run:
+                    begins.add((t, first - offset))
+        for t, begin in sorted(begins):
+            _, wording, most, _ = self.templates[t]
+            yield t, max(0, begin - most), min(len(words), begin + len(wording) + most)
+
+    def fit(self, words: list[str], t: int, low: int, high: int) -> Fit | None:
+        _, wording, most, _ = self.templates[t]
+        if high - low < len(wording) - most:
+            return None
+        got = self.confirm(wording, words[low:high])
+        if got is None:
+            return None
+        a, b, *rest = got
+        return Fit(low + a, low + b, t, *rest, low, high)
+
+    def settled(self, words: list[str]) -> Iterator[tuple[Fit, float]]:
+        """Fits that do not overlap, with the share of bytes that the template saves."""
+        fits = [f for w in self.windows(words) if (f := self.fit(words, *w))]
+        heapq.heapify(fits)
+        taken = bytearray(len(words))
+        while fits:
+            rivals = [heapq.heappop(fits)]
+            while fits and fits[0].start < rivals[0].end:
+                rivals.append(heapq.heappop(fits))
+            block = " ".join(words[rivals[0].start : max(f.end for f in rivals)]).encode()
+            size = len(self.alone.compress(block))
+            saved = {
+                t: 1 - len(self.templates[t].tool.compress(block)) / size
+                for t in {f.template for f in rivals}
+            }
+            best, *others = sorted(rivals, key=lambda f: (-saved[f.template], f.edits, f.template, f))
+            for f in others:
+                if f.edits < best.edits and f.end - f.start >= best.end - best.start:
+                    best = f
+            yield best, saved[best.template]
+            taken[best.start : best.end] = b"\1" * (best.end - best.start)
+            while fits and fits[0].start < best.end:
+                rivals.append(heapq.heappop(fits))
+            for f in rivals:
+                if f.end <= best.start or f.start >= best.end:
+                    heapq.heappush(fits, f)
                     continue
-                a, b, edits, missing, added = fits
-                if best is None or (edits < best[4] and b - a >= best[2] - best[1]):
-                    best = name, low + a, low + b, saved, edits, missing, added
-            if best:
-                name, a, b, saved, edits, missing, added = best
-                past = b - 1
-                span = places[a][0], places[past][1]
-                found.append((name, *span, -saved, edits, missing, added))
-        return found
+                for part in re.finditer(rb"\0+", taken[f.low : f.high]):
+                    if rest := self.fit(words, f.template, f.low + part.start(), f.low + part.end()):
+                        heapq.heappush(fits, rest)
 
     def confirm(self, wording: list[str], block: list[str]) -> tuple | None:
         """Where the template lies in the block, and how its wording differs."""
@@ -163,6 +242,6 @@ def scan_licenses(
     )
     return (
         docs.select(id_col, text_col)
-        .filter(F.col(text_col).rlike(TRIGGER))
+        .filter(F.col(text_col).isNotNull())
         .mapInArrow(scan, schema)
     )

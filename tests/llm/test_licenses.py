@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
+import brute
+import pytest
+
 from stayrate.llm.licenses import TEMPLATES, Scanner, scan_licenses
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,6 +37,73 @@ def test_a_template_fits_at_any_rank():
         assert [f[0] for f in scanner.scan(f"{PROSE}{wording.title()} {PROSE}")] == [name]
 
 
+def test_any_white_space_parts_words(spark):
+    rows = [(i, f"{PROSE}\n{w}\n{PROSE}") for i, w in enumerate(TEMPLATES.values())]
+    rows = [(10 * i + k, t.replace(" ", gap)) for i, t in rows for k, gap in enumerate(("\n", "  ", "\t\r\n"))]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = list(TEMPLATES)
+    want = [(i, names[i // 10], 0) for i, _ in rows]
+    assert sorted((r["doc_id"], r["license"], r["edits"]) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("max_difference", [0.15, 0.3])
+def test_edits_anywhere_within_the_limit(max_difference):
+    rng = random.Random(7)
+    scanner = Scanner(TEMPLATES, max_difference)
+    for name, wording in TEMPLATES.items():
+        most = int(max_difference * len(wording.split()))
+        for _ in range(60):
+            words = wording.split()
+            for _ in range(most):
+                spot, kind = rng.randrange(len(words)), rng.randrange(3)
+                words[spot : spot + (kind != 1)] = [] if kind == 2 else ["zz"]
+            found = scanner.scan(f"{PROSE}{' '.join(words)} {PROSE}")
+            assert len(found) == 1 and found[0][4] <= most, words
+            if most < 2:
+                assert found[0][0][:3] == name[:3]
+
+
+def test_edited_trigger_phrases():
+    scanner = Scanner(TEMPLATES, 0.15)
+    for name, old, new in [
+        ("BSD", "Redistribution and use", "Redistribution or use"),
+        ("MIT grant", "hereby granted", "hereby freely granted"),
+        ("Apache-2.0 header", "Licensed under the", "Provided under"),
+    ]:
+        text = PROSE + TEMPLATES[name].replace(old, new) + "\n" + PROSE
+        assert [f[0] for f in scanner.scan(text)] == [name]
+
+
+def test_own_templates(spark):
+    own = {"house": "No copy without a written leave of the house.", "empty": " "}
+    df = spark.createDataFrame([(1, f"{PROSE}{own['house']}")], "doc_id long, text string")
+    assert [r["license"] for r in scan_licenses(df, own).collect()] == ["house"]
+
+
+def test_all_that_brute_force_finds():
+    rng = random.Random(3)
+    own = {"x": "a b c d e f g", "y": "c d e f g h i j", "z": "a a b"}
+    for limit in (0.0, 0.2, 0.5, 1.0):
+        scanner = Scanner(own, limit)
+        for _ in range(300):
+            words = [rng.choice("abcdefghij") for _ in range(rng.randrange(25))]
+            found = scanner.scan(" ".join(words))
+            gone = [False] * len(words)
+            for name, a, b, _, edits, _, _ in found:
+                stretch = words[a // 2 : b // 2 + 1]
+                assert edits == brute.edit_distance(own[name].split(), stretch)
+                assert edits <= int(limit * len(own[name].split()))
+                assert not any(gone[a // 2 : b // 2 + 1])
+                gone[a // 2 : b // 2 + 1] = [True] * len(stretch)
+            # Nothing within the limit is left between the notices.
+            free = "".join("|" if g else w for g, w in zip(gone, words)).split("|")
+            for wording in own.values():
+                wording = wording.split()
+                for part in free:
+                    edits = brute.edit_distance(wording, list(part))
+                    assert edits > int(limit * len(wording)) or edits == len(wording)
+
+
 def test_wording_differences():
     scanner = Scanner(TEMPLATES, 0.15)
     text = PROSE + "this work is licensed under the GNU General public license version 4 okay"
