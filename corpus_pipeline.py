@@ -20,6 +20,10 @@ from stayrate.llm.shared import fresh, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Near duplicates share this percentage of their shingles of so many words; op3's own query has others.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -30,10 +34,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; rows without id stay.
 
-    Documents link as in the n-gram join's own query.
+    Documents link at a Jaccard similarity of ``NEAR_PERCENT`` / 100 of their ``NEAR_WORDS``-word shingles.
     Of rows that repeat an id the one with the smallest SHA-256 of its text stays.
     """
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1")

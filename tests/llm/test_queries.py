@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
 import duckdb
 import pytest
@@ -120,3 +122,16 @@ def test_stages_take_odd_rows(spark, name):
     assert {"quality": 4, "near_duplicates": 6, "repeated_passages": 5, "decontamination": 7,
             "packing": 7}[name] == len(ids)
     assert stage(spark, df.limit(0), FOLDER).collect() == []
+
+
+def test_near_duplicates_link_at_80_percent_of_five_words(spark):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(rng.randint(40, 90))]
+        more = [f"x{rng.randrange(10_000)}" for _ in range(int(len(words) * rng.uniform(0.1, 0.3)))]
+        texts[i], texts[i + 1] = " ".join(words), " ".join(words + more)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()}
+    assert kept == {i for i, (_, c) in brute.components(texts, 5, 80).items() if c == i}
+    assert len(kept) < len({c for _, c in brute.components(texts).values()})
