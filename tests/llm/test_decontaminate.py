@@ -96,6 +96,55 @@ def test_documents(spark):
             assert inside == (found.get((r["doc_id"], item)) == 0)
 
 
+def test_short_items_are_found_with_all_their_edits(spark):
+    rng = random.Random(6)
+    items = {i: phrase(rng, 1 + i % 15) for i in range(60)}
+    docs = {}
+    for doc in range(300):
+        words = phrase(rng, rng.randint(0, 40))
+        item = items[doc % 60]
+        spot = rng.randint(0, len(words))
+        words[spot:spot] = edited(rng, item, int(0.2 * len(item)))
+        docs[doc] = " ".join(words)
+    texts = {i: " ".join(w) for i, w in items.items()}
+    found = D.find_leaks(*frames(spark, texts, docs)).collect()
+    hits = {(r["doc_id"], h["item_id"], h["edits"]) for r in found for h in r["hits"]}
+    want = {
+        (d, i, edits)
+        for d, t in docs.items()
+        for i, w in items.items()
+        if (edits := brute.edit_distance(w, t.split())) <= int(0.2 * len(w))
+    }
+    assert len(want) >= 300 and hits == want
+
+
+@pytest.mark.parametrize("sizes", [(15, 59), (16, 70)])
+def test_a_class_that_misses_the_recall_is_exact(spark, monkeypatch, sizes):
+    monkeypatch.setattr(D, "MOST_REPETITIONS", 0)
+    monkeypatch.setattr(D, "SEED_PAIRS", 200)
+    rng = random.Random(8)
+    items = {i: phrase(rng, rng.randint(*sizes)) for i in range(20)}
+    docs = {
+        d: " ".join(phrase(rng, 20) + edited(rng, items[d], int(0.2 * len(items[d]))) + phrase(rng, 9))
+        for d in items
+    }
+    texts = {i: " ".join(w) for i, w in items.items()}
+    found = D.find_leaks(*frames(spark, texts, docs)).collect()
+    assert all(r["doc_id"] in [h["item_id"] for h in r["hits"]] for r in found)
+
+
+def test_recall_by_class_of_lengths():
+    rng = np.random.default_rng(3)
+    tokens = [rng.integers(1, 2**63, n, np.uint64) for n in [*[16] * 5, *[60] * 200]]
+    index = D.index_of(list(range(len(tokens))), tokens, 0.2, 0.95)
+    hits = []
+    for i in [*range(5)] * 40:
+        text = D.mutated(tokens[i], int(0.2 * len(tokens[i])), rng)
+        end = np.full(len(text), len(text))
+        hits.append(any(i in item for _, item, _ in D.candidates(index, text, end)))
+    assert np.mean(hits) >= 0.9
+
+
 def test_blocks_of_the_benchmark(spark, planted, monkeypatch):
     items, docs, _ = planted
     whole = D.find_leaks(*frames(spark, items, docs)).selectExpr("doc_id", "inline(hits)")
