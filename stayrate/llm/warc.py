@@ -38,6 +38,7 @@ from stayrate.llm.shared import new_path, small_batches, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ID = "urn:stayrate:page:"
+NO_ID = "none:"  # begins the record names of pages without id
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -71,7 +72,7 @@ def record(
         f"Content-Length: {len(payload)}\r\n\r\n"
     ).encode()
     block = http if refers_to is not None else http + payload
-    name = str(uuid.uuid5(uuid.NAMESPACE_URL, digest)) if page_id is None else str(page_id)
+    name = f"{NO_ID}{uuid.uuid5(uuid.NAMESPACE_URL, digest)}" if page_id is None else str(page_id)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", f"<{ID}{name}>"),
@@ -264,7 +265,7 @@ def read_index(manifest: DataFrame) -> DataFrame:
                         raise ValueError(f"{uri}: members must be stored, not compressed")
                     index = file.read_at(members[INDEX].size, members[INDEX].offset).decode()
                 rows = []
-                for line in index.splitlines():
+                for line in index.split("\n")[:-1]:
                     url, place = line.split(" ", 1)
                     place = json.loads(place)
                     rows.append((uri, url, members[DATA].offset + place["offset"], place["length"]))
@@ -292,7 +293,7 @@ def read_records(index: DataFrame) -> DataFrame:
                     store, path = pa.fs.FileSystem.from_uri(archive)
                     uri, file = archive, store.open_input_file(path)
                 found.append(parse(file.read_at(length, offset)))
-            names = [int(p.name) if p.name.isdigit() else None for p in found]
+            names = [None if p.name.startswith(NO_ID) else int(p.name) for p in found]
             refers = [int(p.refers_to) if p.refers_to else None for p in found]
             yield pa.RecordBatch.from_arrays(
                 [

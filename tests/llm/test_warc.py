@@ -124,3 +124,13 @@ def test_damage_is_noticed():
     wrong = W.record(1, "u", b"x" * 200, "00", None, "d")
     with pytest.raises(ValueError, match="damaged"):
         W.parse(wrong)
+
+
+def test_negative_ids_and_urls_with_line_separators(spark):
+    page = "<p>" + "same " * 40
+    rows = [(-5, "http://a/", page), (-4, "http://b/", page), (None, "http://c/", page)]
+    rows += [(i, f"http://d/{c}x y", f"page {i}") for i, c in enumerate("\u0085\u2028\u2029\v\f\x1c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in W.archived(df).collect()}
+    want = {(-5, "response", None), (-4, "revisit", -5), (None, "revisit", -5)}
+    assert got == want | {(i, "response", None) for i in range(6)}
