@@ -16,6 +16,7 @@ from stayrate.llm.packing import pack_batches
 from stayrate.llm.quality import repetition_quality
 from stayrate.llm.shared import new_path, written
 from stayrate.llm.suffix_dedup import remove_repeats
+from stayrate.llm.token_files import read_files, token_files
 from stayrate.llm.token_rollup import Rollup, deleted, inserted, revised, with_bpe, with_words
 from stayrate.llm.url_filter import judge_urls
 from stayrate.llm.warc import archived
@@ -33,6 +34,8 @@ URL_RULES = [
 
 
 BPE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +109,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(docs).select("doc_id", "text", "removal.*")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, read back from the files.
+
+    Rows without id come first; a null or empty text holds the end id alone.
+    """
+    from public_tokenizers import path
+
+    files = token_files(table(spark, sf_dir, "documents"), path(WORD_BPE), END_ID)
+    return read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -120,6 +134,7 @@ def queries() -> dict[str, Query]:
             op8_token_counts,
             op9_suffix_dedup,
             op10_substring_dedup,
+            op11_token_files,
         )
     }
 
