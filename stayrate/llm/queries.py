@@ -20,6 +20,7 @@ from stayrate.llm.token_files import read_files, token_files
 from stayrate.llm.token_rollup import Rollup, deleted, inserted, revised, with_bpe, with_words
 from stayrate.llm.url_filter import judge_urls
 from stayrate.llm.warc import archived
+from stayrate.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +121,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to four whitened components of each finite vector; the fit list is all distinct vectors."""
+    return whiten(table(spark, sf_dir, "embeddings"), most=4)
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -135,6 +141,7 @@ def queries() -> dict[str, Query]:
             op9_suffix_dedup,
             op10_substring_dedup,
             op11_token_files,
+            op12_embedding_whitening,
         )
     }
 
