@@ -92,10 +92,75 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM numbered"""
 
 
+# CRC-32 is linear: each byte adds a number that depends on its distance from the end, and the length
+# adds another, so a feature's value is an exclusive or over its bytes.
+IMPORTANCE_RESAMPLING = r"""
+WITH RECURSIVE texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark
+), worded AS (
+  SELECT side, doc_id, row_number() OVER () AS place,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), runs AS (
+  SELECT side, place, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]))
+           AS feature FROM worded
+), counted AS (
+  SELECT side, place, feature, count(*) AS n FROM runs GROUP BY side, place, feature
+), spelled AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM counted)
+), bytes AS (
+  SELECT feature, len(h) // 2 - i AS distance, CAST('0x' || h[2 * i - 1:2 * i] AS INTEGER) AS b
+  FROM (SELECT feature, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM spelled)
+), single AS (
+  SELECT i AS b, list_reduce(list_prepend(i, range(8)), lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v
+  FROM range(256) numbers(i)
+), steps(distance, b, v) AS (
+  SELECT 0, b, v FROM single
+  UNION ALL
+  SELECT distance + 1, s.b, xor(t.v, s.v >> 8) FROM steps s JOIN single t ON t.b = s.v & 255
+  WHERE distance < (SELECT max(len(h) // 2) FROM spelled)
+), start(n, v) AS (
+  SELECT 0, 4294967295
+  UNION ALL
+  SELECT n + 1, xor(t.v, s.v >> 8) FROM start s JOIN single t ON t.b = s.v & 255
+  WHERE n < (SELECT max(len(h) // 2) FROM spelled)
+), placed AS (
+  SELECT feature, xor(xor(any_value(a.v), bit_xor(steps.v)), 4294967295) % 10000 AS bucket
+  FROM bytes JOIN steps USING (distance, b) JOIN spelled USING (feature)
+    JOIN start a ON a.n = len(h) // 2
+  GROUP BY feature
+), cells AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s,
+         coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t
+  FROM counted JOIN placed USING (feature) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE)
+           / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM cells
+), weights AS (
+  SELECT place, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS mean
+  FROM counted JOIN placed USING (feature) JOIN gains USING (bucket) WHERE side = 0 GROUP BY place
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, CAST(greatest(2 * len(w) - 1, 0) AS BIGINT) AS n_features,
+         coalesce(mean, 0) AS weight, weight + CAST(floor(-1000 * ln(-ln(
+           (CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT)
+           AS score
+  FROM worded LEFT JOIN weights USING (place) WHERE side = 0
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CAST(rank AS BIGINT) AS rank
+FROM scored LEFT JOIN (SELECT doc_id, rank FROM drawn WHERE rank <= 25 * n // 100) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_ngram_jaccard_join": NGRAM_JOIN,
         "op4_url_filters": URL_FILTERS,
         "op5_quality_rules": QUALITY_RULES,
         "op7_warc": WARC,
+        "op13_importance_resampling": IMPORTANCE_RESAMPLING,
     }

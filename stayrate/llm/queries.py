@@ -14,6 +14,7 @@ from stayrate.llm.ngram_join import jaccard_components
 from stayrate.llm.oracle import oracle_sql as oracle_sql
 from stayrate.llm.packing import pack_batches
 from stayrate.llm.quality import repetition_quality
+from stayrate.llm.resampling import resample
 from stayrate.llm.shared import new_path, written
 from stayrate.llm.suffix_dedup import remove_repeats
 from stayrate.llm.token_files import read_files, token_files
@@ -126,6 +127,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), most=4)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with weight and score; a quarter of those of 20 words, drawn, has a rank."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample(docs, target, percent=25, min_words=20, seed=7).drop("n_words")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -142,6 +149,7 @@ def queries() -> dict[str, Query]:
             op10_substring_dedup,
             op11_token_files,
             op12_embedding_whitening,
+            op13_importance_resampling,
         )
     }
 
