@@ -105,7 +105,3 @@ def make_roles(spark):
 @pytest.fixture
 def params() -> Params:
     return Params()
-
-
-def rows_of(df) -> list[tuple]:
-    return [tuple(row) for row in df.collect()]

@@ -1,0 +1,7 @@
+"""Rows of a result as plain tuples."""
+
+from __future__ import annotations
+
+
+def rows_of(df) -> list[tuple]:
+    return [tuple(row) for row in df.collect()]

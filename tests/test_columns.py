@@ -4,7 +4,7 @@ import math
 from datetime import date
 
 import pytest
-from conftest import rows_of
+from row_values import rows_of
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import rows_of
+from row_values import rows_of
 from pyspark.sql import functions as F
 
 from stayrate.operators import kpis, marts, quality, retention

@@ -6,7 +6,7 @@ from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import rows_of
+from row_values import rows_of
 from pyspark.sql import functions as F
 
 from stayrate.operators import behaviour, churn, growth, kpis, marts, quality, retention

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
-from conftest import rows_of
+from row_values import rows_of
 from pyspark.sql import types as T
 
 from stayrate.catalog import operators
