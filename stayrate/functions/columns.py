@@ -37,17 +37,58 @@ def pct(a: str, b: str, digits: int = 1) -> str:
     return rnd(f"try_divide(100D * ({a}), CAST({b} AS DOUBLE))", digits)
 
 
+# A double below 2**72 is cut into six whole numbers, each of 24 bits, from 2**-72 up.
+_LIMB_BITS = 24
+_LIMB_PLACES = range(-3, 3)
+_LIMB_LIMIT = f"{2.0**72!r}D"
+
+
+def _limb(x: str, place: int) -> str:
+    """The part of a double at ``place``: rounding at two places, so neither step is inexact."""
+
+    def cut(at: int) -> str:
+        return f"rint(CAST({x} AS DOUBLE) * {2.0 ** (-_LIMB_BITS * at)!r}D)"
+
+    above = f" - {cut(place + 1)} * {2.0**_LIMB_BITS!r}D" if place < _LIMB_PLACES[-1] else ""
+    return (
+        f"CASE WHEN abs(CAST({x} AS DOUBLE)) < {_LIMB_LIMIT} THEN CAST({cut(place)}{above} AS BIGINT)"
+        f" WHEN {x} IS NOT NULL THEN 0L END"
+    )
+
+
+def _beyond_limbs(x: str) -> str:
+    """What the limbs leave of a double: bits below 2**-72, or all of a larger one, NaN and infinity."""
+    low = -_LIMB_BITS * _LIMB_PLACES[0]
+    kept = f"rint(CAST({x} AS DOUBLE) * {2.0**low!r}D) * {2.0**-low!r}D"
+    return (
+        f"CASE WHEN abs(CAST({x} AS DOUBLE)) < {_LIMB_LIMIT} THEN CAST({x} AS DOUBLE) - {kept}"
+        f" ELSE CAST({x} AS DOUBLE) END"
+    )
+
+
+def _exact_sum_of_doubles(x: str) -> str:
+    half, size = 1 << _LIMB_BITS - 1, 1 << _LIMB_BITS
+    carried, parts = "", [f"sum({_beyond_limbs(x)})"]
+    for place in _LIMB_PLACES:
+        total = f"(sum({_limb(x, place)}){carried} + {half}L)"
+        # Rests lie around zero, so the highest part that is not zero decides and nothing cancels.
+        rest = f"(({total} & {size - 1}L) - {half}L)" if place < _LIMB_PLACES[-1] else f"({total} - {half}L)"
+        parts.append(f"CAST({rest} AS DOUBLE) * {2.0 ** (_LIMB_BITS * place)!r}D")
+        carried = f" + shiftright({total}, {_LIMB_BITS})"
+    return " + ".join(parts)
+
+
 def exact_sum(x: str) -> str:
     """The sum of a decimal or double column as double, whatever order the rows come in.
 
-    Sums of doubles depend on the order in which partitions arrive; sums of decimals do not, so a
-    re-run after a lost executor gives the same digits. A value is split without loss into its whole
-    part and its fraction, both exact as decimals: whole parts up to 38 digits, fractions to the
-    28th place. One rounding joins the two sums.
+    Sums of doubles depend on the order in which partitions arrive, so a re-run after a lost executor
+    may give other digits; sums of whole numbers and of decimals do not. A decimal is summed as it is.
+    A double is cut without loss into whole numbers of 24 bits each, which are summed apart and joined
+    at the end; a group may have 5 * 10**11 rows. Only values of 2**72 and more, and bits below
+    2**-72, are summed as doubles, so NaN and infinity give what a plain sum gives.
     """
-    whole = f"sum(CAST({x} - {x} % 1 AS DECIMAL(38, 0)))"
-    fraction = f"sum(CAST({x} % 1 AS DECIMAL(28, 28)))"
-    return f"(CAST({whole} AS DOUBLE) + CAST({fraction} AS DOUBLE))"
+    decimal = f"typeof(sum({x})) LIKE 'decimal%'"  # folded, so only one of the sums is in the plan
+    return f"if({decimal}, CAST(sum({x}) AS DOUBLE), {_exact_sum_of_doubles(x)})"
 
 
 def exact_avg(x: str) -> str:

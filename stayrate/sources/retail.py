@@ -26,6 +26,29 @@ CHURNED_BEFORE = date(2000, 8, 1)
 PRICE = "CAST(o_totalprice AS DECIMAL(18, 2))"
 
 
+# Columns of the order-entry tables. Reading with them opens no file while planning.
+SCHEMAS = {
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+}
+
+
 def _accounts(
     customer: DataFrame, orders: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
@@ -129,8 +152,10 @@ def _churn_events(orders: DataFrame) -> DataFrame:
 
 def retail_roles(spark: SparkSession, folder: str, **options) -> Roles:
     """Roles over ``<folder>/<table>.parquet``; ``options`` go to Roles."""
-    names = ("customer", "orders", "nation", "region", "lineitem", "part")
-    t = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+    t = {
+        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+        for name, schema in SCHEMAS.items()
+    }
     owners = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     returned = t["lineitem"].filter("l_returnflag = 'R' AND l_linestatus = 'F'")
     return Roles(

@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date
+from decimal import Decimal
 
+import duckdb
 import pytest
 from row_values import rows_of
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import (
+    _LIMB_PLACES,
+    _limb,
     banded,
     bucketize,
     exact_avg,
@@ -126,3 +131,64 @@ def test_sums_keep_small_and_large_values(spark):
     assert rows_of(df.agg(F.expr(exact_sum("x")))) == [(0.00008,)]
     df = spark.createDataFrame([(2e14,), (1e15,), (0.25,)], "x double")
     assert rows_of(df.agg(F.expr(exact_sum("x")))) == [(1.20000000000000025e15,)]
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def _sum_of(spark, values, kind="double"):
+    df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+    return [df.repartition(n).agg(F.expr(exact_sum("x"))).first()[0] for n in (1, 5)]
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.1] * 10,
+        [1e20, 1.0, -1e20],
+        [-0.1, None],
+        [1e-5, -1e-5, 3e-20],
+        [5e-324, 2.0**72, 1.5 * 2.0**71],
+        [0.5] * 1001,
+        [-(2.0**71), 2.0**71 - 2.0**18, 2.0**-70],
+    ],
+)
+def test_exact_sum_is_the_rounded_sum_of_doubles(spark, values):
+    exact = math.fsum(v for v in values if v is not None)
+    for got in _sum_of(spark, values):
+        assert abs(got - exact) <= 2 * math.ulp(exact)
+
+
+def test_exact_sum_of_many_magnitudes_does_not_depend_on_order(spark):
+    draw = random.Random(3)
+    values = [draw.choice((-1, 1)) * 10 ** draw.uniform(-4, 17) for _ in range(2000)]
+    once, again = _sum_of(spark, values)
+    assert once == again == _sum_of(spark, values[::-1])[1]
+    assert once == pytest.approx(math.fsum(values), rel=1e-15)
+
+
+@pytest.mark.parametrize(
+    "values", [[NAN, 1.0], [INF, 1.0], [-INF, 2.0, None], [INF, -INF], [None], [], [1e300, 1e300]]
+)
+def test_exact_sum_of_special_values_is_the_plain_sum(spark, values):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x DOUBLE)")
+    for value in values:
+        con.execute("INSERT INTO t VALUES (?)", [value])
+    want = con.execute("SELECT sum(x) FROM t").fetchone()[0]
+    for got in _sum_of(spark, values):
+        assert repr(got) == repr(want)
+
+
+def test_limbs_leave_room_for_many_rows(spark):
+    limbs = [_limb("x", place) for place in _LIMB_PLACES]
+    df = spark.createDataFrame([(0.5,), (-(2.0**72) * (1 - 2.0**-53),), (2.0**48 - 2.0**-4,)], "x double")
+    most = max(abs(v) for row in df.selectExpr(*limbs).collect() for v in row)
+    assert most <= 2**24 and most * 5 * 10**11 < 2**63
+
+
+def test_exact_sum_of_decimals_stays_decimal(spark):
+    df = spark.createDataFrame([(Decimal("0.10"),), (Decimal("0.25"),), (None,)], "x decimal(18,2)")
+    total = df.agg(F.expr(exact_sum("x")).alias("s"))
+    assert total.first()[0] == 0.35
+    assert "rint" not in total._jdf.queryExecution().optimizedPlan().toString()
