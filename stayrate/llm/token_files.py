@@ -13,9 +13,9 @@ about ``BLOCK_IDS`` ids:
 All numbers are little-endian. Reading looks up the four lengths of each control byte in a table of
 256 rows, sums them to the place of each id, and looks its rank up in the file's ids.
 
-The tokenizer drops white space and never joins across it, so a text is cut at ASCII white space, and
-at a stop that follows a letter; each distinct piece is encoded once in a worker process, however
-often it comes (``PIECES_KEPT`` pieces are remembered). The corpus is tokenized once, into a table
+The tokenizer must drop white space and never join across it, nor across a letter and the stop behind
+it; one that does is refused. So a text is cut there, and each distinct part is encoded once in a worker
+process, however often it comes (``PIECES_KEPT`` parts are remembered). The corpus is tokenized once, into a table
 that the count and the files read. Files are written by tasks that hold a range of document ids; a
 task run again writes new files, and only files named in the manifest, which Spark commits, are read.
 
@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import sys
 import types
@@ -37,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
@@ -47,6 +47,7 @@ from stayrate.llm.shared import drop_written, new_path, small_batches, written
 MAGIC = b"SRTOKID1"
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 25
+SLICE_BYTES = 1 << 23
 PIECES_KEPT = 1 << 20
 BLOCK = "<IQQ"
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("unnamed", "u1"), ("ids", "<u8")])
@@ -54,10 +55,9 @@ DOCUMENT = np.dtype([("doc_id", "<i8"), ("unnamed", "u1"), ("ids", "<u8")])
 # The four lengths that a control byte stands for.
 LENGTHS = (np.arange(256, dtype=np.int64)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
-# A place where no token spans: behind a letter and before a stop.
-_CUT = re.compile(
-    rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[.,;:!?])"
-)
+_STOPS = frozenset(".,;:!?")
+# No token spans a letter and a stop behind it: pattern and replacement that part them.
+_CUT = (r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?])", r"\1 \2")
 
 
 def control_bytes(ids: np.ndarray) -> np.ndarray:
@@ -95,61 +95,104 @@ def decode(control: np.ndarray, data: np.ndarray, ids: np.ndarray) -> np.ndarray
 
 
 class Pieces:
-    """Ids of distinct pieces, one array after the other; piece ``i`` is ``ids[at[i]:at[i + 1]]``."""
+    """Ids of the distinct parts of texts, one array after the other.
+
+    Part ``i`` has ``ids[at[i]:at[i + 1]]``. Texts are split, parts told apart and looked up by Arrow
+    and one dictionary, so Python's work follows the distinct parts of a slice of texts.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts, whole = (self._ids(text) for text in ("a. A\nb", "a.  a b"))
+        if parts != whole or whole != [i for part in "a.ab" for i in self._ids(part)]:
+            raise ValueError(f"{path}: the tokenizer keeps white space or joins words and stops")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab().items()
+            self.ends[[i for token, i in vocabulary if token.endswith(suffix)]] = True
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encode the pieces not seen before, a cut part of several of them once."""
-        new = [piece for piece in pieces if piece not in self.number]
-        cut = []
-        for piece in new:
-            # ASCII letters are lowered by the tokenizer too, but its own tokens are matched before.
-            same = piece.lower() if piece.isascii() and b"<|" not in piece else piece
-            cut.append([part.decode(errors="replace") for part in _CUT.split(same)])
-        unseen = list({part for parts in cut for part in parts if part not in self.parts})
-        found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
-        self.parts.update(zip(unseen, (encoding.ids for encoding in found)))
-        values: list[int] = []
-        ends: list[int] = []
-        for parts in cut:
-            for part in parts:
-                values += self.parts[part]
-            ends.append(len(values))
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts not seen before."""
+        simple = [part for part in parts if part.isalpha() or part in _STOPS] if self.ends.any() else []
+        for first in range(0, len(simple), 256):
+            self._store(simple[first : first + 256], *self._joined(simple[first : first + 256]))
+        others = [part for part in parts if part not in self.number]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        self._store(others, np.array([i for ids in found for i in ids], np.uint32), sizes)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, encoded as one text: ids that end a word tell them apart.
+
+        Each word has such an id at its end, so if there are no more of them than words, none is split.
+        """
+        ids = np.array(self._ids(" ".join(words)), np.uint32)
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) == len(words):
+            return ids, np.diff(end, prepend=0)
+        found = [self._ids(word) for word in words]
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        return np.array([i for ids in found for i in ids], np.uint32), sizes
+
+    def _store(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         have = len(self.number)
         begin = int(self.at[have])
-        self.ids = _grown(self.ids, begin + len(values))
-        self.at = _grown(self.at, have + len(new) + 1)
-        self.ids[begin : begin + len(values)] = values
-        self.at[have + 1 : have + len(new) + 1] = begin + np.array(ends, np.int64)
-        self.number.update(zip(new, range(have, have + len(new))))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        pieces = text.split()
+        self.ids = _grown(self.ids, begin + len(ids))
+        self.at = _grown(self.at, have + len(parts) + 1)
+        self.ids[begin : begin + len(ids)] = ids
+        self.at[have + 1 : have + len(parts) + 1] = begin + np.cumsum(sizes)
+        self.number.update(zip(parts, range(have, have + len(parts))))
+
+    def numbers(self, parts: pa.Array) -> np.ndarray:
+        """The numbers of distinct parts."""
+        known = parts.to_pylist()
         if len(self.number) > PIECES_KEPT:
             self.clear()
-        try:
-            number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        except KeyError:
-            self.learn(set(pieces))
-            number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        size = self.at[number + 1] - self.at[number]
-        end = np.cumsum(size)
-        where = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(
-            self.at[number] - end + size, size
+        unseen = [part for part in known if part not in self.number]
+        if unseen:
+            self.learn(unseen)
+        return np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per text) of an Arrow string array without nulls."""
+        split = pc.ascii_split_whitespace(texts)
+        pieces = split.flatten().dictionary_encode()
+        cut = pc.split_pattern(pc.replace_substring_regex(pieces.dictionary, *_CUT), " ")
+        parts = cut.flatten().dictionary_encode()
+        # ASCII letters are lowered by the tokenizer too, but its own tokens are matched before.
+        plain = pc.and_not(
+            pc.string_is_ascii(parts.dictionary), pc.match_substring(parts.dictionary, "<|")
         )
-        return self.ids[where]
+        same = pc.if_else(plain, pc.ascii_lower(parts.dictionary), parts.dictionary).dictionary_encode()
+        number = self.numbers(same.dictionary)[same.indices.to_numpy()][parts.indices.to_numpy()]
+        # Ids of each distinct piece, its parts one after the other
+        ids, sizes = _runs(self.ids, self.at, number)
+        part_ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = part_ends[cut.offsets.to_numpy()]
+        ids, sizes = _runs(ids, at, pieces.indices.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(sizes)))[split.offsets.to_numpy()]
+        return ids, np.diff(ends)
+
+
+def _runs(values: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[at[i]:at[i + 1]]`` of the chosen ``i``, joined, and their lengths."""
+    first, size = at[chosen], at[chosen + 1] - at[chosen]
+    end = np.cumsum(size)
+    total = int(end[-1]) if len(end) else 0
+    return values[np.arange(total) + np.repeat(first - end + size, size)], size
 
 
 def _grown(values: np.ndarray, least: int) -> np.ndarray:
@@ -166,6 +209,17 @@ def pieces_of(path: str) -> Pieces:
     return kept.pieces
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of whole texts of about ``SLICE_BYTES``; null texts are empty."""
+    texts = texts.fill_null("")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = done = 0
+    while first < len(texts):
+        last = max(int(np.searchsorted(sizes, done + SLICE_BYTES, "right")), first + 1)
+        yield texts[first:last]
+        first, done = last, int(sizes[last - 1])
+
+
 def tokenized(
     docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -177,18 +231,20 @@ def tokenized(
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
-        tool = zstandard.ZstdCompressor(level=3)
-        end = np.array([end_id], "<u4")
+        tool = zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], "<u4").tobytes()
         row = 0
         for batch in batches:
             digests, sizes, packed = [], [], []
-            for text in batch.column(1):
-                content = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids = np.concatenate((pieces.encode(content).astype("<u4"), end))
-                digest = hashlib.blake2b(content, digest_size=8).digest()
-                digests.append(int.from_bytes(digest, "little", signed=True))
-                sizes.append(len(ids))
-                packed.append(tool.compress(ids.tobytes()))
+            for texts in slices(batch.column(1)):
+                ids, counts = pieces.encode(texts)
+                content, place = ids.astype("<u4").tobytes(), 0
+                for text, count in zip(texts, counts.tolist()):
+                    digest = hashlib.blake2b(text.as_buffer(), digest_size=8).digest()
+                    digests.append(int.from_bytes(digest, "little", signed=True))
+                    sizes.append(count + 1)
+                    packed.append(tool.compress(content[place : place + 4 * count] + end))
+                    place += 4 * count
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,18 +47,34 @@ WORDS = ["don't", "HE'LL.", "a.b", "Été.", "<|endoftext|>", "<|STARTOFTEXT|>",
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(ODD, max_size=6) | st.sampled_from(WORDS), max_size=12).map("".join))
 def test_pieces_equal_whole_texts(tokenizer, text):
-    pieces = T.pieces_of(PATH)
-    assert pieces.encode(text.encode()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    ids, counts = T.pieces_of(PATH).encode(pa.array([text, "one", "", text]))
+    whole = tokenizer.encode(text, add_special_tokens=False).ids
+    one = tokenizer.encode("one", add_special_tokens=False).ids
+    assert ids.tolist() == [*whole, *one, *whole]
+    assert counts.tolist() == [len(whole), len(one), 0, len(whole)]
 
 
 def test_pieces_are_forgotten(tokenizer, monkeypatch):
     monkeypatch.setattr(T, "PIECES_KEPT", 3)
     pieces = T.Pieces(PATH)
     for text in ("one two three four five", "one six", "two seven two", "eight"):
-        assert pieces.encode(text.encode()).tolist() == tokenizer.encode(text).ids
+        ids, _ = pieces.encode(pa.array([text]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     assert len(pieces.number) < 8
 
 
+def test_tokenizers_that_keep_white_space_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        T.Pieces(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_slices_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(T, "SLICE_BYTES", 4)
+    texts = pa.array(["a", None, "bcdefgh", "", "ij", "k"])
+    assert [t for part in T.slices(texts) for t in part.to_pylist()] == ["a", "", "bcdefgh", "", "ij", "k"]
+    assert list(T.slices(pa.array([], pa.string()))) == []
+
+
 def plain(tokenizer, rows):
     """{(doc_id, start): (n_tokens, crc)} of (doc_id, text) rows in the order of the files."""
     out, start = {}, 0
