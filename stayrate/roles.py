@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
 from stayrate.plans.joins import HotKeys, hot_keys
+from stayrate.plans.keystats import analyze_table, known_hot_keys
 
 # The names of the role tables.
 TABLES = ("accounts", "subscriptions", "feature_usage", "support_tickets", "churn_events")
@@ -24,6 +25,9 @@ class Roles:
     before paying for the name, or never ask for it. ``support_tickets`` may be a function of the
     roles, called when tickets are first needed. ``owned`` is a prepared table of usage rows with
     their account's columns; operators read it instead of joining usage to its accounts.
+    ``key_stats`` is a folder of key statistics, see :func:`analyze_keys`: queries then read the heavy
+    keys from it, and where it has none, or is empty text, leave skew to Spark. Without it they are
+    looked for in one pass when a join first needs them, which suits tables of a session's own.
     """
 
     accounts: DataFrame
@@ -33,6 +37,7 @@ class Roles:
     churn_events: DataFrame
     features: DataFrame | None = None
     owned: DataFrame | None = None
+    key_stats: str | None = None
     hot_share: float = 0.001
     hot_min_rows: int = 1_000_000
     _hot: dict[str, dict[str, HotKeys]] = field(default_factory=dict, repr=False)
@@ -47,17 +52,36 @@ class Roles:
         return self.support_tickets
 
     def hot(self, table: str, key: str) -> HotKeys:
-        """Heavy values of ``key``, looked for once per table, in one pass for all its keys.
+        """Heavy values of ``key``, read or looked for once per table, for all its keys.
 
         They only steer how a join spreads its rows, so a stale list costs time, never rows.
         """
         if table not in self._hot:
             frame = self.table(table)
-            keys = [k for k in JOIN_KEYS[table] if k in frame.columns]
-            self._hot[table] = hot_keys(frame, keys, self.hot_share, self.hot_min_rows)
-        return self._hot[table][key]
+            limits = (self.hot_share, self.hot_min_rows)
+            if self.key_stats is None:
+                self._hot[table] = hot_keys(frame, self.join_keys(table), *limits)
+            elif self.key_stats:
+                folder = f"{self.key_stats}/{table}"
+                self._hot[table] = known_hot_keys(frame.sparkSession, folder, *limits)
+            else:
+                self._hot[table] = {}
+        return self._hot[table].get(key, [])
+
+    def join_keys(self, table: str) -> list[str]:
+        return [key for key in JOIN_KEYS[table] if key in self.table(table).columns]
 
     def register_views(self) -> None:
         """Make the role tables available to ``spark.sql``."""
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
+
+
+def analyze_keys(roles: Roles, folder: str) -> Roles:
+    """Bring the key statistics in ``folder`` up to date; roles whose queries read them.
+
+    Files sketched by an earlier call are not read again.
+    """
+    for table in JOIN_KEYS:
+        analyze_table(roles.table(table), roles.join_keys(table), f"{folder}/{table}")
+    return replace(roles, key_stats=folder, _hot={})
