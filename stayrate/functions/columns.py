@@ -108,6 +108,32 @@ def month_index(signup: str, used: str) -> str:
     return f"((year({used}) - year({signup})) * 12 + month({used}) - month({signup}))"
 
 
+def month_bits(months: str) -> str:
+    """Aggregate: a long with a bit for each whole number below 63 that occurs."""
+    return f"bit_or(shiftleft(1L, CAST({months} AS INT)))"
+
+
+def has_bit(bits: str, place: int | str) -> str:
+    return f"(shiftright({bits}, {place}) & 1L = 1L)"
+
+
+# Calendar months are kept as bits of eras of five years.
+ERA = 60
+
+
+def month_number(d: str) -> str:
+    """Months since the start of the calendar."""
+    return f"(year({d}) * 12 + month({d}) - 1)"
+
+
+def months_of_era(era: str, bits: str) -> str:
+    """Array of the first days of the months that an era's bits hold."""
+    places = f"filter(sequence(0, {ERA - 1}), i -> {has_bit(bits, 'i')})"
+    number = f"({era} * {ERA} + i)"
+    first = f"make_date(CAST({number} div 12 AS INT), CAST({number} % 12 AS INT) + 1, 1)"
+    return f"transform({places}, i -> {first})"
+
+
 def text(value: str) -> str:
     """A string literal."""
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import exact_avg, exact_sum, rnd, text
+from stayrate.operators.facts import facts_of
 from stayrate.operators.marts import MARTS
 from stayrate.params import Params
 from stayrate.roles import Roles
@@ -109,4 +110,9 @@ def dashboard_from(mart: Callable[[str], DataFrame]) -> DataFrame:
 
 
 def mart_dashboard_long(roles: Roles, params: Params) -> DataFrame:
-    return dashboard_from(lambda name: MARTS[name](roles, params))
+    """All worksheets, from extracts that share one reduction of usage.
+
+    Where the session has a shared folder the reduction is written there before the result is read.
+    """
+    facts = facts_of(roles, params)
+    return dashboard_from(lambda name: MARTS[name](roles, params, facts=facts))

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import (
+    ERA,
     cols,
     exact_avg,
     exact_sum,
+    month_bits,
+    month_number,
     month_of,
+    months_of_era,
     pct,
     ratio,
     rnd,
@@ -84,11 +88,30 @@ def monthly_active_accounts(
     until: date | None = None,
 ) -> DataFrame:
     """Accounts with usage per month; ``bounded=False`` keeps usage after churn."""
+    return active_per_month(months_seen(roles, params, bounded, since, until))
+
+
+def months_seen(
+    roles: Roles,
+    params: Params,
+    bounded: bool = True,
+    since: date | None = None,
+    until: date | None = None,
+) -> DataFrame:
+    """(account_id, era, seen): a row per account and era of five years, a bit for each month of use."""
     usage = owned_usage(roles, churn=bounded, since=since, until=until)
     return (
         usage.filter(in_lifetime(params.window_end) if bounded else "days >= 0")
-        .selectExpr(f"{month_of('usage_date')} AS month", "account_id")
-        .distinct()
+        .selectExpr("account_id", f"{month_number('usage_date')} AS m")
+        .groupBy("account_id", F.expr(f"m div {ERA} AS era"))
+        .agg(F.expr(f"{month_bits(f'm % {ERA}')} AS seen"))
+    )
+
+
+def active_per_month(seen: DataFrame) -> DataFrame:
+    """Accounts per month from (account, era, seen) rows."""
+    return (
+        seen.selectExpr(f"explode({months_of_era('era', 'seen')}) AS month")
         .groupBy("month")
         .agg(F.expr("count(*) AS active_accounts"))
     )

@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayrate.functions.columns import (
-    banded,
-    bucketize,
-    cols,
-    day,
-    exact_avg,
-    exact_sum,
-    month_of,
-    ratio,
-    rnd,
-    within,
-)
-from stayrate.operators.behaviour import MEASURES, feature_adoption
-from stayrate.operators.churn import lost_revenue, reason_counts
-from stayrate.operators.kpis import (
-    ACTIVE_MRR,
-    CHURNED_MRR,
-    monthly_account_churn,
-    monthly_active_accounts,
-)
-from stayrate.operators.retention import ALL_MONTHS, retention_long
+from stayrate.functions.columns import banded, bucketize, cols, day, month_of, ratio, rnd
+from stayrate.operators.behaviour import feature_adoption
+from stayrate.operators.churn import reason_counts
+from stayrate.operators.facts import Facts
+from stayrate.operators.retention import ALL_MONTHS, long_cells
 from stayrate.params import Params
-from stayrate.plans.aggregates import monthly
-from stayrate.plans.lifecycle import (
-    FIRST_IS_TRIAL,
-    account_span,
-    feature_column,
-    in_lifetime,
-    owned_usage,
-    with_feature,
-)
 from stayrate.roles import Roles
 
 # Extract columns and the types their readers declare.
@@ -86,68 +60,22 @@ def _shape(name: str, df: DataFrame, *texts: str) -> DataFrame:
     )
 
 
-def _usage_per_account(roles: Roles, params: Params) -> DataFrame:
-    """Lifetime totals and early feature breadth in one pass over usage.
-
-    Rows are first summed per account and feature, so both distinct counts become plain counts.
-    The early window has no churn bound.
-    """
-    measures = [m for m in MEASURES if m != "is_beta_feature"]
-    usage = owned_usage(roles, feature_column(roles), *measures, churn=True).selectExpr(
-        "*",
-        f"{in_lifetime(params.window_end)} AS lived",
-        f"{within('days', params.early_window)} AS early",
-    )
-    usage = with_feature(usage.filter("lived OR early"), roles)
-    per_feature = usage.groupBy("account_id", "feature_name").agg(
-        *cols(
-            "count_if(lived) AS events",
-            "max(early) AS early",
-            *[f"sum(CASE WHEN lived THEN {m} ELSE 0 END) AS {m}" for m in measures],
-        )
-    )
-    return per_feature.groupBy("account_id").agg(
-        *cols(
-            "count(feature_name) FILTER (WHERE events > 0) AS distinct_features",
-            "count(feature_name) FILTER (WHERE early) AS early_features",
-            *[f"sum({m}) AS {m}" for m in ("events", *measures)],
-        )
-    )
-
-
-def _subscriptions_per_account(roles: Roles) -> DataFrame:
-    return roles.subscriptions.groupBy("account_id").agg(
-        *cols(
-            FIRST_IS_TRIAL,
-            f"{exact_sum(ACTIVE_MRR)} AS mrr_active",
-            "max(upgrade_flag) AS upgraded",
-        )
-    )
-
-
-def _tickets_per_account(roles: Roles) -> DataFrame:
-    return roles.tickets.groupBy("account_id").agg(
-        *cols(
-            "count(*) AS tickets",
-            "max(escalation_flag) AS escalated",
-            f"{exact_avg('satisfaction_score')} AS csat",
-        )
-    )
-
-
-def mart_account_metrics(roles: Roles, params: Params) -> DataFrame:
+def mart_account_metrics(
+    roles: Roles, params: Params, facts: Facts | None = None
+) -> DataFrame:
     """One row per account; every input is reduced to one row per account before the joins."""
-    facts = (
-        account_span(roles)
-        .join(_usage_per_account(roles, params), "account_id", "left")
-        .join(_tickets_per_account(roles), "account_id", "left")
-        .join(_subscriptions_per_account(roles), "account_id", "left")
+    facts = facts or Facts(roles, params)
+    account = (
+        facts.spans()
+        .join(facts.usage_per_account(), "account_id", "left")
+        .join(facts.tickets_per_account(), "account_id", "left")
+        .join(facts.subscriptions_per_account(), "account_id", "left")
     )
     upgraded = "coalesce(CAST(upgraded AS INT), 0)"
     early = "coalesce(early_features, 0)"
     return _shape(
         "account_metrics",
-        facts,
+        account,
         "account_id",
         "industry",
         "country",
@@ -187,36 +115,20 @@ def month_spine(roles: Roles, params: Params) -> DataFrame:
     return months.selectExpr(f"add_months({first}, CAST(id AS INT)) AS month")
 
 
-def _whole_months(params: Params) -> tuple[date, date]:
-    """First and last day of the months of the window."""
-    last = params.window_end.replace(day=1) + timedelta(days=31)
-    return params.window_start.replace(day=1), last.replace(day=1) - timedelta(days=1)
-
-
-def _monthly_mrr(roles: Roles, params: Params) -> DataFrame:
-    since, until = (day(d) for d in _whole_months(params))
-    return monthly(
-        roles.subscriptions.filter(f"start_date BETWEEN {since} AND {until}"),
-        "start_date",
-        "count(*) AS new_subs",
-        f"{exact_sum('mrr_amount')} AS new_mrr",
-        f"{exact_sum(CHURNED_MRR)} AS churned_mrr",
-    )
-
-
 def mart_monthly_summary(
-    roles: Roles, params: Params, bounded: bool = True, by: str = "event"
+    roles: Roles,
+    params: Params,
+    bounded: bool = True,
+    by: str = "event",
+    facts: Facts | None = None,
 ) -> DataFrame:
     """Monthly facts stacked on the spine and reduced to one row per month of the window."""
+    facts = facts or Facts(roles, params)
     first, last = (day(d.replace(day=1)) for d in (params.window_start, params.window_end))
-    facts = (
-        monthly_active_accounts(roles, params, bounded, *_whole_months(params)),
-        _monthly_mrr(roles, params),
-        monthly_account_churn(roles, params, by),
-    )
+    parts = (facts.monthly_active(bounded), facts.monthly_mrr(), facts.monthly_churn(by))
     stacked = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [fact.filter(f"month BETWEEN {first} AND {last}") for fact in facts],
+        [part.filter(f"month BETWEEN {first} AND {last}") for part in parts],
         month_spine(roles, params),
     )
     measures = ("active_accounts", "new_subs", "new_mrr", "churned_mrr", "accounts_churned")
@@ -235,11 +147,14 @@ def mart_monthly_summary(
     ).orderBy("Month")
 
 
-def mart_monthly_mrr_long(roles: Roles, params: Params) -> DataFrame:
+def mart_monthly_mrr_long(
+    roles: Roles, params: Params, facts: Facts | None = None
+) -> DataFrame:
     """New and churned MRR as two series; only subscriptions are read."""
+    facts = facts or Facts(roles, params)
     wide = (
         month_spine(roles, params)
-        .join(_monthly_mrr(roles, params), "month", "left")
+        .join(facts.monthly_mrr(), "month", "left")
         .selectExpr(
             "date_format(month, 'yyyy-MM') AS Month",
             f"{rnd('coalesce(new_mrr, 0)', 2)} AS `New MRR`",
@@ -251,10 +166,13 @@ def mart_monthly_mrr_long(roles: Roles, params: Params) -> DataFrame:
     )
 
 
-def mart_cohort_retention(roles: Roles, params: Params, bounded: bool = True) -> DataFrame:
+def mart_cohort_retention(
+    roles: Roles, params: Params, bounded: bool = True, facts: Facts | None = None
+) -> DataFrame:
+    facts = facts or Facts(roles, params)
     return _shape(
         "cohort_retention",
-        retention_long(roles, params, "cohort_month", bounded=bounded),
+        long_cells(facts.retention("cohort_month", bounded), "cohort_month"),
         "date_format(cohort_month, 'yyyy-MM')",
         "month_index",
         "n",
@@ -263,10 +181,13 @@ def mart_cohort_retention(roles: Roles, params: Params, bounded: bool = True) ->
     ).orderBy("Cohort", "Months Since Signup")
 
 
-def mart_referral_curves(roles: Roles, params: Params, bounded: bool = True) -> DataFrame:
+def mart_referral_curves(
+    roles: Roles, params: Params, bounded: bool = True, facts: Facts | None = None
+) -> DataFrame:
+    facts = facts or Facts(roles, params)
     return _shape(
         "referral_curves",
-        retention_long(roles, params, "referral_source", bounded=bounded),
+        long_cells(facts.retention("referral_source", bounded), "referral_source"),
         "referral_source",
         "month_index",
         "n",
@@ -274,30 +195,20 @@ def mart_referral_curves(roles: Roles, params: Params, bounded: bool = True) ->
     ).orderBy("Referral Source", "Months Since Signup")
 
 
-def mart_churn_reasons(roles: Roles, params: Params) -> DataFrame:
+def mart_churn_reasons(roles: Roles, params: Params, facts: Facts | None = None) -> DataFrame:
+    facts = facts or Facts(roles, params)
     return _shape(
-        "churn_reasons", reason_counts(roles), "reason_code", "plan_tier", "events"
+        "churn_reasons", facts.reasons(), "reason_code", "plan_tier", "events"
     ).orderBy("Plan", "Reason")
 
 
-def mart_feature_metrics(roles: Roles, params: Params) -> DataFrame:
-    """Adoption against churn per adopted feature, with errors and rows over all its usage.
-
-    A feature is the key here, so usage whose key ``features`` does not hold has no row.
-    """
-    key = "feature_name" if roles.features is None else "feature_key"
-    per_key = roles.feature_usage.groupBy(key).agg(
-        *cols("sum(error_count) AS errors", "count(*) AS events")
-    )
-    if roles.features is not None:  # reduced to one row per key, so a plain join is enough
-        per_key = per_key.join(roles.features, "feature_key")
-    volume = per_key.groupBy("feature_name").agg(
-        *cols("sum(errors) AS errors", "sum(events) AS events")
-    )
+def mart_feature_metrics(roles: Roles, params: Params, facts: Facts | None = None) -> DataFrame:
+    """Adoption against churn per adopted feature, with errors and rows over all its usage."""
+    facts = facts or Facts(roles, params)
     lost, kept = ratio("adopters_lost", "adopters"), ratio("others_lost", "others")
     return _shape(
         "feature_metrics",
-        feature_adoption(roles, params).join(volume, "feature_name", "left"),
+        facts.features(),
         "feature_name",
         "adopters",
         rnd(lost, 6),
@@ -308,10 +219,11 @@ def mart_feature_metrics(roles: Roles, params: Params) -> DataFrame:
     ).orderBy("Feature")
 
 
-def mart_plan_impact(roles: Roles, params: Params) -> DataFrame:
+def mart_plan_impact(roles: Roles, params: Params, facts: Facts | None = None) -> DataFrame:
+    facts = facts or Facts(roles, params)
     return _shape(
         "plan_impact",
-        lost_revenue(roles),
+        facts.lost_revenue(),
         "plan_tier",
         "churned_subs",
         rnd("mrr", 2),

@@ -8,7 +8,17 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.columns import cols, day, month_index, month_of, pct, ratio, rnd
+from stayrate.functions.columns import (
+    cols,
+    day,
+    has_bit,
+    month_bits,
+    month_index,
+    month_of,
+    pct,
+    ratio,
+    rnd,
+)
 from stayrate.params import Params
 from stayrate.plans.aggregates import exact_median
 from stayrate.plans.joins import side_by_side
@@ -40,9 +50,10 @@ def retention_counts(
 ) -> DataFrame:
     """Cohort size ``n`` and active accounts ``a<k>`` for each month index, one row per segment.
 
-    Activity is reduced to one row per account and month. Size rows and activity rows are stacked
-    and aggregated together, so a segment nobody was active in keeps its row and its zeros. Usage
-    past the last month of the last cohort is left out where it is scanned.
+    Activity is reduced to one row per account, a bit for each month index, before any shuffle. Size
+    rows and activity rows are stacked and aggregated together, so a segment nobody was active in
+    keeps its row and its zeros. Usage past the last month of the last cohort is left out where it is
+    scanned. Month indexes are below 63.
     """
     cut = f"signup_date < {day(params.cohort_cut)}"
     end = activity_end(params.cohort_cut, months) - timedelta(days=1)
@@ -54,13 +65,15 @@ def retention_counts(
     active = (
         usage.selectExpr("account_id", label, f"{month_index('signup_date', 'usage_date')} AS mi")
         .filter(f"mi IN ({', '.join(map(str, months))})")
-        .distinct()
+        .groupBy("account_id", by)
+        .agg(F.expr(f"{month_bits('mi')} AS seen"))
     )
-    sizes = roles.accounts.filter(cut).selectExpr(label, "CAST(NULL AS INT) AS mi")
+    sizes = roles.accounts.filter(cut).selectExpr(label, "CAST(NULL AS BIGINT) AS seen")
+    counts = [f"count_if({has_bit('seen', k)}) AS a{k}" for k in months]
     return (
-        sizes.unionByName(active.select(by, "mi"))
+        sizes.unionByName(active.select(by, "seen"))
         .groupBy(by)
-        .agg(*cols("count_if(mi IS NULL) AS n", *[f"count_if(mi = {k}) AS a{k}" for k in months]))
+        .agg(*cols("count_if(seen IS NULL) AS n", *counts))
     )
 
 
@@ -85,7 +98,11 @@ def retention_long(
     bounded: bool = True,
 ) -> DataFrame:
     """One row per segment and month index, empty cells included as zero."""
-    counts = retention_counts(roles, params, by, months, bounded)
+    return long_cells(retention_counts(roles, params, by, months, bounded), by, months)
+
+
+def long_cells(counts: DataFrame, by: str, months: Sequence[int] = ALL_MONTHS) -> DataFrame:
+    """One row per cell of a frame of counts ``n`` and ``a<k>`` per segment."""
     cells = ", ".join(f"struct({k} AS month_index, a{k} AS active)" for k in months)
     return counts.selectExpr(by, "n", f"inline(array({cells}))").selectExpr(
         "*", f"{ratio('active', 'n')} AS pct_active"

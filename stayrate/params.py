@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 
 @dataclass(frozen=True)
@@ -34,5 +34,16 @@ class Params:
     @property
     def months(self) -> int:
         """Calendar months touched by the window."""
-        start, end = self.window_start, self.window_end
-        return (end.year - start.year) * 12 + end.month - start.month + 1
+        first, last = self.month_numbers
+        return last - first + 1
+
+    @property
+    def month_numbers(self) -> tuple[int, int]:
+        """First and last month of the window, counted from the start of the calendar."""
+        return tuple(d.year * 12 + d.month - 1 for d in (self.window_start, self.window_end))
+
+    @property
+    def whole_months(self) -> tuple[date, date]:
+        """First and last day of the months of the window."""
+        last = self.window_end.replace(day=1) + timedelta(days=31)
+        return self.window_start.replace(day=1), last.replace(day=1) - timedelta(days=1)

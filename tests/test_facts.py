@@ -1,0 +1,145 @@
+"""Extracts from the shared reduction against extracts from the roles, and what it reads."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+from datetime import date
+
+import pytest
+from row_values import rows_of
+
+from stayrate.operators import marts
+from stayrate.operators.dashboard import dashboard_from, mart_dashboard_long
+from stayrate.operators.facts import Facts, SharedFacts
+from stayrate.operators.marts import MARTS
+from stayrate.sources.retail import PARAMS, retail_roles
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def scans(plan: str) -> dict[str, int]:
+    files = [line for line in plan.splitlines() if "FileScan" in line]
+    return {t: sum(f"/{t}.parquet" in line for line in files) for t in ("lineitem", "orders")}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def shared(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('facts')}"
+    return SharedFacts(retail_roles(spark, FOLDER, key_stats=""), PARAMS, folder)
+
+
+@pytest.mark.parametrize("name", sorted(MARTS))
+def test_extracts_are_the_same(spark, shared, name):
+    want = MARTS[name](retail_roles(spark, FOLDER, key_stats=""), PARAMS)
+    got = MARTS[name](shared.roles, PARAMS, facts=shared)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, rows_of(got))) == sorted(map(repr, rows_of(want)))
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+def test_variants_are_the_same(spark, shared, bounded):
+    plain = Facts(retail_roles(spark, FOLDER, key_stats=""), PARAMS)
+    for build in (
+        lambda f: marts.mart_monthly_summary(f.roles, PARAMS, bounded, "last", facts=f),
+        lambda f: marts.mart_cohort_retention(f.roles, PARAMS, bounded, facts=f),
+    ):
+        assert rows_of(build(shared)) == rows_of(build(plain))
+
+
+def test_dashboard_reads_usage_twice_and_subscriptions_four_times(spark, tmp_path, monkeypatch):
+    """All scans of the tables written and of the result, tickets included."""
+    plans = []
+    stored = SharedFacts._stored
+
+    def noted(self, name, df):
+        plans.append(plan_of(df))
+        return stored(self, name, df)
+
+    monkeypatch.setattr(SharedFacts, "_stored", noted)
+    roles = retail_roles(spark, FOLDER, key_stats="")
+    facts = SharedFacts(roles, PARAMS, f"file://{tmp_path}/facts")
+    result = dashboard_from(lambda name: MARTS[name](roles, PARAMS, facts=facts))
+    plans.append(plan_of(result))
+    total = {t: sum(scans(plan)[t] for plan in plans) for t in ("lineitem", "orders")}
+    assert total["lineitem"] <= 2 and total["orders"] <= 4
+    assert sorted(map(repr, rows_of(result))) == sorted(
+        map(repr, rows_of(mart_dashboard_long(roles, PARAMS)))
+    )
+
+
+def test_dashboard_without_a_shared_folder(spark, shared, monkeypatch):
+    roles = retail_roles(spark, FOLDER, key_stats="")
+    want = sorted(map(repr, rows_of(mart_dashboard_long(roles, PARAMS))))
+    monkeypatch.setattr("stayrate.operators.facts.facts_folder", lambda spark: None)
+    assert sorted(map(repr, rows_of(mart_dashboard_long(roles, PARAMS)))) == want
+
+
+@pytest.fixture
+def odd(make_roles):
+    """Unknown subscriptions and accounts, features under two keys, usage without date or feature."""
+    usage = dict(usage_date=date(2023, 2, 1))
+    return make_roles(
+        accounts=[
+            dict(account_id="a", churn_flag=True),
+            dict(account_id="b", signup_date=date(2023, 1, 31), seats=None),
+            dict(account_id="none", referral_source=None),
+        ],
+        subscriptions=[
+            dict(subscription_id="s1", account_id="a", churn_flag=True),
+            dict(subscription_id="s2", account_id="b", start_date=date(2024, 12, 1)),
+            dict(subscription_id="s3", account_id="gone", start_date=date(2023, 3, 1)),
+            dict(subscription_id="s4", account_id=None),
+        ],
+        feature_usage=[
+            dict(subscription_id="s1", **usage),
+            dict(subscription_id="s1", usage_date=date(2023, 9, 1), feature_name="f2", error_count=3),
+            dict(subscription_id="s2", usage_date=date(2023, 3, 1), feature_name=None),
+            dict(subscription_id="s2", usage_date=date(2024, 12, 31)),
+            dict(subscription_id="s2", usage_date=date(2025, 1, 1), error_count=5),
+            dict(subscription_id="s2", usage_date=date(2022, 1, 1), feature_name="f2"),
+            dict(subscription_id="s2", usage_date=None),
+            dict(subscription_id="s3", **usage),
+            dict(subscription_id="lost", error_count=2, **usage),
+            dict(subscription_id=None, **usage),
+        ],
+        churn_events=[
+            dict(account_id="a", churn_date=date(2023, 5, 1), reason_code=None),
+            dict(account_id="a", churn_date=date(2023, 5, 20)),
+            dict(account_id="b", churn_date=date(2023, 5, 20)),
+            dict(account_id="gone"),
+        ],
+    )
+
+
+def test_odd_usage(odd, params, tmp_path):
+    facts = SharedFacts(odd, params, f"file://{tmp_path}/facts")
+    for name, build in MARTS.items():
+        want = sorted(map(repr, rows_of(build(odd, params))))
+        assert sorted(map(repr, rows_of(build(odd, params, facts=facts)))) == want, name
+
+
+def test_features_under_several_keys(spark, odd, params, tmp_path):
+    keys = spark.createDataFrame(
+        [(1, "f1"), (2, "f2"), (3, "f1"), (9, "unused")], "feature_key bigint, feature_name string"
+    )
+    usage = odd.feature_usage.selectExpr(
+        "* EXCEPT (feature_name)",
+        "CASE WHEN feature_name = 'f2' THEN 2L WHEN error_count > 2 THEN 3L"
+        " WHEN subscription_id = 'lost' THEN 77L WHEN feature_name = 'f1' THEN 1L END AS feature_key",
+    )
+    roles = replace(odd, feature_usage=usage, features=keys)
+    facts = SharedFacts(roles, params, f"file://{tmp_path}/facts")
+    for name, build in MARTS.items():
+        want = sorted(map(repr, rows_of(build(roles, params))))
+        assert sorted(map(repr, rows_of(build(roles, params, facts=facts)))) == want, name
+
+
+def test_empty_roles(make_roles, params, tmp_path):
+    roles = make_roles()
+    facts = SharedFacts(roles, params, f"file://{tmp_path}/facts")
+    for build in MARTS.values():
+        assert rows_of(build(roles, params, facts=facts)) == rows_of(build(roles, params))

@@ -483,3 +483,36 @@ def test_row_counts_match_the_extracts(make_roles, params):
     )
     counts = {r["extract"]: r["rows"] for r in marts.mart_row_counts(roles, params).collect()}
     assert counts == {name: build(roles, params).count() for name, build in marts.MARTS.items()}
+
+
+def test_months_of_use_travel_as_bits(make_roles, params):
+    """One row per account and era in the exchange, however many months were active."""
+    roles = make_roles(
+        accounts=[dict(account_id=a, signup_date=date(2019, 1, 1)) for a in "ab"],
+        subscriptions=[
+            dict(subscription_id=s, account_id=s[0], start_date=date(2019, 1, 1)) for s in ("a1", "b1")
+        ],
+        feature_usage=[
+            dict(subscription_id=s, usage_date=date(y, m, 1))
+            for s in ("a1", "b1")
+            for y in (2019, 2020, 2023, 2024)
+            for m in range(1, 13)
+            if s == "a1" or m % 2
+        ],
+    )
+    seen = kpis.months_seen(roles, params)
+    assert sorted((r.account_id, bin(r.seen).count("1")) for r in seen.collect()) == [
+        ("a", 12), ("a", 36), ("b", 6), ("b", 18)
+    ]
+    active = rows_of(kpis.kpi_monthly_active_accounts(roles, params))
+    assert active == [
+        (date(y, m, 1), 1 + m % 2) for y in (2019, 2020, 2023, 2024) for m in range(1, 13)
+    ]
+    for df in (
+        kpis.kpi_monthly_active_accounts(roles, params),
+        retention.retention_cohort_matrix(roles, params),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "partial_bit_or" in plan
+        keys = [line for line in plan.splitlines() if "partial_bit_or" in line]
+        assert all("month" not in line.split("functions")[0].replace("cohort_month", "") for line in keys)
