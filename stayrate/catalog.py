@@ -21,6 +21,8 @@ from stayrate.operators import (
 )
 from stayrate.params import Params
 from stayrate.roles import Roles
+from stayrate.sinks import extracts
+from stayrate.sinks import roles as csv_roles
 
 Operator = Callable[[Roles, Params], DataFrame]
 
@@ -34,6 +36,7 @@ _PREFIXES = {
     significance: "stats_",
     marts: "mart_",
     dashboard: "mart_dashboard_",
+    csv_roles: "source_csv_",
 }
 # Building blocks that share a prefix with the operators made of them.
 _NOT_OPERATORS = {
@@ -110,4 +113,5 @@ def operators(reasons: tuple[str, ...], pair: tuple[str, str]) -> dict[str, Oper
     found["stats_chi_square_pairwise"] = partial(
         significance.stats_chi_square_pairwise, a=pair[0], b=pair[1]
     )
+    found["mart_dashboard_from_extracts"] = extracts.dashboard_through_extracts
     return found | variants()

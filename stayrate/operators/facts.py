@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import (
@@ -33,6 +32,7 @@ from stayrate.operators.kpis import (
 from stayrate.operators.retention import ALL_MONTHS, retention_counts
 from stayrate.params import Params
 from stayrate.plans.aggregates import monthly
+from stayrate.plans.files import new_folder, shared_folder
 from stayrate.plans.joins import lookup
 from stayrate.plans.lifecycle import (
     FIRST_IS_TRIAL,
@@ -337,13 +337,9 @@ class SharedFacts(Facts):
         )
 
 
-def facts_folder(spark: SparkSession) -> str | None:
-    """A new folder below the one all executors share; None where a session has none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/stayrate-facts-{uuid4().hex}" if shared else None
-
-
 def facts_of(roles: Roles, params: Params) -> Facts:
-    """Facts for many extracts: shared where the session has a shared folder."""
-    folder = facts_folder(roles.accounts.sparkSession)
-    return SharedFacts(roles, params, folder) if folder else Facts(roles, params)
+    """Facts for many extracts: shared, unless a cluster's session has no shared folder."""
+    spark = roles.accounts.sparkSession
+    if shared_folder(spark) is None:
+        return Facts(roles, params)
+    return SharedFacts(roles, params, new_folder(spark, "facts"))

@@ -21,51 +21,20 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stayrate.plans.files import children, read_text, replace_text
 from stayrate.plans.joins import HotKeys
 
 MOST = 1000  # values listed per key: every one with more than 0.1 % of the rows
 TRACKED = 10 * MOST  # items a sketch follows; its error is a small part of 0.1 %
 
 
-def _path(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file as text, read by the driver; None if it is not there."""
-    store, target = _path(spark, path)
-    if not store.exists(target):
-        return None
-    stream = store.open(target)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def write_text(spark: SparkSession, path: str, content: str) -> None:
-    """Write a small file under another name and put it in place by renaming."""
-    store, target = _path(spark, path)
-    _, draft = _path(spark, f"{path}.{uuid4().hex}")
-    stream = store.create(draft, True)
-    stream.write(bytearray(content.encode()))
-    stream.close()
-    store.delete(target, False)
-    if not store.rename(draft, target):
-        raise OSError(f"cannot write {path}")
-
-
 def _files(df: DataFrame) -> list[str]:
     """Data files of a frame as its ``_metadata`` names them."""
     return [file.replace("file:///", "file:/", 1) for file in df.inputFiles()]
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
-    store, target = _path(spark, path)
-    if not store.exists(target):
-        return []
-    return [str(s.getPath()) for s in store.listStatus(target) if s.isDirectory()]
+    return [place for _, place, _, folder in children(spark, path) if folder]
 
 
 def _states(keys: Sequence[str]) -> list:
@@ -129,7 +98,7 @@ def merge_sketches(df: DataFrame, keys: Sequence[str], folder: str) -> dict:
         for key in keys
     }
     found = {"rows": merged["n"], "keys": frequent}
-    write_text(spark, f"{folder}/frequent.json", json.dumps(found))
+    replace_text(spark, f"{folder}/frequent.json", json.dumps(found))
     return found
 
 

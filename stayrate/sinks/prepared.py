@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import month_of
+from stayrate.plans.files import new_folder
 from stayrate.plans.lifecycle import feature_column, owned_usage, with_feature
 from stayrate.roles import Roles
 
@@ -24,10 +24,7 @@ def prepare_usage(roles: Roles, folder: str | None = None) -> Roles:
     """
     spark = roles.accounts.sparkSession
     if folder is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            raise ValueError("pass a folder every executor can reach, or set spark.checkpoint.dir")
-        folder = f"{shared}/stayrate-{uuid4().hex}"
+        folder = new_folder(spark, "usage")
     path = f"{folder}/owned_usage"
     owned = owned_usage(roles, feature_column(roles), *MEASURES, attrs=ATTRIBUTES, churn=True)
     (

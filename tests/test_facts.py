@@ -74,7 +74,7 @@ def test_dashboard_reads_usage_twice_and_subscriptions_four_times(spark, tmp_pat
 def test_dashboard_without_a_shared_folder(spark, shared, monkeypatch):
     roles = retail_roles(spark, FOLDER, key_stats="")
     want = sorted(map(repr, rows_of(mart_dashboard_long(roles, PARAMS))))
-    monkeypatch.setattr("stayrate.operators.facts.facts_folder", lambda spark: None)
+    monkeypatch.setattr("stayrate.operators.facts.shared_folder", lambda spark: None)
     assert sorted(map(repr, rows_of(mart_dashboard_long(roles, PARAMS)))) == want
 
 

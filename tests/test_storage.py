@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, datetime
 
 import pytest
@@ -12,15 +13,26 @@ from stayrate.catalog import operators
 from stayrate.operators import growth
 from stayrate.operators.dashboard import WORKSHEETS, mart_dashboard_long
 from stayrate.operators.marts import MART_SCHEMAS, MARTS, mart_row_counts
+from stayrate.plans import files
+from stayrate.sinks import extracts
 from stayrate.sinks.extracts import (
+    BrokenExtract,
     dashboard_from_extracts,
     read_extract,
     write_extract,
     write_extracts,
 )
 from stayrate.sinks.prepared import prepare_usage
+from stayrate.sinks.roles import write_csv_roles
 from stayrate.sources.retail import PARAMS, retail_roles
-from stayrate.sources.tables import read_csv_table, read_roles, role_schema
+from stayrate.sources.tables import (
+    count_rejects,
+    read_csv_table,
+    read_roles,
+    role_schema,
+    split_csv_roles,
+    split_csv_table,
+)
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -92,7 +104,93 @@ def test_extracts_come_back_as_written(spark, roles, tmp_path, fmt):
 
 def test_empty_extract_counts_zero(spark, tmp_path):
     empty = spark.createDataFrame([], MART_SCHEMAS["plan_impact"])
-    assert write_extract(empty, f"{tmp_path}/none") == 0
+    for fmt in ("parquet", "csv"):
+        folder = f"{tmp_path}/{fmt}"
+        assert write_extract(empty, f"{folder}/plan_impact", fmt) == 0
+        assert read_extract(spark, folder, "plan_impact").collect() == []
+
+
+PLAN_IMPACT = [("Pro", 2, 10.5, 126.0), ("Basic", 1, 1.0, 12.0)]
+
+
+def plan_impact(spark, rows=PLAN_IMPACT):
+    return spark.createDataFrame(rows, MART_SCHEMAS["plan_impact"])
+
+
+def test_write_that_dies_leaves_the_old_extract(spark, tmp_path):
+    path = f"{tmp_path}/plan_impact"
+    write_extract(plan_impact(spark), path)
+    dying = plan_impact(spark, [("Pro", 9, 9.0, 9.0)]).selectExpr(
+        "Plan", "`Churned Subs`", "`Mrr Lost`", "if(`Arr Lost` > 1, raise_error('lost'), 1D) AS `Arr Lost`"
+    )
+    with pytest.raises(Exception, match="lost"):
+        write_extract(dying, path)
+    assert len(list((tmp_path / "plan_impact").glob("attempt-*"))) == 2
+    assert sorted(rows_of(read_extract(spark, str(tmp_path), "plan_impact"))) == sorted(PLAN_IMPACT)
+    write_extract(plan_impact(spark, [("Pro", 1, 1.0, 1.0)]), path)
+    assert rows_of(read_extract(spark, str(tmp_path), "plan_impact")) == [("Pro", 1, 1.0, 1.0)]
+
+
+def test_write_that_dies_before_its_manifest(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/plan_impact"
+    write_extract(plan_impact(spark), path)
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(extracts, "replace_text", dies)
+    with pytest.raises(KeyboardInterrupt):
+        write_extract(plan_impact(spark, [("Pro", 1, 1.0, 1.0)]), path)
+    assert len(rows_of(read_extract(spark, str(tmp_path), "plan_impact"))) == 2
+
+
+def test_first_write_that_dies_leaves_no_extract(spark, tmp_path):
+    (tmp_path / "plan_impact" / "attempt-1").mkdir(parents=True)
+    with pytest.raises(BrokenExtract, match="no manifest"):
+        read_extract(spark, str(tmp_path), "plan_impact")
+
+
+def test_readers_of_the_extract_before_keep_their_files(spark, tmp_path):
+    path = f"{tmp_path}/plan_impact"
+    write_extract(plan_impact(spark), path)
+    before = read_extract(spark, str(tmp_path), "plan_impact")
+    write_extract(plan_impact(spark, []), path)
+    assert before.count() == 2
+    for _ in "ab":
+        write_extract(plan_impact(spark, []), path)
+    assert len(list((tmp_path / "plan_impact").glob("attempt-*"))) == 2
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("harm", ["cut", "lost", "added", "rows", "columns", "format"])
+def test_harmed_extracts_are_refused(spark, tmp_path, fmt, harm):
+    path = tmp_path / "plan_impact"
+    write_extract(plan_impact(spark).repartition(2), str(path), fmt)
+    (attempt,) = path.glob("attempt-*")
+    part = sorted(attempt.glob("part-*"))[0]
+    manifest = json.loads((path / "manifest.json").read_text())
+    if harm == "cut":
+        part.write_bytes(part.read_bytes()[:-2])
+    elif harm == "lost":
+        part.unlink()
+    elif harm == "added":
+        (attempt / f"part-9{part.suffix}").write_bytes(part.read_bytes())
+    elif harm == "rows":
+        manifest["rows"] += 1
+    elif harm == "columns":
+        manifest["columns"][0][0] = "Other"
+    files.replace_text(spark, f"{path}/manifest.json", json.dumps(manifest))
+    with pytest.raises(BrokenExtract):
+        read_extract(spark, str(tmp_path), "plan_impact", "orc" if harm == "format" else None)
+
+
+def test_dashboard_of_a_truncated_extract_is_refused(spark, roles, tmp_path):
+    write_extracts(roles, PARAMS, str(tmp_path))
+    (attempt,) = (tmp_path / "churn_reasons").glob("attempt-*")
+    for part in attempt.glob("part-*"):
+        part.write_bytes(part.read_bytes()[: part.stat().st_size // 2])
+    with pytest.raises(BrokenExtract, match="churn_reasons"):
+        dashboard_from_extracts(spark, str(tmp_path))
 
 
 def test_23_worksheets_on_8_extracts():
@@ -123,14 +221,25 @@ def test_prepared_usage_changes_no_result(spark, roles, tmp_path):
 
 
 def test_prepared_usage_goes_below_the_checkpoint_folder(spark, roles):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        with pytest.raises(ValueError, match="checkpoint"):
-            prepare_usage(roles)
-    else:
-        paths = {prepare_usage(roles).owned.inputFiles()[0].split("/owned_usage")[0] for _ in "ab"}
-        assert len(paths) == 2
-        assert all(f"{shared}/stayrate-" in path for path in paths)
+    shared = files.shared_folder(spark).removeprefix("file://")
+    paths = {prepare_usage(roles).owned.inputFiles()[0].split("/owned_usage")[0] for _ in "ab"}
+    assert len(paths) == 2
+    assert all(f"{shared}/stayrate-" in path for path in paths)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(files, "shared_folder", lambda spark: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        files.new_folder(spark, "usage")
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/a/x.json"
+    assert files.read_text(spark, path) is None
+    for content in ("one", "zwei \u00e4\n" * 9000, ""):
+        files.replace_text(spark, path, content)
+        assert files.read_text(spark, path) == content
+    assert [name for name, *_ in files.children(spark, f"file://{tmp_path}/a")] == ["x.json"]
 
 
 def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
@@ -154,3 +263,62 @@ def test_prepared_usage_reads_only_the_months_it_needs(spark, make_roles, params
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_month" in plan
     assert df.count() == growth.early_usage(roles, params).count()
+
+
+EVENTS = role_schema("churn_events")
+HEADER = "churn_event_id,extra,churn_date,account_id,reason_code,refund_amount_usd,is_reactivation,feedback_text\n"
+
+
+def test_broken_lines_are_set_apart(spark, tmp_path):
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "a.csv").write_text(
+        HEADER
+        + "1,x,2023-01-05,A,price,0.5,True,fine\n"
+        + "2,x,2023-02-30,A,price,0.5,True,no such day\n"
+        + "3,x,2023-01-05,A,price,much,maybe,\n"
+        + "4,x,2023-01-05\n"
+        + "5,x,2023-01-05,A,price,0.5,True,fine,too many\n"
+        + '6,,,,,,,"quoted, with a comma"\n'
+    )
+    (tmp_path / "events" / "b.csv").write_text(HEADER + "7,x,day,A,price,1e3,FALSE,\n")
+    good, rejects = split_csv_table(spark, f"{tmp_path}/events", EVENTS, "churn_events")
+    assert good.schema.fieldNames() == EVENTS.fieldNames()
+    assert [f.dataType for f in good.schema] == [f.dataType for f in EVENTS]
+    assert sorted(good.select("churn_event_id", "churn_date", "feedback_text").collect()) == [
+        ("1", date(2023, 1, 5), "fine"),
+        ("6", None, "quoted, with a comma"),
+    ]
+    assert good.count() == 2 and good.select("churn_event_id").count() == 2
+    lines = {(r.file[-5:], tuple(r.columns)): r.record for r in rejects.collect()}
+    assert set(lines) == {
+        ("a.csv", ("churn_date",)),
+        ("a.csv", ("refund_amount_usd", "is_reactivation")),
+        ("a.csv", ()),
+        ("b.csv", ("churn_date",)),
+    }
+    assert sorted(r.record for r in rejects.filter("size(columns) = 0").collect()) == [
+        "4,x,2023-01-05", "5,x,2023-01-05,A,price,0.5,True,fine,too many"
+    ]
+    assert json.loads(lines["b.csv", ("churn_date",)])["churn_event_id"] == "7"
+    counts = {r.file[-5:]: (r.table, r.rejected, r.columns) for r in count_rejects(rejects).collect()}
+    assert counts == {
+        "a.csv": ("churn_events", 4, ["churn_date", "is_reactivation", "refund_amount_usd"]),
+        "b.csv": ("churn_events", 1, ["churn_date"]),
+    }
+
+
+def test_missing_columns_are_named(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("churn_event_id,account_id\n1,A\n")
+    with pytest.raises(ValueError, match="churn_date, reason_code"):
+        split_csv_table(spark, f"{tmp_path}/a.csv", EVENTS)
+
+
+def test_roles_through_csv(spark, roles, tmp_path):
+    write_csv_roles(roles, str(tmp_path), "raw_")
+    found, rejects = split_csv_roles(spark, str(tmp_path), "raw_", T.LongType())
+    assert rejects.count() == 0
+    for name in ("accounts", "churn_events", "support_tickets"):
+        want = roles.table(name).select(found.table(name).columns)
+        kinds = [f"CAST({c} AS {t}) AS {c}" for c, t in found.table(name).dtypes]
+        got = sorted(rows_of(found.table(name)), key=repr)
+        assert got == sorted(rows_of(want.selectExpr(*kinds)), key=repr), name
