@@ -114,5 +114,5 @@ def mart_dashboard_long(roles: Roles, params: Params) -> DataFrame:
 
     Where the session has a shared folder the reduction is written there before the result is read.
     """
-    facts = facts_of(roles, params)
+    facts = facts_of(roles, params, ordered=False)
     return dashboard_from(lambda name: MARTS[name](roles, params, facts=facts))

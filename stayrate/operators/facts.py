@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.columns import (
@@ -52,8 +52,12 @@ SUMMED = tuple(measure for measure in MEASURES if measure != "is_beta_feature")
 class Facts:
     """Inputs of the extracts, each computed from the roles when it is asked for."""
 
-    def __init__(self, roles: Roles, params: Params) -> None:
-        self.roles, self.params = roles, params
+    def __init__(self, roles: Roles, params: Params, ordered: bool = True) -> None:
+        self.roles, self.params, self.ordered = roles, params, ordered
+
+    def in_order(self, df: DataFrame, *order: str | Column) -> DataFrame:
+        """An extract in its order, for readers of rows; not ``ordered`` for those that aggregate."""
+        return df.orderBy(*order) if self.ordered else df
 
     def spans(self) -> DataFrame:
         return account_span(self.roles)
@@ -155,10 +159,10 @@ def per_account_totals(per_feature: DataFrame, *more: str) -> DataFrame:
 
 
 class SharedFacts(Facts):
-    """The same inputs from four tables, written once below ``folder``, that all extracts read.
+    """The same inputs from three tables, written once below ``folder``, that all extracts read.
 
-    ``events``  a row per account, reason and month of its churn events
-    ``spans``   accounts with the date of their last churn
+    ``spans``   accounts with the date of their last churn, and their churn events counted by reason
+                and month
     ``owners``  subscriptions with signup and churn of their account
     ``cells``   a row per account and feature: totals of all usage and of usage in the lifetime,
                 early and adopting use, a bit for each active month of the window, and one for each
@@ -170,13 +174,12 @@ class SharedFacts(Facts):
     and are computed from the roles.
     """
 
-    def __init__(self, roles: Roles, params: Params, folder: str) -> None:
-        super().__init__(roles, params)
+    def __init__(self, roles: Roles, params: Params, folder: str, ordered: bool = True) -> None:
+        super().__init__(roles, params, ordered)
         self.spark = roles.accounts.sparkSession
         self.folder = folder
         first, last = params.month_numbers
         self.eras = range(first // ERA, last // ERA + 1)
-        self._events = self._stored("events", self._reduced_events())
         self._spans = self._stored("spans", self._dated_accounts())
         owners = self._stored("owners", self._owners())
         self.roles = replace(roles, subscriptions=owners)
@@ -187,16 +190,22 @@ class SharedFacts(Facts):
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _reduced_events(self) -> DataFrame:
-        events = self.roles.churn_events
-        return events.groupBy(
+    def _dated_accounts(self) -> DataFrame:
+        """Events are counted first, so an account's list is as long as its reasons and months."""
+        accounts = self.roles.accounts
+        counted = self.roles.churn_events.groupBy(
             "account_id", "reason_code", F.expr(f"{month_of('churn_date')} AS month")
         ).agg(*cols("count(*) AS n", "max(churn_date) AS last"))
-
-    def _dated_accounts(self) -> DataFrame:
-        last = self._events.groupBy("account_id").agg(F.max("last").alias("last_event"))
-        return self.roles.accounts.join(last, "account_id", "left").selectExpr(
-            *self.roles.accounts.columns, "CASE WHEN churn_flag THEN last_event END AS churn_date"
+        listed = counted.groupBy("account_id").agg(
+            *cols(
+                "max(last) AS last_event",
+                "collect_list(struct(reason_code, month, n)) AS churn_events",
+            )
+        )
+        return accounts.join(listed, "account_id", "left").selectExpr(
+            *accounts.columns,
+            "CASE WHEN churn_flag THEN last_event END AS churn_date",
+            "churn_events",
         )
 
     def _owners(self) -> DataFrame:
@@ -208,14 +217,14 @@ class SharedFacts(Facts):
 
     def _reduced_usage(self, owners: DataFrame) -> DataFrame:
         roles, params = self.roles, self.params
-        feature = "feature_name" if roles.features is None else "feature_key"
         owner = owners.filter("signup_date IS NOT NULL").selectExpr(
             "subscription_id", "account_id", "signup_date", "churn_date", "account_churned"
         )
         hot = roles.hot("feature_usage", "subscription_id")
+        feature = "feature_name" if roles.features is None else "feature_key"
         usage = roles.feature_usage.select("subscription_id", "usage_date", feature, *SUMMED)
         usage = (
-            lookup(usage, owner, "subscription_id", hot, "left")
+            with_feature(lookup(usage, owner, "subscription_id", hot, "left"), roles)
             .withColumn("days", F.datediff("usage_date", "signup_date"))
             .selectExpr(
                 "*",
@@ -238,24 +247,13 @@ class SharedFacts(Facts):
         }
         bits = {f"era{e}": f"CASE WHEN lived AND m div {ERA} = {e} THEN m % {ERA} END" for e in self.eras}
         bits["since_signup"] = f"CASE WHEN {within_year} THEN mi END"
-        reduced = usage.groupBy("account_id", feature).agg(
+        return usage.groupBy("account_id", "feature_name").agg(
             *cols(
                 *[f"sum({x}) AS {name}" for name, x in sums.items()],
                 *[f"max({x}) AS {name}" for name, x in flags.items()],
                 *[f"{month_bits(x)} AS {name}" for name, x in bits.items()],
             )
         )
-        if roles.features is None:
-            return reduced
-        # Reduced before it meets the names; several keys may have one name.
-        named = lookup(reduced, roles.features, "feature_key", (), "left")
-        return named.groupBy("account_id", "feature_name").agg(
-            *cols(
-                *[f"sum({name}) AS {name}" for name in sums],
-                *[f"max({name}) AS {name}" for name in flags],
-                *[f"bit_or({name}) AS {name}" for name in bits],
-            )
-        )
 
     def spans(self) -> DataFrame:
         return self._spans
@@ -276,13 +274,10 @@ class SharedFacts(Facts):
             return monthly(
                 self._spans.filter("churn_date IS NOT NULL"), "churn_date", "count(*) AS accounts_churned"
             )
-        churned = self._spans.filter("churn_flag").select("account_id")
-        months = self._events.select("account_id", "month").distinct()
-        return (
-            months.join(churned, "account_id")
-            .groupBy("month")
-            .agg(F.expr("count(*) AS accounts_churned"))
+        months = self._spans.filter("churn_flag").selectExpr(
+            "explode(array_distinct(churn_events.month)) AS month"
         )
+        return months.groupBy("month").agg(F.expr("count(*) AS accounts_churned"))
 
     def retention(self, by: str, bounded: bool = True) -> DataFrame:
         if not bounded:
@@ -299,11 +294,8 @@ class SharedFacts(Facts):
         )
 
     def reasons(self) -> DataFrame:
-        return (
-            self._events.join(self._spans.select("account_id", "plan_tier"), "account_id")
-            .groupBy("plan_tier", "reason_code")
-            .agg(F.expr("sum(n) AS events"))
-        )
+        counted = self._spans.selectExpr("plan_tier", "inline(churn_events)")
+        return counted.groupBy("plan_tier", "reason_code").agg(F.expr("sum(n) AS events"))
 
     def features(self) -> DataFrame:
         base = (
@@ -337,9 +329,9 @@ class SharedFacts(Facts):
         )
 
 
-def facts_of(roles: Roles, params: Params) -> Facts:
+def facts_of(roles: Roles, params: Params, ordered: bool = True) -> Facts:
     """Facts for many extracts: shared, unless a cluster's session has no shared folder."""
     spark = roles.accounts.sparkSession
     if shared_folder(spark) is None:
-        return Facts(roles, params)
-    return SharedFacts(roles, params, new_folder(spark, "facts"))
+        return Facts(roles, params, ordered)
+    return SharedFacts(roles, params, new_folder(spark, "facts"), ordered)

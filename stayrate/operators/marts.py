@@ -135,7 +135,7 @@ def mart_monthly_summary(
     months = stacked.groupBy("month").agg(
         *cols(*[f"coalesce(max({m}), 0) AS {m}" for m in measures])
     )
-    return _shape(
+    extract = _shape(
         "monthly_summary",
         months,
         "date_format(month, 'yyyy-MM')",
@@ -144,7 +144,8 @@ def mart_monthly_summary(
         rnd("new_mrr", 2),
         rnd("churned_mrr", 2),
         "accounts_churned",
-    ).orderBy("Month")
+    )
+    return facts.in_order(extract, "Month")
 
 
 def mart_monthly_mrr_long(
@@ -161,16 +162,15 @@ def mart_monthly_mrr_long(
             f"{rnd('coalesce(churned_mrr, 0)', 2)} AS `Churned MRR`",
         )
     )
-    return wide.unpivot(["Month"], ["New MRR", "Churned MRR"], "Kind", "Mrr").orderBy(
-        F.desc("Kind"), "Month"
-    )
+    long = wide.unpivot(["Month"], ["New MRR", "Churned MRR"], "Kind", "Mrr")
+    return facts.in_order(long, F.desc("Kind"), "Month")
 
 
 def mart_cohort_retention(
     roles: Roles, params: Params, bounded: bool = True, facts: Facts | None = None
 ) -> DataFrame:
     facts = facts or Facts(roles, params)
-    return _shape(
+    extract = _shape(
         "cohort_retention",
         long_cells(facts.retention("cohort_month", bounded), "cohort_month"),
         "date_format(cohort_month, 'yyyy-MM')",
@@ -178,35 +178,38 @@ def mart_cohort_retention(
         "n",
         "active",
         rnd("pct_active", 6),
-    ).orderBy("Cohort", "Months Since Signup")
+    )
+    return facts.in_order(extract, "Cohort", "Months Since Signup")
 
 
 def mart_referral_curves(
     roles: Roles, params: Params, bounded: bool = True, facts: Facts | None = None
 ) -> DataFrame:
     facts = facts or Facts(roles, params)
-    return _shape(
+    extract = _shape(
         "referral_curves",
         long_cells(facts.retention("referral_source", bounded), "referral_source"),
         "referral_source",
         "month_index",
         "n",
         rnd("pct_active", 6),
-    ).orderBy("Referral Source", "Months Since Signup")
+    )
+    return facts.in_order(extract, "Referral Source", "Months Since Signup")
 
 
 def mart_churn_reasons(roles: Roles, params: Params, facts: Facts | None = None) -> DataFrame:
     facts = facts or Facts(roles, params)
-    return _shape(
+    extract = _shape(
         "churn_reasons", facts.reasons(), "reason_code", "plan_tier", "events"
-    ).orderBy("Plan", "Reason")
+    )
+    return facts.in_order(extract, "Plan", "Reason")
 
 
 def mart_feature_metrics(roles: Roles, params: Params, facts: Facts | None = None) -> DataFrame:
     """Adoption against churn per adopted feature, with errors and rows over all its usage."""
     facts = facts or Facts(roles, params)
     lost, kept = ratio("adopters_lost", "adopters"), ratio("others_lost", "others")
-    return _shape(
+    extract = _shape(
         "feature_metrics",
         facts.features(),
         "feature_name",
@@ -216,19 +219,21 @@ def mart_feature_metrics(roles: Roles, params: Params, facts: Facts | None = Non
         "coalesce(errors, 0)",
         "coalesce(events, 0)",
         rnd(f"({lost} - {kept}) * 100D", 4),
-    ).orderBy("Feature")
+    )
+    return facts.in_order(extract, "Feature")
 
 
 def mart_plan_impact(roles: Roles, params: Params, facts: Facts | None = None) -> DataFrame:
     facts = facts or Facts(roles, params)
-    return _shape(
+    extract = _shape(
         "plan_impact",
         facts.lost_revenue(),
         "plan_tier",
         "churned_subs",
         rnd("mrr", 2),
         rnd("arr", 2),
-    ).orderBy(F.desc("Arr Lost"), "Plan")
+    )
+    return facts.in_order(extract, F.desc("Arr Lost"), "Plan")
 
 
 MARTS = {

@@ -16,39 +16,59 @@ TABLES = ("accounts", "subscriptions", "feature_usage", "support_tickets", "chur
 JOIN_KEYS = {"feature_usage": ("subscription_id", "feature_key"), "subscriptions": ("account_id",)}
 
 
+class _Table:
+    """A table given as a DataFrame, or as a function of the roles that is called when first needed."""
+
+    def __init__(self, needed: bool = True) -> None:
+        self.needed = needed
+
+    def __set_name__(self, owner: type, name: str) -> None:
+        self.name = name
+
+    def __get__(self, roles: Roles | None, owner: type) -> DataFrame | None:
+        if roles is None:  # asked for the field's default
+            if self.needed:
+                raise AttributeError(self.name)
+            return None
+        table = vars(roles)[self.name]
+        if callable(table):
+            table = vars(roles)[self.name] = table(roles)
+        return table
+
+    def __set__(self, roles: Roles, table: DataFrame | Callable[[Roles], DataFrame] | None) -> None:
+        vars(roles)[self.name] = table
+
+
 @dataclass
 class Roles:
-    """Role tables as DataFrames.
+    """Role tables, each a DataFrame or a function of the roles that makes it when it is first needed.
 
     ``feature_usage`` holds either ``feature_name`` itself or a ``feature_key`` that ``features``
     (feature_key, feature_name) resolves; the second form lets an operator filter its usage rows
-    before paying for the name, or never ask for it. ``support_tickets`` may be a function of the
-    roles, called when tickets are first needed. ``owned`` is a prepared table of usage rows with
+    before paying for the name, or never ask for it. ``owned`` is a prepared table of usage rows with
     their account's columns; operators read it instead of joining usage to its accounts.
     ``key_stats`` is a folder of key statistics, see :func:`analyze_keys`: queries then read the heavy
     keys from it, and where it has none, or is empty text, leave skew to Spark. Without it they are
     looked for in one pass when a join first needs them, which suits tables of a session's own.
     """
 
-    accounts: DataFrame
-    subscriptions: DataFrame
-    feature_usage: DataFrame
-    support_tickets: DataFrame | Callable[[Roles], DataFrame]
-    churn_events: DataFrame
-    features: DataFrame | None = None
-    owned: DataFrame | None = None
+    accounts: DataFrame = _Table()
+    subscriptions: DataFrame = _Table()
+    feature_usage: DataFrame = _Table()
+    support_tickets: DataFrame = _Table()
+    churn_events: DataFrame = _Table()
+    features: DataFrame | None = _Table(needed=False)
+    owned: DataFrame | None = _Table(needed=False)
     key_stats: str | None = None
     hot_share: float = 0.001
     hot_min_rows: int = 1_000_000
     _hot: dict[str, dict[str, HotKeys]] = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.tickets if name == "support_tickets" else getattr(self, name)
+        return getattr(self, name)
 
     @property
     def tickets(self) -> DataFrame:
-        if callable(self.support_tickets):
-            self.support_tickets = self.support_tickets(self)
         return self.support_tickets
 
     def hot(self, table: str, key: str) -> HotKeys:

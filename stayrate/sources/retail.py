@@ -7,6 +7,7 @@ support tickets and fulfilled orders as churn events.
 from __future__ import annotations
 
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,22 +152,25 @@ def _churn_events(orders: DataFrame) -> DataFrame:
 
 
 def retail_roles(spark: SparkSession, folder: str, **options) -> Roles:
-    """Roles over ``<folder>/<table>.parquet``; ``options`` go to Roles."""
-    t = {
-        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
-        for name, schema in SCHEMAS.items()
-    }
-    owners = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    returned = t["lineitem"].filter("l_returnflag = 'R' AND l_linestatus = 'F'")
+    """Roles over ``<folder>/<table>.parquet``, made when needed; ``options`` go to Roles."""
+
+    @cache
+    def t(name: str) -> DataFrame:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+
+    def tickets(roles: Roles) -> DataFrame:
+        owners = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        returned = t("lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F'")
+        hot = roles.hot("feature_usage", "subscription_id")
+        return _support_tickets(lookup(returned, owners, "l_orderkey", hot))
+
     return Roles(
-        accounts=_accounts(t["customer"], t["orders"], t["nation"], t["region"]),
-        subscriptions=_subscriptions(t["orders"]),
-        feature_usage=_feature_usage(t["lineitem"]),
-        support_tickets=lambda roles: _support_tickets(
-            lookup(returned, owners, "l_orderkey", roles.hot("feature_usage", "subscription_id"))
-        ),
-        churn_events=_churn_events(t["orders"]),
-        features=t["part"].select(
+        accounts=lambda _: _accounts(*map(t, ("customer", "orders", "nation", "region"))),
+        subscriptions=lambda _: _subscriptions(t("orders")),
+        feature_usage=lambda _: _feature_usage(t("lineitem")),
+        support_tickets=tickets,
+        churn_events=lambda _: _churn_events(t("orders")),
+        features=lambda _: t("part").select(
             F.col("p_partkey").alias("feature_key"), F.col("p_brand").alias("feature_name")
         ),
         **options,
