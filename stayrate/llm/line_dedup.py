@@ -26,17 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.llm.shared import packed, small_batches, unpacked, written
-from stayrate.llm.text import LOWER, Texts, mix, powers, span_hashes, text_slices, words
+from stayrate.llm.text import LOWER, Texts, mix, run_hashes, text_slices, unit_hashes, words
 
 MIN_WORDS = 8
 ROWS_PER_TASK = 1_500_000
-REMOVAL = "n_units: bigint, n_removed: bigint, starts: array<bigint>, ends: array<bigint>"
+REMOVAL = (
+    "n_units: bigint, n_removed: bigint, starts: array<bigint>, ends: array<bigint>,"
+    " short_starts: array<bigint>, short_ends: array<bigint>"
+)
 
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
 
 class Units:
-    """Units of the texts of a slice: number of words, first byte, text, digest."""
+    """Units of the texts of a slice: number of words, first byte, text, digest of 128 bits.
+
+    The halves of a digest, ``digest`` and ``check``, are independent. Of 10**13 different units, about
+    as many as 100 TB of text hold, two share a digest with probability 2 * 10**-13.
+    """
 
     def __init__(self, texts: Texts, digests: bool = True) -> None:
         found = words(texts)
@@ -55,17 +62,15 @@ class Units:
         # Number of the first unit of each text, and of all units.
         self.before = np.searchsorted(self.text, np.arange(texts.last - texts.first + 1))
         if digests:
-            tokens = span_hashes(LOWER[texts.data], found.start, found.end)
-            base = 0xA0761D6478BD642F
-            up = powers(base, len(tokens))
-            down = powers(pow(base, -1, 1 << 64), len(tokens) + 1)
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * up)))
-            run = (total[edges[1:]] - total[first]) * down[first]
-            self.digest = mix(run + self.n_words.astype(np.uint64))
+            data = LOWER[texts.data]
+            self.digest, self.check = (
+                run_hashes(unit_hashes(data, found.start, found.end, seed), first, edges[1:], seed)
+                for seed in (1, 2)
+            )
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """(deal, id, unit): ``unit`` holds number * 2 + 1 for a unit already seen in its slice."""
+    """(deal, check, id, unit): ``unit`` holds number * 2 + 1 for a unit already seen in its slice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,21 +80,28 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                 units = Units(texts)
                 number = np.arange(len(units.text)) - units.before[units.text]
                 owner = ids[texts.first + units.text]
-                again = later(units.digest)
+                again = later(units.digest, units.check)
                 deal = np.where(again, mix(owner.astype(np.uint64)), units.digest)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(deal.view(np.int64)), pa.array(owner), pa.array(number * 2 + again)],
-                    names=["deal", "id", "unit"],
+                    [
+                        pa.array(deal.view(np.int64)),
+                        pa.array(units.check.view(np.int64)),
+                        pa.array(owner),
+                        pa.array(number * 2 + again),
+                    ],
+                    names=["deal", "check", "id", "unit"],
                 )
 
-    return docs.select("id", "text").mapInArrow(cut, "deal bigint, id bigint, unit bigint")
+    return docs.select("id", "text").mapInArrow(
+        cut, "deal bigint, check bigint, id bigint, unit bigint"
+    )
 
 
-def later(values: np.ndarray) -> np.ndarray:
-    """Marks values that occurred before, in the given order."""
-    order = np.argsort(values, kind="stable")
-    out = np.zeros(len(values), bool)
-    out[order[1:]] = values[order][1:] == values[order][:-1]
+def later(*values: np.ndarray) -> np.ndarray:
+    """Marks rows of the given columns that occurred before, in the given order."""
+    order = np.lexsort(values)
+    out = np.zeros(len(order), bool)
+    out[order[1:]] = np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in values])
     return out
 
 
@@ -98,12 +110,12 @@ def marked_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = [[c.to_numpy() for c in b.columns] for b in batches]
     if not columns:
         return
-    deal, ids, unit = (np.concatenate(c) for c in zip(*columns))
+    deal, check, ids, unit = (np.concatenate(c) for c in zip(*columns))
     del columns
     known = unit % 2 == 1
     rest = np.flatnonzero(~known)
     rest = rest[np.lexsort((unit[rest], ids[rest]))]
-    marked = np.concatenate((np.flatnonzero(known), rest[later(deal[rest])]))
+    marked = np.concatenate((np.flatnonzero(known), rest[later(check[rest], deal[rest])]))
     for i in range(0, len(marked), 1 << 17):
         part = marked[i : i + (1 << 17)]
         yield pa.RecordBatch.from_arrays(
@@ -113,8 +125,8 @@ def marked_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(
     size: int, start: np.ndarray, n_words: np.ndarray, marks: np.ndarray, min_words: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges of the runs of marked units that are long enough, up to the next unit."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the runs of marked units, up to the next unit, and which are long enough."""
     flag = np.zeros(len(start) + 2, bool)
     flag[1:-1][marks] = True
     first = np.flatnonzero(flag[1:] & ~flag[:-1])
@@ -122,7 +134,7 @@ def removed_ranges(
     count = np.concatenate(([0], np.cumsum(n_words)))
     long_ = count[last] - count[first] >= min_words
     ends = np.append(start, size)
-    return start[first[long_]], ends[last[long_]]
+    return start[first], ends[last], long_
 
 
 def dedup_units(
@@ -134,7 +146,9 @@ def dedup_units(
 ) -> DataFrame:
     """``docs`` without repeated passages, and a struct ``to``: n_units, n_removed, starts, ends.
 
-    ``n_removed`` counts bytes; ``starts`` and ``ends`` are byte offsets in the input text.
+    ``n_removed`` counts bytes; ``starts`` and ``ends`` are byte offsets in the input text. Repeated
+    runs below ``min_words`` words stay, as short lines repeat in clean texts by chance; their ranges
+    are ``short_starts`` and ``short_ends``. With ``min_words`` 1 all repeats are removed.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -177,23 +191,28 @@ def dedup_units(
                         text = texts.data[begin:end].tobytes()
                         marked = batch.column(1)[row]
                         a = b = np.zeros(0, np.int64)
+                        long_ = np.zeros(0, bool)
                         if marked.is_valid:
-                            a, b = removed_ranges(
+                            a, b, long_ = removed_ranges(
                                 len(text),
                                 units.start[lo:hi] - begin,
                                 units.n_words[lo:hi],
                                 marked.values.to_numpy(),
                                 min_words,
                             )
+                        short = a[~long_].tolist(), b[~long_].tolist()
+                        a, b = a[long_], b[long_]
                         if len(a):
                             keep = np.concatenate(([0], b)), np.concatenate((a, [len(text)]))
                             text = b"".join(text[x:y] for x, y in zip(*keep))
                         valid = batch.column(0)[row].is_valid
                         out_text.append(text if valid else None)
-                        out.append((hi - lo, int((b - a).sum()), a.tolist(), b.tolist()))
-            counts = list(zip(*out)) if out else [[], [], [], []]
+                        out.append((hi - lo, int((b - a).sum()), a.tolist(), b.tolist(), *short))
             lists = pa.list_(pa.int64())
-            kinds = {"n_units": pa.int64(), "n_removed": pa.int64(), "starts": lists, "ends": lists}
+            kinds = {"n_units": pa.int64(), "n_removed": pa.int64()} | dict.fromkeys(
+                ("starts", "ends", "short_starts", "short_ends"), lists
+            )
+            counts = list(zip(*out)) if out else [[]] * len(kinds)
             removal = pa.StructArray.from_arrays(
                 [pa.array(c, t) for c, t in zip(counts, kinds.values())], list(kinds)
             )

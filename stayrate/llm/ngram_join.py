@@ -12,9 +12,13 @@ least ``percent`` / 100. The method, for sets of at least one shingle:
    linked pair shares a signature.
 2. Signatures are dealt by hash, each partition of about ``ROWS_PER_TASK`` rows. In each bucket all
    members are paired with the first ``CENTRES`` members in the order of a hash, not all pairs.
-3. Pairs are confirmed on the whole shingle sets, and components are formed from confirmed links.
-4. The member nearest to the centres, the medoid, is compared with all members that share the first
-   centre. Members outside its component are strays. With ``A`` and ``B`` the differences of two
+3. Pairs are confirmed on the whole shingle sets: first one for each member, with the smallest of
+   its centres in the order of a hash, then those whose ends these links have not connected, so a
+   family of near copies is confirmed in about as many pairs as it has members. Components are
+   formed from confirmed links, and groups of members with a common first centre that are connected
+   are done.
+4. In the largest component of such a group, the member nearest to the centres, the medoid, is
+   compared with all members of the group. Members outside its component are strays. With ``A`` and ``B`` the differences of two
    members from the medoid (shingles in one set only), the members differ in
    ``len(A) + len(B) - 2 len(A & B)`` shingles, so a linked pair shares at least
    ``t = (len(A) + len(B) - k) / 2`` of them, and, in any common order, one among the first
@@ -40,7 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.shared import components, packed, small_batches, unpacked, written
+from stayrate.llm.shared import (
+    components,
+    drop_written,
+    packed,
+    settled,
+    small_batches,
+    unpacked,
+)
 from stayrate.llm.text import mix, mix_int, shingle_sets, text_slices
 
 CENTRES = 2
@@ -291,15 +302,15 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sets = written(shingle_counts(docs, n, id_col, text_col), "ngram-sets")
+    sets = settled(shingle_counts(docs, n, id_col, text_col), "ngram-sets")
     first = (
         sets.filter(f"n_shingles > 0 AND `{id_col}` IS NOT NULL")
         .groupBy("low", "high")
         .agg(F.min(id_col).cast("bigint").alias("representative"))
     )
     # Written, so that the join below deals both sides anew and Spark can split a hot digest.
-    first = written(first, "ngram-first")
-    named = written(
+    first = settled(first, "ngram-first")
+    named = settled(
         sets.join(first, ["low", "high"], "left").select(id_col, "n_shingles", "representative"),
         "ngram-named",
     )
@@ -319,7 +330,7 @@ def jaccard_components(
         .repartition(tasks, "sig")
         .mapInArrow(stars, "size bigint, first bigint, centre bigint, member bigint")
     )
-    star = written(
+    star = settled(
         star.join(copies.selectExpr("id AS centre", "rep AS rep_c"), "centre", "left")
         .join(copies.selectExpr("id AS member", "rep AS rep_m"), "member", "left")
         .selectExpr(
@@ -332,31 +343,50 @@ def jaccard_components(
         "ngram-star",
     )
 
-    pairs = star.selectExpr("least(centre, member) AS a", "greatest(centre, member) AS b").distinct()
-    pairs = written(pairs, "ngram-pairs")
+    pairs = star.selectExpr("centre AS a", "member AS b").distinct()
     wanted = star.selectExpr("centre AS id").union(star.selectExpr("member AS id")).distinct()
-    texts = written(
+    texts = settled(
         packed(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), "text")
         .filter("id IS NOT NULL AND packed IS NOT NULL")
         .join(wanted, "id", "left_semi"),
         "ngram-texts",
     )
-    known = written(confirmed(pairs, texts, n), "ngram-known")
+    # First one pair for each member, with the smallest centre in the order of a hash, which most
+    # buckets of a family have in common; then only pairs that these links have not connected.
+    chosen = pairs.groupBy("b").agg(F.expr("min_by(a, struct(xxhash64(a), a)) AS a"))
+    chosen = settled(chosen.select("a", "b"), "ngram-chosen")
+    first_known = settled(confirmed(chosen, texts, n), "ngram-known")
+    first_links = first_known.filter(linked(percent)).select("a", "b")
+    open_pairs = settled(
+        apart_pairs(pairs, components(first_links, "ngram-first")).join(
+            chosen, ["a", "b"], "left_anti"
+        ),
+        "ngram-pairs",
+    )
+    more_known = settled(confirmed(open_pairs, texts, n), "ngram-known")
+    known = first_known.union(more_known)
     links = known.filter(linked(percent)).select("a", "b")
     # Rows that repeat an id with another text tie their sets together.
     tied = named.filter("representative IS NOT NULL").selectExpr(
         f"CAST(`{id_col}` AS BIGINT) AS a", "representative AS b"
     ).filter("a <> b")
-    groups = star.filter(f"size > {CENTRES + 1}").select("first", "centre", "member")
+    parts = components(links, "ngram-part")
+    groups, main = mixed_groups(star, parts)
+    groups = settled(groups, "ngram-groups")
+    unused = [sets, first, star, chosen, open_pairs]
     if not groups.isEmpty():
-        apart = written(_apart(groups, known, texts, n, percent), "ngram-apart")
-        links = links.union(apart.filter(linked(percent)).selectExpr("medoid AS a", "member AS b"))
-        links = links.filter("a <> b")
+        apart = settled(_apart(groups, main, known, texts, n, percent), "ngram-apart")
+        near = apart.filter(linked(percent)).selectExpr("medoid AS a", "member AS b")
+        links = settled(links.union(near).filter("a <> b"), "ngram-links")
         rest = _rest(apart, components(links, "ngram-part"), percent)
-        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
-        more = written(confirmed(rest, texts, n), "ngram-more")
+        seen = known.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+        rest = settled(rest.join(seen, ["a", "b"], "left_anti"), "ngram-rest")
+        more = settled(confirmed(rest, texts, n), "ngram-more")
         links = links.union(more.filter(linked(percent)).select("a", "b"))
+        unused += [apart, rest]
     graph = components(links.union(tied), "ngram-all")
+    for table in (*unused, texts, groups, first_known, more_known):
+        drop_written(table)
     return (
         named.join(graph.withColumnRenamed("node", id_col), id_col, "left")
         .withColumn(
@@ -366,23 +396,59 @@ def jaccard_components(
     )
 
 
+def apart_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends lie in different components."""
+    return (
+        pairs.join(parts.selectExpr("node AS a", "component AS at_a"), "a", "left")
+        .join(parts.selectExpr("node AS b", "component AS at_b"), "b", "left")
+        .filter("coalesce(at_a, a) <> coalesce(at_b, b)")
+        .select("a", "b")
+    )
+
+
+def mixed_groups(star: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of members with a common first centre that links have not connected so far.
+
+    Returns (first, centre, member) rows of their buckets, and (first, member) rows of the members in
+    the largest component of each. Buckets of no more members than centres are compared already.
+    """
+    groups = star.filter(f"size > {CENTRES + 1}").select("first", "centre", "member").distinct()
+    both = groups.select("first", "member").union(groups.selectExpr("first", "centre AS member"))
+    placed = (
+        both.distinct()
+        .join(parts.withColumnRenamed("node", "member"), "member", "left")
+        .selectExpr("first", "member", "coalesce(component, member) AS at")
+    )
+    placed = settled(placed, "ngram-member")
+    main = (
+        placed.groupBy("first", "at")
+        .agg(F.count("*").alias("n"))
+        .groupBy("first")
+        .agg(F.expr("max_by(at, struct(n, at)) AS at"), F.count("*").alias("parts"))
+        .filter("parts > 1")
+    )
+    main = settled(main.select("first", "at"), "ngram-main")
+    return groups.join(main.select("first"), "first"), placed.join(main, ["first", "at"]).drop("at")
+
+
 def _apart(
-    groups: DataFrame, known: DataFrame, texts: DataFrame, n: int, percent: int
+    groups: DataFrame, main: DataFrame, known: DataFrame, texts: DataFrame, n: int, percent: int
 ) -> DataFrame:
     """(first, medoid, member, ...): differences of all members that share a first centre."""
     compared = (
-        groups.distinct()
-        .selectExpr("first", "member", "least(centre, member) AS a", "greatest(centre, member) AS b")
+        groups.selectExpr("first", "member", "centre AS a", "member AS b")
         .join(known.selectExpr("a", "b", "1 - common / total AS far"), ["a", "b"])
         .groupBy("first", "member")
-        .agg(F.avg("far").alias("far"), F.count("far").alias("n"))
+        .agg(F.avg("far").alias("far"))
     )
-    medoid = compared.groupBy("first").agg(
-        F.expr(f"min_by(member, struct(-least(n, {CENTRES}), far, member))").alias("medoid")
+    medoid = (
+        main.join(compared, ["first", "member"], "left")
+        .groupBy("first")
+        .agg(F.expr("min_by(member, struct(coalesce(far, 1), member)) AS medoid"))
     )
     member = groups.select("first", "member").union(groups.select("first", "centre")).distinct()
     member = member.join(medoid, "first").filter("member <> medoid")
-    member = written(member, "ngram-member")
+    member = settled(member, "ngram-member")
     measured = differences(
         member.selectExpr("medoid AS a", "member AS b").distinct(), texts, n, percent
     ).withColumnsRenamed({"a": "medoid", "b": "member"})
@@ -419,7 +485,7 @@ def _rest(apart: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             "slice(apart, 1, CAST(most + 1 AS INT)) AS head",
         )
     )
-    member = written(member, "ngram-placed")
+    member = settled(member, "ngram-placed")
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         columns = {"member": name} | {c: f"{c}_{name}" for c in ("at", "size", "far", "most")}

@@ -24,12 +24,16 @@ from pyspark.sql import DataFrame
 
 from stayrate.llm.shared import fresh, small_batches
 from stayrate.llm.text import (
+    PRIME,
     SPACE,
     Texts,
     mix,
-    powers,
-    span_hashes,
+    mod_prime,
+    prime_powers,
+    prime_sums,
     text_slices,
+    times,
+    unit_hashes,
     words,
 )
 
@@ -79,17 +83,20 @@ def common_prefixes(
     """Lengths of the common prefixes of the suffixes at ``a`` and at ``b``."""
     if not len(a):
         return np.zeros(0, np.int64)
-    base = 0xD1342543DE82EF95
-    up = powers(base, len(tokens))
-    down = powers(pow(base, -1, 1 << 64), len(tokens) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * up)))
+    base = 0x1142543DE82EF953
+    values = mod_prime(mix(tokens))
+    total = prime_sums(times(values, prime_powers(base, len(tokens))))
+    down = prime_powers(pow(base, -1, PRIME), len(tokens) + 1)
     most = np.minimum(end[a] - a, end[b] - b)
     found = np.zeros(len(a), np.int64)
     step = 1 << int(most.max()).bit_length()
     while step:
         fits = np.flatnonzero(found + step <= most)
         i, j = a[fits] + found[fits], b[fits] + found[fits]
-        equal = (total[i + step] - total[i]) * down[i] == (total[j + step] - total[j]) * down[j]
+        first, second = (
+            times(mod_prime(total[k + step] + np.uint64(PRIME) - total[k]), down[k]) for k in (i, j)
+        )
+        equal = first == second
         found[fits[equal]] += step
         step //= 2
     return found
@@ -144,7 +151,7 @@ def measures(texts: Texts, min_repeat: int) -> Measures:
     found = words(texts)
     first = np.searchsorted(found.text, np.arange(n + 1))
     tokens = mix(
-        span_hashes(texts.data, found.start, found.end)
+        unit_hashes(texts.data, found.start, found.end)
         + mix(found.text.astype(np.uint64) + np.uint64(77))
     )
     longest = longest_repeats(tokens, first[1:][found.text], min(WINDOW, min_repeat))
@@ -158,7 +165,7 @@ def measures(texts: Texts, min_repeat: int) -> Measures:
     line, stop = line[filled], stop[filled]
     text = np.searchsorted(edges, line, "right") - 1
     content = mix(
-        span_hashes(texts.data, line, stop) + mix(text.astype(np.uint64) + np.uint64(7777))
+        unit_hashes(texts.data, line, stop) + mix(text.astype(np.uint64) + np.uint64(7777))
     )
     order = np.argsort(content, kind="stable")
     again = content[order][1:] == content[order][:-1]

@@ -13,18 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir`` of the session.
 
     Only a local session may go without; it gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not (spark.sparkContext.master or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        folder = f"file://{tempfile.mkdtemp(prefix='stayrate-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='stayrate-')}"
+    return _local[context.applicationId]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -53,6 +59,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written`, and the shuffles of the write are deleted at its end: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`written` that no later step reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -114,14 +131,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         return f"struct(xxhash64({c}) AS h, {c} AS id)"
 
     edges = edges.select("a", "b").filter("a <> b").distinct()
-    edges = written(edges, f"{name}-edges")
+    edges = settled(edges, f"{name}-edges")
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         best = both.groupBy("a").agg(
             F.expr(f"least(min({rank('b')}), min({rank('a')}))").alias("best")
         )
-        step = written(best.selectExpr("a AS node", "best.id AS parent"), f"{name}-step")
+        step = settled(best.selectExpr("a AS node", "best.id AS parent"), f"{name}-step")
         steps.append(step)
         smaller = (
             edges.join(step.selectExpr("node AS a", "parent AS pa"), "a")
@@ -130,7 +147,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .selectExpr("least(pa, pb) AS a", "greatest(pa, pb) AS b")
             .distinct()
         )
-        smaller = written(smaller, f"{name}-edges")
+        smaller = settled(smaller, f"{name}-edges")
         drop_written(edges)
         edges = smaller
     if not steps:

@@ -1,7 +1,9 @@
 """Words, shingles and their 64-bit fingerprints for Arrow text columns, without a loop over words.
 
 All functions work on slices of a few megabytes, so memory does not depend on the batch size.
-A fingerprint of a word is a polynomial over its bytes modulo 2**64, finished by a mixer.
+Words and lines are hashed by a sum of byte values, each times a random number that belongs to its
+place (:func:`unit_hashes`). Windows that overlap, of less than 1,024 bytes, are hashed by polynomials
+modulo 2**64; those of longer ranges vanish on some patterns whatever the base is.
 """
 
 from __future__ import annotations
@@ -142,6 +144,89 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def _place_keys(first: int, n: int, seed: int) -> np.ndarray:
+    """Random odd numbers that belong to the places ``first`` to ``first + n - 1``."""
+    places = np.arange(first, first + n, dtype=np.uint64)
+    return mix(places * np.uint64(0x9E3779B97F4A7C15) + np.uint64(mix_int(seed))) | np.uint64(1)
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Fingerprints of runs ``values[start:end]``, ascending, apart and not empty, a slice at a time.
+
+    Each value counts times a random number for its place in the run, so no pattern of values cancels
+    another but by chance. Other seeds give independent fingerprints.
+    """
+    out = np.empty(len(start), np.uint64)
+    done = 0
+    while done < len(start):
+        begin = int(start[done])
+        last = max(int(np.searchsorted(end, begin + _HASH_BYTES, "right")), done + 1)
+        a, b = start[done:last] - begin, end[done:last] - begin
+        size = b - a
+        ends = np.cumsum(size)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        keys = _place_keys(0, int(size.max()), seed)
+        terms = values[begin + place + np.repeat(a, size)] * keys[place]
+        sums = np.add.reduceat(terms, ends - size)
+        out[done:last] = mix(sums + size.astype(np.uint64) * np.uint64(mix_int(seed + 1000) | 1))
+        done = last
+    return out
+
+
+_BYTES = {seed: mix(np.arange(256, dtype=np.uint64) + np.uint64(mix_int(seed + 77))) for seed in (1, 2)}
+
+
+def unit_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Fingerprints of words or lines: byte ranges, ascending, apart and not empty."""
+    out = np.empty(len(start), np.uint64)
+    done = 0
+    while done < len(start):  # a megabyte at a time, as the values of its bytes take eight
+        begin = int(start[done])
+        last = max(int(np.searchsorted(end, begin + _HASH_BYTES, "right")), done + 1)
+        stop = int(end[last - 1])
+        values = _BYTES[seed][data[begin:stop]]
+        out[done:last] = run_hashes(values, start[done:last] - begin, end[done:last] - begin, seed)
+        done = last
+    return out
+
+
+# Arithmetic modulo the prime 2**61 - 1, where powers of a base have no zero divisors to vanish on.
+PRIME = (1 << 61) - 1
+
+
+def mod_prime(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products of numbers below the prime, modulo the prime."""
+    low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low31, b >> np.uint64(31), b & low31
+    middle = a0 * b1 + a1 * b0
+    high = a1 * b1 * np.uint64(2) + (middle >> np.uint64(30))
+    return mod_prime(high + ((middle & low30) << np.uint64(31)) + a0 * b0)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n-1) modulo the prime, by doubling."""
+    out = np.ones(max(n, 1), np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = times(out[:more], np.uint64(pow(base, have, PRIME)))
+        have += more
+    return out[:n]
+
+
+def prime_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... n numbers below the prime, modulo the prime."""
+    low = np.cumsum(values & np.uint64((1 << 30) - 1))
+    high = mod_prime(np.cumsum(values >> np.uint64(30)))
+    total = mod_prime(times(high, np.uint64(1 << 30)) + mod_prime(low))
+    return np.concatenate((np.zeros(1, np.uint64), total))
+
+
 def sliding_hashes(data: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of all runs of ``n`` consecutive bytes."""
     if len(data) < n:
@@ -179,7 +264,7 @@ def shingle_sets(texts: Texts, n: int) -> list[np.ndarray]:
     """
     data = LOWER[texts.data]
     found = words(texts)
-    tokens = span_hashes(data, found.start, found.end)
+    tokens = unit_hashes(data, found.start, found.end)
     runs = sequence_hashes(tokens, n)
     first = np.searchsorted(found.text, np.arange(texts.last - texts.first + 1))
     sets = []

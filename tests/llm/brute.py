@@ -9,6 +9,11 @@ from collections import Counter
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def thue_morse(n: int, a: str = "a", b: str = "b") -> str:
+    """A pattern on which polynomials modulo a power of two cannot tell a from b."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
 def lowered(text: bytes) -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in text)
 

@@ -113,6 +113,27 @@ def test_a_passage_inside_lines_is_found(spark):
     assert "cat" not in cleaned(df)[2][0] and "The end." in cleaned(df)[2][0]
 
 
+def test_patterns_are_not_taken_for_repeats(spark):
+    x, y = brute.thue_morse(2048), brute.thue_morse(2048, "b", "a")
+    tail = " one two three four five six seven eight"
+    texts = {1: x + tail, 2: y + tail, 3: x + tail}
+    texts |= {4: " ".join(x) + ".", 5: " ".join(y) + ".", 6: " ".join(x) + "."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert cleaned(df) == brute.line_dedup(texts, 8)
+    assert cleaned(df)[2][0] == texts[2] and cleaned(df)[5][0] == texts[5]
+
+
+def test_short_repeats_are_reported(spark):
+    texts = {1: "A short line.\nOne of nine words that is long enough, yes.", 2: "A short line.\nOther."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.removal) for r in dedup_units(df).collect()}
+    assert found[2][0] == texts[2] and found[2][1].n_removed == 0
+    assert (found[2][1].short_starts, found[2][1].short_ends) == ([0], [14])
+    assert (found[1][1].short_starts, found[1][1].starts) == ([], [])
+    removed = {r.doc_id: r.removal for r in dedup_units(df, min_words=1).collect()}
+    assert (removed[2].starts, removed[2].ends, removed[2].short_starts) == ([0], [14], [])
+
+
 def test_line_dedup_keeps_columns_and_odd_rows(spark):
     line = "one two three four five six seven eight nine"
     rows = [(1, line, 1), (2, line, 2), (None, line, 3), (4, line, 4), (4, line, 5), (5, None, 6)]

@@ -111,3 +111,29 @@ def test_one_large_group_of_equal_texts(spark):
         F.col("id").alias("doc_id"), F.lit("the same text in every one of them").alias("text")
     )
     assert set(joined(df).values()) == {(5, 0)}
+
+
+def test_patterned_words_do_not_link(spark):
+    x, y = brute.thue_morse(2048), brute.thue_morse(2048, "b", "a")
+    rows = [(1, x), (2, y), (3, x + "  "), (4, f"{x} {y}")]
+    got = joined(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4)}
+
+
+def test_family_with_strays(spark):
+    """A large family of near copies, one bridge out of it, and documents that only look alike."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[(7 * i) % 200] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    words = list(base)
+    for step in range(12):  # a chain that leaves the family step by step
+        words[5 + 16 * step] = f"chain{step}"
+        rows.append((1000 + step, " ".join(words)))
+    for i in range(40):  # 60 % of the family's words
+        rows.append((2000 + i, " ".join(base[:120] + [f"y{i}z{j}" for j in range(80)])))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    for n, percent in ((4, 85), (5, 80)):
+        assert joined(frame, n=n, percent=percent) == brute.components(dict(rows), n, percent)

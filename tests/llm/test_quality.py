@@ -73,3 +73,18 @@ def test_columns_are_kept(spark):
     assert got.columns == ["kept", "n_words", "text", "quality"]
     assert got.select("kept", "n_words", "text").first() == ("b", 1, "x")
     assert Q.repetition_quality(df.selectExpr("1L AS doc_id", "text").limit(0)).collect() == []
+
+
+def test_patterned_lines_and_words_are_not_repeats(spark):
+    x, y = brute.thue_morse(2048), brute.thue_morse(2048, "b", "a")
+    rows = [(1, f"{x}\n{y}"), (2, f"{x}\n{y}\n{x}"), (3, " ".join(x) + " c " + " ".join(y))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in Q.repetition_quality(frame).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2)] == [0, 1]
+    words = rows[2][1].split()
+    longest = max(
+        n
+        for n in (1024, 1025, 1536, 2047, 2048)
+        if len({tuple(words[i : i + n]) for i in range(len(words) - n + 1)}) < len(words) - n + 1
+    )
+    assert longest <= got[3].longest_repeat < 2048

@@ -77,3 +77,38 @@ def test_lowering_touches_ascii_only():
     (part,) = every_slice(["ÀB Éa"], 100)
     assert T.LOWER[part.data].tobytes().decode() == "Àb Éa"
     assert re.findall("b", "Àb")
+
+
+X, Y = brute.thue_morse(2048), brute.thue_morse(2048, "b", "a")
+
+
+def test_patterns_do_not_collide():
+    data = np.frombuffer(f"{X} {Y}".encode(), np.uint8)
+    start, end = np.array([0, 2049]), np.array([2048, 4097])
+    for seed in (1, 2):
+        hashes = T.unit_hashes(data, start, end, seed)
+        assert hashes[0] != hashes[1]
+        values = T.mix(data.astype(np.uint64))
+        runs = T.run_hashes(values, start, end, seed)
+        assert runs[0] != runs[1]
+    one, two = T.shingle_sets(next(T.text_slices(pa.array([X, Y]))), 4)
+    assert one.tolist() != two.tolist()
+
+
+@given(st.lists(st.binary(min_size=1, max_size=9), min_size=1, max_size=9))
+def test_equal_units_have_equal_hashes(units):
+    data = np.frombuffer(b" ".join(units) + b" ", np.uint8)
+    end = np.cumsum([len(u) + 1 for u in units]) - 1
+    start = end - [len(u) for u in units]
+    for seed in (1, 2):
+        hashes = T.unit_hashes(data, start, end, seed).tolist()
+        assert len(set(zip(units, hashes))) == len(set(units)) == len(set(hashes))
+
+
+@given(st.lists(st.integers(0, 2**61 - 2), min_size=1, max_size=30), st.integers(1, 2**61 - 2))
+def test_arithmetic_modulo_the_prime(values, base):
+    a = np.array(values, np.uint64)
+    p = T.PRIME
+    assert T.times(a, np.uint64(base)).tolist() == [v * base % p for v in values]
+    assert T.prime_powers(base, len(a)).tolist() == [pow(base, i, p) for i in range(len(a))]
+    assert T.prime_sums(a).tolist() == [sum(values[:i]) % p for i in range(len(a) + 1)]
