@@ -3,9 +3,12 @@
 A change of the corpus is a batch of signed rows: an insert adds a text and its tokens, a delete
 takes both away, a revision adds the difference of two counts. Each batch is reduced to one row per
 (source, lang, tokenizer) and written below ``batches/<id>``; it counts from the moment its marker
-``commits/<id>`` exists. Committing an id again does nothing, a batch whose writer died has no
-marker and is written anew, so a batch counts once whatever is run again. Totals are the sum of
-all committed batches, plus the newest snapshot made by :func:`compact`.
+``commits/<id>`` exists, which names the attempt that counts. Committing an id again does nothing; each
+writer of a batch writes an attempt of its own, ``batches/<id>/<attempt>``, so one that dies, or a
+second writer of the same id, leaves what is committed as it is, and a batch counts once whatever is
+run again. Only one writer's marker can take the place where the store renames exclusively, as HDFS
+does; on object stores a batch id must have one writer at a time. Totals are the sum of all committed
+batches, plus the newest snapshot made by :func:`compact`.
 
 Only the per-key sums of a batch are shuffled, after a partial sum per task, so a source that holds
 most rows fills no task. Null source or language is a key of its own. A null or empty text counts as
@@ -17,15 +20,22 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
+from uuid import uuid4
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.llm.packing import n_words
 from stayrate.llm.shared import small_batches
 
+if TYPE_CHECKING:
+    import tiktoken
+
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 
@@ -33,11 +43,34 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_LONG_RUN = 1000
+_RUN = re.compile(
+    rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{_LONG_RUN},}}"
+)
+
+
 def with_words(docs: DataFrame, to: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the number of words (not ASCII white space)."""
     return docs.withColumn(to, F.expr(n_words(f"`{text_col}`")))
 
 
+def n_tokens(tool: tiktoken.Encoding, text: str) -> int:
+    """Number of tokens; long runs of white space are cut first, as the pattern would cut them.
+
+    The pattern's look-ahead overflows the stack on a run of a million. It takes a run less its last
+    character as one piece, and at the end of a text all of it.
+    """
+    if len(text) < _LONG_RUN or not (runs := list(_RUN.finditer(text))):
+        return len(tool.encode_ordinary(text))
+    total = begin = 0
+    for run in runs:
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(tool.encode_ordinary(text[begin : run.start()]))
+        total += len(tool._encode_single_piece(text[run.start() : last]))
+        begin = last
+    return total + len(tool.encode_ordinary(text[begin:]))
+
+
 def with_bpe(docs: DataFrame, to: str, ranks_path: str, text_col: str = "text") -> DataFrame:
     """The other columns and the number of byte-level BPE tokens of each text.
 
@@ -57,9 +90,7 @@ def with_bpe(docs: DataFrame, to: str, ranks_path: str, text_col: str = "text")
             "bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         for batch in batches:
-            counts = [
-                len(tool.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in batch.column(0)
-            ]
+            counts = [n_tokens(tool, t.as_py()) if t.is_valid else 0 for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(counts, pa.int64())], names=[*others, to]
             )
@@ -98,7 +129,7 @@ class Rollup:
         self._jvm = spark.sparkContext._jvm
         root = self._path("")
         self._store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for name in ("batches", "commits", "snapshots"):
+        for name in ("batches", "commits", "drafts", "snapshots"):
             self._store.mkdirs(self._path(name))
 
     def _path(self, name: str):
@@ -122,9 +153,33 @@ class Rollup:
             "n_tokens", F.when(wrong, F.raise_error(F.lit("incomplete change"))).otherwise(F.col("n_tokens"))
         ).groupBy(*KEYS).agg(
             F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}")
-        # The marker appears at once, and only one of two writers can create it.
-        return self._store.createNewFile(self._path(f"commits/{batch}"))
+        ).coalesce(1).write.parquet(f"{self.folder}/batches/{batch}/{(attempt := uuid4().hex)}")
+        return self._mark(batch, attempt)
+
+    def _mark(self, batch: str, attempt: str) -> bool:
+        """Put the marker in place whole; False if another writer's is there."""
+        marker, draft = self._path(f"commits/{batch}"), self._path(f"drafts/{attempt}")
+        stream = self._store.create(draft, True)
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
+        fs = self._jvm.org.apache.hadoop.fs
+        draft, marker = self._store.makeQualified(draft), self._store.makeQualified(marker)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        once = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, marker, once)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception):
+                raise
+            return False
+        return True
+
+    def _attempt(self, batch: str) -> str:
+        stream = self._store.open(self._path(f"commits/{batch}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _snapshot(self) -> tuple[str | None, list[str]]:
         """The newest complete snapshot and the batches it holds."""
@@ -140,7 +195,9 @@ class Rollup:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
         name, held = self._snapshot()
         done = set(held)
-        paths = [f"{self.folder}/batches/{b}" for b in self.committed() if b not in done]
+        paths = [
+            f"{self.folder}/batches/{b}/{self._attempt(b)}" for b in self.committed() if b not in done
+        ]
         if name is not None:
             paths.append(f"{self.folder}/snapshots/{name}/totals")
         if not paths:

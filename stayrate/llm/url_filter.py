@@ -1,8 +1,9 @@
 """URL filters: host-suffix and path-prefix expressions joined on short hash prefixes.
 
-Each distinct (host, path) is expanded into ``suffix`` + ``directory`` expressions, one for each
-suffix of the host at a dot and each directory of the path; a rule is filed under its host and the
-directory its path lies in. Both sides meet on the first ``PREFIX`` hex digits of the SHA-256 of
+Each distinct (host, path) is expanded into ``suffix`` + ``directory`` expressions of suffixes of the
+host at a dot and directories of the path; a rule is filed under its host and the directory its path
+lies in. Only suffixes of as many labels, with directories of as many slashes, as some rule has are
+made, so a url gives a row for each such shape, however long it is. Both sides meet on the first ``PREFIX`` hex digits of the SHA-256 of
 the expression; the full digest, the host and the rest of the rule's path are then confirmed. The
 longest fitting rule wins, on a tie the blocking one, then the smaller host.
 
@@ -30,32 +31,40 @@ def url_parts(url: str) -> tuple[str, str]:
     return f"coalesce(translate({host}, {letters}), '')", f"coalesce({path}, '')"
 
 
-def expressions(places: DataFrame) -> DataFrame:
-    """(host, path, suffix, directory): directories end in ``/``; a path without one has ''."""
-    labels = "split(host, '[.]')"
-    # '/a/b' splits into ['', 'a', 'b']: the directories are '/' and '/a/'.
-    steps = "split(path, '/')"
+def expressions(places: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """(host, path, suffix, directory) for each shape, a number of labels and one of slashes.
+
+    Directories end in ``/``; that of no slash is empty. Shapes that a url has not give no row.
+    """
+    pairs = ", ".join(f"struct({labels} AS k, {slashes} AS d)" for labels, slashes in shapes)
+    if not shapes:
+        return places.selectExpr("host", "path", "host AS suffix", "path AS directory").limit(0)
     return (
         places.filter("host <> ''")
-        .withColumn("labels", F.expr(labels))
-        .withColumn("steps", F.expr(steps))
-        .selectExpr(
-            "host",
-            "path",
-            "steps",
-            "explode(transform(sequence(1, size(labels)),"
-            " i -> array_join(slice(labels, i, size(labels)), '.'))) AS suffix",
-        )
+        .withColumn("labels", F.expr("split(host, '[.]')"))
+        # '/a/b' splits into ['', 'a', 'b']: the directories are '/' and '/a/'.
+        .withColumn("steps", F.expr("split(path, '/')"))
+        .withColumn("shape", F.expr(f"explode(array({pairs}))"))
+        .filter("shape.k <= size(labels) AND shape.d < size(steps)")
         .selectExpr(
             "host",
             "path",
-            "suffix",
-            "explode(transform(sequence(0, size(steps) - 1),"
-            " i -> if(i = 0, '', concat(array_join(slice(steps, 1, i), '/'), '/')))) AS directory",
+            "array_join(slice(labels, size(labels) - shape.k + 1, shape.k), '.') AS suffix",
+            "if(shape.d = 0, '', concat(array_join(slice(steps, 1, shape.d), '/'), '/'))"
+            " AS directory",
         )
     )
 
 
+def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
+    """The (labels, slashes) of the rules' hosts and directories: a few small numbers."""
+    rows = rules.selectExpr(
+        "size(split(r_host, '[.]')) AS labels",
+        "length(r_path) - length(replace(r_path, '/', '')) AS slashes",
+    )
+    return sorted(tuple(row) for row in rows.distinct().collect())
+
+
 def filed(rules: DataFrame) -> DataFrame:
     """(r_host, r_path, action, r_digest): rules with the digest of their expression."""
     return (
@@ -82,10 +91,10 @@ def judge_urls(
     row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
     split = pages.select(row, F.expr(host).alias("host"), F.expr(path).alias("path"))
     places = split.select("host", "path").distinct()
-    expanded = expressions(places).withColumn(
+    sorted_rules = filed(rules)
+    expanded = expressions(places, shapes_of(sorted_rules)).withColumn(
         "digest", F.expr("sha2(concat(suffix, directory), 256)")
     )
-    sorted_rules = filed(rules)
     best = (
         expanded.withColumn("short", F.expr(f"left(digest, {PREFIX})"))
         .join(sorted_rules.withColumn("short", F.expr(f"left(r_digest, {PREFIX})")), "short")

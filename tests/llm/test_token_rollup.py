@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 from collections import Counter
 
 import pytest
+import tiktoken
 
 from stayrate.llm import token_rollup as R
 from stayrate.llm.queries import BPE_RANKS
@@ -78,3 +80,44 @@ def test_bpe_counts(spark):
         (r["doc_id"], len(tool.encode_ordinary(r["text"] or ""))) for r in rows
     )
     assert {r["words"] for r in got if r["doc_id"] in (None, -1)} == {0}
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE_RANKS, "rb"))}
+    return tiktoken.Encoding("bpe", pat_str=R.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("run", [" " * 1000, "\n" * 1500, " \t\n\u3000" * 400, " " * 999 + "\x1f" + " " * 2000])
+def test_cut_runs_give_the_same_tokens(encoding, run):
+    for text in (run, f"a{run}", f"{run}b", f"a.{run}b 's{run}", f"1{run}'s{run}\u00e9 {run} x"):
+        assert R.n_tokens(encoding, text) == len(encoding.encode_ordinary(text))
+
+
+def test_a_run_of_two_million_spaces(spark):
+    text = "a" + " " * 2_000_000 + "b"
+    df = spark.createDataFrame([(text, 1), ("a b", 2), (None, 3)], "text string, id int")
+    got = {r.id: r.n for r in R.with_bpe(df, "n", BPE_RANKS).collect()}
+    assert got == {1: 2_000_001, 2: 2, 3: 0}  # the vocabulary has no longer run of spaces
+
+
+def test_second_writer_that_dies_leaves_the_batch(spark, rollup):
+    docs = spark.createDataFrame([("a", "en", 5, 6)], SCHEMA)
+    late = R.Rollup(spark, rollup.folder)
+    store = late._store
+
+    class Slow:  # sees no marker, as it looked before the first writer set it
+        def __getattr__(self, name):
+            return getattr(store, name)
+
+        def exists(self, path):
+            return False
+
+    late._store = Slow()
+    assert rollup.commit("b", R.inserted(docs, "t", "n"))
+    dying = docs.selectExpr("source", "lang", "raise_error('lost') AS n")
+    with pytest.raises(Exception, match="lost"):
+        late.commit("b", R.inserted(dying, "t", "n"))
+    assert totals(rollup) == {("a", "en", "t"): (1, 5)}
+    assert not late.commit("b", R.inserted(docs, "t", "m"))
+    assert totals(rollup) == {("a", "en", "t"): (1, 5)}

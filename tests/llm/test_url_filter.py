@@ -43,6 +43,7 @@ def test_against_all_rules(spark):
     tails = ["", "?q=/x/", "#/x/", "?a#b"]
     urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(tails)}" for _ in range(300)]
     urls += [None, "", "a.com/x", "http:/a.com", "x://y://a.com/x", "http://a.com" + "/x" * 500]
+    urls += ["http://a.com" + "/" * 1_000_000, "http://" + "b." * 100_000 + "a.com/x/", "http://net/en/" + "/" * 99]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = judge_urls(df, rules).collect()
