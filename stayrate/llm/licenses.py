@@ -3,13 +3,15 @@
 Texts and templates are compared word by word, in lower case and without outer punctuation; words
 are parted by any white space. A template is cut into one run of words more than the edits that
 ``max_difference`` of its words allows, so a notice within the limit holds at least one run
-unchanged. Where a run stands, the text around it is compared with the template: the edit distance
-in words to the nearest stretch must be at most ``max_difference`` of the template's words; the words
-missing and added are reported.
+unchanged. Where runs stand, the stretches that their templates may take, joined where they overlap,
+are the candidate blocks.
 
-Where the stretches of several templates overlap, the words they cover are compressed alone and with
-each template as raw dictionary. The template that saves the largest share of bytes is reported,
-unless one that covers as many words has fewer edits; what is left of the others is compared again.
+A block is compressed alone and with each of the templates as raw dictionary, and the templates are
+ranked by the bytes they save. In this order the wording is confirmed, until one fits: the edit
+distance in words to the nearest stretch of the block must be at most ``max_difference`` of the
+template's words; the words missing and added are reported. Of templates that save the same, the one
+with fewer edits, then the first by name, wins. What is left of the block on both sides of a notice is
+a block again, so nothing within the limit stays.
 
 Words inside a reported notice are not looked at again, so a notice is reported once. A null or
 empty text has no notice, a template without words is never found. Rows are judged one by one:
@@ -20,7 +22,6 @@ text.
 from __future__ import annotations
 
 import difflib
-import heapq
 import re
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
@@ -80,7 +81,7 @@ class Template(NamedTuple):
 
 
 class Fit(NamedTuple):
-    """A stretch of words that a template fits, and the window it was looked for in."""
+    """A stretch of words that a template fits."""
 
     start: int
     end: int
@@ -88,8 +89,6 @@ class Fit(NamedTuple):
     edits: int
     missing: list[str]
     added: list[str]
-    low: int
-    high: int
 
 
 class Scanner:
@@ -147,44 +146,45 @@ class Scanner:
 
     def fit(self, words: list[str], t: int, low: int, high: int) -> Fit | None:
         _, wording, most, _ = self.templates[t]
-        if high - low < len(wording) - most:
+        if not wording or high - low < len(wording) - most:
             return None
         got = self.confirm(wording, words[low:high])
         if got is None:
             return None
         a, b, *rest = got
-        return Fit(low + a, low + b, t, *rest, low, high)
+        return Fit(low + a, low + b, t, *rest)
+
+    def blocks(self, words: list[str]) -> list[tuple[int, int]]:
+        """Windows of all templates, joined where they overlap."""
+        out: list[tuple[int, int]] = []
+        for low, high in sorted((low, high) for _, low, high in self.windows(words)):
+            if out and low < out[-1][1]:
+                out[-1] = out[-1][0], max(high, out[-1][1])
+            else:
+                out.append((low, high))
+        return out
+
+    def ranked(self, words: list[str]) -> list[tuple[float, list[int]]]:
+        """(share of bytes saved, templates that save it), the largest first."""
+        block = " ".join(words).encode()
+        size = len(self.alone.compress(block))
+        saved: dict[float, list[int]] = {}
+        for t, template in enumerate(self.templates):
+            saved.setdefault(1 - len(template.tool.compress(block)) / size, []).append(t)
+        return sorted(saved.items(), reverse=True)
 
     def settled(self, words: list[str]) -> Iterator[tuple[Fit, float]]:
-        """Fits that do not overlap, with the share of bytes that the template saves."""
-        fits = [f for w in self.windows(words) if (f := self.fit(words, *w))]
-        heapq.heapify(fits)
-        taken = bytearray(len(words))
-        while fits:
-            rivals = [heapq.heappop(fits)]
-            while fits and fits[0].start < rivals[0].end:
-                rivals.append(heapq.heappop(fits))
-            block = " ".join(words[rivals[0].start : max(f.end for f in rivals)]).encode()
-            size = len(self.alone.compress(block))
-            saved = {
-                t: 1 - len(self.templates[t].tool.compress(block)) / size
-                for t in {f.template for f in rivals}
-            }
-            best, *others = sorted(rivals, key=lambda f: (-saved[f.template], f.edits, f.template, f))
-            for f in others:
-                if f.edits < best.edits and f.end - f.start >= best.end - best.start:
-                    best = f
-            yield best, saved[best.template]
-            taken[best.start : best.end] = b"\1" * (best.end - best.start)
-            while fits and fits[0].start < best.end:
-                rivals.append(heapq.heappop(fits))
-            for f in rivals:
-                if f.end <= best.start or f.start >= best.end:
-                    heapq.heappush(fits, f)
-                    continue
-                for part in re.finditer(rb"\0+", taken[f.low : f.high]):
-                    if rest := self.fit(words, f.template, f.low + part.start(), f.low + part.end()):
-                        heapq.heappush(fits, rest)
+        """The notices of all blocks, each the first in its block's ranking that fits."""
+        blocks = self.blocks(words)
+        while blocks:
+            low, high = blocks.pop()
+            for saved, templates in self.ranked(words[low:high]):
+                fits = [f for t in templates if (f := self.fit(words, t, low, high))]
+                if fits:
+                    best = min(fits, key=lambda f: (f.edits, f.template))
+                    yield best, saved
+                    blocks += [(low, best.start), (best.end, high)]
+                    break
 
     def confirm(self, wording: list[str], block: list[str]) -> tuple | None:
         """Where the template lies in the block, and how its wording differs."""

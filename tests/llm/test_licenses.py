@@ -7,7 +7,7 @@ import random
 import brute
 import pytest
 
-from stayrate.llm.licenses import TEMPLATES, Scanner, scan_licenses
+from stayrate.llm.licenses import TEMPLATES, Scanner, plain, scan_licenses
 
 FOLDER = "/root/testdata/sf0.001"
 PROSE = "Some words of prose that have nothing to do with it stand here. "
@@ -74,6 +74,31 @@ def test_edited_trigger_phrases():
         assert [f[0] for f in scanner.scan(text)] == [name]
 
 
+def test_the_ranking_decides():
+    """Both wordings are within the limit; the one with more edits saves more bytes."""
+    own = {
+        "few": "may be given on to all who ask for it and read in every unspoiled copy",
+        "long": "must be given on to any who ask for it and read in every counterrevolutionary copy",
+    }
+    scanner = Scanner(own, 0.2)
+    text = "may be given on to all who ask for it and read in every counterrevolutionary copy"
+    ((best, templates), *_) = scanner.ranked(text.split())
+    edits = {n: scanner.confirm(own[n].split(), text.split())[2] for n in own}
+    assert edits == {"few": 1, "long": 2}
+    assert [scanner.templates[t].name for t in templates] == ["long"]
+    ((name, _, _, saved, found, *_),) = scanner.scan(f"{PROSE}{text} {PROSE}")
+    assert (name, found) == ("long", 2) and saved > 0
+
+
+def test_all_templates_are_ranked():
+    scanner = Scanner(TEMPLATES, 0.15)
+    for name, wording in TEMPLATES.items():
+        ranked = scanner.ranked([plain(w) for w in wording.split()])
+        assert sorted(t for _, ts in ranked for t in ts) == list(range(len(TEMPLATES)))
+        # The longer Apache wording begins with the shorter one and saves as much of it.
+        assert name in [scanner.templates[t].name for t in ranked[0][1]]
+
+
 def test_own_templates(spark):
     own = {"house": "No copy without a written leave of the house.", "empty": " "}
     df = spark.createDataFrame([(1, f"{PROSE}{own['house']}")], "doc_id long, text string")
