@@ -73,7 +73,7 @@ def test_token_query(spark):
 
 def brute_pipeline(texts, items):
     kept = {i: t for i, t in texts.items() if brute.quality(t, 10, 20, 50)[-1]}
-    groups = brute.components(kept)
+    groups = brute.components(kept, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
     kept = {i: t for i, t in kept.items() if groups[i][1] == i}
     kept = {i: row[0] for i, row in brute.line_dedup(kept, 8).items()}
     kept = {i: t for i, t in kept.items() if brute.words(t)}
