@@ -14,7 +14,7 @@ from stayrate.operators import growth
 from stayrate.operators.dashboard import WORKSHEETS, mart_dashboard_long
 from stayrate.operators.marts import MART_SCHEMAS, MARTS, mart_row_counts
 from stayrate.plans import files
-from stayrate.sinks import extracts
+from stayrate.sinks import extracts, prepared
 from stayrate.sinks.extracts import (
     BrokenExtract,
     dashboard_from_extracts,
@@ -22,7 +22,7 @@ from stayrate.sinks.extracts import (
     write_extract,
     write_extracts,
 )
-from stayrate.sinks.prepared import prepare_usage
+from stayrate.sinks.prepared import prepare_usage, update_usage
 from stayrate.sinks.roles import write_csv_roles
 from stayrate.sources.retail import PARAMS, retail_roles
 from stayrate.sources.tables import (
@@ -322,3 +322,100 @@ def test_roles_through_csv(spark, roles, tmp_path):
         kinds = [f"CAST({c} AS {t}) AS {c}" for c, t in found.table(name).dtypes]
         got = sorted(rows_of(found.table(name)), key=repr)
         assert got == sorted(rows_of(want.selectExpr(*kinds)), key=repr), name
+
+
+@pytest.fixture
+def usage_tables():
+    """Rows of a small warehouse: two accounts with usage in six months, one without usage."""
+    return dict(
+        accounts=[dict(account_id=a) for a in ("a", "b", "idle")],
+        subscriptions=[
+            dict(subscription_id=f"s{a}", account_id=a) for a in ("a", "b", "idle", "late")
+        ],
+        feature_usage=[
+            dict(subscription_id=f"s{a}", usage_date=date(2023, m, 15), usage_count=m)
+            for m in range(1, 13)
+            for a in ("a" if m <= 6 else "b", "late" if m == 12 else "b")
+        ],
+        churn_events=[dict(account_id="a", churn_date=date(2023, 8, 1))],
+    )
+
+
+def prepared_rows(roles):
+    return sorted(map(repr, roles.owned.select(sorted(roles.owned.columns)).collect()))
+
+
+def months(*numbers):
+    return [date(2023, m, 1) for m in numbers]
+
+
+@pytest.mark.parametrize(
+    ("change", "rewritten"),
+    [
+        ("nothing", []),
+        ("new usage", [3, 11]),
+        ("first usage of a month", [1]),
+        ("churned", [1, 2, 3, 4, 5, 6]),
+        ("renamed without usage", []),
+        ("new account", [12]),
+        ("account gone", [1, 2, 3, 4, 5, 6]),
+        ("usage removed", [7]),
+    ],
+)
+def test_updated_usage_equals_a_rebuild(spark, make_roles, usage_tables, tmp_path, change, rewritten):
+    tables = usage_tables
+    folder = f"{tmp_path}/usage"
+    prepare_usage(make_roles(**tables), folder)
+    files_before = {
+        p.name: {f.name for f in p.glob("part-*")} for p in (tmp_path / "usage" / "owned_usage").glob("usage_month=*")
+    }
+    new = []
+    if change == "new usage":
+        new = [dict(subscription_id=s, usage_date=date(2023, m, 20)) for s, m in (("sa", 3), ("sb", 11))]
+    elif change == "first usage of a month":
+        new = [dict(subscription_id="sidle", usage_date=date(2023, 1, 20))]
+    elif change == "churned":
+        tables["accounts"][0]["churn_flag"] = True
+    elif change == "renamed without usage":
+        tables["accounts"][2]["industry"] = "health"
+    elif change == "new account":
+        tables["accounts"].append(dict(account_id="late"))
+    elif change == "account gone":
+        del tables["accounts"][0]
+    elif change == "usage removed":
+        new = [u for u in tables["feature_usage"] if u["usage_date"].month == 7]
+        tables["feature_usage"] = [u for u in tables["feature_usage"] if u not in new]
+    if change != "usage removed":
+        tables["feature_usage"] += new
+    roles = make_roles(**tables)
+    added = make_roles(feature_usage=new).feature_usage
+    updated, touched = update_usage(roles, folder, added)
+    assert touched == months(*rewritten)
+    rebuilt = prepare_usage(roles, f"{tmp_path}/anew")
+    assert prepared_rows(updated) == prepared_rows(rebuilt)
+    for place in (tmp_path / "usage" / "owned_usage").glob("usage_month=*"):
+        kept = files_before.get(place.name) == {f.name for f in place.glob("part-*")}
+        assert kept == (date.fromisoformat(place.name[-10:]) not in touched), place.name
+    again, touched = update_usage(roles, folder, added.limit(0))
+    assert touched == [] and prepared_rows(again) == prepared_rows(rebuilt)
+
+
+def test_update_that_dies_is_made_good(spark, make_roles, usage_tables, params, tmp_path, monkeypatch):
+    folder = f"{tmp_path}/usage"
+    prepare_usage(make_roles(**usage_tables), folder)
+    usage_tables["accounts"][0]["churn_flag"] = True
+    roles = make_roles(**usage_tables)
+    none = make_roles().feature_usage
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(prepared, "_write_spans", dies)
+        with pytest.raises(KeyboardInterrupt):
+            update_usage(roles, folder, none)
+    updated, touched = update_usage(roles, folder, none)
+    assert touched == months(1, 2, 3, 4, 5, 6)
+    assert prepared_rows(updated) == prepared_rows(prepare_usage(roles, f"{tmp_path}/anew"))
+    with pytest.raises(ValueError, match="no prepared usage"):
+        update_usage(roles, f"{tmp_path}/elsewhere", none)
