@@ -1,10 +1,11 @@
 """Packing into optimal length buckets: least padding, then batches within a token budget.
 
-The histogram of all lengths is counted by Spark; lengths above ``EXACT`` are rounded up to
-``EXACT`` steps per power of two, so it has at most ``EXACT`` * 40 rows whatever the table, and only
-these reach the driver. Dynamic programming over it chooses at most ``buckets`` boundaries with the
-least padding. A text is padded to its bucket's boundary, and a batch holds as many texts as fit the
-budget, one at least. Texts are numbered inside their bucket in the order of a hash of their id, so
+The histogram of all lengths is counted by Spark; lengths above 2 * ``EXACT`` share an entry with those
+in the same of ``EXACT`` steps per power of two, so it has at most ``EXACT`` * 40 entries whatever the
+table, and only these reach the driver, each with its number of texts, their total and their longest
+length. Dynamic programming over it chooses at most ``buckets`` boundaries, each the longest length of
+an entry, with the least padding, which is counted exactly. A text is padded to its bucket's boundary, and a batch holds as many texts as fit the
+budget, one at least. Texts are numbered inside their bucket in the order of a hash of id and text, so
 batches mix sources: counts per (bucket, cell of the hash) are summed up in two levels, so no window
 spans a bucket, and a text's number follows from its cell's offset.
 
@@ -43,15 +44,19 @@ def rounded(length: str) -> str:
     return f"if({length} <= {EXACT}, {length}, ceil({length} / {step}) * {step})"
 
 
-def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def boundaries(
+    lengths: np.ndarray, counts: np.ndarray, buckets: int, sums: np.ndarray | None = None
+) -> list[int]:
     """Bucket boundaries with the least padding for a histogram in ascending order.
 
-    ``cost[j]`` is the least padding of the first ``j`` lengths with the buckets so far; one more
+    ``lengths`` are the longest of each entry's texts, ``sums`` their lengths together where an entry
+    holds several lengths. ``cost[j]`` is the least padding of the first ``j`` lengths with the buckets so far; one more
     bucket from ``i`` to ``j`` pads each of its texts to ``lengths[j - 1]``.
     """
     n = len(lengths)
     count = np.concatenate(([0], np.cumsum(counts))).astype(float)
-    total = np.concatenate(([0], np.cumsum(counts * lengths))).astype(float)
+    sums = counts * lengths if sums is None else sums
+    total = np.concatenate(([0], np.cumsum(sums))).astype(float)
     cost = np.concatenate(([0.0], np.full(n, np.inf)))
     choice = []
     for _ in range(min(buckets, n)):
@@ -91,18 +96,24 @@ def pack_batches(
         F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"),
         F.col(f"`{id_col}`").alias("id"),
         F.expr(size).alias("n_tokens"),
+        F.xxhash64(id_col, text_col).alias("hash"),
     )
-    sized = written(sized.withColumn("hash", F.expr("xxhash64(id, n_tokens)")), "pack-sized")
+    sized = written(sized, "pack-sized")
     histogram = (
         sized.filter("n_tokens > 0")
-        .groupBy(F.expr(rounded("n_tokens")).cast("bigint").alias("length"))
-        .agg(F.count("*").alias("n"))
-        .orderBy("length")
+        .groupBy(F.expr(rounded("n_tokens")).cast("bigint").alias("entry"))
+        .agg(
+            F.max("n_tokens").alias("length"),
+            F.count("*").alias("n"),
+            F.sum("n_tokens").alias("total"),
+        )
+        .orderBy("entry")
         .collect()
     )
-    lengths = np.array([row["length"] for row in histogram], np.int64)
-    counts = np.array([row["n"] for row in histogram], np.int64)
-    edges = boundaries(lengths, counts, buckets)
+    lengths, counts, sums = (
+        np.array([row[c] for row in histogram], np.int64) for c in ("length", "n", "total")
+    )
+    edges = boundaries(lengths, counts, buckets, sums)
     cells = int(counts.sum()) // CELL_ROWS + 1
     bucket = "CASE " + " ".join(f"WHEN n_tokens <= {e} THEN {e}L" for e in edges) + " END"
     placed = sized.withColumn(

@@ -90,6 +90,26 @@ def test_odd_rows(spark):
     assert P.pack_batches(df.selectExpr("doc_id", "cast(null as string) AS text")).count() == len(rows)
 
 
+def test_boundaries_are_lengths_of_texts(spark):
+    sizes = [20_001, 20_000, 19_990, 5_003, 1_025, 3]
+    df = spark.createDataFrame([(n,) for n in sizes], "doc_id long")
+    df = df.selectExpr("doc_id", "repeat('w ', CAST(doc_id AS INT)) AS text")
+    rows = P.pack_batches(df, buckets=3).collect()
+    check(rows, 3, P.BUDGET)
+    assert {r["bucket"] for r in rows} <= set(sizes)
+    # 19,990 to 20,001 share one entry of the histogram
+    assert sum(r["padding"] for r in rows) == 12 + 1025 - 3
+    (one,) = P.pack_batches(df.filter("doc_id = 20001")).collect()
+    assert (one["bucket"], one["padding"]) == (20_001, 0)
+
+
+def test_rows_without_id_fill_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELL_ROWS", 10)
+    df = spark.range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('a', id) AS text")
+    rows = P.pack_batches(df, buckets=1, budget=7).collect()
+    check(rows, 1, 7)
+
+
 def test_own_length(spark):
     df = spark.createDataFrame([(1, "x", 7), (2, "y", 9)], "doc_id long, text string, n int")
     assert {r["n_tokens"] for r in P.pack_batches(df, length="n * 2").collect()} == {14, 18}
