@@ -26,7 +26,10 @@ NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go.
+
+    Rows are judged one by one, so rows that repeat an id, or have none, stay or go each.
+    """
     mark = fresh("quality", docs.columns)
     return with_quality(docs, mark).filter(f"`{mark}`.kept").select(docs.columns)
 
@@ -68,14 +71,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; null and empty texts stay, they hold none.
+
+    Rows are judged one by one, so rows that repeat an id, or have none, stay or go each.
+    """
     mark = fresh("hits", docs.columns)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs, benchmark, to=mark).filter(F.size(f"`{mark}`") == 0).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of each document."""
+    """Bucket, batch and slot of each row; a text without words is in no batch and keeps its row."""
     return pack_batches(docs)
 
 

@@ -52,27 +52,33 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch, slot and padding of each document; those without words are in no batch."""
     return pack_batches(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document; those without words are linked with nothing."""
     return jaccard_components(table(spark, sf_dir, "documents")).drop("representative")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page; a url that is null or without ``://`` is allowed."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of each document; a null or empty text has no words and fails."""
     return repetition_quality(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per notice found; documents without one, null and empty texts give no row."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page, read back from the archives; null html is an empty payload."""
     return archived(table(spark, sf_dir, "pages"))
 
 
@@ -103,10 +109,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and runs, and the digest of the rest of each document; null is empty."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without repeated passages, and their offsets; null texts stay null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_units(docs).select("doc_id", "text", "removal.*")
 
