@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +180,7 @@ class SharedFacts(Facts):
         self.eras = range(first // ERA, last // ERA + 1)
         self._spans = self._stored("spans", self._dated_accounts())
         owners = self._stored("owners", self._owners())
-        self.roles = replace(roles, subscriptions=owners)
+        self.roles = roles.but(subscriptions=owners)
         self._cells = self._stored("cells", self._reduced_usage(owners))
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:

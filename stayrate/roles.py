@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from copy import copy
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -88,6 +89,13 @@ class Roles:
                 self._hot[table] = {}
         return self._hot[table].get(key, [])
 
+    def but(self, **changes) -> Roles:
+        """A copy with other tables or options; tables that were not needed so far are not made."""
+        other = copy(self)
+        for name, value in changes.items():
+            setattr(other, name, value)
+        return other
+
     def join_keys(self, table: str) -> list[str]:
         return [key for key in JOIN_KEYS[table] if key in self.table(table).columns]
 
@@ -104,4 +112,4 @@ def analyze_keys(roles: Roles, folder: str) -> Roles:
     """
     for table in JOIN_KEYS:
         analyze_table(roles.table(table), roles.join_keys(table), f"{folder}/{table}")
-    return replace(roles, key_stats=folder, _hot={})
+    return roles.but(key_stats=folder, _hot={})

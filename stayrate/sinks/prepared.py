@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,7 @@ def prepare_usage(roles: Roles, folder: str | None = None) -> Roles:
     folder = folder or new_folder(spark, "usage")
     _write_months(_owned_rows(roles), folder)
     _write_spans(roles, folder)
-    return replace(roles, owned=spark.read.parquet(_usage(folder)))
+    return roles.but(owned=spark.read.parquet(_usage(folder)))
 
 
 def update_usage(roles: Roles, folder: str, new_usage: DataFrame) -> tuple[Roles, list[date]]:
@@ -65,7 +64,7 @@ def update_usage(roles: Roles, folder: str, new_usage: DataFrame) -> tuple[Roles
     if months:
         _replace_months(roles, folder, months)
     _write_spans(roles, folder)
-    fresh = replace(roles, owned=spark.read.schema(old.schema).parquet(_usage(folder)))
+    fresh = roles.but(owned=spark.read.schema(old.schema).parquet(_usage(folder)))
     return fresh, sorted(month for month in months if month is not None)
 
 
@@ -99,7 +98,7 @@ def _replace_months(roles: Roles, folder: str, months: list[date | None]) -> Non
     chosen = f"usage_month IN ({', '.join(map(day, dates))})" if dates else "false"
     if None in months:
         chosen = f"({chosen} OR usage_month IS NULL)"
-    rows = _owned_rows(replace(roles, owned=None)).filter(chosen)
+    rows = _owned_rows(roles.but(owned=None)).filter(chosen)
     _write_months(rows, folder, "dynamic")
     filled = {row[0] for row in rows.select("usage_month").distinct().collect()}
     gone = {f"usage_month={month}" for month in dates if month not in filled}

@@ -12,7 +12,7 @@ from row_values import rows_of
 from stayrate.operators import kpis, marts, retention
 from stayrate.plans import keystats
 from stayrate.plans.joins import lookup
-from stayrate.roles import analyze_keys
+from stayrate.roles import TABLES, Roles, analyze_keys
 from stayrate.sources.retail import PARAMS, retail_roles
 
 FOLDER = "/root/testdata/sf0.001"
@@ -142,3 +142,21 @@ def test_hot_key_of_one_file_fills_every_piece(spark, tmp_path):
     assert joined.count() == 20_000
     piece = F.pmod(F.xxhash64("id", "k"), F.lit(pieces))
     assert fact.groupBy(piece.alias("p")).count().count() == pieces
+
+
+def test_analyzing_and_copying_make_no_other_table(spark, tmp_path):
+    made = []
+
+    def noted(name):
+        def make(roles):
+            made.append(name)
+            return retail_roles(spark, FOLDER).table(name)
+
+        return make
+
+    roles = Roles(**{name: noted(name) for name in TABLES}, hot_min_rows=2)
+    analyzed = analyze_keys(roles, f"file://{tmp_path}/stats")
+    assert made == ["feature_usage", "subscriptions"] and analyzed._hot == {}
+    other = roles.but(owned=analyzed.subscriptions)
+    assert other.owned is analyzed.subscriptions and roles.owned is None
+    assert made == ["feature_usage", "subscriptions"]
