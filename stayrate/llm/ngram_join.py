@@ -12,21 +12,30 @@ least ``percent`` / 100. The method, for sets of at least one shingle:
    linked pair shares a signature.
 2. Signatures are dealt by hash, each partition of about ``ROWS_PER_TASK`` rows. In each bucket all
    members are paired with the first ``CENTRES`` members in the order of a hash, not all pairs.
-3. Pairs are confirmed on the whole shingle sets: first one for each member, with the smallest of
-   its centres in the order of a hash, then those whose ends these links have not connected, so a
-   family of near copies is confirmed in about as many pairs as it has members. Components are
-   formed from confirmed links, and groups of members with a common first centre that are connected
-   are done.
-4. In the largest component of such a group, the member nearest to the centres, the medoid, is
-   compared with all members of the group. Members outside its component are strays. With ``A`` and ``B`` the differences of two
+3. Each set has a sketch: a bit for each of at least twice as many places as it has shingles (up to
+   ``SKETCH_BITS``), the parity of the shingles hashed there. Two sets differ in at least as many
+   shingles as their sketches in bits, so pairs whose sketches lie too far apart are excluded without
+   a look at the texts. The others are confirmed on the whole shingle sets: first one for each member,
+   with the smallest of its centres in the order of a hash, then those whose ends these links have not
+   connected, so a family of near copies is confirmed in about as many pairs as it has members.
+   Components are formed from confirmed links, and groups of members with a common first centre that
+   are connected are done.
+4. Members of such a group outside its largest component are strays. They meet all members of their
+   group by sketches; of what is left the nearest pair of two components is confirmed first, then the
+   pairs that are still not connected.
+5. Groups of more than ``STRAYS`` strays, where this would grow with a square, go another way: the
+   member of the largest component nearest to the centres, the medoid, is compared with all members
+   of the group. With ``A`` and ``B`` the differences of two
    members from the medoid (shingles in one set only), the members differ in
    ``len(A) + len(B) - 2 len(A & B)`` shingles, so a linked pair shares at least
    ``t = (len(A) + len(B) - k) / 2`` of them, and, in any common order, one among the first
    ``len(A) - t + 1`` of ``A`` and the first ``len(B) - t + 1`` of ``B``. Shingles that the medoid
    lacks come first, they are rare; what most members of a group differ in is the medoid's own
    oddity and is taken out of it before. Only pairs of a stray that share so are confirmed; strays so
-   near that ``t`` is 0 meet the members as near. After this every pair of a bucket is confirmed,
-   excluded by a bound, or already connected, without comparing all pairs of a family.
+   near that ``t`` is 0 meet the members as near.
+
+After this every pair of a bucket is confirmed, excluded by a bound, or already connected, without
+comparing all pairs of a family.
 
 Equal sets are represented by their smallest document from the start.
 
@@ -57,6 +66,9 @@ from stayrate.llm.text import mix, mix_int, shingle_sets, text_slices
 CENTRES = 2
 BAND_GROWTH = 1.4
 SETS_KEPT = 4000
+STRAYS = 4096
+PIECE = 4096
+SKETCH_BITS = 1 << 17
 ROWS_PER_TASK = 2_000_000
 
 
@@ -284,6 +296,92 @@ def differences(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     return pairwise(pairs, texts, n, names | {"apart": pa.list_(pa.int64())}, measure)
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles in each of 64 * 2**i places, ``SKETCH_BITS`` at most.
+
+    There are twice as many places as shingles or more; beyond that size the bound is only weaker.
+    """
+    places = 64
+    while places < min(2 * len(shingles), SKETCH_BITS):
+        places *= 2
+    place = mix(shingles ^ np.uint64(0xD1342543DE82EF95)) & np.uint64(places - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(id, size, sketch) of the packed ``texts``."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, column in unpacked(batch.column(1)):
+                for part in text_slices(column):
+                    sets = shingle_sets(part, n)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(first + part.first, len(sets)),
+                            pa.array([len(s) for s in sets], pa.int64()),
+                            pa.array([parity_sketch(s) for s in sets], pa.binary()),
+                        ],
+                        names=["id", "size", "sketch"],
+                    )
+
+    return texts.select("id", "packed").mapInArrow(sketch, "id bigint, size bigint, sketch binary")
+
+
+def fewest_apart(
+    size: np.ndarray, sketch: list[bytes], i: np.ndarray, j: np.ndarray
+) -> np.ndarray:
+    """A lower bound of the shingles in which the sets ``i`` and ``j`` of each pair differ.
+
+    Of two sketches the longer one is folded to the length of the other.
+    """
+    words = np.array([len(s) // 8 for s in sketch], np.int64)
+    least = np.minimum(words[i], words[j])
+    out = np.abs(size[i] - size[j])
+    for width in np.unique(least):
+        at = np.flatnonzero(least == width)
+        used, place = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+        table = np.empty((len(used), width), np.uint64)
+        for row, k in enumerate(used):
+            bits = np.frombuffer(sketch[k], np.uint64).reshape(-1, width)
+            table[row] = bits[0] if len(bits) == 1 else np.bitwise_xor.reduce(bits, axis=0)
+        step = max(1, (1 << 20) // int(width))
+        for begin in range(0, len(at), step):
+            one, other = place[: len(at)][begin : begin + step], place[len(at) :][begin : begin + step]
+            bits = np.bitwise_count(table[one] ^ table[other]).sum(axis=1, dtype=np.int64)
+            some = at[begin : begin + step]
+            out[some] = np.maximum(out[some], bits)
+    return out
+
+
+def may_link(apart: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of together ``total`` shingles that differ in ``apart`` or more can be linked."""
+    return apart * (100 + percent) <= total * (100 - percent)
+
+
+def possible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not exclude."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = len(batch)
+            size = np.concatenate([batch.column(c).to_numpy() for c in (2, 4)])
+            both = [*batch.column(3).to_pylist(), *batch.column(5).to_pylist()]
+            i = np.arange(rows)
+            near = may_link(
+                fewest_apart(size, both, i, i + rows), size[:rows] + size[rows:], percent
+            )
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    with_a = pairs.select("a", "b").join(
+        sketch.selectExpr("id AS a", "size AS size_a", "sketch AS sketch_a"), "a"
+    )
+    both = with_a.join(sketch.selectExpr("id AS b", "size AS size_b", "sketch AS sketch_b"), "b")
+    both = both.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    return both.mapInArrow(judge, "a bigint, b bigint").distinct()
+
+
 def linked(percent: int) -> str:
     return f"(100 * common >= {percent} * total)"
 
@@ -355,37 +453,59 @@ def jaccard_components(
     # buckets of a family have in common; then only pairs that these links have not connected.
     chosen = pairs.groupBy("b").agg(F.expr("min_by(a, struct(xxhash64(a), a)) AS a"))
     chosen = settled(chosen.select("a", "b"), "ngram-chosen")
-    first_known = settled(confirmed(chosen, texts, n), "ngram-known")
+    sketch = settled(sketches(texts, n), "ngram-sketches")
+    first_pairs = settled(possible(chosen, sketch, percent), "ngram-pairs")
+    first_known = settled(confirmed(first_pairs, texts, n), "ngram-known")
     first_links = first_known.filter(linked(percent)).select("a", "b")
-    open_pairs = settled(
-        apart_pairs(pairs, components(first_links, "ngram-first")).join(
-            chosen, ["a", "b"], "left_anti"
-        ),
-        "ngram-pairs",
-    )
-    more_known = settled(confirmed(open_pairs, texts, n), "ngram-known")
+    open_pairs = apart_pairs(pairs, components(first_links, "ngram-first"))
+    open_pairs = settled(open_pairs.join(chosen, ["a", "b"], "left_anti"), "ngram-open")
+    near_pairs = settled(possible(open_pairs, sketch, percent), "ngram-pairs")
+    more_known = settled(confirmed(near_pairs, texts, n), "ngram-known")
     known = first_known.union(more_known)
     links = known.filter(linked(percent)).select("a", "b")
     # Rows that repeat an id with another text tie their sets together.
     tied = named.filter("representative IS NOT NULL").selectExpr(
         f"CAST(`{id_col}` AS BIGINT) AS a", "representative AS b"
     ).filter("a <> b")
-    parts = components(links, "ngram-part")
-    groups, main = mixed_groups(star, parts)
-    groups = settled(groups, "ngram-groups")
-    unused = [sets, first, star, chosen, open_pairs]
-    if not groups.isEmpty():
-        apart = settled(_apart(groups, main, known, texts, n, percent), "ngram-apart")
+    placed, mixed = mixed_groups(star, components(links, "ngram-part"))
+    unused = [sets, first, star, chosen, first_pairs, open_pairs, near_pairs, placed, mixed]
+    seen = known.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    found = stray_pairs(placed, mixed.filter(f"strays <= {STRAYS}"), sketch, percent)
+    found = settled(found.join(seen, ["a", "b"], "left_anti"), "ngram-strays")
+    unused.append(found)
+    if not found.isEmpty():
+        nearest = found.groupBy("low_at", "high_at").agg(
+            F.expr("min_by(struct(a, b), struct(apart, a, b)) AS pair")
+        )
+        nearest = settled(nearest.select("pair.a", "pair.b"), "ngram-nearest")
+        some = settled(confirmed(nearest, texts, n), "ngram-more")
+        links = links.union(some.filter(linked(percent)).select("a", "b"))
+        rest = apart_pairs(found, components(links, "ngram-part"))
+        rest = settled(rest.join(nearest, ["a", "b"], "left_anti"), "ngram-rest")
+        more = settled(confirmed(rest, texts, n), "ngram-more")
+        links = links.union(more.filter(linked(percent)).select("a", "b"))
+        unused += [nearest, rest]
+    large = settled(
+        star.filter(f"size > {CENTRES + 1}")
+        .join(mixed.filter(f"strays > {STRAYS}").select("first"), "first")
+        .select("first", "centre", "member")
+        .distinct(),
+        "ngram-groups",
+    )
+    unused.append(large)
+    if not large.isEmpty():
+        main = placed.join(mixed.select("first", "at"), ["first", "at"]).drop("at")
+        apart = settled(_apart(large, main, known, texts, n, percent), "ngram-apart")
         near = apart.filter(linked(percent)).selectExpr("medoid AS a", "member AS b")
         links = settled(links.union(near).filter("a <> b"), "ngram-links")
         rest = _rest(apart, components(links, "ngram-part"), percent)
-        seen = known.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
         rest = settled(rest.join(seen, ["a", "b"], "left_anti"), "ngram-rest")
-        more = settled(confirmed(rest, texts, n), "ngram-more")
+        rest_near = settled(possible(rest, sketch, percent), "ngram-pairs")
+        more = settled(confirmed(rest_near, texts, n), "ngram-more")
         links = links.union(more.filter(linked(percent)).select("a", "b"))
-        unused += [apart, rest]
+        unused += [apart, rest, rest_near]
     graph = components(links.union(tied), "ngram-all")
-    for table in (*unused, texts, groups, first_known, more_known):
+    for table in (*unused, texts, sketch, first_known, more_known):
         drop_written(table)
     return (
         named.join(graph.withColumnRenamed("node", id_col), id_col, "left")
@@ -409,10 +529,11 @@ def apart_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def mixed_groups(star: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups of members with a common first centre that links have not connected so far.
 
-    Returns (first, centre, member) rows of their buckets, and (first, member) rows of the members in
-    the largest component of each. Buckets of no more members than centres are compared already.
+    Returns (first, member, at) for the members of groups and their components, and (first, at, members,
+    strays): the largest component of a group that is not connected, its members, and those elsewhere.
+    Buckets of no more members than centres are compared already.
     """
-    groups = star.filter(f"size > {CENTRES + 1}").select("first", "centre", "member").distinct()
+    groups = star.filter(f"size > {CENTRES + 1}")
     both = groups.select("first", "member").union(groups.selectExpr("first", "centre AS member"))
     placed = (
         both.distinct()
@@ -420,15 +541,66 @@ def mixed_groups(star: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFram
         .selectExpr("first", "member", "coalesce(component, member) AS at")
     )
     placed = settled(placed, "ngram-member")
-    main = (
+    mixed = (
         placed.groupBy("first", "at")
         .agg(F.count("*").alias("n"))
         .groupBy("first")
-        .agg(F.expr("max_by(at, struct(n, at)) AS at"), F.count("*").alias("parts"))
-        .filter("parts > 1")
+        .agg(
+            F.expr("max_by(at, struct(n, at)) AS at"),
+            F.sum("n").alias("members"),
+            F.expr("sum(n) - max(n) AS strays"),
+        )
+        .filter("strays > 0")
     )
-    main = settled(main.select("first", "at"), "ngram-main")
-    return groups.join(main.select("first"), "first"), placed.join(main, ["first", "at"]).drop("at")
+    return placed, settled(mixed, "ngram-main")
+
+
+def stray_pairs(
+    placed: DataFrame, mixed: DataFrame, sketch: DataFrame, percent: int
+) -> DataFrame:
+    """(a, b, low_at, high_at, apart): pairs of a stray and a member elsewhere that sketches let stand.
+
+    Members are dealt in pieces of about ``PIECE``, the strays of the group go to each.
+    """
+    columns = ["member", "at", "size", "sketch"]
+    member = (
+        placed.join(mixed.withColumnRenamed("at", "main_at"), "first")
+        .join(sketch.withColumnRenamed("id", "member"), "member")
+        .withColumn("last", F.expr(f"members div {PIECE}"))
+    )
+    pieces = "explode(sequence(0L, last)) AS piece"
+    strays = member.filter("at <> main_at").selectExpr("first", pieces, "true AS stray", *columns)
+    own = "pmod(xxhash64(member), last + 1) AS piece"
+    dealt = strays.union(member.selectExpr("first", own, "false AS stray", *columns))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        stray = rows["stray"].to_numpy()
+        member, at, size = (rows[c].to_numpy() for c in ("member", "at", "size"))
+        sketch = rows["sketch"].to_pylist()
+        a, others = np.flatnonzero(stray), np.flatnonzero(~stray)
+        pairs = []
+        for some in np.array_split(a, len(a) * len(others) // (1 << 20) + 1):
+            i, j = np.repeat(some, len(others)), np.tile(others, len(some))
+            total = size[i] + size[j]
+            keep = (at[i] != at[j]) & may_link(np.abs(size[i] - size[j]), total, percent)
+            i, j, total = i[keep], j[keep], total[keep]
+            apart = fewest_apart(size, sketch, i, j)
+            keep = may_link(apart, total, percent)
+            pairs.append((i[keep], j[keep], apart[keep]))
+        i, j, apart = (np.concatenate(c) for c in zip(*pairs))
+        return pa.table(
+            {
+                "a": np.minimum(member[i], member[j]),
+                "b": np.maximum(member[i], member[j]),
+                "low_at": np.minimum(at[i], at[j]),
+                "high_at": np.maximum(at[i], at[j]),
+                "apart": apart,
+            }
+        )
+
+    schema = "a bigint, b bigint, low_at bigint, high_at bigint, apart bigint"
+    found = dealt.groupBy("first", "piece").applyInArrow(meet, schema)
+    return found.groupBy("a", "b", "low_at", "high_at").agg(F.min("apart").alias("apart"))
 
 
 def _apart(

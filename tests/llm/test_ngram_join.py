@@ -136,3 +136,72 @@ def test_family_with_strays(spark):
         rows.append((2000 + i, " ".join(base[:120] + [f"y{i}z{j}" for j in range(80)])))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     assert joined(frame, n=5, percent=80) == brute.components(dict(rows), 5, 80)
+
+
+def test_sketches_are_lower_bounds(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(N, "SKETCH_BITS", 1 << 11)
+    base = rng.integers(1, 2**63, 3000, dtype=np.uint64)
+    sets = [np.zeros(0, np.uint64)]
+    for size in (1, 5, 31, 33, 60, 64, 500, 520, 1500, 3000):
+        for changed in (0, 1, size // 8, size):
+            own = base[:size].copy()
+            own[:changed] = rng.integers(1, 2**63, changed, dtype=np.uint64)
+            sets.append(np.unique(own))
+    sketch = [N.parity_sketch(s) for s in sets]
+    assert {len(s) for s in sketch} == {8, 16, 128, 256}
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    found = N.fewest_apart(np.array([len(s) for s in sets]), sketch, i, j)
+    apart = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(i, j)])
+    assert (found <= apart).all() and (found[i == j] == 0).all()
+    assert not N.may_link(found, np.array([len(sets[x]) + len(sets[y]) for x, y in zip(i, j)]), 80)[
+        apart > 0.9 * np.array([len(sets[x]) + len(sets[y]) for x, y in zip(i, j)])
+    ].any()
+
+
+def strays_and_a_family():
+    """A family, a second one linked to it by one document only, and texts that share a passage."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        words[(7 * i) % 200] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    words = list(base)
+    for step in range(14):
+        words[5 + 14 * step] = f"chain{step}"
+        rows.append((1000 + step, " ".join(words)))
+    for i in range(60):
+        words[190 + i % 9] = f"end{i}"
+        rows.append((1500 + i, " ".join(words)))
+    for i in range(80):
+        rows.append((2000 + i, " ".join(base[:120] + [f"y{i}z{j}" for j in range(80)])))
+    return rows
+
+
+@pytest.mark.parametrize("strays", [N.STRAYS, 0])
+def test_strays_meet_by_sketches_or_by_shares(spark, monkeypatch, strays):
+    rows = strays_and_a_family()
+    monkeypatch.setattr(N, "STRAYS", strays)
+    monkeypatch.setattr(N, "PIECE", 50)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert joined(frame, n=5, percent=80) == brute.components(dict(rows), 5, 80)
+
+
+def test_texts_are_read_only_for_pairs_that_may_link(spark, monkeypatch):
+    """Texts that share a passage meet in buckets; neither they nor their differences are shuffled."""
+    rows = strays_and_a_family()
+    confirmed, compared = N.confirmed, []
+
+    def counted(pairs, *rest):
+        compared.extend(tuple(r) for r in pairs.collect())
+        return confirmed(pairs, *rest)
+
+    def refuse(*_):
+        raise AssertionError("differences of a small group were written out")
+
+    monkeypatch.setattr(N, "confirmed", counted)
+    monkeypatch.setattr(N, "differences", refuse)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert joined(frame, n=5, percent=80) == brute.components(dict(rows), 5, 80)
+    assert compared and not any(2000 <= max(a, b) for a, b, *_ in compared)
