@@ -88,17 +88,28 @@ def mart_view(df: DataFrame, sheets: Sequence[tuple]) -> DataFrame:
     def dim(dims: tuple[str, ...], i: int) -> str:
         return f"CAST({f'`{dims[i]}`' if i < len(dims) else 'NULL'} AS STRING) AS dim{i + 1}"
 
+    def named(names: list[str]) -> str:
+        cases = " ".join(f"WHEN {i} THEN {text(name)}" for i, name in enumerate(names[:-1]))
+        return f"CASE sheet {cases} ELSE {text(names[-1])} END" if cases else text(names[-1])
+
+    # The number of a worksheet is its key, its names come back after the reduction.
     rows = ", ".join(
-        f"struct({text(dashboard)} AS dashboard, {text(sheet)} AS worksheet, "
-        f"{text(f'{agg} {measure}')} AS measure, {dim(dims, 0)}, {dim(dims, 1)}, "
-        f"{text(agg)} AS agg, CAST(`{measure}` AS DOUBLE) AS v)"
-        for dashboard, sheet, dims, agg, measure in sheets
+        f"struct({i} AS sheet, {dim(dims, 0)}, {dim(dims, 1)}, CAST(`{measure}` AS DOUBLE) AS v)"
+        for i, (_, _, dims, _, measure) in enumerate(sheets)
     )
-    value = rnd(f"CASE max(agg) WHEN 'avg' THEN {exact_avg('v')} ELSE {exact_sum('v')} END", 4)
+    averaged = [i for i, sheet in enumerate(sheets) if sheet[3] == "avg"]
+    average = f"sheet IN ({', '.join(map(str, averaged))})" if averaged else "false"
+    value = rnd(f"CASE WHEN {average} THEN {exact_avg('v')} ELSE {exact_sum('v')} END", 4)
+    names = {
+        "dashboard": [sheet[0] for sheet in sheets],
+        "worksheet": [sheet[1] for sheet in sheets],
+        "measure": [f"{agg} {measure}" for _, _, _, agg, measure in sheets],
+    }
     return (
         df.selectExpr(f"inline(array({rows}))")
-        .groupBy("dashboard", "worksheet", "measure", "dim1", "dim2")
+        .groupBy("sheet", "dim1", "dim2")
         .agg(F.expr(f"{value} AS value"))
+        .selectExpr(*[f"{named(n)} AS {column}" for column, n in names.items()], "dim1", "dim2", "value")
     )
 
 

@@ -31,7 +31,7 @@ from stayrate.operators.retention import ALL_MONTHS, retention_counts
 from stayrate.params import Params
 from stayrate.plans.aggregates import monthly
 from stayrate.plans.files import new_folder, shared_folder
-from stayrate.plans.joins import lookup
+from stayrate.plans.joins import lookup, small_sides_hashed
 from stayrate.plans.lifecycle import (
     FIRST_IS_TRIAL,
     account_span,
@@ -46,6 +46,9 @@ from stayrate.roles import Roles
 
 SUMMED = tuple(measure for measure in MEASURES if measure != "is_beta_feature")
 
+# Bits of a cell's ``flags``; the months after signup follow.
+FLAGS = ("early", "adopted", "mature", "account_churned")
+
 
 class Facts:
     """Inputs of the extracts, each computed from the roles when it is asked for."""
@@ -156,15 +159,20 @@ def per_account_totals(per_feature: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def flag(name: str) -> str:
+    return has_bit("flags", FLAGS.index(name))
+
+
 class SharedFacts(Facts):
-    """The same inputs from three tables, written once below ``folder``, that all extracts read.
+    """The same inputs from four tables, written once below ``folder``, that all extracts read.
 
     ``spans``   accounts with the date of their last churn, and their churn events counted by reason
                 and month
     ``owners``  subscriptions with signup and churn of their account
-    ``cells``   a row per account and feature: totals of all usage and of usage in the lifetime,
-                early and adopting use, a bit for each active month of the window, and one for each
-                month after signup
+    ``cells``   a row per account and feature: totals of all usage and of usage in the lifetime, a bit
+                for each active month of the window, and ``flags``: a bit for each of ``FLAGS`` and
+                one for each month after signup
+    ``usage``   cells reduced to a row per account
 
     So usage is read, joined and shuffled once, by subscription, and everything after it works on
     rows of the size of the accounts. Usage without a known subscription is kept in ``cells`` for the
@@ -182,10 +190,12 @@ class SharedFacts(Facts):
         owners = self._stored("owners", self._owners())
         self.roles = roles.but(subscriptions=owners)
         self._cells = self._stored("cells", self._reduced_usage(owners))
+        self._usage = self._stored("usage", self._usage_of_accounts())
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        with small_sides_hashed(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _dated_accounts(self) -> DataFrame:
@@ -222,50 +232,65 @@ class SharedFacts(Facts):
         feature = "feature_name" if roles.features is None else "feature_key"
         usage = roles.feature_usage.select("subscription_id", "usage_date", feature, *SUMMED)
         usage = (
-            with_feature(lookup(usage, owner, "subscription_id", hot, "left"), roles)
+            lookup(usage, owner, "subscription_id", hot, "left")
             .withColumn("days", F.datediff("usage_date", "signup_date"))
             .selectExpr(
                 "*",
                 f"coalesce({in_lifetime(params.window_end)}, false) AS lived",
-                f"{month_number('usage_date')} AS m",
                 f"{month_index('signup_date', 'usage_date')} AS mi",
             )
         )
         within_year = f"lived AND mi BETWEEN 0 AND {len(ALL_MONTHS) - 1}"
-        sums = {m: f"CASE WHEN lived THEN {m} ELSE 0 END" for m in SUMMED} | {
-            "events": "CAST(lived AS BIGINT)",
-            "all_events": "1L",
-            "all_errors": "error_count",
-        }
-        flags = {
+        tests = {
             "early": within("days", params.early_window),
             "adopted": within("days", params.adoption_window),
             "mature": mature(params),
             "account_churned": "account_churned",
         }
-        bits = {f"era{e}": f"CASE WHEN lived AND m div {ERA} = {e} THEN m % {ERA} END" for e in self.eras}
-        bits["since_signup"] = f"CASE WHEN {within_year} THEN mi END"
-        return usage.groupBy("account_id", "feature_name").agg(
+        places = [f"CASE WHEN {tests[name]} THEN {1 << i}L ELSE 0L END" for i, name in enumerate(FLAGS)]
+        places.append(f"CASE WHEN {within_year} THEN shiftleft(1L, CAST(mi AS INT) + {len(FLAGS)}) ELSE 0L END")
+        # Dates go before the features are looked up, which may be one more shuffle of usage.
+        usage = usage.selectExpr(
+            "account_id",
+            feature,
+            *SUMMED,
+            "lived",
+            f"CASE WHEN lived THEN {month_number('usage_date')} END AS m",
+            f"{' | '.join(places)} AS flags",
+        )
+        sums = {m: f"CASE WHEN lived THEN {m} ELSE 0 END" for m in SUMMED} | {
+            "events": "CAST(lived AS BIGINT)",
+            "all_events": "1L",
+            "all_errors": "error_count",
+        }
+        bits = {f"era{e}": f"CASE WHEN m div {ERA} = {e} THEN m % {ERA} END" for e in self.eras}
+        return with_feature(usage, roles).groupBy("account_id", "feature_name").agg(
             *cols(
                 *[f"sum({x}) AS {name}" for name, x in sums.items()],
-                *[f"max({x}) AS {name}" for name, x in flags.items()],
+                "bit_or(flags) AS flags",
                 *[f"{month_bits(x)} AS {name}" for name, x in bits.items()],
             )
         )
 
+    def _usage_of_accounts(self) -> DataFrame:
+        cells = self._cells.filter("account_id IS NOT NULL")
+        return per_account_totals(
+            cells.withColumn("early", F.expr(flag("early"))),
+            f"shiftright(bit_or(flags), {len(FLAGS)}) AS since_signup",
+            *[f"bit_or(era{e}) AS era{e}" for e in self.eras],
+        )
+
     def spans(self) -> DataFrame:
         return self._spans
 
     def usage_per_account(self) -> DataFrame:
-        return per_account_totals(self._cells.filter("account_id IS NOT NULL"))
+        return self._usage.drop("since_signup", *[f"era{e}" for e in self.eras])
 
     def monthly_active(self, bounded: bool = True) -> DataFrame:
         if not bounded:
             return super().monthly_active(bounded)
-        eras = [f"era{e}" for e in self.eras]
-        seen = self._cells.groupBy("account_id").agg(*cols(*[f"bit_or({e}) AS {e}" for e in eras]))
         rows = ", ".join(f"struct({e}L AS era, era{e} AS seen)" for e in self.eras)
-        return active_per_month(seen.selectExpr(f"inline(array({rows}))").filter("seen <> 0"))
+        return active_per_month(self._usage.selectExpr(f"inline(array({rows}))").filter("seen <> 0"))
 
     def monthly_churn(self, by: str = "event") -> DataFrame:
         if by != "event":
@@ -280,7 +305,7 @@ class SharedFacts(Facts):
     def retention(self, by: str, bounded: bool = True) -> DataFrame:
         if not bounded:
             return super().retention(by, bounded)
-        seen = self._cells.groupBy("account_id").agg(F.expr("bit_or(since_signup) AS seen"))
+        seen = self._usage.selectExpr("account_id", "since_signup AS seen")
         cohort = self._spans.filter(f"signup_date < {day(self.params.cohort_cut)}").selectExpr(
             "account_id", f"{segment(by, self.params)} AS {by}"
         )
@@ -306,9 +331,9 @@ class SharedFacts(Facts):
             .groupBy("feature_name")
             .agg(
                 *cols(
-                    "count_if(adopted) AS users",
-                    "count_if(adopted AND mature) AS adopters",
-                    "count_if(adopted AND mature AND account_churned) AS adopters_lost",
+                    f"count_if({flag('adopted')}) AS users",
+                    f"count_if({flag('adopted')} AND {flag('mature')}) AS adopters",
+                    f"count_if({' AND '.join(map(flag, FLAGS[1:]))}) AS adopters_lost",
                     "sum(all_errors) AS errors",
                     "sum(all_events) AS events",
                 )

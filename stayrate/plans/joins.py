@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HotKeys = list[tuple[object, int]]  # (key value, number of pieces its rows are split into)
@@ -67,6 +68,24 @@ def lookup(
     return left.drop("_pieces").join(right.drop("_pieces"), [key, "_piece"], how).drop("_piece")
 
 
+@contextmanager
+def small_sides_hashed(spark: SparkSession, limit: str = "64m") -> Iterator[None]:
+    """Inside, AQE may hash a side whose partitions are all below ``limit``, instead of sorting both.
+
+    A limit that the session has set itself stays.
+    """
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key, None)
+    unset = before in (None, "0", "0b")
+    if unset:
+        spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        if unset:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """Put the columns of one-row frames into one row, by union and aggregate."""
     first, *rest = frames

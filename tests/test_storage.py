@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 from stayrate.catalog import operators
 from stayrate.operators import growth
 from stayrate.operators.dashboard import WORKSHEETS, mart_dashboard_long
+from stayrate.operators.facts import Facts, SharedFacts
 from stayrate.operators.marts import MART_SCHEMAS, MARTS, mart_row_counts
 from stayrate.plans import files
+from stayrate.plans.joins import small_sides_hashed
 from stayrate.sinks import extracts, prepared
 from stayrate.sinks.extracts import (
     BrokenExtract,
@@ -419,3 +421,38 @@ def test_update_that_dies_is_made_good(spark, make_roles, usage_tables, params,
     assert prepared_rows(updated) == prepared_rows(prepare_usage(roles, f"{tmp_path}/anew"))
     with pytest.raises(ValueError, match="no prepared usage"):
         update_usage(roles, f"{tmp_path}/elsewhere", none)
+
+
+def test_extracts_read_usage_reduced_to_accounts(spark, make_roles, params, tmp_path):
+    """Cells are reduced to accounts once, not again for each extract that needs accounts."""
+    roles = make_roles(
+        accounts=[dict(account_id="a"), dict(account_id="b")],
+        subscriptions=[dict(subscription_id="s", account_id="a")],
+        feature_usage=[dict(subscription_id="s"), dict(subscription_id="unknown")],
+    )
+    facts = SharedFacts(roles, params, str(tmp_path))
+    for table in (
+        facts.usage_per_account(),
+        facts.monthly_active(),
+        facts.retention("cohort_month"),
+        facts.retention("referral_source"),
+    ):
+        folders = {file.rsplit("/", 2)[1] for file in table.inputFiles()}
+        assert "usage" in folders and "cells" not in folders
+    assert sorted(facts.usage_per_account().columns) == sorted(
+        Facts(roles, params).usage_per_account().columns
+    )
+    assert [tuple(r)[:3] for r in facts.usage_per_account().collect()] == [("a", 1, 1)]
+
+
+def test_small_sides_are_hashed_only_inside(spark):
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(key)
+    try:
+        for value, inside in (("0", "64m"), ("5m", "5m")):
+            spark.conf.set(key, value)
+            with small_sides_hashed(spark):
+                assert spark.conf.get(key) == inside
+            assert spark.conf.get(key) == value
+    finally:
+        spark.conf.set(key, before)
