@@ -50,6 +50,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,8 @@ from stayrate.llm.text import mix, mix_int, shingle_sets, text_slices
 CENTRES = 2
 BAND_GROWTH = 1.4
 SETS_KEPT = 4000
+SETS_BYTES = 1 << 25
+PACKED_BYTES = 1 << 22
 STRAYS = 4096
 PIECE = 4096
 SKETCH_BITS = 1 << 17
@@ -227,6 +230,17 @@ def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def row_runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first row, number of rows) of together about ``most`` bytes, one row at least."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        last = max(int(np.searchsorted(ends, before + most, "right")), first + 1)
+        yield first, last - first
+        first = last
+
+
 def pairwise(
     pairs: DataFrame,
     texts: DataFrame,
@@ -234,31 +248,38 @@ def pairwise(
     names: dict[str, pa.DataType],
     measure: Callable[[np.ndarray, np.ndarray], tuple],
 ) -> DataFrame:
-    """(a, b, *names): ``measure`` of the two shingle sets of each pair (a, b)."""
+    """(a, b, *names): ``measure`` of the two shingle sets of each pair (a, b).
+
+    A task keeps sets for later pairs, ``SETS_KEPT`` or ``SETS_BYTES`` at most, besides those of the
+    run of pairs at hand, whose packed texts take about ``PACKED_BYTES``.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in range(2))
-            wanted = {}
-            for i, column in ((0, 2), (1, 3)):
-                for row, key in enumerate((a, b)[i]):
-                    if key not in sets and key not in wanted:
-                        wanted[key] = batch.column(column)[row].as_py()
-            if len(sets) + len(wanted) > SETS_KEPT:
-                needed = {*a, *b}
-                sets = {key: value for key, value in sets.items() if key in needed}
-            keys = list(wanted)
-            for first, column in unpacked(pa.array(wanted.values(), pa.binary())):
-                for part in text_slices(column):
-                    for i, shingles in enumerate(shingle_sets(part, n), first + part.first):
-                        sets[keys[i]] = shingles
-            values = list(zip(*(measure(sets[x], sets[y]) for x, y in zip(a, b))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)]
-                + [pa.array(v, t) for v, t in zip(values or [[]] * len(names), names.values())],
-                names=["a", "b", *names],
-            )
+        for whole in batches:
+            sizes = sum(pc.binary_length(whole.column(i)).to_numpy() for i in (2, 3))
+            for batch in (whole.slice(*run) for run in row_runs(sizes, PACKED_BYTES)):
+                a, b = (batch.column(i).to_pylist() for i in range(2))
+                wanted = {}
+                for i, column in ((0, 2), (1, 3)):
+                    for row, key in enumerate((a, b)[i]):
+                        if key not in sets and key not in wanted:
+                            wanted[key] = batch.column(column)[row].as_py()
+                held = sum(s.nbytes for s in sets.values())
+                if len(sets) + len(wanted) > SETS_KEPT or held > SETS_BYTES:
+                    needed = {*a, *b}
+                    sets = {key: value for key, value in sets.items() if key in needed}
+                keys = list(wanted)
+                for first, column in unpacked(pa.array(wanted.values(), pa.binary())):
+                    for part in text_slices(column):
+                        for i, shingles in enumerate(shingle_sets(part, n), first + part.first):
+                            sets[keys[i]] = shingles
+                values = list(zip(*(measure(sets[x], sets[y]) for x, y in zip(a, b))))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1)]
+                    + [pa.array(v, t) for v, t in zip(values or [[]] * len(names), names.values())],
+                    names=["a", "b", *names],
+                )
 
     sql = {pa.int64(): "bigint", pa.list_(pa.int64()): "array<bigint>"}
     schema = ", ".join(["a bigint, b bigint", *(f"{k} {sql[t]}" for k, t in names.items())])

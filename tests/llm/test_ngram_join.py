@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import weakref
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,30 @@ def test_texts_are_read_only_for_pairs_that_may_link(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     assert joined(frame, n=5, percent=80) == brute.components(dict(rows), 5, 80)
     assert compared and not any(2000 <= max(a, b) for a, b, *_ in compared)
+
+
+def test_a_task_keeps_few_bytes_of_sets(spark, monkeypatch):
+    """Long texts: the sets kept by a task are bounded by their bytes, not only by their number."""
+    monkeypatch.setattr(N, "SETS_BYTES", 60_000, raising=False)
+    monkeypatch.setattr(N, "PACKED_BYTES", 20_000, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(1000)) for _ in range(100)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    pairs = [(i, j) for i in range(0, 100, 10) for j in range(i + 1, i + 10)]
+    seen = []
+
+    def measure(x, y):
+        seen.extend(weakref.ref(s) for s in (x, y))
+        held = {id(s): s.nbytes for r in seen if (s := r()) is not None}
+        return len(x) + len(y), sum(held.values())
+
+    found = N.pairwise(
+        spark.createDataFrame(pairs, "a bigint, b bigint").coalesce(1),
+        N.packed(rows, "text"),
+        4,
+        {"total": pa.int64(), "held": pa.int64()},
+        measure,
+    ).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == pairs
+    assert {r["total"] for r in found} == {2 * 997}
+    assert max(r["held"] for r in found) <= 200_000  # all sets take 797,600
